@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, substrings
+from . import decontam, ngrams, substrings
 
 WHITE = r"[^\x20\x09-\x0D]+"
 
@@ -55,9 +55,27 @@ select d.doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(kept.
 from d left join kept on kept.doc_id = d.doc_id
 """
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.linked(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP8_SQL = r"""
+with recursive d as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select doc_id, w, unnest(range(1, cast(greatest(len(w) - 2, 2) as bigint))) as pos_ from d where len(w) > 0),
+g as materialized (select distinct doc_id, array_to_string(w[pos_:pos_ + 3], ' ') as gram from p),
+n as materialized (select doc_id, count(*) as n from g group by doc_id),
+o as (select a.doc_id as a, b.doc_id as b, count(*) as common from g a join g b on a.gram = b.gram and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as materialized (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 85 * (x.n + y.n - common)),
+e as materialized (select a, b from l union all select b, a from l),
+r(doc_id, root) as (select doc_id, doc_id from d union select e.b, r.root from r join e on e.a = r.doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id from d left join n on n.doc_id = d.doc_id
+join (select doc_id, min(root) as component_id from r group by doc_id) c on c.doc_id = d.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_ngram_join": op8_ngram_join,
 }
 
-SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_substring_dedup": OP6_SQL}
+SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_ngram_join": OP8_SQL}

@@ -1,10 +1,12 @@
 """Toxicity as an ordinal regression with cumulative links.
 
 Severity has ordered grades: 0 is clean, the grades above split the toxic labels by how
-densely their text carries words that the labels mark. One weight for each word serves all
-thresholds: P(grade <= j) = sigmoid(threshold_j - weights * words). The weights are sparse;
-proximal steps hold most of them at zero, so that words which merely occur with a marked
-word don't count by themselves. The output is the expected severity.
+densely their text carries features that the labels mark. Features are words and stems. One
+weight for each serves all thresholds: P(grade <= j) = sigmoid(threshold_j - weights *
+features). The weights are sparse and
+not negative, so a long clean text around it does not hide what is toxic; proximal steps hold most of them at zero, so that words
+which merely occur with a marked word don't count by themselves. The output is the expected
+severity.
 """
 
 from __future__ import annotations
@@ -19,19 +21,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .common import stored
 
 #: Labelled documents that the regression is fitted on, picked by a hash of their id.
 SAMPLE = 8_000
 FEATURES = 4_096
-SPARSITY = 2e-3
+STEMS = (4, 5, 6, 7, 8)
+SPARSITY = 1e-4
 GRADES = 3
 
 
 @dataclass
 class Model:
-    """Hashes of the words with a weight, the weights, and the ordered thresholds."""
+    """Hashes of the features with a weight, the weights, and the ordered thresholds."""
 
-    words: np.ndarray
+    features: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
@@ -40,22 +44,58 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - linear[:, None], -60, 60)))
 
 
-def _distinct(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Text number and hash of each distinct word of each text."""
+def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, feature and value of all features of each text.
+
+    A whole word has value 1 however often it stands there. The beginning of a longer word,
+    of 4 to 8 bytes, has its share of the words, as stems come with many endings: at one in
+    a hundred the value is full. A single case in a short text has a small value.
+    """
     w = W.of(batch.column("text"), W.ALNUM, lower=True)
-    doc, h = w.doc, w.hash
-    turn = np.lexsort((h, doc))
-    doc, h = doc[turn], h[turn]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return doc[new], h[new]
+    doc, size = w.doc, np.diff(w.first)
+    docs, names, values = [], [], []
+    for length in (0, *STEMS):
+        at = np.flatnonzero(w.end - w.start > length) if length else slice(None)
+        name = W.mix(W.span_hash(w.buf, w.start[at], w.start[at] + length), length) if length else w.hash
+        name, own = name, doc[at]
+        turn = np.lexsort((name, own))
+        name, own = name[turn], own[turn]
+        edge = np.ones(len(name) + 1, bool)
+        if len(name):
+            edge[1:-1] = (name[1:] != name[:-1]) | (own[1:] != own[:-1])
+        begin = np.flatnonzero(edge)
+        count = np.diff(begin)
+        name, own = name[begin[:-1]], own[begin[:-1]]
+        docs.append(own)
+        names.append(name)
+        values.append(np.minimum(1.0, 100 * (count - 0.5) / (size[own] + 30)) if length else np.ones(len(own)))
+    return np.concatenate(docs), np.concatenate(names), np.concatenate(values)
+
+
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many toxic and clean texts each feature has at least half of its full value."""
+    for batch in W.steps(batches):
+        doc, name, value = _features(batch)
+        doc, name = doc[value >= 0.5], name[value >= 0.5]
+        toxic = batch.column("toxic").to_numpy() > 0
+        name, at = np.unique(name, return_inverse=True)
+        t = np.bincount(at, weights=toxic[doc], minlength=len(name)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(t), pa.array(np.bincount(at, minlength=len(name)) - t)], ["feature", "t", "c"])
 
 
-def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in W.steps(batches):
-        doc, h = _distinct(batch)
-        edge = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.ListArray.from_arrays(pa.array(edge), pa.array(h.view(np.int64)))], ["doc_id", "toxic", "words"])
+def _valued(names: np.ndarray):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.steps(batches):
+            doc, name, value = _features(batch)
+            at = np.minimum(np.searchsorted(names, name), len(names) - 1)
+            hit = names[at] == name
+            turn = np.argsort(doc[hit], kind="stable")
+            doc, at, value = doc[hit][turn], at[hit][turn], value[hit][turn]
+            edge = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edge, pa.array(x)) for x in (at, value)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *lists], ["doc_id", "toxic", "features", "values"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grades: int = GRADES) -> Model:
@@ -64,36 +104,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, grades: int =
     Null labels, ids and texts are left out; of several labels of an id the highest counts.
     Without a label of either kind the model finds nothing toxic.
     """
+    nothing = Model(np.zeros(0, np.uint64), np.zeros(0), np.full(grades - 1, 60.0))
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("toxicity")), F.lit(1 << 30))
     # at most about `sample` ids are left, so they may be sent to every executor
     picked = known.where(draw < int(min(1.0, sample / max(n, 1)) * (1 << 30)))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").mapInArrow(_features, "doc_id long, toxic int, words array<long>").toArrow()
-    rows = rows.sort_by("doc_id")
+    own = stored(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id"), "labelled")
+    n_c, n_t = (own.where(F.col("toxic") == x if x == 0 else F.col("toxic") > 0).count() for x in (0, 1))
+    if not n_c or not n_t:
+        return nothing
+    counts = own.mapInArrow(_counted, "feature long, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t + c >= 3").toArrow()
+    name, t, c = (counts.column(x).to_numpy() for x in ("feature", "t", "c"))
+    gain = _gain(t, c, n_t, n_c)
+    best = np.lexsort((name, -gain))[:FEATURES]
+    best = best[gain[best] > 12]
+    if not len(best):
+        return nothing
+    best = best[np.argsort(name[best].view(np.uint64))]
+    rows = own.mapInArrow(_valued(name[best].view(np.uint64)), "doc_id long, toxic int, features array<long>, values array<double>").toArrow().sort_by("doc_id")
     toxic = rows.column("toxic").to_numpy() > 0
-    if not len(toxic) or toxic.all() or not toxic.any():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), np.full(grades - 1, 60.0))
-    lists = rows.column("words").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    doc = np.repeat(np.arange(len(toxic)), np.diff(lists.offsets.to_numpy()))
-    word, at = np.unique(lists.flatten().to_numpy().view(np.uint64), return_inverse=True)
-    t, c = np.bincount(at[toxic[doc]], minlength=len(word)), np.bincount(at[~toxic[doc]], minlength=len(word))
-    gain = _gain(t, c, int(toxic.sum()), int((~toxic).sum()))
-    best = np.argsort(-gain, kind="stable")[:FEATURES]
-    best = np.sort(best[(gain[best] > 12) & (t + c >= 3)[best]])
-    slot = np.full(len(word), -1)
-    slot[best] = np.arange(len(best))
-    use = slot[at] >= 0
-    doc, col = doc[use], slot[at[use]]
-    marked = (t >= 3) & (t >= 9 * c)
-    dense = np.bincount(doc, weights=marked[best[col]], minlength=len(toxic))
+    lists = rows.column("features").to_pylist()
+    doc = np.repeat(np.arange(len(toxic)), [len(x) for x in lists])
+    col = np.array([i for x in lists for i in x], np.int64)
+    value = np.array([v for x in rows.column("values").to_pylist() for v in x], float)
+    marked = (t >= 9 * c)[best]
+    dense = np.bincount(doc, weights=marked[col] * value, minlength=len(toxic))
     grade = toxic.astype(int)
     for q in range(1, grades - 1):
         grade[toxic & (dense > np.quantile(dense[toxic], q / (grades - 1)))] = q + 1
-    weights, thresholds = _solve(doc, col, len(best), grade, grades)
+    weights, thresholds = _solve(doc, col, value, len(best), grade, grades)
     keep = np.abs(weights) > 1e-9
-    return Model(word[best[keep]], weights[keep], thresholds)
+    return Model(name[best[keep]].view(np.uint64), weights[keep], thresholds)
 
 
 def _gain(t: np.ndarray, c: np.ndarray, n_t: int, n_c: int) -> np.ndarray:
@@ -106,17 +148,17 @@ def _gain(t: np.ndarray, c: np.ndarray, n_t: int, n_c: int) -> np.ndarray:
     return out
 
 
-def _solve(doc: np.ndarray, col: np.ndarray, n_cols: int, grade: np.ndarray, grades: int, rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
-    """Accelerated proximal steps on the mean loss of the cumulative-link model with an L1 term."""
+def _solve(doc: np.ndarray, col: np.ndarray, value: np.ndarray, n_cols: int, grade: np.ndarray, grades: int, rounds: int = 1500) -> tuple[np.ndarray, np.ndarray]:
+    """Accelerated proximal steps on the mean loss of the cumulative-link model with an L1 term and weights from 0 up."""
     n = len(grade)
     w, b = np.zeros(n_cols), np.zeros(grades - 1)
     level = np.array([(grade > j).mean() for j in range(grades - 1)]).clip(1 / (2 * n), 1 - 1 / (2 * n))
     b[:] = np.log1p(-level) - np.log(level)
-    per_row = np.bincount(doc, minlength=n)
+    per_row = np.bincount(doc, weights=value**2, minlength=n)
     step = 4.0 / (1 + np.quantile(per_row, 0.99)) / (grades - 1)
     v, u, old_w, old_b, momentum = w.copy(), b.copy(), w, b, 1.0
     for _ in range(rounds):
-        linear = np.bincount(doc, weights=v[col], minlength=n)
+        linear = np.bincount(doc, weights=v[col] * value, minlength=n)
         top = 1 / (1 + np.exp(np.clip(u - linear[:, None], -60, 60)))  # P(grade > j)
         bounds = np.concatenate([np.ones((n, 1)), top, np.zeros((n, 1))], 1)
         p = np.maximum(bounds[np.arange(n), grade] - bounds[np.arange(n), grade + 1], 1e-9)
@@ -128,8 +170,8 @@ def _solve(doc: np.ndarray, col: np.ndarray, n_cols: int, grade: np.ndarray, gra
         d_b = np.zeros(grades + 1)
         np.add.at(d_b, grade, up / n)
         np.add.at(d_b, grade + 1, -down / n)
-        new_w = v - step * np.bincount(col, weights=d_linear[doc], minlength=n_cols)
-        new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * SPARSITY, 0)
+        new_w = v - step * np.bincount(col, weights=d_linear[doc] * value, minlength=n_cols)
+        new_w = np.maximum(new_w - step * SPARSITY, 0)
         new_b = np.maximum.accumulate(u - step * d_b[1:-1])
         nxt = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         v, u = new_w + (momentum - 1) / nxt * (new_w - old_w), np.maximum.accumulate(new_b + (momentum - 1) / nxt * (new_b - old_b))
@@ -141,11 +183,11 @@ def _graded(model_value):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = model_value.value
         for batch in W.steps(batches):
-            doc, h = _distinct(batch)
+            doc, name, value = _features(batch)
             linear = np.zeros(batch.num_rows)
-            if len(model.words) and len(h):
-                at = np.minimum(np.searchsorted(model.words, h), len(model.words) - 1)
-                linear = np.bincount(doc, weights=np.where(model.words[at] == h, model.weights[at], 0.0), minlength=batch.num_rows)
+            if len(model.features) and len(name):
+                at = np.minimum(np.searchsorted(model.features, name), len(model.features) - 1)
+                linear = np.bincount(doc, weights=np.where(model.features[at] == name, model.weights[at] * value, 0.0), minlength=batch.num_rows)
             above = model.above(linear)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(above.sum(1)), pa.array((above >= 0.5).sum(1).astype(np.int32)), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5)],

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, ngrams, pieces, substrings, tokenfiles, toxicity
+from . import decontam, language, ngrams, pieces, quality, quotes, substrings, tokenfiles, toxicity
 
 WHITE = r"[^\x20\x09-\x0D]+"
 
@@ -100,6 +100,15 @@ select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id from d left join
 join (select doc_id, min(root) as component_id from r group by doc_id) c on c.doc_id = d.doc_id
 """
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.references(docs))
+
+
+def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
@@ -108,6 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_join": op8_ngram_join,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_quotation_links": op10_quotation_links,
 }
 
 SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_ngram_join": OP8_SQL}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, ngrams, pieces, quality, quotes, substrings, tokenfiles, toxicity
+from . import decontam, language, ngrams, pieces, quality, quotes, scoring, substrings, tokenfiles, toxicity
 
 WHITE = r"[^\x20\x09-\x0D]+"
 
@@ -62,6 +62,13 @@ from d left join n on n.doc_id = d.doc_id left join it on it.doc_id = d.doc_id
 """
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_remainder(5) == 1, F.lit(False)))
+    return scoring.score(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -114,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_decontamination": op4_decontamination,
+    "op5_lm_scores": op5_lm_scores,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_join": op8_ngram_join,

@@ -22,6 +22,8 @@ decides the work alone, never the result.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ FRAGMENTS = 4
 #: Cells of the sketch of n-gram frequencies, in segments that Spark sums by themselves.
 CELL_BITS, SEGMENT_BITS = 22, 14
 BITMAP_LONGS = 8
+#: Sets beyond this size have a second, wider bitmap.
+LARGE = 1000
 
 
 def _grams(batch: pa.RecordBatch, n: int, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, W.Words]:
@@ -126,14 +130,56 @@ def _prefix(batch: pa.RecordBatch, n: int, percent: int, classes: np.ndarray):
     return doc, gram, size, inside
 
 
+def _banded(gram: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of an n-gram together with a band of set sizes, and the row of each key.
+
+    A band spans three times the largest ratio of similar sizes. A set near the upper edge of
+    its band is in the next one too, so two sets of similar size always meet in a band.
+    """
+    width = 3 * np.log(100 / percent)
+    band = np.floor(np.log(np.maximum(size, 1)) / width)
+    more = np.flatnonzero(np.floor((np.log(np.maximum(size, 1) * (100 / percent)) + 1e-9) / width) > band)
+    row = np.concatenate([np.arange(len(gram)), more])
+    band = np.concatenate([band, band[more] + 1]).astype(np.uint64)
+    return W.mix(gram[row] + band * np.uint64(0x9E3779B97F4A7C15), 55), row
+
+
 def _prefixes(n: int, percent: int, classes_value):
-    """How many documents of a step have each n-gram in their prefix."""
+    """How many documents of a step have each key in their prefix."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.steps(batches):
-            _, gram, _, inside = _prefix(batch, n, percent, classes_value.value)
-            gram, count = np.unique(gram[inside], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(count)], ["gram", "n"])
+            doc, gram, size, inside = _prefix(batch, n, percent, classes_value.value)
+            key, _ = _banded(gram[inside], size[doc[inside]], percent)
+            key, count = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["gram", "n"])
+
+    return run
+
+
+def _wide(gram: np.ndarray) -> bytes | None:
+    """The parity bitmap of a large set, with at least half as many bits as n-grams."""
+    if len(gram) <= LARGE:
+        return None
+    bits = 1 << (len(gram) // 2 - 1).bit_length()
+    return np.packbits(np.bincount((W.mix(gram, 78) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _apart(percent: int):
+    """Drops pairs whose wide bitmaps are too far apart; the longer is folded, as parities add up."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stay = np.ones(batch.num_rows, bool)
+            both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
+                if x is None or y is None:
+                    continue
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                n = min(len(x), len(y))
+                far = np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, n)) ^ np.bitwise_xor.reduce(y.reshape(-1, n))).sum(dtype=np.int64)
+                stay[i] = far * (100 + percent) <= both[i] * (100 - percent)
+            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(stay))
 
     return run
 
@@ -146,21 +192,31 @@ def _parity(doc: np.ndarray, gram: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _members(n: int, percent: int, classes_value, shared_value):
-    """A row for each document and prefix n-gram that other documents may share."""
+    """A row for each document and prefix key that other documents may share."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.steps(batches):
             doc, gram, size, inside = _prefix(batch, n, percent, classes_value.value)
-            bitmap = _parity(doc, gram, batch.num_rows)
-            keep = np.flatnonzero(inside)
-            keep = keep[shared_value.value(gram[keep])] if len(keep) else keep
-            alone = 1 - np.bincount(doc[keep], minlength=batch.num_rows) / np.maximum(1, _prefix_length(size, percent))
-            d = doc[keep]
+            key, row = _banded(gram[inside], size[doc[inside]], percent)
+            own = doc[inside][row]
+            keep = shared_value.value(key) if len(key) else np.zeros(0, bool)
+            alone = 1 - np.bincount(own[keep], minlength=batch.num_rows) / np.maximum(1, np.bincount(own, minlength=batch.num_rows))
+            own, key = own[keep], key[keep]
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(gram[keep].view(np.int64)), pa.array(ids[d], pa.int64()), pa.array(size[d]), pa.array(alone[d]), *(pa.array(bitmap[d, i]) for i in range(BITMAP_LONGS))],
-                ["gram", "doc_id", "n", "alone", *(f"b{i}" for i in range(BITMAP_LONGS))],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[own], pa.int64()), pa.array(size[own].astype(np.int32)), pa.array(alone[own].astype(np.float32))], ["gram", "doc_id", "n", "alone"])
+
+    return run
+
+
+def _bitmaps(n: int, wanted_value):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in W.steps([whole.filter(pa.array(wanted_value.value(whole.column("tag").to_numpy().view(np.uint64))))] if whole.num_rows else []):
+                doc, gram, _, _ = _grams(batch, n)
+                bitmap = _parity(doc, gram, batch.num_rows)
+                edge = np.searchsorted(doc, np.arange(batch.num_rows + 1)).tolist()
+                wide = [_wide(gram[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(bitmap[:, i].copy()) for i in range(BITMAP_LONGS)), pa.array(wide, pa.binary())], ["doc_id", *(f"b{i}" for i in range(BITMAP_LONGS)), "wide"])
 
     return run
 
@@ -188,11 +244,22 @@ def _segments(n: int, classes_value, wanted_value):
     return run
 
 
-def _near(a: str, b: str, percent: int) -> F.Column:
-    """Whether sizes and bitmaps allow the similarity."""
+def _sized(a: str, b: str, percent: int) -> F.Column:
+    """Whether the sizes of two sets allow the similarity."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    far = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(1, BITMAP_LONGS)), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (far * (100 + percent) <= (n + m) * (100 - percent))
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent)
+
+
+def _near(a: str, b: str, both: F.Column, percent: int) -> F.Column:
+    """Whether two bitmaps allow the similarity of sets with `both` elements in all."""
+    far = reduce(add, (F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(BITMAP_LONGS)))
+    return far * (100 + percent) <= both * (100 - percent)
+
+
+def _tags(ids: DataFrame):
+    """A filter for these ids, broadcast; it tests the hash of an id."""
+    tags = stored(ids.distinct().select(F.xxhash64(ids.columns[0]).alias("tag")), "wanted")
+    return ids.sparkSession.sparkContext.broadcast(membership(tags, "tag"))
 
 
 def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,23 +285,30 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "d
     order = spark.sparkContext.broadcast(frequency_classes(docs, n))
     counted = rest.mapInArrow(_prefixes(n, percent, order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
     shared = spark.sparkContext.broadcast(membership(stored(counted, "grams"), "gram"))
-    kind = "gram long, doc_id long, n long, alone double, " + ", ".join(f"b{i} long" for i in range(BITMAP_LONGS))
-    members = stored(rest.mapInArrow(_members(n, percent, order, shared), kind), "members")
+    members = stored(rest.mapInArrow(_members(n, percent, order, shared), "gram long, doc_id long, n int, alone float"), "members")
+    hubs = members.groupBy("gram").agg(F.min(F.struct("alone", F.xxhash64("doc_id").alias("turn"), "doc_id", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("gram", "hub.doc_id", "hub.n")
+    wanted = _tags(members.join(hubs.select("gram"), "gram", "left_semi").select("doc_id"))
+    bitmaps = rest.withColumn("tag", F.xxhash64("doc_id")).mapInArrow(_bitmaps(n, wanted), "doc_id long, " + ", ".join(f"b{i} long" for i in range(BITMAP_LONGS)) + ", wide binary")
+    bitmaps = stored(bitmaps, "bitmaps").dropDuplicates(["doc_id"])
+    wide = bitmaps.select("doc_id", "wide").where("wide is not null")
+    bitmaps = bitmaps.drop("wide")
 
-    own = F.struct("alone", F.xxhash64("doc_id").alias("turn"), "doc_id", "n", *(f"b{i}" for i in range(BITMAP_LONGS)))
-    hubs = members.groupBy("gram").agg(F.min(own).alias("hub"), F.count("*").alias("size")).where("size > 1").select("gram", "hub.*")
     m, h = members.alias("m"), hubs.alias("h")
-    pairs = m.join(h, (F.col("m.gram") == F.col("h.gram")) & (F.col("m.doc_id") != F.col("h.doc_id")) & _near("m", "h", percent))
-    links = _verified(rest, _pairs(pairs, "m", "h"), n, percent, order)
+    met = m.join(h, (F.col("m.gram") == F.col("h.gram")) & (F.col("m.doc_id") != F.col("h.doc_id")) & _sized("m", "h", percent))
+    met = _pairs(met, "m", "h").alias("p")
+    a, b = bitmaps.alias("x"), bitmaps.alias("y")
+    far = met.join(a, F.col("p.a") == F.col("x.doc_id")).join(b, (F.col("p.b") == F.col("y.doc_id")) & _near("x", "y", F.col("p.na") + F.col("p.nb"), percent))
+    links = _verified(rest, far.select("p.*"), wide, n, percent, order)
 
     labels = stored(components(links, name="hubs"), "labels")
-    placed = members.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component_id", "doc_id")).drop("component_id")
+    known = stored(bitmaps.join(labels, "doc_id", "left").withColumn("component", F.coalesce("component_id", "doc_id")).drop("component_id"), "placed")
+    placed = members.select("gram", "doc_id", "n").join(known.select("doc_id", "component"), "doc_id")
     sizes = placed.groupBy("gram", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("gram").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("many")).where("many > 1").select("gram", F.col("main.component").alias("main"))
-    outside = placed.join(main, "gram").where("component <> main").drop("main")
-    o, p = outside.alias("o"), placed.alias("p")
-    left = o.join(p, (F.col("o.gram") == F.col("p.gram")) & (F.col("o.component") != F.col("p.component")) & _near("o", "p", percent))
-    more = _verified(rest, _pairs(left, "o", "p"), n, percent, order)
+    apart = stored(placed.join(main, "gram").join(known.drop("component"), "doc_id"), "apart")
+    o, p = apart.where("component <> main").alias("o"), apart.alias("p")
+    left = o.join(p, (F.col("o.gram") == F.col("p.gram")) & (F.col("o.component") != F.col("p.component")) & _sized("o", "p", percent) & _near("o", "p", F.col("o.n") + F.col("p.n"), percent))
+    more = _verified(rest, _pairs(left, "o", "p"), wide, n, percent, order)
 
     joined = components(links.union(more))
     return (
@@ -251,14 +325,17 @@ def _pairs(joined: DataFrame, a: str, b: str) -> DataFrame:
     ordered = F.col(f"{a}.doc_id") < F.col(f"{b}.doc_id")
     pick = lambda x: (F.when(ordered, F.col(f"{a}.{x}")).otherwise(F.col(f"{b}.{x}")), F.when(ordered, F.col(f"{b}.{x}")).otherwise(F.col(f"{a}.{x}")))
     (da, db), (na, nb) = pick("doc_id"), pick("n")
-    return stored(joined.select(da.alias("a"), db.alias("b"), na.alias("na"), nb.alias("nb")).distinct(), "pairs")
+    return joined.select(da.alias("a"), db.alias("b"), na.alias("na"), nb.alias("nb")).distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, order) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, wide: DataFrame, n: int, percent: int, order) -> DataFrame:
     """Pairs whose overlaps, counted fragment by fragment and summed, reach the similarity."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    wanted = spark.sparkContext.broadcast(membership(stored(ids.select(F.xxhash64("id").alias("tag")), "wanted"), "tag"))
+    x, y = (wide.select(F.col("doc_id").alias(k), F.col("wide").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    large = (F.col("na") > LARGE) & (F.col("nb") > LARGE)
+    pairs = stored(pairs, "pairs")
+    near = pairs.where(large).join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_apart(percent), pairs.schema)
+    pairs = stored(pairs.where(~large).unionByName(near), "pairs")
+    wanted = _tags(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     segments = docs.withColumn("tag", F.xxhash64("doc_id")).mapInArrow(_segments(n, order, wanted), "doc_id long, fragment int, grams array<long>")
     segments = stored(segments, "segments")
     one = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("ga"))

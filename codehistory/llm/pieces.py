@@ -130,7 +130,7 @@ class Codec:
         return align[stop - size], np.maximum(end, align[stop - size]), True
 
 
-def _encoded(path: str, arrays: bool):
+def _encoded(path: str, arrays: tuple[str, ...]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(path)
         for batch in W.steps(batches):
@@ -148,28 +148,31 @@ def _encoded(path: str, arrays: bool):
                 rows["decoded_sha256"].append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
                 rows["n_bytes"].append(int(end[-1]) if len(end) else 0)
                 rows["tiled"].append(bool(tiled))
-                if arrays:
-                    for k, x in zip(more, (own, begin, end, back), strict=True):
+                for k, x in zip(more, (own, begin, end, back), strict=True):
+                    if k in arrays:
                         more[k].append(x)
             kinds = {"n_tokens": pa.int64(), "n_bytes": pa.int64(), "tiled": pa.bool_(), "ids": pa.list_(pa.int32()), "begins": pa.list_(pa.int64()), "ends": pa.list_(pa.int64())}
-            out = rows | (more if arrays else {})
+            out = rows | {k: more[k] for k in arrays}
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, kinds.get(k, pa.string())) for k, x in out.items())], ["doc_id", *out])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, arrays: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+ARRAYS = {"ids": "array<int>", "begins": "array<long>", "ends": "array<long>", "decoded": "string"}
+
+
+def encode(docs: DataFrame, path: str, arrays: tuple[str, ...] = tuple(ARRAYS), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text as the sentencepiece library does, and decode the ids again.
 
     Args:
         path: the model file, at the same place on every executor.
-        arrays: whether to return ids, begins and ends (spans in the bytes of the text) and
-            the decoded text; without them only counts and digests leave the executors.
+        arrays: which of ids, begins and ends (spans in the bytes of the text) and decoded
+            (the text) to return; without them only counts and digests leave the executors.
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes (where the last span ends)
     and tiled (whether the pieces tile the normalised text), then the arrays: a row for each
     row. A null text is an empty one and has no pieces.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, tiled boolean" + ", ids array<int>, begins array<long>, ends array<long>, decoded string" * arrays
+    kind = "n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, tiled boolean" + "".join(f", {k} {ARRAYS[k]}" for k in arrays)
     return docs.mapInArrow(_encoded(path, arrays), T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL(kind).fields]))

@@ -149,62 +149,92 @@ def _windows(window: int, shared, step: int):
     return run
 
 
-def _cut(window: int, texts: bool):
+def _left(w: W.Words, i: int, begins: pa.Scalar, window: int) -> np.ndarray:
+    """Which words of a text no repeat covers."""
+    n = int(w.first[i + 1] - w.first[i])
+    if not begins.is_valid:
+        return np.ones(n, bool)
+    mark = np.zeros(n + 1, np.int64)
+    at = np.unique(begins.values.to_numpy())
+    np.add.at(mark, at, 1)
+    np.add.at(mark, at + window, -1)
+    return np.cumsum(mark[:-1]) == 0
+
+
+def _cut(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.steps(batches):
             w = W.of(batch.column("text"))
-            n = np.diff(w.first)
-            begins = batch.column("begins")
-            kept, removed = [], np.zeros(len(n), np.int64)
+            n, begins = np.diff(w.first), batch.column("begins")
+            stay = [_left(w, i, begins[i], window) for i in range(batch.num_rows)]
+            digest = [hashlib.sha256(W.joined(w, w.first[i] + np.flatnonzero(x))).hexdigest() for i, x in enumerate(stay)]
+            removed = pa.array(n - np.array([x.sum() for x in stay], np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), removed, pa.array(digest)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return run
+
+
+def _rewritten(window: int, text_col: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.steps(batches, text_col):
+            begins = batch.column("_begins")
+            texts = batch.column(text_col).to_pylist()
+            w = W.of(batch.column(text_col))
             for i in range(batch.num_rows):
-                a, b = int(w.first[i]), int(w.first[i + 1])
-                stay = np.ones(b - a, bool)
                 if begins[i].is_valid:
-                    mark = np.zeros(b - a + 1, np.int64)
-                    at = np.unique(begins[i].values.to_numpy())
-                    np.add.at(mark, at, 1)
-                    np.add.at(mark, at + window, -1)
-                    stay = np.cumsum(mark[:-1]) == 0
-                    removed[i] = (b - a) - int(stay.sum())
-                kept.append(W.joined(w, a + np.flatnonzero(stay)))
-            out = [pa.array(kept, pa.binary()).cast(pa.string())] if texts else []
-            digest = [hashlib.sha256(x).hexdigest() for x in kept]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(removed), pa.array(digest), *out], ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * texts])
+                    texts[i] = W.joined(w, w.first[i] + np.flatnonzero(_left(w, i, begins[i], window))).decode()
+            keep = [k for k in batch.schema.names if k != "_begins"]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(k).type) if k == text_col else batch.column(k) for k in keep], keep)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Remove every word that a window of words repeats from a document with a smaller id.
+def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Whole copies (doc_id, n_words), and where repeats begin in the other documents (doc_id, begins)."""
+    spark = docs.sparkSession
+    docs = docs.where("doc_id is not null")
+    own = stored(docs.mapInArrow(_contents, "doc_id long, n_words long, one long, two long").where(F.col("n_words") >= window), "contents")
+    first = own.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = stored(own.join(first, ["one", "two"]).where("doc_id > first").select("doc_id", "n_words"), "copies")
+    asked = docs.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
+
+    counted = asked.mapInArrow(_symbols(window), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    member = spark.sparkContext.broadcast(membership(stored(counted, "symbols"), "key"))
+
+    seen = asked.mapInArrow(_windows(window, member, 1 << 16), "one long, two int, doc_id long, at int")
+    earliest = seen.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    return copies, seen.join(earliest, ["one", "two"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("at").alias("begins"))
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Say what is left when every word that a window repeats from a document with a smaller id goes.
 
     Args:
         docs: a table with a long id and a text; other columns are not read.
         window: words of the shortest repeat.
-        texts: whether to return the kept words, joined by one space, as `kept_text`.
 
-    Returns doc_id, n_words, n_removed, kept_sha256 and, if asked, kept_text: a row for each
-    row. A null or empty text has no words. Documents of fewer words than the window lose
-    nothing. Of equal documents the one with the smallest id stays; rows that share an id
-    do not remove each other's words. Rows with a null id take part in nothing and keep
-    their words.
+    Returns doc_id, n_words, n_removed and kept_sha256 (of the kept words, joined by one
+    blank): a row for each row. A null or empty text has no words. Documents of fewer words
+    than the window lose nothing. Of equal documents the one with the smallest id stays;
+    rows that share an id do not remove each other's words, and must share their text. Rows
+    with a null id take part in nothing and keep their words.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    own = stored(docs.where("doc_id is not null").mapInArrow(_contents, "doc_id long, n_words long, one long, two long").where(F.col("n_words") >= window), "contents")
-    first = own.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = own.join(first, ["one", "two"]).where("doc_id > first").select("doc_id", "n_words")
-    copies = stored(copies, "copies")
+    copies, repeats = _found(docs, window)
     rest = docs.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
-    asked = rest.where("doc_id is not null")
+    kept = rest.join(repeats, "doc_id", "left").select("doc_id", "text", "begins").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return kept.unionByName(copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256")))
 
-    counted = asked.mapInArrow(_symbols(window), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    member = spark.sparkContext.broadcast(membership(stored(counted, "symbols"), "key"))
 
-    seen = asked.mapInArrow(_windows(window, member, 1 << 16), "one long, two int, doc_id long, at int")
-    earliest = seen.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    repeats = seen.join(earliest, ["one", "two"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("at").alias("begins"))
+def cut_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, and texts without the words that remove_repeats removes.
 
-    kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    kept = rest.join(repeats, "doc_id", "left").select("doc_id", "text", "begins").mapInArrow(_cut(window, texts), kind)
-    gone = copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), *[F.lit("").alias("kept_text")] * texts)
-    return kept.unionByName(gone)
+    A text that loses words becomes its kept words joined by one blank; every other text,
+    null ones too, stays as it is. Whole copies keep their row with an empty text.
+    """
+    copies, repeats = _found(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), window)
+    gone = copies.select(F.col("doc_id").alias("_gone")).distinct()
+    key = F.col(id_col).cast("long")
+    rest = docs.join(gone, key == F.col("_gone"), "left_anti").join(repeats.select(F.col("doc_id").alias("_of"), F.col("begins").alias("_begins")), key == F.col("_of"), "left").drop("_of")
+    empty = docs.join(gone, key == F.col("_gone"), "left_semi").withColumn(text_col, F.lit(""))
+    return rest.mapInArrow(_rewritten(window, text_col), docs.schema).unionByName(empty)

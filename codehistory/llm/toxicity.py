@@ -44,14 +44,14 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - linear[:, None], -60, 60)))
 
 
-def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _features(batch: pa.RecordBatch, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, feature and value of all features of each text.
 
     A whole word has value 1 however often it stands there. The beginning of a longer word,
     of 4 to 8 bytes, has its share of the words, as stems come with many endings: at one in
     a hundred the value is full. A single case in a short text has a small value.
     """
-    w = W.of(batch.column("text"), W.ALNUM, lower=True)
+    w = W.of(batch.column(text_col), W.ALNUM, lower=True)
     doc, size = w.doc, np.diff(w.first)
     docs, names, values = [], [], []
     for length in (0, *STEMS):
@@ -179,16 +179,20 @@ def _solve(doc: np.ndarray, col: np.ndarray, value: np.ndarray, n_cols: int, gra
     return old_w, old_b
 
 
+def _above(model: Model, batch: pa.RecordBatch, text_col: str = "text") -> np.ndarray:
+    """P(grade > j) of each text of a batch."""
+    doc, name, value = _features(batch, text_col)
+    linear = np.zeros(batch.num_rows)
+    if len(model.features) and len(name):
+        at = np.minimum(np.searchsorted(model.features, name), len(model.features) - 1)
+        linear = np.bincount(doc, weights=np.where(model.features[at] == name, model.weights[at] * value, 0.0), minlength=batch.num_rows)
+    return model.above(linear)
+
+
 def _graded(model_value):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = model_value.value
         for batch in W.steps(batches):
-            doc, name, value = _features(batch)
-            linear = np.zeros(batch.num_rows)
-            if len(model.features) and len(name):
-                at = np.minimum(np.searchsorted(model.features, name), len(model.features) - 1)
-                linear = np.bincount(doc, weights=np.where(model.features[at] == name, model.weights[at] * value, 0.0), minlength=batch.num_rows)
-            above = model.above(linear)
+            above = _above(model_value.value, batch)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(above.sum(1)), pa.array((above >= 0.5).sum(1).astype(np.int32)), pa.array(above[:, 0]), pa.array(above[:, 0] >= 0.5)],
                 ["doc_id", "severity", "grade", "p_toxic", "toxic"],
@@ -197,6 +201,14 @@ def _graded(model_value):
     return run
 
 
+def _clean(model_value, text_col: str):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.steps(batches, text_col):
+            yield batch.filter(pa.array(_above(model_value.value, batch, text_col)[:, 0] < 0.5))
+
+    return run
+
+
 def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Grade every whole text.
 
@@ -210,7 +222,6 @@ def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.mapInArrow(_graded(value), T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("severity double, grade int, p_toxic double, toxic boolean").fields]))
 
 
-def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are not toxic, with all their columns; rows without an id stay."""
-    bad = grade(docs, model, id_col, text_col).where("toxic").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("_bad"), "left_anti")
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows that are not toxic, with all their columns, in one scan; null texts stay unless the thresholds alone reject them."""
+    return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(model), text_col), docs.schema)

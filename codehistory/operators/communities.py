@@ -48,7 +48,7 @@ def louvain(edges: DataFrame, rounds: int = 8, levels: int = 4) -> DataFrame:
     placed = None
     for _ in range(levels):
         moved = cut(_moves(now, rounds))
-        placed = cut(moved.select("repo", F.col("node").alias("path"), "comm") if placed is None else placed.join(moved.withColumnsRenamed({"node": "comm", "comm": "next"}), ["repo", "comm"]).select("repo", "path", F.col("next").alias("comm")))
+        placed = cut(moved.select("repo", F.col("node").alias("path"), "comm") if placed is None else placed.join(moved.select("repo", F.col("node").alias("comm"), F.col("comm").alias("next")), ["repo", "comm"]).select("repo", "path", F.col("next").alias("comm")))
         n = moved.select("repo", "comm").distinct().count()
         if n == moved.count():
             break

@@ -21,7 +21,8 @@ def split(base: DataFrame, keys: tuple[str, ...], within: tuple[str, ...] | None
     unit = tuple(dict.fromkeys((*(within if within is not None else keys), "who", "day")))
     per = base.groupBy(*dict.fromkeys((*keys, *unit)), "kind").agg(F.count("*").alias("n"))
     shares = per.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*unit)))
-    sums = [F.sum(F.when(F.col("kind") == k, F.col("share")).otherwise(0.0)).alias(c) for k, c in KINDS.items()]
+    # nine digits, so that the order of a float sum does not decide a rounding later
+    sums = [C.rint(F.sum(F.when(F.col("kind") == k, F.col("share")).otherwise(0.0)), 9).alias(c) for k, c in KINDS.items()]
     return shares.groupBy(*keys).agg(*sums)
 
 

@@ -150,7 +150,7 @@ files as materialized (select f.*, l.lines, b.born, coalesce(m.cluster_id, -1) a
 _EDGE = "{n}sets as (select repo, sha, list(distinct path) as items from kept group by repo, sha having count(distinct path) between 2 and {cap}), {n}edges as materialized (select repo, a, b, count(*) as weight from (select x.repo, x.sha, x.p as a, y.p as b from (select repo, sha, unnest(items) as p from {n}sets) x join (select repo, sha, unnest(items) as p from {n}sets) y on x.repo = y.repo and x.sha = y.sha and x.p < y.p) group by repo, a, b)"
 _EDGES = _EDGE.format(n="", cap=30)
 _BOTH = "both_ways as (select repo, a, b, weight from edges union all select repo, b, a, weight from edges)"
-_SPLIT = lambda keys, within, source="b": f"select {keys}, " + ", ".join(f"coalesce(sum(case when kind = '{k}' then share end), 0) as {c}" for k, c in _DAYS.items()) + f" from (select *, cast(n as double) / sum(n) over (partition by {within}) as share from (select {keys}, {within}, kind, count(*) as n from {source} group by all) q) q group by {keys}"
+_SPLIT = lambda keys, within, source="b": f"select {keys}, " + ", ".join(f"{_r(f'coalesce(sum(case when kind = {chr(39)}{k}{chr(39)} then share end), 0)', 9)} as {c}" for k, c in _DAYS.items()) + f" from (select *, cast(n as double) / sum(n) over (partition by {within}) as share from (select {keys}, {within}, kind, count(*) as n from {source} group by all) q) q group by {keys}"
 
 
 # --- sources ---------------------------------------------------------------------------

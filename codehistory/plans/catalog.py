@@ -188,7 +188,7 @@ def _(t: Tables) -> DataFrame:
     h = A.raw_hunks(t.spark, t.dir)
     head = F.concat_ws("\t", "sha", "date", "author", "email", "subject")
     value = F.format_string("%s\ndiff --git a/%s b/%s\n--- a/%s\n+++ b/%s\n@@ -%d,%d +%d,%d @@ %s", head, "path", "path", "path", "path", F.col("hunk_no") * 0 + 1, "removed", F.col("hunk_no") * 0 + 1, "added", "region")
-    found = logs.parse_hunks(h.select(F.concat_ws("|", "repo", F.col("hunk_no").cast("string")).alias("repo"), value.alias("value")).distinct())
+    found = logs.parse_hunks(h.select(F.concat_ws("|", "repo", F.col("hunk_no").cast("string")).alias("repo"), value.alias("value")))
     return found.select(F.split("repo", "[|]")[0].alias("repo"), "path", "sha", "date", "author", F.split("repo", "[|]")[1].cast("long").alias("hunk_no"), "region", "added", "removed", "churn")
 
 

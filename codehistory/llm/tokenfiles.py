@@ -17,6 +17,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 LIMITS = (10, 12, 15, 20, 30, 60)
 JUMP = 512
 BLOCK_IDS = 1 << 16
-#: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 300_000
+#: Distinct words, and distinct pieces, whose ids a worker remembers.
+REMEMBERED = 350_000
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -49,14 +50,16 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     if not n:
         return np.zeros(0, np.uint64), escapes, limit
     choice = np.full(n, len(COUNTS) - 1, np.uint8)
+    place = np.arange(n)
     for s in range(len(COUNTS) - 1, -1, -1):
         wide = np.flatnonzero(code >> np.uint64(BITS[s]))
-        if len(wide) * 1.0 * COUNTS[s] > 60.0 * n:
-            break
-        nxt = np.append(wide, n + 60)
-        clear = nxt[np.searchsorted(wide, np.arange(n))] - np.arange(n)
         # the last word of a block may hold fewer ids
-        choice[clear >= COUNTS[s]] = s
+        gap = np.diff(np.concatenate([[-1], wide, [n + 60]]))
+        if gap.max() <= COUNTS[s]:
+            break
+        if BITS[s] < 8 and 10 * len(wide) > 7 * n:
+            continue
+        choice[np.repeat(np.append(wide, n + 60), gap)[:n] - place >= COUNTS[s]] = s
     take, begin, at = COUNTS.tolist(), [], 0
     chosen = choice.tobytes()
     while at < n:
@@ -93,11 +96,57 @@ def jumps(words: np.ndarray) -> np.ndarray:
     return np.append(0, total)[: len(words) : JUMP].astype(np.int32)
 
 
+class _Remembered:
+    """Ids of strings seen before. Beyond a number of strings, new ones are dropped after each step."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.begin, self.size = np.zeros(1, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.fixed: tuple[int, int] | None = None
+
+    def rows(self, names: list[str]) -> np.ndarray:
+        """The row of each name; rows of new names have size -1."""
+        place = self.place
+        for name in set(names).difference(place):
+            place[name] = len(place)
+        more = len(place) - len(self.size)
+        self.size, self.begin = np.append(self.size, np.full(more, -1)), np.append(self.begin, np.zeros(more, np.int64))
+        return np.fromiter(map(place.__getitem__, names), np.int64, len(names))
+
+    def missing(self, rows: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Rows without ids, each once, and where each stands first."""
+        at = np.flatnonzero(self.size[rows] < 0)
+        need, first = np.unique(rows[at], return_index=True)
+        return need, at[first].tolist()
+
+    def put(self, rows: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        self.begin[rows] = len(self.ids) + np.cumsum(size) - size
+        self.size[rows] = size
+        self.ids = np.concatenate([self.ids, ids])
+
+    def get(self, rows: np.ndarray, lead: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows one after the other, each after `lead` free places, and where each ends."""
+        size = self.size[rows] + lead
+        to = np.cumsum(size)
+        return self.ids[np.repeat(self.begin[rows] - lead - (to - size), size) + np.arange(int(size.sum()))], to
+
+    def tidy(self) -> None:
+        if self.fixed is None and len(self.place) >= REMEMBERED:
+            self.fixed = len(self.place), len(self.ids)
+        elif self.fixed is not None:
+            n, k = self.fixed
+            while len(self.place) > n:
+                self.place.popitem()
+            self.size, self.begin, self.ids = self.size[:n], self.begin[:n], self.ids[:k]
+
+
 class Encoder:
     """Ids of whole texts from the tokenizers library, which is asked once for each distinct piece.
 
-    A byte-level tokenizer first cuts a text by a pattern and never merges across cuts, so
-    the ids of a text are those of its pieces.
+    A byte-level tokenizer cuts a text by a pattern before it merges, and the pattern never
+    joins what white space parts, but for one blank that goes with the word after it. So the
+    ids of a text of words between single blanks and line ends are those of the words with
+    their blanks, and those of a word are those of its pieces. Other texts are cut as a whole.
     """
 
     _loaded: dict[tuple[str, str], Encoder] = {}
@@ -109,7 +158,9 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.cut = regex.compile(pattern).findall
-        self.forget()
+        (self.line_end,) = self.model.encode("\n", add_special_tokens=False).ids
+        # words at the begin of a text or line, words after a blank, and pieces
+        self.bare, self.spaced, self.pieces = _Remembered(), _Remembered(), _Remembered()
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Encoder:
@@ -117,32 +168,69 @@ class Encoder:
             cls._loaded[path, pattern] = cls(path, pattern)
         return cls._loaded[path, pattern]
 
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def _cut_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that are cut by the pattern, and where those of each text end."""
+        cuts = [self.cut(x) for x in texts]
+        flat = [p for c in cuts for p in c]
+        rows = self.pieces.rows(flat)
+        need, first = self.pieces.missing(rows)
+        if len(need):
+            got = self.model.encode_batch_fast([flat[i] for i in first], add_special_tokens=False)
+            ids = [x.ids for x in got]
+            self.pieces.put(need, np.array([len(x) for x in ids]), np.array([i for x in ids for i in x], np.uint32))
+        ids, to = self.pieces.get(rows)
+        self.pieces.tidy()
+        return ids, np.append(0, to)[np.cumsum([len(c) for c in cuts])]
+
+    def _words(self, known: _Remembered, names: list[str], blank: str, lead: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+        rows = known.rows(names)
+        need, first = known.missing(rows)
+        if len(need):
+            ids, to = self._cut_ids([blank + names[i] for i in first])
+            known.put(need, np.diff(to, prepend=0), ids)
+        out = known.get(rows, lead)
+        known.tidy()
+        return out
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
-        cuts = [self.cut(x) for x in texts]
-        flat = [p for c in cuts for p in c]
-        fresh = list(set(flat).difference(self.place))
-        if len(self.place) + len(fresh) > REMEMBERED and self.place:
-            self.forget()
-            fresh = list(set(flat))
-        if fresh:
-            got = [x.ids for x in self.model.encode_batch_fast(fresh, add_special_tokens=False)]
-            size = np.array([len(x) for x in got], np.int64)
-            self.place.update(zip(fresh, range(len(self.size), len(self.size) + len(fresh)), strict=True))
-            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.ids = np.concatenate([self.ids, np.array([i for x in got for i in x], np.uint32)])
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        size = self.size[at]
-        to = np.cumsum(size)
-        ids = self.ids[np.repeat(self.begin[at] - (to - size), size) + np.arange(int(size.sum()))]
-        total = np.append(0, to)
-        edge = np.cumsum([0, *map(len, cuts)])
-        return ids, total[edge[1:]] - total[edge[:-1]]
+        flat: list[str] = []
+        kinds: list[np.ndarray] = []
+        owner: list[int] = []
+        whole: list[int] = []
+        for i, text in enumerate(texts):
+            words = text.split()
+            if text.count(" ") + text.count("\n") + 1 == len(words):
+                raw = np.frombuffer(text.encode(), np.uint8)
+                parts = raw[(raw == 0x20) | (raw == 0x0A)]
+                kinds.append(np.concatenate([[0], np.where(parts == 0x20, 1, 2)]))
+                flat += words
+                owner.append(i)
+            else:
+                whole.append(i)
+        parts: list = [np.zeros(0, np.uint32)] * len(texts)
+        if whole:
+            ids, to = self._cut_ids([texts[i] for i in whole])
+            for i, x in zip(whole, np.split(ids, to[:-1]), strict=True):
+                parts[i] = x
+        if flat:
+            kind = np.concatenate(kinds)
+            spaced, bare = np.flatnonzero(kind == 1), np.flatnonzero(kind != 1)
+            after = (kind == 1).tolist()
+            a_ids, a_to = self._words(self.spaced, list(compress(flat, after)), " ")
+            lead = (kind[bare] == 2).astype(np.int64)
+            b_ids, b_to = self._words(self.bare, [flat[i] for i in bare.tolist()], "", lead)
+            b_size = np.diff(b_to, prepend=0)
+            b_ids[(b_to - b_size)[lead > 0]] = self.line_end
+            size = np.zeros(len(kind), np.int64)
+            size[spaced], size[bare] = np.diff(a_to, prepend=0), b_size
+            ids = np.empty(int(size.sum()), np.uint32)
+            of_spaced = np.repeat(kind == 1, size)
+            ids[of_spaced], ids[~of_spaced] = a_ids, b_ids
+            ends = np.append(0, np.cumsum(size))[np.cumsum([len(k) for k in kinds])]
+            for i, x in zip(owner, np.split(ids, ends[:-1]), strict=True):
+                parts[i] = x
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.array([len(x) for x in parts], np.int64)
 
 
 BLOCK = "part int, block long, doc_ids array<long>, counts array<long>, before long, `limit` int, words binary, escapes binary, jumps array<int>"
@@ -168,7 +256,7 @@ def _blocks(path: str, pattern: str, end_id: int):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["part", "block", "doc_ids", "counts", "before", "limit", "words", "escapes", "jumps"])
 
-        for batch in W.steps(batches, most=1 << 18):
+        for batch in W.steps(batches, most=1 << 20):
             ids, n = encoder([x or "" for x in batch.column("text").to_pylist()])
             with_end = np.full(len(ids) + len(n), end_id, np.uint32)
             place = np.ones(len(with_end), bool)

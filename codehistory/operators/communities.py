@@ -15,23 +15,26 @@ def _moves(edges: DataFrame, rounds: int) -> DataFrame:
     with the best gain of modularity, so that two nodes do not swap places for ever; a lone
     node joins another lone one only towards the smaller name.
     """
-    degree = cut(edges.groupBy("repo", F.col("a").alias("node")).agg(F.sum("weight").alias("k")))
+    degree = edges.groupBy("repo", F.col("a").alias("node")).agg(F.sum("weight").alias("k"))
     total = degree.groupBy("repo").agg(F.sum("k").alias("m2"))
-    state = cut(degree.select("repo", "node", F.col("node").alias("comm"), "k"))
+    state = cut(degree.join(total, "repo").select("repo", "node", F.col("node").alias("comm"), "k", "m2"))
     quiet = 0
     for turn in range(rounds):
         size = state.groupBy("repo", "comm").agg(F.sum("k").alias("tot"), F.count("*").alias("n"))
-        links = edges.where("a <> b").join(state.select("repo", F.col("node").alias("b"), F.col("comm").alias("to")), ["repo", "b"]).groupBy("repo", F.col("a").alias("node"), "to").agg(F.sum("weight").alias("w"))
-        own = state.join(total, "repo").join(size, ["repo", "comm"])
-        options = links.join(own, ["repo", "node"]).join(size.select("repo", F.col("comm").alias("to"), F.col("tot").alias("to_tot"), F.col("n").alias("to_n")), ["repo", "to"])
+        near = state.select("repo", F.col("node").alias("b"), F.col("comm").alias("to"))
+        links = edges.join(near, ["repo", "b"]).groupBy("repo", F.col("a").alias("node"), "to").agg(F.sum(F.when(F.col("a") != F.col("b"), F.col("weight")).otherwise(0)).alias("w"))
+        options = links.join(state.join(size, ["repo", "comm"]), ["repo", "node"]).join(size.select("repo", F.col("comm").alias("to"), F.col("tot").alias("to_tot"), F.col("n").alias("to_n")), ["repo", "to"])
         here = F.col("to") == F.col("comm")
-        gain = F.col("w") - F.col("k") * (F.col("to_tot") - F.when(here, F.col("k")).otherwise(0)) / F.col("m2")
-        stay = links.withColumnRenamed("to", "comm").withColumnRenamed("w", "w_own")
-        scored = options.withColumn("gain", gain).join(stay, ["repo", "node", "comm"], "left")
-        now = F.coalesce("w_own", F.lit(0)) - F.col("k") * (F.col("tot") - F.col("k")) / F.col("m2")
-        allowed = ~here & (F.col("gain") > now + 1e-9) & ~((F.col("n") == 1) & (F.col("to_n") == 1) & (F.col("to") > F.col("comm")))
-        best = scored.where(allowed & (F.pmod(F.xxhash64("repo", "node"), F.lit(2)) == turn % 2)).groupBy("repo", "node").agg(F.min_by("to", F.struct((-F.round("gain", 9)).alias("g"), "to")).alias("to"))
-        state = cut(state.join(best, ["repo", "node"], "left").select("repo", "node", F.coalesce("to", "comm").alias("comm"), "k", F.col("to").isNotNull().alias("moved")))
+        gain = F.round(F.col("w") - F.col("k") * (F.col("to_tot") - F.when(here, F.col("k")).otherwise(0)) / F.col("m2"), 9)
+        allowed = ~here & ~((F.col("n") == 1) & (F.col("to_n") == 1) & (F.col("to") > F.col("comm")))
+        stay = -F.first("k") * (F.first("tot") - F.first("k")) / F.first("m2")
+        best = options.groupBy("repo", "node").agg(
+            F.first("comm").alias("comm"), F.first("k").alias("k"), F.first("m2").alias("m2"), F.coalesce(F.max(F.when(here, F.col("w"))), F.lit(0)).alias("w_own"), stay.alias("stay"),
+            F.min(F.when(allowed, F.struct((-gain).alias("loss"), "to"))).alias("best"),
+        )
+        go = (-F.col("best.loss") > F.col("w_own") + F.col("stay") + 1e-6) & (F.pmod(F.xxhash64("repo", "node"), F.lit(2)) == turn % 2)
+        moved = F.coalesce(go, F.lit(False))
+        state = cut(best.select("repo", "node", F.when(moved, F.col("best.to")).otherwise(F.col("comm")).alias("comm"), "k", "m2", moved.alias("moved")))
         quiet = 0 if state.where("moved").head(1) else quiet + 1
         state = state.drop("moved")
         if quiet == 2:

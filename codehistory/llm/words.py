@@ -205,3 +205,15 @@ def joined(w: Words, at: np.ndarray) -> bytes:
     place[np.cumsum(n + 1) - 1] = False
     out[place] = w.buf[lo:hi][inside]
     return out[:-1].tobytes()
+
+
+def joined_texts(w: Words, keep: np.ndarray = NOT_WHITE) -> list[bytes]:
+    """The words of each text joined by one space, for the table that found them."""
+    n = w.end - w.start
+    out = np.full(int(n.sum()) + len(n), 0x20, np.uint8)
+    place = np.ones(len(out), bool)
+    place[np.cumsum(n + 1) - 1] = False
+    out[place] = w.buf[keep[w.buf]]
+    edge = np.append(0, np.cumsum(n + 1))[w.first].tolist()
+    raw = out.tobytes()
+    return [raw[a : max(a, b - 1)] for a, b in zip(edge[:-1], edge[1:], strict=True)]

@@ -200,7 +200,8 @@ class Encoder:
         whole: list[int] = []
         for i, text in enumerate(texts):
             words = text.split()
-            if text.count(" ") + text.count("\n") + 1 == len(words):
+            # split() also parts at other white space, so only the words joined again prove the form
+            if words and " ".join(words) == text.replace("\n", " "):
                 raw = np.frombuffer(text.encode(), np.uint8)
                 parts = raw[(raw == 0x20) | (raw == 0x0A)]
                 kinds.append(np.concatenate([[0], np.where(parts == 0x20, 1, 2)]))

@@ -98,6 +98,22 @@ def test_token_files(spark, odd, none):
     assert len(got) == len(texts) and tokenfiles.written(none, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
 
 
+def test_token_white_space():
+    """White space of all kinds, where words may look as if they stood between single blanks and line ends."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    model.encode_special_tokens = True
+    encoder = tokenfiles.Encoder.load(P.path("byte_bpe_50k.json"), P.PATTERN)
+    white = [" ", "\n", "\r", "\t", "\r\n", "\u00a0", "\u3000", "\x0b", "\x1c", "\x85", "\u2028"]
+    texts = ["a\r\nb", "a\tb\n", "a\t\nb", " a\tb", "a b\tc", "mot\u00a0 : x", "一\u3000二 三", "one <|endoftext|>\ttwo\n", "one <|endoftext|> two", "", "\r", " ", "a b\nc"]
+    rng = random.Random(1)
+    texts += ["".join(rng.choice(["ab", "c1", "é", *white]) for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    ids, n = encoder(texts)
+    for text, got in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert got.tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_pieces(spark, odd, none):
     import sentencepiece
 

@@ -378,6 +378,34 @@ def test_scores(spark, odd, none):
     assert scoring.score(none.withColumn("held_out", F.lit(True)), path).count() == 0
 
 
+def test_scores_learn_from_all(spark):
+    """Pairs, ends and long texts outside of a sample of next to nothing count; the score is a distribution."""
+    import pyarrow as pa
+
+    path = P.path("piece_bpe_32k.model")
+    texts = ["the cat sat"] * 30 + ["a dog ran " * 15_000, None]
+    docs = table(spark, texts).select("doc_id", "text")
+    n = scoring._pieces(path).get_piece_size()
+    sub = scoring._subwords(path, words.of(pa.array(texts), lower=True))
+    want = Counter(np.concatenate([scoring._pairs(n, [x]) for x in sub]).tolist())
+    pairs = spark.createDataFrame(list(want.items()), "key long, c long")
+    got = scoring.learn(docs, pairs, path, sample_bytes=1)
+    assert got.seen.sum() == sum(want.values()) and got.seen[n + 1] == 32 and (got.kinds > 0).sum() == len({k // (n + 2) for k in want})
+    for before in (sub[0][0], n + 1, n - 1):
+        key = before * (n + 2) + np.arange(n + 1)
+        c = np.array([want.get(k, 0) for k in key.tolist()])
+        assert abs(got.followed(key, c).sum() - 1) < 1e-9
+    share = np.exp(got.model.p["w"]) / np.exp(got.model.p["w"]).sum()
+    assert abs(share[got.model.order == got.vocabulary.end][0] - 32 / (sum(want.values()))) < 0.01
+    cut = scoring.sampled(docs, sample_bytes=1 << 40, sample_text=1000).to_pylist()
+    long = sorted((r for r in cut if r["doc_id"] == 30), key=lambda r: r["nr"])
+    assert "".join(r["text"] for r in long) == texts[30] and [r["opens"] for r in long] == [True] + [False] * 149 and [r["closes"] for r in long] == [False] * 149 + [True]
+    # a word order that only the pair counts know beats its reverse
+    held = spark.createDataFrame([(i, t, i > 31) for i, t in enumerate([*texts, "the cat sat", "sat cat the"])], "doc_id long, text string, held_out boolean")
+    score = {r.doc_id: r.score for r in scoring.score(held, path).collect()}
+    assert len(score) == 34 and score[32] > score[33] and score[0] == pytest.approx(score[32])
+
+
 def test_pipeline(spark):
     """Each stage against brute force on what the stage before it kept."""
     import corpus_pipeline as pipeline

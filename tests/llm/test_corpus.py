@@ -360,6 +360,32 @@ def test_attention_gradients():
         assert abs((up - down) / 2e-5 - g[k][at]) < 1e-3 * max(1, abs(g[k][at])), k
 
 
+def test_attention_reach():
+    """Every subword has a number, each sees at least half a window, and what may follow sums to 1."""
+    rng = np.random.default_rng(2)
+    v, counts = attention.vocabulary(np.append(rng.integers(1, 9, 5000), 0))
+    assert v.size == 5000 and len(set(v.number[:5000].tolist())) == 5000 and v.number[5000] == v.other
+    group = attention.groups(rng.random((len(counts), 64)).astype(np.float32), counts)
+    assert len(group) == 5002 and np.bincount(group).max() <= 4 * 71
+    model = attention.Model(counts + 1.0, group)
+    model.p["R"][:] = 0
+    text = rng.integers(0, 5000, 200)
+    before = attention.score_each(model, v, [text])
+    assert len(before) == 201
+    for back in (1, 20, 32):
+        for at in (32, 63, 64, 65, 100, 127, 128, 200):
+            other = text.copy()
+            other[at - back] = (other[at - back] + 1) % 5000
+            after = attention.score_each(model, v, [other])
+            assert after[at] != before[at] and (after[: at - back] == pytest.approx(before[: at - back], abs=1e-4)), (at, back)
+    x, _, _, _ = next(attention.windows([v.number[text]], v))
+    y = np.arange(v.size + 2).reshape(-1, 1)
+    last = np.repeat(x[2:3], len(y), 0)
+    on = np.zeros((len(y), attention.WINDOW - attention.OVERLAP), bool)
+    on[:, 7] = True
+    assert np.exp(model.score(last, np.repeat(y, on.shape[1], 1), on).astype(float)).sum() == pytest.approx(1, abs=1e-3)
+
+
 def test_scores(spark, odd, none):
     path = P.path("piece_bpe_32k.model")
     from pyspark.sql import functions as F

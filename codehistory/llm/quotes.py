@@ -4,7 +4,9 @@ A line that begins with quote marks ('>', with blanks between) quotes at that de
 of one depth that follow each other are a passage. A passage is normalised (marks, case,
 white space and punctuation at its ends go) and hashed; so is every line and the whole own
 text of every message. A join on (conversation, hash) finds the latest earlier message
-whose own text a passage repeats. The least deeply quoted linked passage names the parent;
+whose own text a passage or one of its lines repeats, however short; the longest text that
+is found decides, so a common short line counts only if nothing longer leads to a message.
+The least deeply quoted linked passage names the parent;
 messages without one reply to the message before them. Own text is what is not quoted.
 
 Every step is a DataFrame expression: lines are exploded, grouped and joined by
@@ -18,9 +20,6 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Characters of the shortest passage that is linked.
-LEAST = 12
-
 
 def _plain(text: Column) -> Column:
     """Lower case, white space as one blank, no punctuation or blanks at the ends."""
@@ -54,7 +53,7 @@ def messages(turns: DataFrame) -> DataFrame:
     )
 
 
-def link(conversations: DataFrame, least: int = LEAST, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def link(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Reply-ordered messages without quotes.
 
     Returns conv_id, turn, role, body (own text), n_quotes (quoted passages), n_linked (of
@@ -71,15 +70,14 @@ def link(conversations: DataFrame, least: int = LEAST, conv_col: str = "conv_id"
     named = parsed.where("conv_id is not null and turn is not null")
 
     quotes = named.where(F.size("quoted") > 0).select("conv_id", "turn", F.posexplode("quoted").alias("nr", "q")).select("conv_id", "turn", "nr", F.col("q.depth").alias("depth"), F.explode(_parts("q.text")).alias("part"))
-    quotes = quotes.where(F.length("part") >= least).withColumn("hash", _hash(F.col("part"))).drop("part").distinct()
+    quotes = quotes.where("part <> ''").withColumn("hash", _hash(F.col("part"))).withColumn("size", F.length("part")).drop("part").distinct()
     asked = quotes.select("conv_id", "hash").distinct()
-    sources = named.select("conv_id", "turn", F.explode(_parts("body")).alias("part")).where(F.length("part") >= least).select("conv_id", F.col("turn").alias("source"), _hash(F.col("part")).alias("hash")).distinct()
+    sources = named.select("conv_id", "turn", F.explode(_parts("body")).alias("part")).where("part <> ''").select("conv_id", F.col("turn").alias("source"), _hash(F.col("part")).alias("hash")).distinct()
     sources = sources.join(asked, ["conv_id", "hash"], "left_semi")
     found = (
-        quotes.join(sources, ["conv_id", "hash"])
-        .where("source < turn")
+        quotes.join(_latest(quotes, sources), ["conv_id", "hash", "turn"])
         .groupBy("conv_id", "turn", "nr", "depth")
-        .agg(F.max("source").alias("source"))
+        .agg(F.max(F.struct("size", "source"))["source"].alias("source"))
         .groupBy("conv_id", "turn")
         .agg(F.min(F.struct("depth", (-F.col("source")).alias("back"))).alias("near"), F.count("*").alias("n_linked"))
         .select("conv_id", "turn", (-F.col("near.back")).alias("parent"), "n_linked")
@@ -105,8 +103,22 @@ def link(conversations: DataFrame, least: int = LEAST, conv_col: str = "conv_id"
 
 
 def _parts(text: str) -> Column:
-    """The normalised whole and lines of a text."""
-    return F.array_distinct(F.concat(F.array(_plain(F.col(text))), F.transform(F.split(F.col(text), "\n"), _plain)))
+    """The normalised whole and lines of a text. A whole of nothing but marks and blanks is its marks."""
+    whole = F.when(_plain(F.col(text)) == "", F.regexp_replace(F.col(text), r"\s+", "")).otherwise(_plain(F.col(text)))
+    return F.array_distinct(F.concat(F.array(whole), F.transform(F.split(F.col(text), "\n"), _plain)))
+
+
+def _latest(quotes: DataFrame, sources: DataFrame, span: int = 1024) -> DataFrame:
+    """The latest source before each turn that asks for a hash, by windows over spans of turns: no pairs of all quotes and sources of a common line."""
+    from pyspark.sql import Window
+
+    key = ["conv_id", "hash"]
+    turns = quotes.select(*key, "turn", F.lit(None).cast("long").alias("source")).union(sources.select(*key, F.col("source").alias("turn"), "source"))
+    placed = turns.groupBy(*key, "turn").agg(F.max("source").alias("source")).withColumn("span", F.floor(F.col("turn") / span))
+    last = lambda x, by, at: F.last(x, True).over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+    inner = placed.withColumn("near", last("source", [*key, "span"], "turn"))
+    ends = placed.groupBy(*key, "span").agg(F.max("source").alias("end")).withColumn("far", last("end", key, "span")).drop("end")
+    return inner.join(ends, [*key, "span"]).select(*key, "turn", F.coalesce("near", "far").alias("source")).where("source is not null")
 
 
 def _previous(turns: DataFrame, span: int = 1024) -> DataFrame:

@@ -338,6 +338,33 @@ def test_quotations(spark):
     assert quotes.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_short_quotations(spark):
+    """Short messages and texts without blanks are linked; a common short line gives way to a longer one."""
+    rows = [
+        (1, 0, "Yes, do it"),
+        (1, 1, "我同意这个计划"),
+        (1, 2, "?"),
+        (1, 3, "filler"),
+        (1, 4, "> Yes, do it\nOn it"),
+        (1, 5, "> 我同意这个计划。\n好"),
+        (1, 6, "> ?\nMeaning?"),
+        (1, 7, ">\n> \nnothing quoted"),
+        (2, 0, "ok\nthe whole of a longer message"),
+        (2, 1, "ok"),
+        (2, 2, "> ok\n> the whole of a longer message\nthen"),
+        (2, 3, "> ok\n> words that nobody wrote\nthen"),
+        *[(3, i, "yes") for i in range(0, 5000, 50)],
+        *[(3, i + 7, "> yes\nindeed") for i in range(0, 5000, 50)],
+        (3, 9000, "> yes\nmuch later"),
+    ]
+    docs = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.n_linked) for r in quotes.link(docs).collect()}
+    assert len(got) == len(rows)
+    assert [got[1, i] for i in (4, 5, 6, 7)] == [(0, 1), (1, 1), (2, 1), (6, 0)]
+    assert got[2, 2] == (0, 1) and got[2, 3] == (1, 1) and got[3, 9000] == (4950, 1)
+    assert all(got[3, i + 7] == (i, 1) for i in range(0, 5000, 50))
+
+
 def test_attention_gradients():
     """The hand-written gradients against differences."""
     rng = np.random.default_rng(1)

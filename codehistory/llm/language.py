@@ -22,9 +22,9 @@ from pyspark.sql import types as T
 from . import words as W
 
 ORDER = 4
-#: Bytes of training text kept for each language, and of the longest text learned from.
+#: Bytes of training text kept for each language, and characters that are kept of a longer text.
 SAMPLE_BYTES, SAMPLE_TEXT = 400_000, 100_000
-#: Languages learned, the most frequent ones.
+#: Languages from which on the steps of a scan get smaller, as each has a cost for each stretch of a step.
 LANGUAGES = 200
 _CACHE_BYTES = 48 << 20
 
@@ -93,7 +93,7 @@ def _scored(trees_value, names: list[str]):
         most = _CACHE_BYTES // (8 + 4 * max(1, len(names)))
         letters = np.zeros(256, bool)
         letters[0x41:0x5B] = letters[0x61:0x7B] = True
-        for batch in W.steps(batches):
+        for batch in W.steps(batches, most=W.STEP_BYTES * LANGUAGES // max(LANGUAGES, len(names))):
             buf, off = W.buffer(batch.column("text"))
             total = np.zeros((batch.num_rows, len(names)))
             has = np.zeros(batch.num_rows, bool)
@@ -105,7 +105,9 @@ def _scored(trees_value, names: list[str]):
                 if len(known):
                     new = known[np.minimum(at, len(known) - 1)] != key
                 if new.any() and names:
-                    fresh = np.stack([t.bits(key[new]) for t in trees], 1).astype(np.float32)
+                    fresh = np.empty((int(new.sum()), len(names)), np.float32)
+                    for j, t in enumerate(trees):
+                        fresh[:, j] = t.bits(key[new])
                     if len(known) + len(fresh) > most:
                         old = np.flatnonzero(~new)
                         known, costs = known[at[old]], costs[at[old]]
@@ -139,16 +141,17 @@ def _scored(trees_value, names: list[str]):
 def learn(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_text: int = SAMPLE_TEXT) -> dict[str, Tree]:
     """A tree for each language of a table (doc_id, text, lang), on a bounded sample.
 
-    Rows with a null text, language or id and texts of more than sample_text bytes are not
-    learned from. A hash of the id picks about sample_bytes of each language.
+    Rows with a null or empty text, a null language or id are not learned from; of a text of
+    more than sample_text characters the first ones are. A hash of the id picks about
+    sample_bytes of each language, and its first text in any case.
     """
-    usable = labelled.where("text is not null and lang is not null and doc_id is not null").withColumn("bytes", F.octet_length("text")).where((F.col("bytes") > 0) & (F.col("bytes") <= sample_text))
-    sizes = usable.groupBy("lang").agg(F.sum("bytes").alias("bytes")).orderBy(F.desc("bytes"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return {}
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_bytes / r["bytes"]))])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
-    picked = usable.where(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text", draw.alias("draw"), "doc_id").orderBy("draw", "doc_id").toArrow()
+    usable = labelled.where("text <> '' and lang is not null and doc_id is not null").select("doc_id", "lang", F.col("text").substr(1, sample_text).alias("text"), draw.alias("draw"))
+    usable = usable.withColumn("bytes", F.octet_length("text"))
+    sizes = usable.groupBy("lang").agg(F.sum("bytes").alias("total"), F.max("bytes").alias("longest"), F.min("draw").alias("least"))
+    # room for two texts more, as the last one of the draw may be missing from it
+    wanted = F.col("draw") < (sample_bytes + 2 * F.col("longest")) / F.col("total")
+    picked = usable.join(F.broadcast(sizes), "lang").where(wanted | (F.col("draw") == F.col("least"))).select("lang", "text", "draw", "doc_id").orderBy("draw", "doc_id").toArrow()
     texts: dict[str, list[bytes]] = {}
     for lang, text in zip(picked.column("lang").to_pylist(), picked.column("text").to_pylist(), strict=True):
         own = texts.setdefault(lang, [])

@@ -66,6 +66,27 @@ def test_language(spark, odd, none):
     assert {r.lang_pred for r in language.identify(odd, language.learn(none)).collect()} == {"und"}
 
 
+def test_language_of_every_label(spark):
+    """More than 200 languages, the smallest and those of one long text too, and texts near the sample's size."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def tongue(i, n):
+        own = random.Random(i)
+        vocabulary = ["".join(own.choice(letters) for _ in range(own.randrange(3, 9))) for _ in range(30)]
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    rows = [(i, tongue(i, 60 if i < 229 else 20), f"l{i:03}", "s", 0) for i in range(230)] + [(1000, tongue(1000, 30_000), "long", "s", 0)]
+    rows += [(2000 + i, tongue(2000, 200), "big", "s", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    trees = language.learn(docs)
+    assert sorted(trees) == sorted({r[2] for r in rows})
+    test = table(spark, [tongue(229, 40), tongue(1000, 40), tongue(2000, 40)])
+    assert [r.lang_pred for r in sorted(language.identify(test, trees).collect())] == ["l229", "long", "big"]
+    # however small the sample, each language has a text
+    assert sorted(language.learn(docs, sample_bytes=1, sample_text=50)) == sorted(trees)
+
+
 def test_code_lengths():
     tree = language.train([b"abab"])
     key, _ = language._keys(np.frombuffer(b"ab", np.uint8), np.array([0, 2]), language.ORDER)

@@ -24,8 +24,6 @@ from .common import stored
 
 #: A word is common in a language if it is at least one in COMMON of its words, so there are at most COMMON.
 COMMON = 500
-#: References kept, for the languages with the most words.
-LANGUAGES = 200
 LEAST_WORDS, JUDGED_WORDS = 50, 60
 REPEATED_PERCENT = 50
 
@@ -107,12 +105,15 @@ def references(docs: DataFrame) -> References:
     counted = docs.where("text is not null and lang is not null").select("text", "lang").mapInArrow(_language_words, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     counted = stored(counted, "histograms")
     is_class = F.col("key").between(0, CLASSES - 2)
-    totals = counted.where(~is_class).groupBy("lang").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "lang").limit(LANGUAGES)
+    totals = counted.where(~is_class).groupBy("lang").agg(F.sum("n").alias("total"))
     rows = counted.join(F.broadcast(totals), "lang").where(is_class | (F.col("n") * COMMON >= F.col("total"))).select("lang", "key", "n", "total").toArrow().to_pylist()
-    names = sorted({r["lang"] for r in rows})
+    by_lang: dict[str, list[dict]] = {}
+    for r in rows:
+        by_lang.setdefault(r["lang"], []).append(r)
+    names = sorted(by_lang)
     characters, words, shares = np.zeros((len(names), CLASSES - 1)), [], []
     for i, lang in enumerate(names):
-        own = [r for r in rows if r["lang"] == lang]
+        own = by_lang[lang]
         for r in own:
             if 0 <= r["key"] < CLASSES - 1:
                 characters[i, r["key"]] = r["n"]
@@ -175,6 +176,7 @@ def base(buf: np.ndarray, off: np.ndarray, w: W.Words) -> dict[str, np.ndarray]:
 def _judged(value, limits: Limits, repeated: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs: References = value.value
+        index = {x: i for i, x in enumerate(refs.names)}
         for batch in W.steps(batches):
             buf, off = W.buffer(batch.column("text"))
             exact = W.find(buf, off)
@@ -184,24 +186,29 @@ def _judged(value, limits: Limits, repeated: int):
             lowered = W.find(buf, off, lower=True)
             classes = _class_counts(buf, off)
             p = classes / np.maximum(classes.sum(1, keepdims=True), 1)
-            chars, wording = np.full((len(n), len(refs.names)), 1.0), np.full((len(n), len(refs.names)), 1.0)
-            doc = lowered.doc
+            # a text of an unknown language is held against the one that it is nearest to
+            which = np.array([index.get(x, -1) for x in batch.column("lang").to_pylist()], int)
+            unknown = which < 0
+            c, v, near = np.full(len(n), 1.0), np.full(len(n), 1.0), np.full(len(n), np.inf)
             for i, common in enumerate(refs.words):
-                chars[:, i] = distance(p, refs.characters[i])
+                mine = np.flatnonzero(unknown | (which == i))
+                if not len(mine):
+                    continue
+                of = np.full(len(n), -1)
+                of[mine] = np.arange(len(mine))
+                doc = of[lowered.doc]
+                hashes, doc = lowered.hash[doc >= 0], doc[doc >= 0]
                 slot = np.full(len(doc), len(common))
                 if len(common):
-                    at = np.minimum(np.searchsorted(common, lowered.hash), len(common) - 1)
-                    slot = np.where(common[at] == lowered.hash, at, len(common))
+                    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+                    slot = np.where(common[at] == hashes, at, len(common))
                 k = len(common) + 1
-                own = np.bincount(doc * k + slot, minlength=len(n) * k).reshape(len(n), k)
-                wording[:, i] = distance(own / np.maximum(own.sum(1, keepdims=True), 1), refs.shares[i])
-            index = {x: i for i, x in enumerate(refs.names)}
-            # a text of an unknown language is held against the one that it is nearest to
-            nearest = (chars + wording).argmin(1) if refs.names else np.zeros(len(n), int)
-            which = np.array([index.get(x, y) for x, y in zip(batch.column("lang").to_pylist(), nearest.tolist(), strict=True)], int)
-            row = np.arange(len(n))
+                own = np.bincount(doc * k + slot, minlength=len(mine) * k).reshape(len(mine), k)
+                here = distance(p[mine], refs.characters[i]), distance(own / np.maximum(own.sum(1, keepdims=True), 1), refs.shares[i])
+                better = sum(here) < near[mine]
+                at = mine[better]
+                c[at], v[at], near[at] = here[0][better], here[1][better], sum(here)[better]
             if refs.names:
-                c, v = chars[row, which], wording[row, which]
                 root = np.sqrt(np.maximum(n, 1))
                 good = (c <= limits.characters + limits.characters_short / root) & ((n < JUDGED_WORDS) | (v <= limits.words + limits.words_short / root))
             else:

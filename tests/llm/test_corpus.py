@@ -335,6 +335,26 @@ def test_quality(spark, odd, none):
     assert quality.judge(none, refs).count() == 0 and quality.judge(odd, quality.references(none)).count() == 14
 
 
+def test_quality_of_every_language(spark):
+    """More than 200 languages, of which each has its own words; clean texts of the smallest are kept."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+
+    def text(i, n):
+        return " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{rng.choice('abcdefgh')}{rng.choice('eta')}" for _ in range(n))
+
+    rows = [(10 * i + k, text(i, 120 if i < 219 else 90), f"l{i:03}", "s", 0) for i in range(220) for k in range(2)]
+    docs = spark.createDataFrame(rows, DOCS)
+    refs = quality.references(docs)
+    assert refs.names == sorted({r[2] for r in rows})
+    got = {r.doc_id: r for r in quality.judge(docs, refs).collect()}
+    assert len(got) == len(rows) and all(got[10 * 219 + k].kept for k in range(2))
+    # without its label a text is held against the nearest language, which is its own
+    blind = {r.doc_id: r for r in quality.judge(docs.withColumn("lang", F.lit(None).cast("string")), refs).collect()}
+    assert all((r.character_distance, r.word_distance) == pytest.approx((blind[k].character_distance, blind[k].word_distance)) for k, r in got.items())
+
+
 def test_distance():
     assert quality.distance(np.array([[1.0, 0.0]]), np.array([0.0, 1.0]))[0] == 1.0 and quality.distance(np.array([[0.5, 0.5]]), np.array([0.5, 0.5]))[0] == 0.0
 

@@ -3,21 +3,23 @@
 A file holds blocks, a block holds the ids of some whole documents in order. Ids are packed
 into 64-bit words: the top 4 bits of a word are a selector that says how many ids of how
 many bits follow. An id that is too wide for the block's limit is written as the largest
-number of that width, an escape, and stands in full in a list beside the words. `jumps`
-holds the number of ids before every JUMP-th word, so a reader can start inside a block;
-decoding handles all words of one selector at a time.
+number of that width, an escape, and stands in full in a list beside the words. The ids of a
+block are cut into lanes of LANE ids; no word crosses a lane, and `jumps` and `skips` hold
+the words and the escapes before each lane. So all lanes are coded at once, and a reader can
+start at any lane.
 
 A block is a row of a Parquet file, so files live in any store that Spark writes to:
 part and block (their order), doc_ids, counts (ids of each document), before (ids of the
-part before this block), limit, words, escapes, jumps.
+part before this block), limit, words, escapes, jumps, skips.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import compress
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,233 +34,270 @@ from .common import shared_dir
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 LIMITS = (10, 12, 15, 20, 30, 60)
-JUMP = 512
-BLOCK_IDS = 1 << 16
-#: Distinct words, and distinct pieces, whose ids a worker remembers.
-REMEMBERED = 350_000
+LANE = 1024
+BLOCK_IDS = 1 << 18
+#: Free places after the ids of a lane, as its last word may have room for more.
+_SPARE = int(COUNTS.max())
+#: Distinct units whose ids a worker remembers, and bytes of the longest one.
+REMEMBERED, LONG = 600_000, 64
 
 
-def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Words, escaped ids and the bit limit of a block of ids below 2^32."""
+def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
+    """Words, escaped ids, the bit limit, jumps and skips of a block of ids below 2^32."""
     ids = ids.astype(np.uint64)
-    cost = [(len(ids) * b + 32 * int((ids >= np.uint64((1 << b) - 1)).sum()), b) for b in LIMITS]
+    n, lanes = len(ids), -(-len(ids) // LANE)
+    cost = [(n * b + 32 * int((ids >= np.uint64((1 << b) - 1)).sum()), b) for b in LIMITS]
     limit = min(cost)[1]
     top = np.uint64((1 << limit) - 1)
     out = ids >= top
-    escapes, code = ids[out].astype(np.uint32), np.where(out, top, ids)
-    n = len(code)
+    escapes = ids[out].astype(np.uint32)
+    skips = np.append(0, np.cumsum(out))[np.arange(lanes) * LANE]
     if not n:
-        return np.zeros(0, np.uint64), escapes, limit
-    choice = np.full(n, len(COUNTS) - 1, np.uint8)
-    place = np.arange(n)
-    for s in range(len(COUNTS) - 1, -1, -1):
+        return np.zeros(0, np.uint64), escapes, limit, np.zeros(0, np.int64), skips
+    stride = LANE + _SPARE
+    code = np.zeros((lanes, stride), np.uint64)
+    code.ravel()[np.arange(n) // LANE * stride + np.arange(n) % LANE] = np.where(out, top, ids)
+    code = code.ravel()
+    # the selector of a word that begins here: the one of most ids of which all are narrow enough
+    choice = np.full(len(code), len(COUNTS) - 1, np.int8)
+    place = np.arange(len(code))
+    for s in range(len(COUNTS) - 2, -1, -1):
         wide = np.flatnonzero(code >> np.uint64(BITS[s]))
-        # the last word of a block may hold fewer ids
-        gap = np.diff(np.concatenate([[-1], wide, [n + 60]]))
-        if gap.max() <= COUNTS[s]:
+        if s < 7 and 10 * len(wide) > 7 * n:
             break
-        if BITS[s] < 8 and 10 * len(wide) > 7 * n:
-            continue
-        choice[np.repeat(np.append(wide, n + 60), gap)[:n] - place >= COUNTS[s]] = s
-    take, begin, at = COUNTS.tolist(), [], 0
-    chosen = choice.tobytes()
-    while at < n:
-        begin.append(at)
-        at += take[chosen[at]]
-    begin = np.array(begin)
-    selector = choice[begin]
-    padded = np.append(code, np.zeros(64, np.uint64))
+        gap = np.diff(np.concatenate([[-1], wide, [len(code) + _SPARE]]))
+        choice[np.repeat(np.append(wide, len(code) + _SPARE), gap)[: len(code)] - place >= COUNTS[s]] = s
+    end = np.arange(lanes) * stride + np.minimum(LANE, n - np.arange(lanes) * LANE)
+    at, open_, begins, owners = np.arange(lanes) * stride, np.arange(lanes), [], []
+    while len(open_):
+        begins.append(at)
+        owners.append(open_)
+        at = at + COUNTS[choice[at]]
+        more = at < end[open_]
+        if not more.all():
+            at, open_ = at[more], open_[more]
+    begin, owner = np.concatenate(begins), np.concatenate(owners)
+    begin.sort()
+    jumps = np.cumsum(np.bincount(owner, minlength=lanes)) - np.bincount(owner, minlength=lanes)
+    selector = choice[begin].astype(np.int64)
     words = selector.astype(np.uint64) << np.uint64(60)
     for s in np.unique(selector).tolist():
         mine = np.flatnonzero(selector == s)
-        parts = padded[begin[mine][:, None] + np.arange(COUNTS[s])] << (np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(BITS[s]))
+        parts = code[begin[mine][:, None] + np.arange(COUNTS[s])] << (np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(BITS[s]))
         words[mine] |= np.bitwise_or.reduce(parts, axis=1)
-    return words, escapes, limit
+    return words, escapes, limit, jumps, skips
 
 
-def unpack(words: np.ndarray, escapes: np.ndarray, limit: int, n: int) -> np.ndarray:
-    """The n ids of a block."""
+def unpack(words: np.ndarray, escapes: np.ndarray, limit: int, jumps: np.ndarray, n: int) -> np.ndarray:
+    """The n ids of some lanes, given the words before each of them."""
+    lanes, stride = len(jumps), LANE + _SPARE
     selector = (words >> np.uint64(60)).astype(np.int64)
-    begin = np.cumsum(COUNTS[selector]) - COUNTS[selector]
-    out = np.zeros(n + 64, np.uint64)
+    total = np.append(0, np.cumsum(COUNTS[selector]))
+    lane = np.repeat(np.arange(lanes), np.diff(np.append(jumps, len(words))))
+    begin = total[:-1] - total[jumps][lane] + lane * stride if lanes else np.zeros(0, np.int64)
+    out = np.zeros(lanes * stride, np.uint64)
     for s in np.unique(selector).tolist():
         mine = np.flatnonzero(selector == s)
         parts = words[mine][:, None] >> (np.arange(COUNTS[s], dtype=np.uint64) * np.uint64(BITS[s])) & np.uint64((1 << int(BITS[s])) - 1)
         out[begin[mine][:, None] + np.arange(COUNTS[s])] = parts
-    out = out[:n]
+    out = out.reshape(lanes, stride)[:, :LANE].ravel()[:n]
     out[out == np.uint64((1 << limit) - 1)] = escapes
     return out.astype(np.uint32)
 
 
-def jumps(words: np.ndarray) -> np.ndarray:
-    """Ids before every JUMP-th word."""
-    total = np.cumsum(COUNTS[(words >> np.uint64(60)).astype(np.int64)])
-    return np.append(0, total)[: len(words) : JUMP].astype(np.int32)
+def span(words: np.ndarray, escapes: np.ndarray, limit: int, jumps: np.ndarray, skips: np.ndarray, n: int, a: int, b: int) -> np.ndarray:
+    """Ids a to b of a block of n, from the lanes that hold them alone."""
+    if a >= b:
+        return np.zeros(0, np.uint32)
+    first, last = a // LANE, -(-b // LANE)
+    to = lambda x, end: int(x[last]) if last < len(x) else end
+    part = words[int(jumps[first]) : to(jumps, len(words))]
+    more = escapes[int(skips[first]) : to(skips, len(escapes))]
+    return unpack(part, more, limit, jumps[first:last] - jumps[first], min(n, last * LANE) - first * LANE)[a - first * LANE : b - first * LANE]
+
+
+class _Memory:
+    """Ids of strings seen before, in one pool. When too many are held, those seen least often go."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.place = most, {}
+        self.begin, self.size, self.seen = (np.zeros(1024, np.int64) for _ in range(3))
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def append(self, ids: np.ndarray) -> int:
+        """Put ids at the end of the pool; where they begin."""
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.pool):
+            self.pool = np.concatenate([self.pool[:at], np.zeros(2 * self.used - at, np.uint32)])
+        self.pool[at : self.used] = ids
+        return at
+
+    def add(self, names: list[str], begin: np.ndarray, size: np.ndarray) -> None:
+        a, b = len(self.place), len(self.place) + len(names)
+        if b > len(self.begin):
+            self.begin, self.size, self.seen = (np.concatenate([x[:a], np.zeros(2 * b - a, np.int64)]) for x in (self.begin, self.size, self.seen))
+        self.begin[a:b], self.size[a:b], self.seen[a:b] = begin, size, 1
+        self.place.update(zip(names, range(a, b), strict=True))
 
+    def tidy(self) -> None:
+        n = len(self.place)
+        if n <= self.most:
+            return
+        least = int(np.partition(self.seen[:n], n - self.most // 2)[n - self.most // 2]) + 1
+        stay = np.flatnonzero(self.seen[:n] >= least)
+        size = self.size[stay]
+        ids = _gather(self.pool, self.begin[stay], size)
+        names = list(self.place)
+        names = [names[i] for i in stay.tolist()]
+        self.place, self.used = {}, 0
+        self.append(ids)
+        self.add(names, np.cumsum(size) - size, size)
 
-class _Remembered:
-    """Ids of strings seen before. Beyond a number of strings, new ones are dropped after each step."""
-
-    def __init__(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.begin, self.size = np.zeros(1, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.fixed: tuple[int, int] | None = None
-
-    def rows(self, names: list[str]) -> np.ndarray:
-        """The row of each name; rows of new names have size -1."""
-        place = self.place
-        for name in set(names).difference(place):
-            place[name] = len(place)
-        more = len(place) - len(self.size)
-        self.size, self.begin = np.append(self.size, np.full(more, -1)), np.append(self.begin, np.zeros(more, np.int64))
-        return np.fromiter(map(place.__getitem__, names), np.int64, len(names))
-
-    def missing(self, rows: np.ndarray) -> tuple[np.ndarray, list[int]]:
-        """Rows without ids, each once, and where each stands first."""
-        at = np.flatnonzero(self.size[rows] < 0)
-        need, first = np.unique(rows[at], return_index=True)
-        return need, at[first].tolist()
 
-    def put(self, rows: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
-        self.begin[rows] = len(self.ids) + np.cumsum(size) - size
-        self.size[rows] = size
-        self.ids = np.concatenate([self.ids, ids])
+def _gather(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """pool[begin:begin + size] of each pair, one after the other."""
+    to = np.cumsum(size)
+    return pool[np.repeat(begin - (to - size), size) + np.arange(int(size.sum()))]
 
-    def get(self, rows: np.ndarray, lead: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the rows one after the other, each after `lead` free places, and where each ends."""
-        size = self.size[rows] + lead
-        to = np.cumsum(size)
-        return self.ids[np.repeat(self.begin[rows] - lead - (to - size), size) + np.arange(int(size.sum()))], to
 
-    def tidy(self) -> None:
-        if self.fixed is None and len(self.place) >= REMEMBERED:
-            self.fixed = len(self.place), len(self.ids)
-        elif self.fixed is not None:
-            n, k = self.fixed
-            while len(self.place) > n:
-                self.place.popitem()
-            self.size, self.begin, self.ids = self.size[:n], self.begin[:n], self.ids[:k]
+#: White space beyond blank and line end that the cutting pattern knows, as UTF-8.
+_OTHER_WHITE = [c.encode() for c in "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+_CODES = np.array(sorted(int.from_bytes(x.ljust(3, b"\0"), "big") for x in _OTHER_WHITE))
 
 
 class Encoder:
-    """Ids of whole texts from the tokenizers library, which is asked once for each distinct piece.
-
-    A byte-level tokenizer cuts a text by a pattern before it merges, and the pattern never
-    joins what white space parts, but for one blank that goes with the word after it. So the
-    ids of a text of words between single blanks and line ends are those of the words with
-    their blanks, and those of a word are those of its pieces. Other texts are cut as a whole.
+    """Ids of whole texts from the tokenizers library, which is asked once for each distinct unit.
+
+    A byte-level tokenizer cuts a text by a pattern before it merges. Where blanks and line
+    ends are the only white space, the pattern always cuts before the last of them in front
+    of a word, and before a run of them. Between those cuts lie the units: a word with one
+    blank or line end before it, or the rest of a longer run. Units cover the text, so its
+    ids are those of its units. A text with other white space, or with the string of an added
+    token, is one unit.
     """
 
-    _loaded: dict[tuple[str, str], Encoder] = {}
+    _loaded: dict[tuple[str, bool], Encoder] = {}
 
-    def __init__(self, path: str, pattern: str) -> None:
-        import regex
+    def __init__(self, path: str, special: bool = True, most: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.cut = regex.compile(pattern).findall
-        (self.line_end,) = self.model.encode("\n", add_special_tokens=False).ids
-        # words at the begin of a text or line, words after a blank, and pieces
-        self.bare, self.spaced, self.pieces = _Remembered(), _Remembered(), _Remembered()
+        self.model.encode_special_tokens = not special
+        form = json.loads(self.model.to_str())
+        cut = form["pre_tokenizer"] or {}
+        #: whether texts may be cut into units
+        self.cuts = form["normalizer"] is None and cut.get("type") == "ByteLevel" and not cut["add_prefix_space"] and cut.get("use_regex", True)
+        self.added = [t["content"].encode() for t in form["added_tokens"]]
+        self.memory = _Memory(most)
 
     @classmethod
-    def load(cls, path: str, pattern: str) -> Encoder:
-        if (path, pattern) not in cls._loaded:
-            cls._loaded[path, pattern] = cls(path, pattern)
-        return cls._loaded[path, pattern]
-
-    def _cut_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts that are cut by the pattern, and where those of each text end."""
-        cuts = [self.cut(x) for x in texts]
-        flat = [p for c in cuts for p in c]
-        rows = self.pieces.rows(flat)
-        need, first = self.pieces.missing(rows)
-        if len(need):
-            got = self.model.encode_batch_fast([flat[i] for i in first], add_special_tokens=False)
-            ids = [x.ids for x in got]
-            self.pieces.put(need, np.array([len(x) for x in ids]), np.array([i for x in ids for i in x], np.uint32))
-        ids, to = self.pieces.get(rows)
-        self.pieces.tidy()
-        return ids, np.append(0, to)[np.cumsum([len(c) for c in cuts])]
-
-    def _words(self, known: _Remembered, names: list[str], blank: str, lead: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
-        rows = known.rows(names)
-        need, first = known.missing(rows)
-        if len(need):
-            ids, to = self._cut_ids([blank + names[i] for i in first])
-            known.put(need, np.diff(to, prepend=0), ids)
-        out = known.get(rows, lead)
-        known.tidy()
-        return out
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and how many each text has."""
-        flat: list[str] = []
-        kinds: list[np.ndarray] = []
-        owner: list[int] = []
-        whole: list[int] = []
-        for i, text in enumerate(texts):
-            words = text.split()
-            # split() also parts at other white space, so only the words joined again prove the form
-            if words and " ".join(words) == text.replace("\n", " "):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                parts = raw[(raw == 0x20) | (raw == 0x0A)]
-                kinds.append(np.concatenate([[0], np.where(parts == 0x20, 1, 2)]))
-                flat += words
-                owner.append(i)
-            else:
-                whole.append(i)
-        parts: list = [np.zeros(0, np.uint32)] * len(texts)
-        if whole:
-            ids, to = self._cut_ids([texts[i] for i in whole])
-            for i, x in zip(whole, np.split(ids, to[:-1]), strict=True):
-                parts[i] = x
-        if flat:
-            kind = np.concatenate(kinds)
-            spaced, bare = np.flatnonzero(kind == 1), np.flatnonzero(kind != 1)
-            after = (kind == 1).tolist()
-            a_ids, a_to = self._words(self.spaced, list(compress(flat, after)), " ")
-            lead = (kind[bare] == 2).astype(np.int64)
-            b_ids, b_to = self._words(self.bare, [flat[i] for i in bare.tolist()], "", lead)
-            b_size = np.diff(b_to, prepend=0)
-            b_ids[(b_to - b_size)[lead > 0]] = self.line_end
-            size = np.zeros(len(kind), np.int64)
-            size[spaced], size[bare] = np.diff(a_to, prepend=0), b_size
-            ids = np.empty(int(size.sum()), np.uint32)
-            of_spaced = np.repeat(kind == 1, size)
-            ids[of_spaced], ids[~of_spaced] = a_ids, b_ids
-            ends = np.append(0, np.cumsum(size))[np.cumsum([len(k) for k in kinds])]
-            for i, x in zip(owner, np.split(ids, ends[:-1]), strict=True):
-                parts[i] = x
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.array([len(x) for x in parts], np.int64)
-
-
-BLOCK = "part int, block long, doc_ids array<long>, counts array<long>, before long, `limit` int, words binary, escapes binary, jumps array<int>"
-
-
-def _blocks(path: str, pattern: str, end_id: int):
+    def load(cls, path: str, special: bool = True) -> Encoder:
+        if (path, special) not in cls._loaded:
+            cls._loaded[path, special] = cls(path, special)
+        return cls._loaded[path, special]
+
+    def _whole(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Texts that are not cut into units."""
+        if not self.cuts:
+            return np.arange(len(off) - 1)
+        odd = [np.flatnonzero((buf < 0x20) & (buf != 0x0A))]
+        lead = np.flatnonzero((buf == 0xC2) | (buf == 0xE1) | (buf == 0xE2) | (buf == 0xE3))
+        if len(lead):
+            padded = np.append(buf, np.zeros(2, np.uint8)).astype(np.int64)
+            code = (padded[lead] << 16) | (padded[lead + 1] << 8) | np.where(padded[lead] == 0xC2, 0, padded[lead + 2])
+            odd.append(lead[np.isin(code, _CODES)])
+        raw = buf.tobytes() if self.added else b""
+        for name in self.added:
+            if (at := raw.find(name)) >= 0:
+                places = []
+                while at >= 0:
+                    places.append(at)
+                    at = raw.find(name, at + 1)
+                odd.append(np.array(places))
+        return np.unique(np.searchsorted(off, np.concatenate(odd), side="right") - 1)
+
+    def _units(self, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Where units begin."""
+        white = (buf == 0x20) | (buf == 0x0A)
+        first = np.zeros(len(buf) + 1, bool)
+        first[off] = True
+        cut = first[:-1].copy()
+        cut[1:] |= white[1:] & ~white[:-1]
+        cut[:-1] |= white[:-1] & ~white[1:] & ~first[1:-1]
+        whole = self._whole(buf, off)
+        if len(whole):
+            inside = np.zeros(len(buf) + 1, np.int8)
+            np.add.at(inside, off[whole], 1)
+            np.add.at(inside, off[whole + 1], -1)
+            cut &= (np.cumsum(inside[:-1], dtype=np.int8) == 0) | first[:-1]
+        return np.flatnonzero(cut)
+
+    def _ask(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        size, ids = [], []
+        for a in range(0, len(names), 4096):
+            got = [x.ids for x in self.model.encode_batch_fast(names[a : a + 4096], add_special_tokens=False)]
+            size += map(len, got)
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32))
+        return np.array(size, np.int64), np.concatenate(ids)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and how many each text has; a null is an empty text."""
+        buf, off = W.buffer(texts)
+        if not len(buf):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        begin = self._units(buf, off)
+        edge = np.append(begin, len(buf)).astype(np.int64)
+        units = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(buf))).dictionary_encode()
+        names, index = units.dictionary.to_pylist(), units.indices.to_numpy()
+        memory = self.memory
+        row = np.fromiter((memory.place.get(x, -1) for x in names), np.int64, len(names))
+        known = row >= 0
+        memory.seen[row[known]] += 1
+        where, size = memory.begin[row], memory.size[row]
+        new = np.flatnonzero(~known)
+        if len(new):
+            # long units are not remembered: they stand at the end of the pool for this call
+            new = new[np.argsort([len(names[i]) > LONG for i in new.tolist()], kind="stable")]
+            asked = [names[i] for i in new.tolist()]
+            size[new], ids = self._ask(asked)
+            where[new] = memory.append(ids) + np.cumsum(size[new]) - size[new]
+        out = _gather(memory.pool, where[index], size[index])
+        if len(new):
+            kept = sum(len(x) <= LONG for x in asked)
+            memory.add(asked[:kept], where[new[:kept]], size[new[:kept]])
+            if kept < len(asked):
+                memory.used = int(where[new[kept]])
+            memory.tidy()
+        ends = np.append(0, np.cumsum(size[index]))[np.searchsorted(begin, off)]
+        return out, np.diff(ends)
+
+
+BLOCK = "part int, block long, doc_ids array<long>, counts array<long>, before long, `limit` int, words binary, escapes binary, jumps array<int>, skips array<int>"
+_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+_KINDS = [pa.int32(), pa.int64(), _LONGS, _LONGS, pa.int64(), pa.int32(), pa.binary(), pa.binary(), _INTS, _INTS]
+
+
+def _blocks(path: str, special: bool, end_id: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = Encoder.load(path, pattern)
-        block = before = 0
+        encoder = Encoder.load(path, special)
+        block = before = size = 0
         held_ids: list = []
         held: list[np.ndarray] = []
         counts: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal block, before
+            nonlocal block, before, size
             ids, n = np.concatenate(held), np.concatenate(counts)
-            words, escapes, limit = pack(ids)
-            row = [[part], [block], [held_ids.copy()], [n], [before], [limit], [words.astype("<u8").tobytes()], [escapes.astype("<u4").tobytes()], [jumps(words)]]
-            kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32())]
-            block, before = block + 1, before + len(ids)
+            words, escapes, limit, jumps, skips = pack(ids)
+            row = [part, block, held_ids.copy(), n, before, limit, words.astype("<u8").tobytes(), escapes.astype("<u4").tobytes(), jumps, skips]
+            block, before, size = block + 1, before + len(ids), 0
             for x in (held_ids, held, counts):
                 x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["part", "block", "doc_ids", "counts", "before", "limit", "words", "escapes", "jumps"])
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, _KINDS, strict=True)], [x.split()[0].strip("`") for x in BLOCK.split(", ")])
 
-        for batch in W.steps(batches, most=1 << 20):
-            ids, n = encoder([x or "" for x in batch.column("text").to_pylist()])
+        for batch in W.steps(batches):
+            ids, n = encoder(batch.column("text"))
             with_end = np.full(len(ids) + len(n), end_id, np.uint32)
             place = np.ones(len(with_end), bool)
             place[np.cumsum(n + 1) - 1] = False
@@ -266,7 +305,8 @@ def _blocks(path: str, pattern: str, end_id: int):
             held.append(with_end)
             counts.append(n + 1)
             held_ids.extend(batch.column("doc_id").to_pylist())
-            if sum(map(len, held)) >= BLOCK_IDS:
+            size += len(with_end)
+            if size >= BLOCK_IDS:
                 yield flush()
         if held:
             yield flush()
@@ -274,31 +314,46 @@ def _blocks(path: str, pattern: str, end_id: int):
     return run
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, special: bool = True, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of every whole text, each with an end id, in ascending id order to token files.
 
     Args:
         path: a new folder in a store that all executors see.
-        tokenizer: a byte-level file for the tokenizers library, at the same place on every
-            executor; the strings of special tokens in a text are ordinary text.
-        pattern: the tokenizer's cutting pattern.
+        tokenizer: a file for the tokenizers library, at the same place on every executor.
+        special: whether the string of a special token in a text is that token, as the
+            library has it by default, or ordinary text.
 
     A null text is an empty one. A null id comes first. Rows that share an id stand together.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(_blocks(tokenizer, pattern, end_id), BLOCK).write.parquet(path)
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(_blocks(tokenizer, special, end_id), BLOCK).write.parquet(path)
+
+
+class _Block:
+    """A row of token files."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int) -> None:
+        one = batch.slice(i, 1)
+        array = lambda name: one.column(name).flatten().to_numpy(zero_copy_only=False)
+        self.doc_ids, self.counts = one.column("doc_ids").flatten(), array("counts")
+        self.edge = np.append(0, np.cumsum(self.counts))
+        self.begin = one.column("before")[0].as_py() + one.column("skipped")[0].as_py() if "skipped" in batch.schema.names else 0
+        raw = lambda name, kind: np.frombuffer(one.column(name)[0].as_buffer(), kind)
+        self.coded = raw("words", "<u8"), raw("escapes", "<u4"), one.column("limit")[0].as_py(), array("jumps"), array("skips")
+
+    def span(self, a: int, b: int) -> np.ndarray:
+        return span(*self.coded, int(self.edge[-1]), a, b)
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            counts = np.array(row["counts"], np.int64)
-            ids = unpack(np.frombuffer(row["words"], "<u8"), np.frombuffer(row["escapes"], "<u4"), row["limit"], int(counts.sum()))
-            edge = np.append(0, np.cumsum(counts))
-            raw = ids.astype("<u4")
-            crc = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        for i in range(batch.num_rows):
+            block = _Block(batch, i)
+            edge, ids = block.edge, block.span(0, int(block.edge[-1]))
+            raw = memoryview(ids.astype("<u4")).cast("B")
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row["doc_ids"], pa.int64()), pa.array(edge[:-1] + row["before"] + row["skipped"]), pa.array(counts), pa.array(crc, pa.int64()), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids.astype(np.int64)))],
+                [block.doc_ids, pa.array(edge[:-1] + block.begin), pa.array(block.counts), pa.array(crc, pa.int64()), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids.astype(np.int64)))],
                 ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
             )
 
@@ -308,24 +363,41 @@ def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
-    """Documents of token files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked, ids.
-
-    The driver receives one number of each part file.
-    """
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """Blocks, each with the ids of all parts before its own. The driver receives one number of each part file."""
     blocks = spark.read.parquet(path)
     sizes = blocks.select("part", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
     skipped, total = {}, 0
     for r in sizes:
         skipped[r["part"]] = total
         total += r["n"]
-    before = spark.createDataFrame(list(skipped.items()), "part int, skipped long")
+    return blocks.join(F.broadcast(spark.createDataFrame(list(skipped.items()), "part int, skipped long")), "part")
+
+
+def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """Documents of token files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked, ids."""
     kind = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    return blocks.join(before, "part").mapInArrow(_read if ids else _digests, kind + ", ids array<long>" * ids)
+    return _placed(spark, path).mapInArrow(_read if ids else _digests, kind + ", ids array<long>" * ids)
+
+
+def _picked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block = _Block(batch, i)
+            nr = batch.column("nr")[i].as_py()
+            ids = [block.span(int(block.edge[k]), int(block.edge[k + 1])).astype(np.int64) for k in nr]
+            yield pa.RecordBatch.from_arrays([block.doc_ids.take(pa.array(nr, pa.int64())), pa.array(ids, _LONGS)], ["doc_id", "ids"])
+
+
+def select(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """The ids of the documents that a table (doc_id) names: doc_id, ids. Only the lanes that hold them are decoded."""
+    blocks = spark.read.parquet(path)
+    places = blocks.select("part", "block", F.posexplode("doc_ids").alias("nr", "doc_id")).join(wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return blocks.join(places.groupBy("part", "block").agg(F.sort_array(F.collect_list("nr")).alias("nr")), ["part", "block"]).mapInArrow(_picked, "doc_id long, ids array<long>")
 
 
-def written(docs: DataFrame, tokenizer: str, pattern: str, **how) -> DataFrame:
+def written(docs: DataFrame, tokenizer: str, **how) -> DataFrame:
     """Write token files to the shared folder and read their digests back."""
     path = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    write(docs, path, tokenizer, pattern, **how)
+    write(docs, path, tokenizer, **how)
     return read(docs.sparkSession, path, ids=False)

@@ -97,42 +97,75 @@ def test_code_lengths():
 @pytest.mark.parametrize("top", [2, 300, 70_000, 2**32 - 1])
 def test_packing(top):
     rng = np.random.default_rng(top)
-    for n in (0, 1, 59, 5000):
+    for n in (0, 1, 59, 1024, 5000):
         ids = np.where(rng.random(n) < 0.02, rng.integers(0, top, n), rng.integers(0, max(1, top // 50), n)).astype(np.uint64)
-        w, e, limit = tokenfiles.pack(ids)
-        assert (tokenfiles.unpack(w, e, limit, n) == ids).all() and len(tokenfiles.jumps(w)) == -(-len(w) // tokenfiles.JUMP)
-
-
-def test_token_files(spark, odd, none):
+        w, e, limit, jumps, skips = tokenfiles.pack(ids)
+        assert (tokenfiles.unpack(w, e, limit, jumps, n) == ids).all() and len(jumps) == len(skips) == -(-n // tokenfiles.LANE)
+        for a, b in ((0, n), (n // 2, n), (n // 3, n // 2), (n, n)):
+            assert (tokenfiles.span(w, e, limit, jumps, skips, n, a, b) == ids[a:b]).all()
+        assert len(w) <= n
+
+
+def test_lanes_alone():
+    """A reader that starts inside a block needs the words and escapes of its lanes only."""
+    rng = np.random.default_rng(3)
+    ids = np.where(rng.random(9000) < 0.01, 2**31, rng.integers(0, 200, 9000)).astype(np.uint64)
+    w, e, limit, jumps, skips = tokenfiles.pack(ids)
+    assert len(e) and len(w) < 2500
+    broken, gone = w.copy(), e.copy()
+    broken[: int(jumps[5])] = 0
+    gone[: int(skips[5])] = 7
+    broken[int(jumps[7]) :] = 0
+    assert (tokenfiles.span(broken, gone, limit, jumps, skips, 9000, 5 * 1024, 7 * 1024) == ids[5 * 1024 : 7 * 1024]).all()
+
+
+def test_token_files(spark, odd, none, tmp_path):
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
-    got = tokenfiles.written(odd, P.path("byte_bpe_50k.json"), P.PATTERN).collect()
-    texts = [(r.doc_id, r.text) for r in odd.collect()]
+    path = P.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    more = spark.createDataFrame([(100, "x <|endoftext|> y", "en", "s", 0), (101, "x  <|endoftext|>\n\n", "en", "s", 0)], DOCS)
+    docs = odd.unionByName(more)
+    got = tokenfiles.written(docs, path).collect()
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
     start = 0
     for doc, text in sorted(texts, key=lambda r: (r[0] is not None, r[0])):
         ids = model.encode(text or "", add_special_tokens=False).ids + [0]
         crc = zlib.crc32(np.array(ids, "<u4").tobytes())
         assert any((r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc, start, len(ids), crc) for r in got), doc
         start += len(ids)
-    assert len(got) == len(texts) and tokenfiles.written(none, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
-
-
-def test_token_white_space():
-    """White space of all kinds, where words may look as if they stood between single blanks and line ends."""
+    assert len(got) == len(texts) and tokenfiles.written(none, path).count() == 0
+    assert [87, 220, 50256, 331, 0] == model.encode("x <|endoftext|> y", add_special_tokens=False).ids + [0]
+    tokenfiles.write(docs, f"{tmp_path}/t", path)
+    some = {r.doc_id: r.ids for r in tokenfiles.select(spark, f"{tmp_path}/t", docs.where("doc_id in (1, 7, 100)").select("doc_id")).collect()}
+    assert some == {d: model.encode(t or "", add_special_tokens=False).ids + [0] for d, t in texts if d in (1, 7, 100)}
+    assert {r.doc_id: r.ids for r in tokenfiles.read(spark, f"{tmp_path}/t").collect()}[7] == some[7]
+
+
+@pytest.mark.parametrize("special", [True, False])
+@pytest.mark.parametrize("most", [40, 1 << 20])
+def test_token_units(special, most):
+    """White space of all kinds in runs, added tokens, long words; and a memory that is often full."""
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
-    encoder = tokenfiles.Encoder.load(P.path("byte_bpe_50k.json"), P.PATTERN)
-    white = [" ", "\n", "\r", "\t", "\r\n", "\u00a0", "\u3000", "\x0b", "\x1c", "\x85", "\u2028"]
-    texts = ["a\r\nb", "a\tb\n", "a\t\nb", " a\tb", "a b\tc", "mot\u00a0 : x", "一\u3000二 三", "one <|endoftext|>\ttwo\n", "one <|endoftext|> two", "", "\r", " ", "a b\nc"]
+    path = P.path("byte_bpe_50k.json")
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = not special
+    encoder = tokenfiles.Encoder(path, special, most)
+    white = [" ", "\n", "  ", "\n\n", "\r", "\t", "\r\n", "\u00a0", "\u3000", "\x0b", "\x1c", "\x85", "\u2028"]
+    texts = ["a\r\nb", "a\tb\n", "a\t\nb", " a\tb", "a b\tc", "mot\u00a0 : x", "一\u3000二 三", "one <|endoftext|>\ttwo\n", "one  <|endoftext|> two", "<|endoftext|>", None, "", "\r", " ", "a b\nc", "it's don'T 'll x", "w" * 500]
     rng = random.Random(1)
-    texts += ["".join(rng.choice(["ab", "c1", "é", *white]) for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
-    ids, n = encoder(texts)
-    for text, got in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
-        assert got.tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
+    for inside in (white[:4], white):
+        texts += ["".join(rng.choice(["ab", "c1", "é", "x.", "—", "'s", *inside]) for _ in range(rng.randrange(1, 9))) for _ in range(2000)]
+    for a in range(0, len(texts), 500):
+        part = pa.array(texts[a : a + 500])
+        ids, n = encoder(part)
+        assert len(n) == len(part) and len(encoder.memory.place) <= most
+        for text, got in zip(part.to_pylist(), np.split(ids, np.cumsum(n)[:-1]), strict=True):
+            assert got.tolist() == model.encode(text or "", add_special_tokens=False).ids, repr(text)
+    lowered = tokenfiles.Encoder(P.path("word_bpe_49k.json"))
+    assert not lowered.cuts and lowered(pa.array(["One two", "x"]))[0].tolist() == [i for x in ("One two", "x") for i in Tokenizer.from_file(P.path("word_bpe_49k.json")).encode(x, add_special_tokens=False).ids]
 
 
 def test_pieces(spark, odd, none):

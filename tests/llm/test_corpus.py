@@ -8,7 +8,9 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from codehistory.llm import attention, decontam, language, ngrams, pieces, quality, quotes, scoring, substrings, tokenfiles, toxicity, words
 
@@ -154,10 +156,10 @@ def test_token_units(special, most):
     model.encode_special_tokens = not special
     encoder = tokenfiles.Encoder(path, special, most)
     white = [" ", "\n", "  ", "\n\n", "\r", "\t", "\r\n", "\u00a0", "\u3000", "\x0b", "\x1c", "\x85", "\u2028"]
-    texts = ["a\r\nb", "a\tb\n", "a\t\nb", " a\tb", "a b\tc", "mot\u00a0 : x", "一\u3000二 三", "one <|endoftext|>\ttwo\n", "one  <|endoftext|> two", "<|endoftext|>", None, "", "\r", " ", "a b\nc", "it's don'T 'll x", "w" * 500]
+    texts = ["a\r\nb", "a\tb\n", "a\t\nb", " a\tb", "a b\tc", "mot\u00a0 : x", "一\u3000二 三", "one <|endoftext|>\ttwo\n", "one  <|endoftext|> two", "<|endoftext|>", None, "", "\r", " ", "a b\nc", "l'été, l'(été)! 'Tis \"'twas'\".'s,'t", "it's don'T 'll x", "w" * 500]
     rng = random.Random(1)
     for inside in (white[:4], white):
-        texts += ["".join(rng.choice(["ab", "c1", "é", "x.", "—", "'s", *inside]) for _ in range(rng.randrange(1, 9))) for _ in range(2000)]
+        texts += ["".join(rng.choice(["ab", "c1", "é", "x.", "—", "'s", "'", "(", "É", "÷", "Ã", "!?", "7,", *inside]) for _ in range(rng.randrange(1, 9))) for _ in range(2000)]
     for a in range(0, len(texts), 500):
         part = pa.array(texts[a : a + 500])
         ids, n = encoder(part)
@@ -487,6 +489,68 @@ def test_attention_reach():
     assert np.exp(model.score(last, np.repeat(y, on.shape[1], 1), on).astype(float)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_attention_alone():
+    """Batched scores of texts of all lengths against a loop over one text, subword by subword, and against the windows that learn."""
+    rng = np.random.default_rng(6)
+    v, counts = attention.vocabulary(np.append(rng.integers(1, 9, 300), 0))
+    model = attention.Model(counts + 1.0, attention.groups(rng.random((len(counts), 64)).astype(np.float32), counts))
+    p, step = model.p, attention.WINDOW - attention.OVERLAP
+    texts = [rng.integers(0, 300, n) for n in (0, 1, 31, 32, 33, 64, 200)]
+    got = np.split(attention.score_each(model, v, texts), np.cumsum([len(x) + 1 for x in texts])[:-1])
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    for text, scores in zip(texts, got, strict=True):
+        seen, target = [v.begin, *v.number[text]], [*v.number[text], v.end]
+        for t, y in enumerate(target):
+            low = max(0, t // step * step - attention.OVERLAP)
+            e = p["E"][seen[low : t + 1]]
+            weight = softmax(e @ p["K"] @ (e[-1] @ p["Q"]) * attention.WIDTH**-0.5 + p["R"][np.arange(t - low, -1, -1)])
+            h = e[-1] + weight @ (e @ p["V"]) @ p["O"]
+            z = h + np.maximum(h @ p["A"] + p["a"], 0) @ p["B"] + p["b"]
+            g = model.group[y]
+            a, b = model.first[g], model.first[g + 1]
+            want = np.log(softmax(z @ p["C"] + p["c"])[g]) + np.log(softmax(z @ p["W"][:, a:b] + p["w"][a:b])[model.slot[y]])
+            assert scores[t] == pytest.approx(want, abs=2e-4), (len(text), t)
+    numbers = [v.number[x] for x in texts]
+    slow = np.concatenate([model.score(x, y, on) for x, y, on, _ in attention.windows(numbers, v)])
+    assert np.allclose(np.concatenate(got), slow, atol=1e-4)
+    assert sum(len(x) for x, *_ in attention.windows(numbers, v, every=3)) == -(-sum(-(-(len(x) + 1) // step) for x in texts) // 3)
+
+
+def test_scores_are_a_distribution(spark):
+    """The probabilities of all that may follow a text add up to 1 in the mixture that scores."""
+    path = P.path("piece_bpe_32k.model")
+    texts = ["the cat sat on the mat and the dog ran"] * 5 + ["a dog ran to the cat"] * 3
+    docs = table(spark, texts).withColumn("held_out", F.lit(False))
+    blocks = docs.select("doc_id", "text", "held_out").mapInArrow(scoring._blocks(path), scoring.BLOCK)
+    rows = blocks.collect()
+    pairs = Counter()
+    for r in rows:
+        pairs.update(dict(zip(r.pairs, r.pair_counts, strict=True)))
+    learned = scoring.learn(docs.select("doc_id", "text"), spark.createDataFrame(list(pairs.items()), "key long, c long"), path, blocks)
+    n = len(learned.own) - 1
+    start = scoring.subwords(path, pa.array(["the cat"]))[0]
+    far = learned.followed(start[-1] * (n + 2) + np.arange(n + 1), np.array([pairs[int(start[-1]) * (n + 2) + i] for i in range(n + 1)]))
+    flat = np.concatenate([np.concatenate([start, [i], [n]]) for i in range(n)] + [np.append(start, n)])
+    size = np.array([len(start) + 2] * n + [len(start) + 1])
+    near = np.exp(attention.score_flat(attention.Scorer(learned.model), learned.vocabulary, flat, size))
+    after = near[np.cumsum(size) - np.where(np.arange(n + 1) < n, 2, 1)]
+    assert (learned.mix * after + (1 - learned.mix) * far).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_weights_learn_from_every_partition(spark):
+    """Averaged changes come from all partitions: they do not depend on how rows are dealt, but for the order, and fit the texts better."""
+    path = P.path("piece_bpe_32k.model")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", (F.col("doc_id") % 5 == 1).alias("held_out"))
+    blocks = docs.repartition(3).mapInArrow(scoring._blocks(path), scoring.BLOCK).cache()
+    pairs = blocks.select(F.explode(F.arrays_zip("pairs", "pair_counts")).alias("x")).groupBy(F.col("x.pairs").alias("key")).agg(F.sum("x.pair_counts").alias("c")).where("c > 0")
+    first = scoring.learn(docs.where("not held_out"), pairs, path, sample_bytes=50_000)
+    more = scoring.refine(blocks, first, every=1)
+    held = scoring.subwords(path, pa.array([r.text for r in docs.where("held_out and text is not null").limit(30).collect()]))
+    fit = [attention.score_each(x.model, x.vocabulary, held).mean() for x in (first, more)]
+    assert fit[1] > fit[0]
+    assert scoring.refine(blocks.where("block < 0"), first) is first
+
+
 def test_scores(spark, odd, none):
     path = P.path("piece_bpe_32k.model")
     from pyspark.sql import functions as F
@@ -513,8 +577,14 @@ def test_scores_learn_from_all(spark):
     texts = ["the cat sat"] * 30 + ["a dog ran " * 15_000, None]
     docs = table(spark, texts).select("doc_id", "text")
     n = scoring._pieces(path).get_piece_size()
-    sub = scoring._subwords(path, words.of(pa.array(texts), lower=True))
-    want = Counter(np.concatenate([scoring._pairs(n, [x]) for x in sub]).tolist())
+    sub = scoring.subwords(path, pa.array(texts))
+    want = Counter()
+    for x in sub:
+        chain = [n + 1, *x.tolist(), n]
+        want.update(a * (n + 2) + b for a, b in zip(chain, chain[1:]))
+    cut = scoring._distinct(words.of(pa.array(texts), lower=True), path)[0]
+    _, pairs, counts = scoring._counted(cut, np.ones(len(texts), bool))
+    assert dict(zip(pairs.tolist(), counts.tolist(), strict=True)) == dict(want)
     pairs = spark.createDataFrame(list(want.items()), "key long, c long")
     got = scoring.learn(docs, pairs, path, sample_bytes=1)
     assert got.seen.sum() == sum(want.values()) and got.seen[n + 1] == 32 and (got.kinds > 0).sum() == len({k // (n + 2) for k in want})

@@ -38,10 +38,15 @@ LANE = 1024
 BLOCK_IDS = 1 << 18
 #: Free places after the ids of a lane, as its last word may have room for more.
 _SPARE = int(COUNTS.max())
+STEP_BYTES = 6 << 20
 #: Distinct units whose ids a worker remembers, and bytes of the longest one.
 REMEMBERED, LONG = 600_000, 64
 
 
+#: The selector index of the narrowest width for each small number.
+_WIDTH = np.searchsorted(1 << BITS, np.arange(1 << 16), side="right").astype(np.int8)
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
     """Words, escaped ids, the bit limit, jumps and skips of a block of ids below 2^32."""
     ids = ids.astype(np.uint64)
@@ -59,14 +64,17 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, np.n
     code.ravel()[np.arange(n) // LANE * stride + np.arange(n) % LANE] = np.where(out, top, ids)
     code = code.ravel()
     # the selector of a word that begins here: the one of most ids of which all are narrow enough
-    choice = np.full(len(code), len(COUNTS) - 1, np.int8)
-    place = np.arange(len(code))
-    for s in range(len(COUNTS) - 2, -1, -1):
-        wide = np.flatnonzero(code >> np.uint64(BITS[s]))
-        if s < 7 and 10 * len(wide) > 7 * n:
-            break
-        gap = np.diff(np.concatenate([[-1], wide, [len(code) + _SPARE]]))
-        choice[np.repeat(np.append(wide, len(code) + _SPARE), gap)[: len(code)] - place >= COUNTS[s]] = s
+    width = _WIDTH[np.minimum(code, len(_WIDTH) - 1).astype(np.int64)]
+    big = np.flatnonzero(code >= len(_WIDTH))
+    width[big] = np.searchsorted(np.uint64(1) << BITS.astype(np.uint64), code[big], side="right")
+    choice = np.empty(len(code), np.int8)
+    widest, last = width, 1
+    for s in range(len(COUNTS) - 1, -1, -1):
+        # the widest id of the next COUNTS[s], from that of the next `last`
+        more = widest.copy()
+        np.maximum(widest[: -(COUNTS[s] - last) or None], widest[COUNTS[s] - last :], out=more[: -(COUNTS[s] - last) or None])
+        widest, last = more, COUNTS[s]
+        np.putmask(choice, widest <= s, s)
     end = np.arange(lanes) * stride + np.minimum(LANE, n - np.arange(lanes) * LANE)
     at, open_, begins, owners = np.arange(lanes) * stride, np.arange(lanes), [], []
     while len(open_):
@@ -165,15 +173,20 @@ _OTHER_WHITE = [c.encode() for c in "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\
 _CODES = np.array(sorted(int.from_bytes(x.ljust(3, b"\0"), "big") for x in _OTHER_WHITE))
 
 
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
+_MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = True
+
+
 class Encoder:
     """Ids of whole texts from the tokenizers library, which is asked once for each distinct unit.
 
     A byte-level tokenizer cuts a text by a pattern before it merges. Where blanks and line
     ends are the only white space, the pattern always cuts before the last of them in front
-    of a word, and before a run of them. Between those cuts lie the units: a word with one
-    blank or line end before it, or the rest of a longer run. Units cover the text, so its
-    ids are those of its units. A text with other white space, or with the string of an added
-    token, is one unit.
+    of a word, and before a run of them; and between a letter and a mark, but for the
+    apostrophe, that may begin an ending. Between those cuts lie the units. They cover the
+    text, so its ids are those of its units. A text with other white space, or with the string
+    of an added token, is one unit.
     """
 
     _loaded: dict[tuple[str, bool], Encoder] = {}
@@ -224,6 +237,13 @@ class Encoder:
         cut = first[:-1].copy()
         cut[1:] |= white[1:] & ~white[:-1]
         cut[:-1] |= white[:-1] & ~white[1:] & ~first[1:-1]
+        letter = _LETTER[buf]
+        # letters of two bytes after 0xC3
+        letter[1:] |= (buf[1:] >= 0x80) & (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+        mark = _MARK[buf]
+        begins = _LETTER[buf]
+        begins[:-1] |= (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+        cut[1:] |= (letter[:-1] & mark[1:]) | (mark[:-1] & begins[1:])
         whole = self._whole(buf, off)
         if len(whole):
             inside = np.zeros(len(buf) + 1, np.int8)
@@ -296,7 +316,7 @@ def _blocks(path: str, special: bool, end_id: int):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, _KINDS, strict=True)], [x.split()[0].strip("`") for x in BLOCK.split(", ")])
 
-        for batch in W.steps(batches):
+        for batch in W.steps(batches, most=STEP_BYTES):
             ids, n = encoder(batch.column("text"))
             with_end = np.full(len(ids) + len(n), end_id, np.uint32)
             place = np.ones(len(with_end), bool)

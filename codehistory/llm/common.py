@@ -63,6 +63,22 @@ def membership(df: DataFrame, column: str, most_bits: int = FILTER_BITS) -> Filt
     return Filter(words, 64 - bits)
 
 
+#: A key that holds more than one in HOT of all rows is joined by broadcast; there are less than HOT of them.
+HOT = 2000
+
+
+def count_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """An inner join with a table of distinct keys and the number of rows that each has on the left.
+
+    Keys that hold more than one in HOT of the rows, fewer than HOT by arithmetic, are
+    broadcast, so none of them gathers its rows in one task; the others are shuffled.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    is_hot = F.col(n) * HOT > F.lit(total)
+    hot = F.broadcast(right.where(is_hot))
+    return left.join(hot, keys).unionByName(left.join(hot.select(*keys), keys, "left_anti").join(right.where(~is_hot), keys))
+
+
 def components(links: DataFrame, vertex: str = "doc_id", label: str = "component_id", name: str = "components") -> DataFrame:
     """The smallest vertex reachable from each vertex of a table of links (a, b).
 

@@ -1,19 +1,25 @@
 """Substring deduplication by recompression.
 
 A long repeat of words is found without comparing texts. Rounds rename the word sequence of
-every document: a run of one symbol becomes one symbol, then neighbouring symbols of two
-classes become one symbol. Names are hashes of what they stand for, so all Spark tasks of
-all rounds give equal substrings equal names without exchanging a dictionary. A name depends
-only on a short interval of words around it (its reach); inside a repeat, every symbol whose
-reach lies in the repeat is the same at both places. So each window of `window` words picks
-the least such symbol, and two equal windows always pick the same one.
-
-1. Spark counts in how many documents each picked symbol occurs. Few symbols are shared.
-2. Windows whose symbol is shared are named by 96 bits of hash, and Spark finds the first
-   document of each: that verifies the repeat word for word.
-3. Words covered by a window that begins in a document with a smaller id are removed.
-
-Whole copies are found first, by a hash of all words, and leave the later rounds.
+every document: a run of one word becomes one symbol, then, round by round, neighbouring
+symbols of two classes become one symbol. A name is a hash of its parts, so equal parts have
+one name wherever a task meets them; a table in Spark holds the names of each round with the
+documents they occur in and a second hash of their parts, and a name with two sets of parts
+is an error. A symbol depends only on a short interval of words around it (its reach), so
+inside a repeat every symbol whose reach lies in the repeat is the same at both places.
+
+1. Whole copies leave first, by the SHA-256 of their words.
+2. Two rounds name runs and pairs over all texts. A window of `window` words that holds a
+   symbol which only one document has repeats nothing; a round looks only at symbols that some
+   window still needs. What is left of a text are stretches of windows.
+3. In the stretches, rounds go on until no symbol fits a window. Each window is anchored by
+   its highest symbol; an exact join finds the anchors that several documents share.
+4. Windows with a shared anchor are named by 128 bits and carry their words: Spark finds the
+   first document of each, and compares the words of all windows of one name.
+5. Words covered by a window that begins in a document with a smaller id are removed.
+
+The filters of step 2 have a fixed size and only save work. Where they are full, more
+stretches pass to the join of step 3, which grows with them, and the result is the same.
 """
 
 from __future__ import annotations
@@ -27,31 +33,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Filter, membership, stored
+from .common import Filter, count_join, membership, stored
 
 WINDOW = 13
+#: Rounds whose names filter texts. In a text of one word after another, a symbol of level r spans 2 to 2^r words.
 ROUNDS = 2
+_PART = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _runs(w: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols after naming runs of words: name, document, first and last word of the reach."""
+class Level:
+    """The symbols of all texts of a batch after a round, in order.
+
+    name: of each symbol; text: its text; lo, hi: first and last word of its reach; proof: a
+    second hash of its parts; fresh: whether this round made it.
+    """
+
+    def __init__(self, name, text, lo, hi, proof, fresh) -> None:
+        self.name, self.text, self.lo, self.hi, self.proof, self.fresh = name, text, lo, hi, proof, fresh
+
+    def fits(self, window: int, n: int) -> np.ndarray:
+        """Fresh symbols whose reach fits a window."""
+        return np.flatnonzero(self.fresh & (self.hi - self.lo < window) & (self.lo >= 0) & (self.hi < n))
+
+
+def _runs(w: W.Words) -> Level:
+    """Runs of one word become one symbol. A symbol's reach takes in the words beside it, which tell where the run ends."""
     h, doc = w.hash, w.doc
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, len(h)))
-    name = h[at].copy()
+    name, proof = h[at].copy(), np.zeros(len(at), np.uint64)
     many = size > 1
+    proof[many] = W.mix(name[many] * _PART ^ size[many].astype(np.uint64), 47)
     name[many] = W.mix(name[many] + size[many].astype(np.uint64), 3)
-    return name, doc[at], at - 1, at + size
+    return Level(name, doc[at], at - 1, at + size, proof, many)
 
 
-def _pairs(name: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols after naming neighbours of which the left is in class 1 and the right in class 0."""
+def _pairs(was: Level, turn: int) -> Level:
+    """Neighbours of which the left is in class 1 and the right in class 0 become one symbol; the class is a bit of the name."""
+    name, text, lo, hi = was.name, was.text, was.lo, was.hi
     n = len(name)
     left = (W.mix(name, 11 + turn) >> np.uint64(63)).astype(bool)
     head = np.zeros(n, bool)
-    head[:-1] = left[:-1] & ~left[1:] & (doc[1:] == doc[:-1])
+    head[:-1] = left[:-1] & ~left[1:] & (text[1:] == text[:-1])
     tail = np.zeros(n, bool)
     tail[1:] = head[:-1]
     far_hi, far_lo = hi.copy(), lo.copy()
@@ -60,34 +85,146 @@ def _pairs(name: np.ndarray, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, tu
     if n:
         far_hi[-1] += left[-1] * (1 << 40)
         far_lo[0] -= (not left[0]) * (1 << 40)
-    out = name.copy()
+    out, proof = name.copy(), was.proof.copy()
     at = np.flatnonzero(head)
-    out[at] = W.mix(name[at] * np.uint64(0x9E3779B97F4A7C15) + name[at + 1], 29 + turn)
+    out[at] = W.mix(name[at] * _PART + name[at + 1], 29 + turn)
+    proof[at] = W.mix(name[at] ^ W.mix(name[at + 1], 83), 59 + turn)
+    fresh = head | (was.fresh if turn == 0 else False)
     stay = ~tail
-    return out[stay], doc[stay], far_lo[stay], far_hi[stay]
+    return Level(out[stay], text[stay], far_lo[stay], far_hi[stay], proof[stay], fresh[stay])
+
+
+def levels(w: W.Words, window: int) -> Iterator[Level]:
+    """Round after round, as long as a new symbol fits a window. The runs belong to the first."""
+    level = _runs(w)
+    turn = 0
+    while True:
+        level = _pairs(level, turn)
+        if turn and not len(level.fits(window, len(w.start))):
+            return
+        yield level
+        turn += 1
 
 
-def picked(w: W.Words, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Begin of each whole window, and the symbol that it picks.
+def _alive(w: W.Words, found: Iterable[Level], filters: list[Filter], window: int) -> np.ndarray:
+    """Which windows (by their first word) hold no symbol that a filter refuses."""
+    n = int(w.first[-1])
+    dead = np.zeros(n + 1, np.int32)
+    for level, member in zip(found, filters, strict=False):
+        at = level.fits(window, n)
+        at = at[~member(level.name[at])]
+        np.add.at(dead, np.maximum(level.hi[at] - window + 1, 0), 1)
+        np.add.at(dead, level.lo[at] + 1, -1)
+    return W.whole_windows(w.first, window) & (np.cumsum(dead[:-1]) == 0) if n else np.zeros(0, bool)
+
+
+def _first_levels(w: W.Words, window: int, n: int) -> list[Level]:
+    out = []
+    for level in levels(w, window):
+        out.append(level)
+        if len(out) == n:
+            break
+    return out
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
+
+
+def _contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in W.steps(batches):
+        w = W.of(batch.column("text"))
+        digest = [hashlib.sha256(x).digest() for x in W.joined_texts(w)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(w.first)), pa.array(digest, pa.binary())], ["doc_id", "n_words", "digest"])
+
+
+def _names(window: int, filters_value):
+    """New symbols of the round after those of the filters that some window still needs, with the texts of a step that hold each."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = filters_value.value
+        for batch in W.steps(batches):
+            w = W.of(batch.column("text"))
+            n = len(w.start)
+            if not n:
+                continue
+            found = _first_levels(w, window, len(filters) + 1)
+            if len(found) <= len(filters):
+                continue
+            level = found[-1]
+            at = level.fits(window, n)
+            needed = np.append(0, np.cumsum(_alive(w, found, filters, window)))
+            at = at[needed[level.lo[at] + 1] > needed[np.maximum(level.hi[at] - window + 1, 0)]]
+            name, text, proof = level.name[at], level.text[at], level.proof[at]
+            order = np.lexsort((text, name))
+            name, text, proof = name[order], text[order], proof[order]
+            new = np.ones(len(name), bool)
+            new[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
+            name, proof = name[new], (proof[new] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            # texts of this step are summed here, so Spark gets one row for each symbol and its parts
+            new = np.ones(len(name), bool)
+            new[1:] = (name[1:] != name[:-1]) | (proof[1:] != proof[:-1])
+            first = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(name[first])), pa.array(np.diff(np.append(first, len(name)))), pa.array(proof[first])], ["name", "n", "proof"])
+
+    return run
+
 
-    A window in which no symbol's reach fits (next to long runs of one word) picks its own
-    hash. Both choices depend on the words of the window alone.
+def _table(docs: DataFrame, window: int, filters: list[Filter]) -> Filter:
+    """The names of a round that several documents share, as a filter; a name with two sets of parts is an error."""
+    spark = docs.sparkSession
+    found = docs.mapInArrow(_names(window, spark.sparkContext.broadcast(filters)), "name long, n long, proof int")
+    names = found.groupBy("name").agg(F.sum("n").alias("n"), F.min("proof").alias("low"), F.max("proof").alias("high")).where("n > 1 or low <> high")
+    names = stored(names.select("name", (F.col("low") != F.col("high")).alias("two")), "names")
+    if names.where("two").head(1):
+        raise RuntimeError("a symbol has two expansions")
+    return membership(names, "name")
+
+
+def _stretches(window: int, filters_value):
+    """What is left of each text: stretches of windows, with their bytes."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = filters_value.value
+        for batch in W.steps(batches):
+            w = W.of(batch.column("text"))
+            alive = _alive(w, _first_levels(w, window, len(filters)), filters, window)
+            doc = w.doc
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], alive, [False]]).astype(np.int8)))
+            # no stretch goes on in the next text, as the last windows of a text are never whole
+            begin, end = edge[::2], edge[1::2] + window - 1
+            if not len(begin):
+                continue
+            lo, size = w.start[begin], w.end[end - 1] - w.start[begin]
+            to = np.cumsum(size)
+            text = w.buf[np.repeat(lo - (to - size), size) + np.arange(int(to[-1]))]
+            which = doc[begin]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(which)), pa.array((begin - w.first[which]).astype(np.int32)), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(0, to)), pa.py_buffer(text)]).cast(pa.binary())],
+                ["doc_id", "at", "text"],
+            )
+
+    return run
+
+
+def anchors(w: W.Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Begin of each whole window, and its anchor: the least of the highest new symbols whose reach fits.
+
+    A window in which none fits (as in a long run of one word) is its own anchor. Both choices
+    depend on the words of the window alone.
     """
     n = int(w.first[-1])
     begin = np.flatnonzero(W.whole_windows(w.first, window)) if n else np.zeros(0, np.int64)
     if not len(begin):
         return begin, np.zeros(0, np.uint64)
-    symbols = _runs(w)
-    for turn in range(rounds):
-        symbols = _pairs(*symbols, turn)
-    name, _, lo, hi = symbols
-    fit = (hi - lo < window) & (lo >= 0) & (hi < n)
-    name, lo, hi = name[fit], lo[fit], hi[fit]
-    key = W.mix(name ^ W.range_hash(w.hash, lo, hi + 1, 5), 7)
     best = W.window_hash(w.hash, window, 1)[begin]
-    a, b = np.searchsorted(lo, begin), np.searchsorted(hi, begin + window)
-    some = b > a
-    if some.any():
+    for level in levels(w, window):
+        at = level.fits(window, n)
+        key, lo, hi = W.mix(level.name[at], 7), level.lo[at], level.hi[at]
+        a, b = np.searchsorted(lo, begin), np.searchsorted(hi, begin + window)
+        some = b > a
+        if not some.any():
+            continue
         best[some] = np.uint64(2**64 - 1)
         for j in range(int((b - a).max())):
             at = np.flatnonzero(a + j < b)
@@ -95,56 +232,52 @@ def picked(w: W.Words, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.n
     return begin, best
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def _contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in W.steps(batches):
-        w = W.of(batch.column("text"))
-        one, two = (W.range_hash(w.hash, w.first[:-1], w.first[1:], salt) for salt in (1, 2))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(w.first)), pa.array(_signed(one)), pa.array(_signed(two))], ["doc_id", "n_words", "one", "two"])
-
+def _anchored(window: int):
+    """The distinct anchors of each stretch."""
 
-def _symbols(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.steps(batches):
             w = W.of(batch.column("text"))
-            begin, key = picked(w, window)
-            doc = w.doc[begin]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            key, doc = key[new], doc[new]
-            order = np.lexsort((key, doc))
-            key, doc = key[order], doc[order]
+            begin, key = anchors(w, window)
+            row = w.doc[begin]
+            order = np.lexsort((key, row))
+            key, row = key[order], row[order]
             new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            # counts of this batch are summed here, so Spark gets one row for each symbol
-            key, n = np.unique(key[new], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(n)], ["key", "n"])
+            new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+            take = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(key[new])), batch.column("doc_id").take(take), batch.column("at").take(take)], ["anchor", "doc_id", "at"])
 
     return run
 
 
-def _windows(window: int, shared, step: int):
+def _windows(window: int):
+    """Windows of stretches whose anchor is shared: their name, place and words."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        member: Filter = shared.value
-        for batch in W.steps(batches):
+        for batch in W.steps(batches, most=W.STEP_BYTES // 8):
             w = W.of(batch.column("text"))
-            begin, key = picked(w, window)
-            begin = begin[member(key)] if len(begin) else begin
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            one = W.window_hash(w.hash, window, 2)
-            two = W.window_hash(w.hash, window, 3)
-            doc = w.doc[begin]
-            one, two = (one[begin], two[begin]) if len(begin) else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-            at = begin - w.first[:-1][doc]
-            for a in range(0, max(1, len(begin)), step):
-                s = slice(a, a + step)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(one[s])), pa.array((two[s] >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(ids[doc[s]], pa.int64()), pa.array(at[s].astype(np.int32))],
-                    ["one", "two", "doc_id", "at"],
-                )
+            begin, key = anchors(w, window)
+            row = w.doc[begin]
+            lists = batch.column("anchors")
+            size = np.diff(lists.offsets.to_numpy())
+            of = np.repeat(np.arange(batch.num_rows), size).astype(np.uint64)
+            known = lists.flatten().to_numpy().view(np.uint64)
+            keep = np.isin(W.mix(key + row.astype(np.uint64) * _PART), W.mix(known + of * _PART))
+            begin, row = begin[keep], row[keep]
+            if not len(begin):
+                continue
+            one, two = W.window_hash(w.hash, window, 2)[begin], W.window_hash(w.other, window, 3)[begin]
+            # the words of a window, each with a blank after it
+            parts = begin[:, None] + np.arange(window)
+            lo, n = w.start[parts].ravel(), (w.end[parts] - w.start[parts]).ravel()
+            to = np.cumsum(n + 1)
+            text = np.append(w.buf, np.uint8(0x20))[np.minimum(np.repeat(lo - (to - n - 1), n + 1) + np.arange(int(to[-1])), len(w.buf))]
+            text[to - 1] = 0x20
+            edge = np.append(0, to[window - 1 :: window])
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(edge), pa.py_buffer(text)]).cast(pa.binary())
+            ids = batch.column("doc_id").take(pa.array(row))
+            at = (begin - w.first[:-1][row] + batch.column("at").to_numpy()[row]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(one)), pa.array(_signed(two)), ids, pa.array(at), words], ["one", "two", "doc_id", "at", "words"])
 
     return run
 
@@ -174,36 +307,41 @@ def _cut(window: int):
     return run
 
 
-def _rewritten(window: int, text_col: str):
+def _rewritten(window: int):
+    """Texts of (row, text, begins) without the words that repeats cover."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.steps(batches, text_col):
-            begins = batch.column("_begins")
-            texts = batch.column(text_col).to_pylist()
-            w = W.of(batch.column(text_col))
-            for i in range(batch.num_rows):
-                if begins[i].is_valid:
-                    texts[i] = W.joined(w, w.first[i] + np.flatnonzero(_left(w, i, begins[i], window))).decode()
-            keep = [k for k in batch.schema.names if k != "_begins"]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, batch.schema.field(k).type) if k == text_col else batch.column(k) for k in keep], keep)
+        for batch in W.steps(batches):
+            begins = batch.column("begins")
+            w = W.of(batch.column("text"))
+            texts = [W.joined(w, w.first[i] + np.flatnonzero(_left(w, i, begins[i], window))).decode() for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
     return run
 
 
-def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """Whole copies (doc_id, n_words), and where repeats begin in the other documents (doc_id, begins)."""
+def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of documents (doc_id, text): (doc_id, n_words, digest) of all rows, whole copies of them, the other documents, and where repeats begin in those (doc_id, begins)."""
     spark = docs.sparkSession
-    docs = docs.where("doc_id is not null")
-    own = stored(docs.mapInArrow(_contents, "doc_id long, n_words long, one long, two long").where(F.col("n_words") >= window), "contents")
-    first = own.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = stored(own.join(first, ["one", "two"]).where("doc_id > first").select("doc_id", "n_words"), "copies")
-    asked = docs.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
-
-    counted = asked.mapInArrow(_symbols(window), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    member = spark.sparkContext.broadcast(membership(stored(counted, "symbols"), "key"))
-
-    seen = asked.mapInArrow(_windows(window, member, 1 << 16), "one long, two int, doc_id long, at int")
-    earliest = seen.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    return copies, seen.join(earliest, ["one", "two"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("at").alias("begins"))
+    own = stored(docs.mapInArrow(_contents, "doc_id long, n_words long, digest binary"), "contents")
+    first = own.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = stored(count_join(own, first, ["digest"]).where("doc_id > first").select("doc_id", "n_words"), "copies")
+    asked = stored(docs.where("doc_id is not null").join(copies.select("doc_id").distinct(), "doc_id", "left_anti"), "single")
+
+    filters: list[Filter] = []
+    for _ in range(ROUNDS):
+        filters.append(_table(asked, window, filters))
+    left = stored(asked.mapInArrow(_stretches(window, spark.sparkContext.broadcast(filters)), "doc_id long, at int, text binary"), "stretches")
+    held = stored(left.mapInArrow(_anchored(window), "anchor long, doc_id long, at int"), "anchors")
+    shared = stored(held.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "n"), "shared")
+    asking = count_join(held, shared, ["anchor"]).groupBy("doc_id", "at").agg(F.collect_set("anchor").alias("anchors"))
+    seen = stored(left.join(asking, ["doc_id", "at"]).select("doc_id", "at", "text", "anchors").mapInArrow(_windows(window), "one long, two long, doc_id long, at int, words binary"), "windows")
+    named = seen.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.min("words").alias("low"), F.max("words").alias("high"))
+    named = stored(named.where("first < last").select("one", "two", "first", "n", (F.col("low") != F.col("high")).alias("differ")), "first")
+    if named.where("differ").head(1):
+        raise RuntimeError("two windows share a name")
+    again = count_join(seen.drop("words"), named.drop("differ"), ["one", "two"]).where("doc_id > first")
+    return own, copies, asked, stored(again.groupBy("doc_id").agg(F.collect_set("at").alias("begins")), "repeats")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,24 +355,31 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     blank): a row for each row. A null or empty text has no words. Documents of fewer words
     than the window lose nothing. Of equal documents the one with the smallest id stays;
     rows that share an id do not remove each other's words, and must share their text. Rows
-    with a null id take part in nothing and keep their words.
+    with a null id take part in nothing and keep their words. A task holds a text whole, and
+    about 60 bytes for each byte of the longest one.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    copies, repeats = _found(docs, window)
-    rest = docs.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
-    kept = rest.join(repeats, "doc_id", "left").select("doc_id", "text", "begins").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    return kept.unionByName(copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256")))
+    own, copies, asked, repeats = _found(docs, window)
+    cut = asked.join(repeats, "doc_id").select("doc_id", "text", "begins").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    gone = copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
+    changed = copies.select("doc_id").union(repeats.select("doc_id")).distinct()
+    whole = own.join(changed, "doc_id", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("digest")).alias("kept_sha256"))
+    return cut.unionByName(gone).unionByName(whole)
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all their columns, and texts without the words that remove_repeats removes.
 
     A text that loses words becomes its kept words joined by one blank; every other text,
-    null ones too, stays as it is. Whole copies keep their row with an empty text.
+    null ones too, stays as it is. Whole copies keep their row with an empty text. Columns may
+    have any names.
     """
-    copies, repeats = _found(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), window)
-    gone = copies.select(F.col("doc_id").alias("_gone")).distinct()
-    key = F.col(id_col).cast("long")
-    rest = docs.join(gone, key == F.col("_gone"), "left_anti").join(repeats.select(F.col("doc_id").alias("_of"), F.col("begins").alias("_begins")), key == F.col("_of"), "left").drop("_of")
-    empty = docs.join(gone, key == F.col("_gone"), "left_semi").withColumn(text_col, F.lit(""))
-    return rest.mapInArrow(_rewritten(window, text_col), docs.schema).unionByName(empty)
+    _, copies, _, repeats = _found(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), window)
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
+    marks = repeats.select(F.col("doc_id").alias("id"), "begins").unionByName(copies.select(F.col("doc_id").alias("id"), F.lit(None).cast("array<int>").alias("begins")).distinct())
+    both = whole.join(marks.withColumn("hit", F.lit(True)), "id", "left")
+    changed = both.where("hit and begins is not null").select("row", "text", "begins")
+    rewritten = changed.mapInArrow(_rewritten(window), changed.select("row", "text").schema)
+    kept = both.where("hit is null or begins is null").select("row", F.when(F.col("hit"), F.lit("")).otherwise(F.col(f"row.`{text_col}`").cast("string")).alias("text"))
+    kind = docs.schema[text_col].dataType
+    return rewritten.unionByName(kept).select(*(F.col("text").cast(kind).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

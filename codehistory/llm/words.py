@@ -32,8 +32,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Independent random numbers for each place in a word, up to PLACES, and byte; two tables give two independent hashes.
+PLACES = 64
+_TABLES = tuple(_rng.integers(0, 2**64, PLACES * 256, dtype=np.uint64) for _ in range(2))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -56,7 +57,7 @@ class _Powers:
         return self.up, self.down
 
 
-_BYTES, _WORDS = _Powers(int(_BASE)), _Powers(0xD6E8FEB86659FD93)
+_WORDS = _Powers(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -70,20 +71,30 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x
 
 
-def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span; spans are in order and don't overlap."""
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, table: int = 0) -> np.ndarray:
+    """64-bit hash of each byte span; spans are in order and don't overlap.
+
+    A byte adds the random number of its place and value. Beyond PLACES bytes the numbers
+    repeat, times a random odd number for each stretch, so no structure of a long word cancels.
+    """
     out = np.empty(len(start), np.uint64)
     a = 0
     while a < len(start):
         b = max(a + 1, int(np.searchsorted(start, start[a] + _HASH_STEP)))
         lo, hi = int(start[a]), int(end[b - 1])
-        up, down = _BYTES.get(hi - lo + 1)
+        s, e = start[a:b] - lo, end[a:b] - lo
+        place = np.arange(hi - lo) - np.repeat(s, np.diff(np.append(s, hi - lo)))
+        values = _TABLES[table][(place & (PLACES - 1)) << 8 | buf[lo:hi]]
+        if int((e - s).max()) > PLACES:
+            stretch = place // PLACES
+            factor = mix(np.arange(int(stretch.max()) + 1, dtype=np.uint64), 91 + table) | np.uint64(1)
+            factor[0] = 1
+            values *= factor[stretch]
         total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[buf[lo:hi]] * up[: hi - lo], out=total[1:])
-        s = start[a:b] - lo
-        out[a:b] = (total[end[a:b] - lo] - total[s]) * down[s]
+        np.cumsum(values, out=total[1:])
+        out[a:b] = total[e] - total[s]
         a = b
-    return mix(out)
+    return mix(out, table)
 
 
 @dataclass
@@ -102,6 +113,13 @@ class Words:
             self._hash = span_hash(self.buf, self.start, self.end)
         return self._hash
 
+    @property
+    def other(self) -> np.ndarray:
+        """Hashes that are independent of `hash`."""
+        if not hasattr(self, "_other"):
+            self._other = span_hash(self.buf, self.start, self.end, 1)
+        return self._other
+
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1, dtype=np.int64), np.diff(self.first))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codehistory.llm import attention, decontam, language, ngrams, pieces, quality, quotes, scoring, substrings, tokenfiles, toxicity, words
+from codehistory.llm import attention, common, decontam, language, ngrams, pieces, quality, quotes, scoring, substrings, tokenfiles, toxicity, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 DATA = "/root/testdata/sf0.001"
@@ -284,6 +284,60 @@ def test_substrings_odd(odd, none):
     assert cut[0] is None and cut[5] == "" and cut[10].startswith("x") and substrings.cut_repeats(odd).columns == odd.columns
 
 
+def thue_morse(k):
+    """Two strings that differ at every byte and that a polynomial modulo a power of two takes for one."""
+    x = "a"
+    for _ in range(k):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("k", [10, 11, 13])
+def test_long_words_apart(spark, k):
+    """Words built to collide under the old hash, in windows and as whole copies; and long sequences of two such words."""
+    x, y = thue_morse(k)
+    common = "c1 c2 c3 c4 c5 c6 c7 c8 c9 c10 c11 c12"
+    order = thue_morse(12)[0]
+    texts = [f"{common} {x}", f"{common} {y}", f"{common} {x} tail", " ".join(order), " ".join(thue_morse(12)[1])]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(table(spark, texts)).collect()}
+    assert got == kept(list(enumerate(texts))) and got[1][1] == 0 and got[2][1] == 13
+    w = words.of(pa.array([f"{x} {y}"]))
+    assert w.hash[0] != w.hash[1] and w.other[0] != w.other[1] and w.hash[0] != w.other[0]
+    # a hash does not depend on the words beside it
+    alone = words.of(pa.array(["ab"]))
+    beside = words.of(pa.array([f"{x} ab {y}"]))
+    assert (alone.hash[0], alone.other[0]) == (beside.hash[1], beside.other[1])
+
+
+def test_substrings_without_filters(spark, monkeypatch):
+    """Where the filters are full, the exact joins decide alone: the same result."""
+    rng = random.Random(17)
+    passage = prose(rng, 40)
+    texts = [f"{prose(rng, 30, 60)} {passage} {prose(rng, 30, 60)}" if i % 3 == 0 else prose(rng, 90, 60) for i in range(60)] + ["a b " * 40, "z " * 40, "y " + "z " * 30]
+    want = kept(list(enumerate(texts)))
+    for bits in (27, 12):
+        monkeypatch.setattr(substrings, "membership", lambda df, column, bits=bits: common.membership(df, column, bits) if bits > 12 else common.Filter(np.full(64, 2**64 - 1, np.uint64), 52))
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(table(spark, texts)).collect()}
+        assert got == want
+    # a key of most rows is joined by broadcast, the others by shuffle
+    monkeypatch.setattr(common, "HOT", 3)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(table(spark, texts)).collect()} == want
+
+
+def test_symbols():
+    """Equal windows have equal symbols wherever they stand, levels go on until none fits, and each new symbol spans words of its reach."""
+    rng = random.Random(2)
+    for vocabulary in (2, 30, 3000):
+        part = split(prose(rng, 13, vocabulary))
+        texts = [" ".join(split(prose(rng, rng.randrange(40), vocabulary)) + part + split(prose(rng, rng.randrange(40), vocabulary))) for _ in range(20)]
+        w = words.of(pa.array(texts))
+        begin, key = substrings.anchors(w)
+        at = [int(w.first[i]) + next(j for j in range(10**6) if split(t)[j : j + 13] == part) for i, t in enumerate(texts)]
+        assert len(set(key[np.searchsorted(begin, at)].tolist())) == 1
+        found = list(substrings.levels(w, 13))
+        assert 1 <= len(found) <= 8 and all(len(x.fits(13, len(w.start))) for x in found[1:])
+
+
 def linked(rows):
     sets = {}
     for doc, text in rows:

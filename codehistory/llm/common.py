@@ -67,16 +67,21 @@ def membership(df: DataFrame, column: str, most_bits: int = FILTER_BITS) -> Filt
 HOT = 2000
 
 
+def hot_keys(keys: DataFrame, n: str = "n") -> DataFrame:
+    """Of distinct keys with the number of rows of each, those that hold more than one in HOT of all rows: fewer than HOT, so they can be broadcast."""
+    total = keys.agg(F.sum(n)).first()[0] or 0
+    return keys.where(F.col(n) * HOT > F.lit(total))
+
+
 def count_join(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
     """An inner join with a table of distinct keys and the number of rows that each has on the left.
 
-    Keys that hold more than one in HOT of the rows, fewer than HOT by arithmetic, are
-    broadcast, so none of them gathers its rows in one task; the others are shuffled.
+    Hot keys are broadcast, so none of them gathers its rows in one task; the others are
+    shuffled. Both sides are read twice.
     """
-    total = right.agg(F.sum(n)).first()[0] or 0
-    is_hot = F.col(n) * HOT > F.lit(total)
-    hot = F.broadcast(right.where(is_hot))
-    return left.join(hot, keys).unionByName(left.join(hot.select(*keys), keys, "left_anti").join(right.where(~is_hot), keys))
+    hot = F.broadcast(hot_keys(right, n))
+    cold = right.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return left.join(hot, keys).unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
 
 
 def components(links: DataFrame, vertex: str = "doc_id", label: str = "component_id", name: str = "components") -> DataFrame:

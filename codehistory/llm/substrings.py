@@ -3,23 +3,23 @@
 A long repeat of words is found without comparing texts. Rounds rename the word sequence of
 every document: a run of one word becomes one symbol, then, round by round, neighbouring
 symbols of two classes become one symbol. A name is a hash of its parts, so equal parts have
-one name wherever a task meets them; a table in Spark holds the names of each round with the
-documents they occur in and a second hash of their parts, and a name with two sets of parts
-is an error. A symbol depends only on a short interval of words around it (its reach), so
-inside a repeat every symbol whose reach lies in the repeat is the same at both places.
+one name wherever a task meets them; a table in Spark counts the documents of each name of a
+round. A symbol depends only on a short interval of words around it (its reach), so inside a
+repeat every symbol whose reach lies in the repeat is the same at both places.
 
 1. Whole copies leave first, by the SHA-256 of their words.
-2. Two rounds name runs and pairs over all texts. A window of `window` words that holds a
-   symbol which only one document has repeats nothing; a round looks only at symbols that some
-   window still needs. What is left of a text are stretches of windows.
-3. In the stretches, rounds go on until no symbol fits a window. Each window is anchored by
-   its highest symbol; an exact join finds the anchors that several documents share.
-4. Windows with a shared anchor are named by 128 bits and carry their words: Spark finds the
-   first document of each, and compares the words of all windows of one name.
-5. Words covered by a window that begins in a document with a smaller id are removed.
-
-The filters of step 2 have a fixed size and only save work. Where they are full, more
-stretches pass to the join of step 3, which grows with them, and the result is the same.
+2. ROUNDS rounds name runs and pairs over all texts. A window of `window` words that holds a
+   symbol which only one document has repeats nothing; a round looks only at symbols that
+   some window still needs.
+3. The windows that are left are named by 128 bits, from two independent hashes of words, and
+   Spark finds the first document of each.
+4. Words covered by a window that begins in a document with a smaller id are removed.
+
+What a round has counted goes to the tasks as a filter of fixed size. When more names are
+shared than it can tell apart, step 3 has a round more: what is left of a text becomes
+stretches, levels go on until no new symbol fits a window, each window is anchored by its
+highest symbol, and an exact join finds the anchors that several documents share. The result
+is the same; only the work differs.
 """
 
 from __future__ import annotations
@@ -33,23 +33,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Filter, count_join, membership, stored
+from .common import Filter, count_join, hot_keys, membership, stored
 
 WINDOW = 13
-#: Rounds whose names filter texts. In a text of one word after another, a symbol of level r spans 2 to 2^r words.
+#: Rounds whose names filter texts. A symbol of level r spans up to 2^r words or runs of a word.
 ROUNDS = 2
+#: Most names that a filter tells apart well, and most ids that are broadcast.
+TOLD_APART, BROADCAST = 1 << 24, 1 << 20
 _PART = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Level:
     """The symbols of all texts of a batch after a round, in order.
 
-    name: of each symbol; text: its text; lo, hi: first and last word of its reach; proof: a
-    second hash of its parts; fresh: whether this round made it.
+    name: of each symbol; text: its text; lo, hi: first and last word of its reach; fresh:
+    whether this round made it.
     """
 
-    def __init__(self, name, text, lo, hi, proof, fresh) -> None:
-        self.name, self.text, self.lo, self.hi, self.proof, self.fresh = name, text, lo, hi, proof, fresh
+    def __init__(self, name: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray, fresh: np.ndarray) -> None:
+        self.name, self.text, self.lo, self.hi, self.fresh = name, text, lo, hi, fresh
 
     def fits(self, window: int, n: int) -> np.ndarray:
         """Fresh symbols whose reach fits a window."""
@@ -63,11 +65,10 @@ def _runs(w: W.Words) -> Level:
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, len(h)))
-    name, proof = h[at].copy(), np.zeros(len(at), np.uint64)
+    name = h[at].copy()
     many = size > 1
-    proof[many] = W.mix(name[many] * _PART ^ size[many].astype(np.uint64), 47)
     name[many] = W.mix(name[many] + size[many].astype(np.uint64), 3)
-    return Level(name, doc[at], at - 1, at + size, proof, many)
+    return Level(name, doc[at], at - 1, at + size, many)
 
 
 def _pairs(was: Level, turn: int) -> Level:
@@ -85,13 +86,12 @@ def _pairs(was: Level, turn: int) -> Level:
     if n:
         far_hi[-1] += left[-1] * (1 << 40)
         far_lo[0] -= (not left[0]) * (1 << 40)
-    out, proof = name.copy(), was.proof.copy()
+    out = name.copy()
     at = np.flatnonzero(head)
     out[at] = W.mix(name[at] * _PART + name[at + 1], 29 + turn)
-    proof[at] = W.mix(name[at] ^ W.mix(name[at + 1], 83), 59 + turn)
     fresh = head | (was.fresh if turn == 0 else False)
     stay = ~tail
-    return Level(out[stay], text[stay], far_lo[stay], far_hi[stay], proof[stay], fresh[stay])
+    return Level(out[stay], text[stay], far_lo[stay], far_hi[stay], fresh[stay])
 
 
 def levels(w: W.Words, window: int) -> Iterator[Level]:
@@ -155,30 +155,23 @@ def _names(window: int, filters_value):
             at = level.fits(window, n)
             needed = np.append(0, np.cumsum(_alive(w, found, filters, window)))
             at = at[needed[level.lo[at] + 1] > needed[np.maximum(level.hi[at] - window + 1, 0)]]
-            name, text, proof = level.name[at], level.text[at], level.proof[at]
+            name, text = level.name[at], level.text[at]
             order = np.lexsort((text, name))
-            name, text, proof = name[order], text[order], proof[order]
+            name, text = name[order], text[order]
             new = np.ones(len(name), bool)
             new[1:] = (name[1:] != name[:-1]) | (text[1:] != text[:-1])
-            name, proof = name[new], (proof[new] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            # texts of this step are summed here, so Spark gets one row for each symbol and its parts
-            new = np.ones(len(name), bool)
-            new[1:] = (name[1:] != name[:-1]) | (proof[1:] != proof[:-1])
-            first = np.flatnonzero(new)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(name[first])), pa.array(np.diff(np.append(first, len(name)))), pa.array(proof[first])], ["name", "n", "proof"])
+            # texts of this step are summed here, so Spark gets one row for each symbol
+            name, n = np.unique(name[new], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(name)), pa.array(n)], ["name", "n"])
 
     return run
 
 
-def _table(docs: DataFrame, window: int, filters: list[Filter]) -> Filter:
-    """The names of a round that several documents share, as a filter; a name with two sets of parts is an error."""
-    spark = docs.sparkSession
-    found = docs.mapInArrow(_names(window, spark.sparkContext.broadcast(filters)), "name long, n long, proof int")
-    names = found.groupBy("name").agg(F.sum("n").alias("n"), F.min("proof").alias("low"), F.max("proof").alias("high")).where("n > 1 or low <> high")
-    names = stored(names.select("name", (F.col("low") != F.col("high")).alias("two")), "names")
-    if names.where("two").head(1):
-        raise RuntimeError("a symbol has two expansions")
-    return membership(names, "name")
+def _shared(docs: DataFrame, window: int, filters: list[Filter]) -> tuple[Filter, int]:
+    """The names of a round that several documents share, as a filter, and how many there are."""
+    found = docs.mapInArrow(_names(window, docs.sparkSession.sparkContext.broadcast(filters)), "name long, n long")
+    names = stored(found.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name"), "names")
+    return membership(names, "name"), names.count()
 
 
 def _stretches(window: int, filters_value):
@@ -250,34 +243,40 @@ def _anchored(window: int):
     return run
 
 
-def _windows(window: int):
-    """Windows of stretches whose anchor is shared: their name, place and words."""
+def _hashed(w: W.Words, begin: np.ndarray, window: int, batch: pa.RecordBatch, offset: np.ndarray | None = None) -> pa.RecordBatch:
+    """Names and places of windows."""
+    row = w.doc[begin]
+    at = begin - w.first[:-1][row]
+    if offset is not None:
+        at = at + offset[row]
+    one, two = (W.window_hash(h, window, salt)[begin] if len(begin) else np.zeros(0, np.uint64) for h, salt in ((w.hash, 2), (w.other, 3)))
+    return pa.RecordBatch.from_arrays([pa.array(_signed(one)), pa.array(_signed(two)), batch.column("doc_id").take(pa.array(row)), pa.array(at.astype(np.int32))], ["one", "two", "doc_id", "at"])
+
+
+def _windows(window: int, filters_value):
+    """Windows of texts that hold no symbol which a filter refuses."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.steps(batches, most=W.STEP_BYTES // 8):
+        filters = filters_value.value
+        for batch in W.steps(batches):
+            w = W.of(batch.column("text"))
+            yield _hashed(w, np.flatnonzero(_alive(w, _first_levels(w, window, len(filters)), filters, window)), window, batch)
+
+    return run
+
+
+def _anchored_windows(window: int):
+    """Windows of stretches whose anchor is shared."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.steps(batches):
             w = W.of(batch.column("text"))
             begin, key = anchors(w, window)
-            row = w.doc[begin]
             lists = batch.column("anchors")
-            size = np.diff(lists.offsets.to_numpy())
-            of = np.repeat(np.arange(batch.num_rows), size).astype(np.uint64)
+            of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())).astype(np.uint64)
             known = lists.flatten().to_numpy().view(np.uint64)
-            keep = np.isin(W.mix(key + row.astype(np.uint64) * _PART), W.mix(known + of * _PART))
-            begin, row = begin[keep], row[keep]
-            if not len(begin):
-                continue
-            one, two = W.window_hash(w.hash, window, 2)[begin], W.window_hash(w.other, window, 3)[begin]
-            # the words of a window, each with a blank after it
-            parts = begin[:, None] + np.arange(window)
-            lo, n = w.start[parts].ravel(), (w.end[parts] - w.start[parts]).ravel()
-            to = np.cumsum(n + 1)
-            text = np.append(w.buf, np.uint8(0x20))[np.minimum(np.repeat(lo - (to - n - 1), n + 1) + np.arange(int(to[-1])), len(w.buf))]
-            text[to - 1] = 0x20
-            edge = np.append(0, to[window - 1 :: window])
-            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(edge), pa.py_buffer(text)]).cast(pa.binary())
-            ids = batch.column("doc_id").take(pa.array(row))
-            at = (begin - w.first[:-1][row] + batch.column("at").to_numpy()[row]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(one)), pa.array(_signed(two)), ids, pa.array(at), words], ["one", "two", "doc_id", "at", "words"])
+            keep = np.isin(W.mix(key + w.doc[begin].astype(np.uint64) * _PART), W.mix(known + of * _PART))
+            yield _hashed(w, begin[keep], window, batch, batch.column("at").to_numpy())
 
     return run
 
@@ -308,39 +307,72 @@ def _cut(window: int):
 
 
 def _rewritten(window: int):
-    """Texts of (row, text, begins) without the words that repeats cover."""
+    """Texts of (doc_id, text, begins) without the words that repeats cover."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.steps(batches):
             begins = batch.column("begins")
             w = W.of(batch.column("text"))
             texts = [W.joined(w, w.first[i] + np.flatnonzero(_left(w, i, begins[i], window))).decode() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["id", "new"])
 
     return run
 
 
+def _some(ids_value):
+    """Rows whose tag passes a filter."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(ids_value.value(batch.column("tag").to_numpy().view(np.uint64))))
+
+    return run
+
+
+def _within(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents (doc_id, text) that a table of few ids may name: what a join would drop anyway is not shuffled."""
+    tags = stored(ids.select(F.xxhash64("doc_id").alias("tag")), "tags")
+    tagged = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("tag"))
+    return tagged.mapInArrow(_some(docs.sparkSession.sparkContext.broadcast(membership(tags, "tag"))), tagged.schema).drop("tag")
+
+
+def _exact(docs: DataFrame, window: int, filters: list[Filter]) -> DataFrame:
+    """Windows that hold a shared anchor, by a join that grows with what the filters let pass."""
+    left = stored(docs.mapInArrow(_stretches(window, docs.sparkSession.sparkContext.broadcast(filters)), "doc_id long, at int, text binary"), "stretches")
+    held = stored(left.mapInArrow(_anchored(window), "anchor long, doc_id long, at int"), "anchors")
+    shared = stored(held.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "n"), "shared")
+    asking = count_join(held, shared, ["anchor"]).groupBy("doc_id", "at").agg(F.collect_set("anchor").alias("anchors"))
+    return left.join(asking, ["doc_id", "at"]).select("doc_id", "at", "text", "anchors").mapInArrow(_anchored_windows(window), "one long, two long, doc_id long, at int")
+
+
 def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Of documents (doc_id, text): (doc_id, n_words, digest) of all rows, whole copies of them, the other documents, and where repeats begin in those (doc_id, begins)."""
     spark = docs.sparkSession
     own = stored(docs.mapInArrow(_contents, "doc_id long, n_words long, digest binary"), "contents")
     first = own.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = stored(count_join(own, first, ["digest"]).where("doc_id > first").select("doc_id", "n_words"), "copies")
-    asked = stored(docs.where("doc_id is not null").join(copies.select("doc_id").distinct(), "doc_id", "left_anti"), "single")
+    copies = stored(count_join(own, stored(first, "equal"), ["digest"]).where("doc_id > first").select("doc_id", "n_words"), "copies")
+    ids = copies.select("doc_id").distinct()
+    asked = docs.where("doc_id is not null")
+    # few copies are broadcast to each scan; many are joined away once
+    asked = asked.join(F.broadcast(ids), "doc_id", "left_anti") if copies.count() <= BROADCAST else stored(asked.join(ids, "doc_id", "left_anti"), "single")
 
     filters: list[Filter] = []
+    most = 0
     for _ in range(ROUNDS):
-        filters.append(_table(asked, window, filters))
-    left = stored(asked.mapInArrow(_stretches(window, spark.sparkContext.broadcast(filters)), "doc_id long, at int, text binary"), "stretches")
-    held = stored(left.mapInArrow(_anchored(window), "anchor long, doc_id long, at int"), "anchors")
-    shared = stored(held.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "n"), "shared")
-    asking = count_join(held, shared, ["anchor"]).groupBy("doc_id", "at").agg(F.collect_set("anchor").alias("anchors"))
-    seen = stored(left.join(asking, ["doc_id", "at"]).select("doc_id", "at", "text", "anchors").mapInArrow(_windows(window), "one long, two long, doc_id long, at int, words binary"), "windows")
-    named = seen.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"), F.min("words").alias("low"), F.max("words").alias("high"))
-    named = stored(named.where("first < last").select("one", "two", "first", "n", (F.col("low") != F.col("high")).alias("differ")), "first")
-    if named.where("differ").head(1):
-        raise RuntimeError("two windows share a name")
-    again = count_join(seen.drop("words"), named.drop("differ"), ["one", "two"]).where("doc_id > first")
+        member, n = _shared(asked, window, filters)
+        filters.append(member)
+        most = max(most, n)
+    if most > TOLD_APART:
+        seen = stored(_exact(asked, window, filters), "windows")
+    else:
+        seen = asked.mapInArrow(_windows(window, spark.sparkContext.broadcast(filters)), "one long, two long, doc_id long, at int")
+    named = seen.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
+    named = stored(named, "first")
+    # names that hold much of all windows are broadcast; their windows go on under keys that meet nothing, so no key gathers them
+    often = hot_keys(named)
+    met = seen.join(F.broadcast(often.withColumnRenamed("first", "near").drop("n")), ["one", "two"], "left")
+    met = met.withColumn("two", F.when(F.col("near").isNull(), F.col("two")).otherwise(F.xxhash64("doc_id", "at")))
+    again = met.join(named.join(F.broadcast(often.select("one", "two")), ["one", "two"], "left_anti").drop("n"), ["one", "two"], "left").where("doc_id > coalesce(near, first)")
     return own, copies, asked, stored(again.groupBy("doc_id").agg(F.collect_set("at").alias("begins")), "repeats")
 
 
@@ -360,7 +392,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     own, copies, asked, repeats = _found(docs, window)
-    cut = asked.join(repeats, "doc_id").select("doc_id", "text", "begins").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    cut = _within(asked, repeats).join(repeats, "doc_id").select("doc_id", "text", "begins").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     gone = copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
     changed = copies.select("doc_id").union(repeats.select("doc_id")).distinct()
     whole = own.join(changed, "doc_id", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("digest")).alias("kept_sha256"))
@@ -374,12 +406,9 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     null ones too, stays as it is. Whole copies keep their row with an empty text. Columns may
     have any names.
     """
-    _, copies, _, repeats = _found(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), window)
-    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
-    marks = repeats.select(F.col("doc_id").alias("id"), "begins").unionByName(copies.select(F.col("doc_id").alias("id"), F.lit(None).cast("array<int>").alias("begins")).distinct())
-    both = whole.join(marks.withColumn("hit", F.lit(True)), "id", "left")
-    changed = both.where("hit and begins is not null").select("row", "text", "begins")
-    rewritten = changed.mapInArrow(_rewritten(window), changed.select("row", "text").schema)
-    kept = both.where("hit is null or begins is null").select("row", F.when(F.col("hit"), F.lit("")).otherwise(F.col(f"row.`{text_col}`").cast("string")).alias("text"))
-    kind = docs.schema[text_col].dataType
-    return rewritten.unionByName(kept).select(*(F.col("text").cast(kind).alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    _, copies, asked, repeats = _found(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), window)
+    changed = _within(asked, repeats).join(repeats, "doc_id").select("doc_id", "text", "begins").mapInArrow(_rewritten(window), "id long, new string").dropDuplicates(["id"])
+    changed = changed.unionByName(copies.select(F.col("doc_id").alias("id"), F.lit("").alias("new")).distinct())
+    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    text = F.coalesce(F.col("new").cast(docs.schema[text_col].dataType), F.col(f"row.`{text_col}`"))
+    return whole.join(changed, "id", "left").select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -313,8 +313,15 @@ def test_substrings_without_filters(spark, monkeypatch):
     """Where the filters are full, the exact joins decide alone: the same result."""
     rng = random.Random(17)
     passage = prose(rng, 40)
-    texts = [f"{prose(rng, 30, 60)} {passage} {prose(rng, 30, 60)}" if i % 3 == 0 else prose(rng, 90, 60) for i in range(60)] + ["a b " * 40, "z " * 40, "y " + "z " * 30]
+    texts = [f"{prose(rng, 30, 60)} {passage} {prose(rng, 30, 60)}" if i % 3 == 0 else prose(rng, 90, 60) for i in range(60)] + ["a b " * 40, "z " * 40, "y " + "z " * 30, "a b " * 40]
     want = kept(list(enumerate(texts)))
+    for bits in (27, 12):
+        monkeypatch.setattr(substrings, "membership", lambda df, column, bits=bits: common.membership(df, column, bits) if bits > 12 else common.Filter(np.full(64, 2**64 - 1, np.uint64), 52))
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(table(spark, texts)).collect()}
+        assert got == want
+    # more shared names than filters tell apart, more copies than are broadcast
+    monkeypatch.setattr(substrings, "TOLD_APART", 0)
+    monkeypatch.setattr(substrings, "BROADCAST", 0)
     for bits in (27, 12):
         monkeypatch.setattr(substrings, "membership", lambda df, column, bits=bits: common.membership(df, column, bits) if bits > 12 else common.Filter(np.full(64, 2**64 - 1, np.uint64), 52))
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(table(spark, texts)).collect()}

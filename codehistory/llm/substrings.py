@@ -11,7 +11,7 @@ repeat every symbol whose reach lies in the repeat is the same at both places.
 2. ROUNDS rounds name runs and pairs over all texts. A window of `window` words that holds a
    symbol which only one document has repeats nothing; a round looks only at symbols that
    some window still needs.
-3. The windows that are left are named by 128 bits, from two independent hashes of words, and
+3. The windows that are left are named by 96 bits, from two independent hashes of words, and
    Spark finds the first document of each.
 4. Words covered by a window that begins in a document with a smaller id are removed.
 
@@ -41,6 +41,7 @@ ROUNDS = 2
 #: Most names that a filter tells apart well, and most ids that are broadcast.
 TOLD_APART, BROADCAST = 1 << 24, 1 << 20
 _PART = np.uint64(0x9E3779B97F4A7C15)
+WINDOWS = "one long, two int, doc_id long, at int"
 
 
 class Level:
@@ -250,17 +251,19 @@ def _hashed(w: W.Words, begin: np.ndarray, window: int, batch: pa.RecordBatch, o
     if offset is not None:
         at = at + offset[row]
     one, two = (W.window_hash(h, window, salt)[begin] if len(begin) else np.zeros(0, np.uint64) for h, salt in ((w.hash, 2), (w.other, 3)))
-    return pa.RecordBatch.from_arrays([pa.array(_signed(one)), pa.array(_signed(two)), batch.column("doc_id").take(pa.array(row)), pa.array(at.astype(np.int32))], ["one", "two", "doc_id", "at"])
+    two = (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(_signed(one)), pa.array(two), batch.column("doc_id").take(pa.array(row)), pa.array(at.astype(np.int32))], ["one", "two", "doc_id", "at"])
 
 
-def _windows(window: int, filters_value):
-    """Windows of texts that hold no symbol which a filter refuses."""
+def _windows(window: int, filters_value, named_value=None):
+    """Windows of texts that hold no symbol which a filter refuses, and have a name that another filter knows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = filters_value.value
         for batch in W.steps(batches):
             w = W.of(batch.column("text"))
-            yield _hashed(w, np.flatnonzero(_alive(w, _first_levels(w, window, len(filters)), filters, window)), window, batch)
+            found = _hashed(w, np.flatnonzero(_alive(w, _first_levels(w, window, len(filters)), filters, window)), window, batch)
+            yield found if named_value is None else found.filter(pa.array(named_value.value(found.column("one").to_numpy().view(np.uint64))))
 
     return run
 
@@ -342,7 +345,7 @@ def _exact(docs: DataFrame, window: int, filters: list[Filter]) -> DataFrame:
     held = stored(left.mapInArrow(_anchored(window), "anchor long, doc_id long, at int"), "anchors")
     shared = stored(held.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "n"), "shared")
     asking = count_join(held, shared, ["anchor"]).groupBy("doc_id", "at").agg(F.collect_set("anchor").alias("anchors"))
-    return left.join(asking, ["doc_id", "at"]).select("doc_id", "at", "text", "anchors").mapInArrow(_anchored_windows(window), "one long, two long, doc_id long, at int")
+    return left.join(asking, ["doc_id", "at"]).select("doc_id", "at", "text", "anchors").mapInArrow(_anchored_windows(window), WINDOWS)
 
 
 def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -365,13 +368,16 @@ def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFram
     if most > TOLD_APART:
         seen = stored(_exact(asked, window, filters), "windows")
     else:
-        seen = asked.mapInArrow(_windows(window, spark.sparkContext.broadcast(filters)), "one long, two long, doc_id long, at int")
+        seen = asked.mapInArrow(_windows(window, spark.sparkContext.broadcast(filters)), WINDOWS)
     named = seen.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
     named = stored(named, "first")
+    if most <= TOLD_APART:
+        known = spark.sparkContext.broadcast(membership(named.select("one"), "one"))
+        seen = asked.mapInArrow(_windows(window, spark.sparkContext.broadcast(filters), known), WINDOWS)
     # names that hold much of all windows are broadcast; their windows go on under keys that meet nothing, so no key gathers them
     often = hot_keys(named)
     met = seen.join(F.broadcast(often.withColumnRenamed("first", "near").drop("n")), ["one", "two"], "left")
-    met = met.withColumn("two", F.when(F.col("near").isNull(), F.col("two")).otherwise(F.xxhash64("doc_id", "at")))
+    met = met.withColumn("two", F.when(F.col("near").isNull(), F.col("two")).otherwise(F.hash("doc_id", "at"))).withColumn("one", F.when(F.col("near").isNull(), F.col("one")).otherwise(F.xxhash64("doc_id", "at")))
     again = met.join(named.join(F.broadcast(often.select("one", "two")), ["one", "two"], "left_anti").drop("n"), ["one", "two"], "left").where("doc_id > coalesce(near, first)")
     return own, copies, asked, stored(again.groupBy("doc_id").agg(F.collect_set("at").alias("begins")), "repeats")
 

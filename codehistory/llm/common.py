@@ -32,6 +32,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The documents, with all their columns, whose id a table (id) does not name. Columns may have any names; rows without an id stay."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(ids, "id", "left_anti").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
 class Filter:
     """A Bloom filter with one hash: says of a 64-bit number whether it may be a member."""
 

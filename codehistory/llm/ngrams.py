@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import components, membership, stored
+from .common import components, count_join, membership, stored, without
 
 N = 4
 PERCENT = 85
@@ -277,8 +277,8 @@ def linked(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "d
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = stored(docs.mapInArrow(_signatures(n), "doc_id long, n long, one long, two long"), "signatures")
     known = signed.where("n > 0 and doc_id is not null")
-    first = known.groupBy("n", "one", "two").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    classes = stored(known.join(first, ["n", "one", "two"]).select("doc_id", "class_id").distinct(), "classes")
+    first = known.groupBy("n", "one", "two").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("rows")).where("rows > 1")
+    classes = stored(count_join(known, stored(first, "equal"), ["n", "one", "two"], "rows").select("doc_id", "class_id").distinct(), "classes")
     copies = classes.where("doc_id > class_id").select("doc_id")
     rest = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti")
 
@@ -348,5 +348,5 @@ def _verified(docs: DataFrame, pairs: DataFrame, wide: DataFrame, n: int, percen
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns; rows without an id stay."""
-    found = linked(docs, id_col=id_col, text_col=text_col, **how).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    gone = linked(docs, id_col=id_col, text_col=text_col, **how).where("component_id < doc_id").select(F.col("doc_id").alias("id")).distinct()
+    return without(docs, gone, id_col)

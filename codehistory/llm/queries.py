@@ -116,6 +116,30 @@ def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link(_table(spark, sf_dir, "conversations"))
 
 
+def quotations_found_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations with each message quoted by the next one but one, so that there are links to find."""
+    turns = _table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null").dropDuplicates(["conv_id", "turn"])
+    again = turns.select("conv_id", (F.col("turn") + 2).alias("turn"), F.col("text").alias("said"))
+    quoted = F.concat(F.lit("> "), F.regexp_replace("said", "\n", "\n> "), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    made = turns.join(again, ["conv_id", "turn"], "left").withColumn("text", F.when(F.col("said").isNull(), F.col("text")).otherwise(quoted))
+    return quotes.link(made).select("conv_id", "turn", "parent_turn", "n_quotes", "n_linked", F.size("path").cast("long").alias("above"))
+
+
+QUOTES_SQL = r"""
+with recursive t as (select distinct conv_id, turn, text from conversations where conv_id is not null and turn is not null),
+n as materialized (select conv_id, turn, trim(coalesce(text, ''), E' \t\n\r\f\x0b') as body, text from t),
+p as (select conv_id, turn, unnest(list_concat([body], string_split(body, chr(10)))) as part from n),
+q as materialized (select distinct conv_id, turn, regexp_replace(regexp_replace(lower(part), '\s+', ' ', 'g'), '^[\s\pP]+|[\s\pP]+$', '', 'g') as part from p),
+asked as (select x.conv_id, x.turn + 2 as turn, x.part from q x join n on n.conv_id = x.conv_id and n.turn = x.turn + 2 where x.part <> ''),
+hit as (select a.conv_id, a.turn, length(a.part) as size, max(s.turn) as source from asked a join q s on s.conv_id = a.conv_id and s.part = a.part and s.turn < a.turn group by all),
+best as materialized (select conv_id, turn, arg_max(source, size * 1000000000 + source) as parent from hit group by all),
+up(conv_id, turn, above) as (select n.conv_id, n.turn, 1 from n left join best b on b.conv_id = n.conv_id and b.turn = n.turn where b.parent is null union all select b.conv_id, b.turn, up.above + 1 from up join best b on b.conv_id = up.conv_id and b.parent = up.turn)
+select n.conv_id, n.turn, coalesce(b.parent, lag(n.turn) over (partition by n.conv_id order by n.turn)) as parent_turn,
+  cast(exists (select 1 from n m where m.conv_id = n.conv_id and m.turn + 2 = n.turn and m.text is not null) as bigint) as n_quotes, cast(b.parent is not null as bigint) as n_linked, cast(up.above as bigint) as above
+from n left join best b on b.conv_id = n.conv_id and b.turn = n.turn join up on up.conv_id = n.conv_id and up.turn = n.turn
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
@@ -127,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_quotation_links": op10_quotation_links,
+    "quotations_found_again": quotations_found_again,
 }
 
-SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_ngram_join": OP8_SQL}
+SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_ngram_join": OP8_SQL, "quotations_found_again": QUOTES_SQL}

@@ -10,7 +10,7 @@ The least deeply quoted linked passage names the parent;
 messages without one reply to the message before them. Own text is what is not quoted.
 
 Every step is a DataFrame expression: lines are exploded, grouped and joined by
-conversation and hash, never by conversation alone.
+conversation and hash, never by conversation alone. A path of turns puts replies in order.
 """
 
 from __future__ import annotations
@@ -36,20 +36,20 @@ def messages(turns: DataFrame) -> DataFrame:
     line = F.split(F.coalesce("text", F.lit("")), "\n")
     marks = lambda x: F.regexp_extract(x, r"^[ \t]*((?:>[ \t]?)*)", 1)
     depth = lambda x: F.length(F.regexp_replace(marks(x), "[^>]", ""))
-    parsed = F.transform(line, lambda x: F.struct(depth(x).alias("depth"), F.when(depth(x) > 0, F.regexp_replace(x, r"^[ \t]*(?:>[ \t]?)+", "")).otherwise(x).alias("text")))
-    start = F.array().cast("array<struct<depth:int,text:string>>")
-    merge = lambda done, x: F.when(
-        (F.size(done) > 0) & (F.element_at(done, -1)["depth"] == x["depth"]),
-        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(x["depth"].alias("depth"), F.concat(F.element_at(done, -1)["text"], F.lit("\n"), x["text"]).alias("text")))),
-    ).otherwise(F.concat(done, F.array(x)))
-    # only texts with a quoting line pay for the folding of lines
-    passages = F.when(F.coalesce(F.col("text"), F.lit("")).rlike(r"(?m)^[ \t]*>"), F.aggregate(parsed, F.when(F.lit(True), start), lambda done, x: F.when(F.lit(True), merge(done, x))))
+    # only texts with a quoting line are parsed
+    quotes = F.coalesce(F.col("text"), F.lit("")).rlike(r"(?m)^[ \t]*>")
+    parsed = turns.withColumn("lines", F.when(quotes, F.transform(line, lambda x: F.struct(depth(x).alias("depth"), F.when(depth(x) > 0, F.regexp_replace(x, r"^[ \t]*(?:>[ \t]?)+", "")).otherwise(x).alias("text")))))
+    # where the depth changes, a passage begins; each line is copied into its passage once
+    size, at = F.size("lines"), lambda i: F.element_at("lines", i)["depth"]
+    parsed = parsed.withColumn("starts", F.when(F.col("lines").isNotNull(), F.filter(F.sequence(F.lit(1), size), lambda i: F.when(i == 1, True).otherwise(at(i) != at(F.greatest(i - 1, F.lit(1)))))))
+    parsed = parsed.withColumn("spans", F.zip_with("starts", F.concat(F.slice(F.col("starts"), F.lit(2), F.greatest(F.size("starts") - 1, F.lit(0))), F.array(size + 1)), lambda x, y: F.struct(x.alias("a"), y.alias("b"))))
+    passage = lambda x: F.struct(at(x["a"]).alias("depth"), F.array_join(F.transform(F.slice(F.col("lines"), x["a"], x["b"] - x["a"]), lambda k: k["text"]), "\n").alias("text"))
+    parsed = parsed.withColumn("passages", F.transform("spans", passage))
     own = F.array_join(F.transform(F.filter("passages", lambda p: p["depth"] == 0), lambda p: p["text"]), "\n")
     return (
-        turns.withColumn("passages", passages)
-        .withColumn("body", F.when(F.col("passages").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.regexp_replace(own, r"^\s+|\s+$", "")))
+        parsed.withColumn("body", F.when(F.col("passages").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.regexp_replace(own, r"^\s+|\s+$", "")))
         .withColumn("quoted", F.coalesce(F.filter("passages", lambda p: p["depth"] > 0), F.array().cast("array<struct<depth:int,text:string>>")))
-        .drop("passages")
+        .drop("passages", "spans", "starts", "lines")
     )
 
 
@@ -58,8 +58,10 @@ def link(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     Returns conv_id, turn, role, body (own text), n_quotes (quoted passages), n_linked (of
     them with an earlier message), parent_turn (null for a first message), thread (turn of
-    the message that the replies go back to by quotation) and depth (quotation links to it):
-    a row for each row. The order conv_id, thread, turn puts replies under what they quote.
+    the message that the replies go back to by quotation), depth (quotation links to it) and
+    path (the turns from there to this one): a row for each row. The order conv_id, path puts
+    each reply under what it quotes, and replies to one message in the order of their turns.
+    A message carries as many numbers as stand above it.
 
     A null text is an empty one; null conversations or turns keep their row, link to nothing
     and are linked by nothing. Repeated rows stay; of equal texts the latest earlier turn is
@@ -99,6 +101,7 @@ def link(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         F.coalesce("parent", "previous").alias("parent_turn"),
         thread.alias("thread"),
         F.coalesce("steps", F.lit(0)).cast("long").alias("depth"),
+        F.concat(F.coalesce("chain", F.array().cast("array<long>")), F.array("turn")).alias("path"),
     )
 
 
@@ -136,16 +139,16 @@ def _previous(turns: DataFrame, span: int = 1024) -> DataFrame:
 
 
 def _roots(links: DataFrame) -> DataFrame:
-    """The message that chains of parents end in, and the steps to it, by pointer doubling."""
-    now = stored(links.select("conv_id", "turn", F.col("parent").alias("root"), F.lit(1).cast("long").alias("steps")), "roots")
+    """The message that chains of parents end in, the steps to it and the turns of the chain, by pointer doubling."""
+    now = stored(links.select("conv_id", "turn", F.col("parent").alias("root"), F.lit(1).cast("long").alias("steps"), F.array("parent").alias("chain")), "roots")
     if not now.head(1):
         return now
     for _ in range(64):
-        more = now.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("up"), F.col("steps").alias("extra"))
-        now_joined = now.join(more, ["conv_id", "root"], "left")
-        nxt = stored(now_joined.select("conv_id", "turn", F.coalesce("up", "root").alias("root"), (F.col("steps") + F.coalesce("extra", F.lit(0))).alias("steps"), F.col("up").isNotNull().alias("moved")), "roots")
+        more = now.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("up"), F.col("steps").alias("extra"), F.col("chain").alias("above"))
+        both = now.join(more, ["conv_id", "root"], "left")
+        chain = F.when(F.col("up").isNull(), F.col("chain")).otherwise(F.concat("above", "chain"))
+        nxt = stored(both.select("conv_id", "turn", F.coalesce("up", "root").alias("root"), (F.col("steps") + F.coalesce("extra", F.lit(0))).alias("steps"), chain.alias("chain"), F.col("up").isNotNull().alias("moved")), "roots")
         if not nxt.where("moved").head(1):
             break
         now = nxt.drop("moved")
     return nxt.drop("moved")
-

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .common import shared_dir
+from .memory import Memory, gather
 
 #: Ids in a word and bits of each, by selector.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -124,50 +125,6 @@ def span(words: np.ndarray, escapes: np.ndarray, limit: int, jumps: np.ndarray,
     return unpack(part, more, limit, jumps[first:last] - jumps[first], min(n, last * LANE) - first * LANE)[a - first * LANE : b - first * LANE]
 
 
-class _Memory:
-    """Ids of strings seen before, in one pool. When too many are held, those seen least often go."""
-
-    def __init__(self, most: int) -> None:
-        self.most, self.place = most, {}
-        self.begin, self.size, self.seen = (np.zeros(1024, np.int64) for _ in range(3))
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def append(self, ids: np.ndarray) -> int:
-        """Put ids at the end of the pool; where they begin."""
-        at, self.used = self.used, self.used + len(ids)
-        if self.used > len(self.pool):
-            self.pool = np.concatenate([self.pool[:at], np.zeros(2 * self.used - at, np.uint32)])
-        self.pool[at : self.used] = ids
-        return at
-
-    def add(self, names: list[str], begin: np.ndarray, size: np.ndarray) -> None:
-        a, b = len(self.place), len(self.place) + len(names)
-        if b > len(self.begin):
-            self.begin, self.size, self.seen = (np.concatenate([x[:a], np.zeros(2 * b - a, np.int64)]) for x in (self.begin, self.size, self.seen))
-        self.begin[a:b], self.size[a:b], self.seen[a:b] = begin, size, 1
-        self.place.update(zip(names, range(a, b), strict=True))
-
-    def tidy(self) -> None:
-        n = len(self.place)
-        if n <= self.most:
-            return
-        least = int(np.partition(self.seen[:n], n - self.most // 2)[n - self.most // 2]) + 1
-        stay = np.flatnonzero(self.seen[:n] >= least)
-        size = self.size[stay]
-        ids = _gather(self.pool, self.begin[stay], size)
-        names = list(self.place)
-        names = [names[i] for i in stay.tolist()]
-        self.place, self.used = {}, 0
-        self.append(ids)
-        self.add(names, np.cumsum(size) - size, size)
-
-
-def _gather(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """pool[begin:begin + size] of each pair, one after the other."""
-    to = np.cumsum(size)
-    return pool[np.repeat(begin - (to - size), size) + np.arange(int(size.sum()))]
-
-
 #: White space beyond blank and line end that the cutting pattern knows, as UTF-8.
 _OTHER_WHITE = [c.encode() for c in "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 _CODES = np.array(sorted(int.from_bytes(x.ljust(3, b"\0"), "big") for x in _OTHER_WHITE))
@@ -201,7 +158,7 @@ class Encoder:
         #: whether texts may be cut into units
         self.cuts = form["normalizer"] is None and cut.get("type") == "ByteLevel" and not cut["add_prefix_space"] and cut.get("use_regex", True)
         self.added = [t["content"].encode() for t in form["added_tokens"]]
-        self.memory = _Memory(most)
+        self.memory = Memory(most)
 
     @classmethod
     def load(cls, path: str, special: bool = True) -> Encoder:
@@ -281,7 +238,7 @@ class Encoder:
             asked = [names[i] for i in new.tolist()]
             size[new], ids = self._ask(asked)
             where[new] = memory.append(ids) + np.cumsum(size[new]) - size[new]
-        out = _gather(memory.pool, where[index], size[index])
+        out = gather(memory.pool, where[index], size[index])
         if len(new):
             kept = sum(len(x) <= LONG for x in asked)
             memory.add(asked[:kept], where[new[:kept]], size[new[:kept]])

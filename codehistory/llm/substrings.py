@@ -13,7 +13,8 @@ repeat every symbol whose reach lies in the repeat is the same at both places.
    some window still needs.
 3. The windows that are left are named by 96 bits, from two independent hashes of words, and
    Spark finds the first document of each.
-4. Words covered by a window that begins in a document with a smaller id are removed.
+4. Words covered by a window that begins in a document with a smaller id are removed. Before,
+   they are compared, word for word, with the words of that document.
 
 What a round has counted goes to the tasks as a filter of fixed size. When more names are
 shared than it can tell apart, step 3 has a round more: what is left of a text becomes
@@ -286,16 +287,54 @@ def _anchored_windows(window: int):
 
 def _left(w: W.Words, i: int, begins: pa.Scalar, window: int) -> np.ndarray:
     """Which words of a text no repeat covers."""
-    n = int(w.first[i + 1] - w.first[i])
-    if not begins.is_valid:
-        return np.ones(n, bool)
-    mark = np.zeros(n + 1, np.int64)
+    mark = np.zeros(int(w.first[i + 1] - w.first[i]) + 1, np.int64)
     at = np.unique(begins.values.to_numpy())
     np.add.at(mark, at, 1)
     np.add.at(mark, at + window, -1)
     return np.cumsum(mark[:-1]) == 0
 
 
+def _segments(window: int):
+    """The words that are about to go, as stretches that one document is held to have had first."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.steps(batches):
+            w = W.of(batch.column("text"))
+            sources: list[np.ndarray] = []
+            texts: list[bytes] = []
+            for i in range(batch.num_rows):
+                at, first = np.unique(batch.column("begins")[i].values.to_numpy(), return_index=True)
+                first = batch.column("firsts")[i].values.to_numpy()[first]
+                new = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(first) != 0)))
+                stop = np.append(new[1:], len(at)) - 1
+                sources.append(first[new])
+                texts += [W.joined(w, np.arange(a, b + window)) for a, b in zip((at[new] + w.first[i]).tolist(), (at[stop] + w.first[i]).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sources), pa.int64()), pa.array(texts, pa.binary())], ["first", "said"])
+
+    return run
+
+
+def _unsaid(window: int):
+    """Documents that lack a window of the words that they are held to have had first."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.steps(batches):
+            texts = W.joined_texts(W.of(batch.column("text")))
+            wrong = []
+            for i, text in enumerate(texts):
+                text = b" " + text + b" "
+                for said in batch.column("said")[i].as_py():
+                    if b" " + said + b" " not in text:
+                        # windows of one stretch may stand at different places of the document
+                        words = said.split(b" ")
+                        if any(b" " + b" ".join(words[k : k + window]) + b" " not in text for k in range(len(words) - window + 1)):
+                            wrong.append(i)
+                            break
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(wrong, pa.int64()))], ["doc_id"])
+
+    return run
+
+
 def _cut(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.steps(batches):
@@ -348,8 +387,8 @@ def _exact(docs: DataFrame, window: int, filters: list[Filter]) -> DataFrame:
     return left.join(asking, ["doc_id", "at"]).select("doc_id", "at", "text", "anchors").mapInArrow(_anchored_windows(window), WINDOWS)
 
 
-def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Of documents (doc_id, text): (doc_id, n_words, digest) of all rows, whole copies of them, the other documents, and where repeats begin in those (doc_id, begins)."""
+def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of documents (doc_id, text): (doc_id, n_words, digest) of all rows, whole copies of them, and the others that repeat something, with where (doc_id, text, begins)."""
     spark = docs.sparkSession
     own = stored(docs.mapInArrow(_contents, "doc_id long, n_words long, digest binary"), "contents")
     first = own.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -379,7 +418,21 @@ def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFram
     met = seen.join(F.broadcast(often.withColumnRenamed("first", "near").drop("n")), ["one", "two"], "left")
     met = met.withColumn("two", F.when(F.col("near").isNull(), F.col("two")).otherwise(F.hash("doc_id", "at"))).withColumn("one", F.when(F.col("near").isNull(), F.col("one")).otherwise(F.xxhash64("doc_id", "at")))
     again = met.join(named.join(F.broadcast(often.select("one", "two")), ["one", "two"], "left_anti").drop("n"), ["one", "two"], "left").where("doc_id > coalesce(near, first)")
-    return own, copies, asked, stored(again.groupBy("doc_id").agg(F.collect_set("at").alias("begins")), "repeats")
+    again = again.select("doc_id", "at", F.coalesce("near", "first").alias("first"))
+    repeats = stored(again.groupBy("doc_id").agg(F.collect_list("at").alias("begins"), F.collect_list("first").alias("firsts")), "repeats")
+    repeats = stored(_within(asked, repeats).join(repeats, "doc_id").select("doc_id", "text", "begins", "firsts"), "repeats")
+    _compare(asked, repeats, window)
+    return own, copies, repeats
+
+
+def _compare(docs: DataFrame, repeats: DataFrame, window: int) -> None:
+    """Compare the words that are about to go with those of the documents that had them first; a difference is an error."""
+    said = repeats.mapInArrow(_segments(window), "first long, said binary").distinct()
+    # the stretches of one document are dealt out, as a much copied one has many
+    lists = stored(said.groupBy(F.col("first").alias("doc_id"), F.pmod(F.xxhash64("said"), F.lit(16)).alias("part")).agg(F.collect_list("said").alias("said")), "said")
+    sources = _within(docs, lists.select("doc_id").distinct())
+    if lists.join(sources, "doc_id").select("doc_id", "text", "said").mapInArrow(_unsaid(window), "doc_id long").head(1):
+        raise RuntimeError("two windows share a name")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -397,8 +450,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     about 60 bytes for each byte of the longest one.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    own, copies, asked, repeats = _found(docs, window)
-    cut = _within(asked, repeats).join(repeats, "doc_id").select("doc_id", "text", "begins").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    own, copies, repeats = _found(docs, window)
+    cut = repeats.select("doc_id", "text", "begins").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     gone = copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
     changed = copies.select("doc_id").union(repeats.select("doc_id")).distinct()
     whole = own.join(changed, "doc_id", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("digest")).alias("kept_sha256"))
@@ -412,8 +465,8 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     null ones too, stays as it is. Whole copies keep their row with an empty text. Columns may
     have any names.
     """
-    _, copies, asked, repeats = _found(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), window)
-    changed = _within(asked, repeats).join(repeats, "doc_id").select("doc_id", "text", "begins").mapInArrow(_rewritten(window), "id long, new string").dropDuplicates(["id"])
+    _, copies, repeats = _found(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), window)
+    changed = repeats.select("doc_id", "text", "begins").mapInArrow(_rewritten(window), "id long, new string").dropDuplicates(["id"])
     changed = changed.unionByName(copies.select(F.col("doc_id").alias("id"), F.lit("").alias("new")).distinct())
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     text = F.coalesce(F.col("new").cast(docs.schema[text_col].dataType), F.col(f"row.`{text_col}`"))

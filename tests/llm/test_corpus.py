@@ -424,6 +424,20 @@ def test_substrings_without_filters(spark, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(table(spark, texts)).collect()} == want
 
 
+def test_repeats_are_compared(spark, monkeypatch):
+    """Where names of different windows collide, nothing is removed: the words are compared, and it is an error."""
+    rng = random.Random(23)
+    texts = [prose(rng, 60) for _ in range(4)]
+    texts.append(texts[0][:200] + " " + texts[1][:200])
+    docs = table(spark, texts)
+    assert substrings.remove_repeats(docs).where("n_removed > 0").count() == 1
+    repeats = spark.createDataFrame([(2, texts[2], [0, 1, 30], [0, 0, 0])], "doc_id long, text string, begins array<int>, firsts array<long>")
+    with pytest.raises(RuntimeError):
+        substrings._compare(docs, repeats, 13)
+    good = spark.createDataFrame([(4, texts[4], [0, 1, 2], [0, 0, 0])], "doc_id long, text string, begins array<int>, firsts array<long>")
+    substrings._compare(docs, good, 13)
+
+
 def test_symbols():
     """Equal windows have equal symbols wherever they stand, levels go on until none fits, and each new symbol spans words of its reach."""
     rng = random.Random(2)

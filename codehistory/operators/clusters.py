@@ -49,18 +49,19 @@ def cluster_stats(files: DataFrame, edges: DataFrame, commits: DataFrame) -> Dat
 
 def file_stats(files: DataFrame, edges: DataFrame) -> DataFrame:
     """A row for each file in its cluster: shares of churn and effort, ratios, coupling beyond the cluster, top partner, day of birth."""
-    own = Window.partitionBy("repo", "cluster_id")
-    out = files.join(cochange.outside(edges, files), ["repo", "path"], "left")
+    # sums come from a grouping, as files without a cluster can be most of a repository
+    own = files.groupBy("repo", "cluster_id").agg(F.sum("churn").alias("all_churn"), F.sum("dev_days").alias("all_days"))
+    out = files.join(cochange.outside(edges, files), ["repo", "path"], "left").join(own, ["repo", "cluster_id"])
     return out.select(
-        "repo", "cluster_id", "path", "churn", C.ratio(F.col("churn"), F.sum("churn").over(own), 3).alias("share"), "rework", "rework_per_line", "debt", "per_commit", "devs", "dev_days",
-        C.ratio(F.col("dev_days"), F.sum("dev_days").over(own), 3).alias("effort"), "growth", F.coalesce("outside", F.lit(0.0)).alias("outside"), F.coalesce("partner", F.lit("")).alias("partner"), F.substring("born", 1, 10).alias("born"),
+        "repo", "cluster_id", "path", "churn", C.ratio(F.col("churn"), F.col("all_churn"), 3).alias("share"), "rework", "rework_per_line", "debt", "per_commit", "devs", "dev_days",
+        C.ratio(F.col("dev_days"), F.col("all_days"), 3).alias("effort"), "growth", F.coalesce("outside", F.lit(0.0)).alias("outside"), F.coalesce("partner", F.lit("")).alias("partner"), F.substring("born", 1, 10).alias("born"),
     )
 
 
 def hot(files: DataFrame, metric: str, percent: float = 10.0) -> DataFrame:
     """Files with a metric, whether it is in the top percent of its cluster (by the linear quantile), and how many of the cluster have none."""
-    own = Window.partitionBy("repo", "cluster_id")
-    rows = files.withColumn("cut", F.percentile(metric, 1 - percent / 100).over(own)).withColumn("dropped", F.count_if(F.col(metric).isNull()).over(own))
+    own = files.groupBy("repo", "cluster_id").agg(F.percentile(metric, 1 - percent / 100).alias("cut"), F.count_if(F.col(metric).isNull()).alias("dropped"))
+    rows = files.join(own, ["repo", "cluster_id"])
     return rows.where(F.col(metric).isNotNull()).select("repo", "cluster_id", "path", F.col(metric).cast("double").alias("value"), (F.col(metric) >= F.col("cut") - 1e-9).alias("hot"), "dropped")
 
 

@@ -7,19 +7,25 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
+#: Moves and levels end when all repositories together gain less modularity than this.
+LEAST_GAIN = 1e-6
+#: Rounds after which a loop that has not ended is an error.
+MOST_ROUNDS = 200
 
-def _moves(edges: DataFrame, rounds: int) -> DataFrame:
-    """(repo, node, comm) after moves of single nodes. Edges are both ways; a loop (a = b) holds twice its weight.
+
+def _moves(edges: DataFrame) -> tuple[DataFrame, float]:
+    """(repo, node, comm) after moves of single nodes, and the modularity gained. Edges are both ways; a loop (a = b) holds twice its weight.
 
     In each round one half of the nodes, by a hash, may move to the neighbouring community
     with the best gain of modularity, so that two nodes do not swap places for ever; a lone
-    node joins another lone one only towards the smaller name.
+    node joins another lone one only towards the smaller name. Rounds go on until neither
+    half gains anything.
     """
     degree = edges.groupBy("repo", F.col("a").alias("node")).agg(F.sum("weight").alias("k"))
     total = degree.groupBy("repo").agg(F.sum("k").alias("m2"))
     state = cut(degree.join(total, "repo").select("repo", "node", F.col("node").alias("comm"), "k", "m2"))
-    quiet = 0
-    for turn in range(rounds):
+    values: list[float] = []
+    for turn in range(MOST_ROUNDS):
         size = state.groupBy("repo", "comm").agg(F.sum("k").alias("tot"), F.count("*").alias("n"))
         near = state.select("repo", F.col("node").alias("b"), F.col("comm").alias("to"))
         links = edges.join(near, ["repo", "b"]).groupBy("repo", F.col("a").alias("node"), "to").agg(F.sum(F.when(F.col("a") != F.col("b"), F.col("weight")).otherwise(0)).alias("w"))
@@ -34,53 +40,64 @@ def _moves(edges: DataFrame, rounds: int) -> DataFrame:
         )
         go = (-F.col("best.loss") > F.col("w_own") + F.col("stay") + 1e-6) & (F.pmod(F.xxhash64("repo", "node"), F.lit(2)) == turn % 2)
         moved = F.coalesce(go, F.lit(False))
-        state = cut(best.select("repo", "node", F.when(moved, F.col("best.to")).otherwise(F.col("comm")).alias("comm"), "k", "m2", moved.alias("moved")))
-        quiet = 0 if state.where("moved").head(1) else quiet + 1
-        state = state.drop("moved")
-        if quiet == 2:
+        # modularity before the moves of this round: what lies inside communities less what chance puts there
+        expected = size.join(total, "repo").agg(F.sum((F.col("tot") / F.col("m2")) ** 2)).first()[0] or 0.0
+        after = cut(best.select("repo", "node", F.when(moved, F.col("best.to")).otherwise(F.col("comm")).alias("comm"), "k", "m2", (F.col("w_own") / F.col("m2")).alias("inside")))
+        values.append((after.agg(F.sum("inside")).first()[0] or 0.0) - expected)
+        if turn > 1 and values[-1] - values[-3] < LEAST_GAIN:
             break
-    return state.select("repo", "node", "comm")
+        state = after.drop("inside")
+    else:
+        raise RuntimeError(f"moves did not settle in {MOST_ROUNDS} rounds")
+    return state.select("repo", "node", "comm"), values[-1] - values[0]
 
 
-def louvain(edges: DataFrame, rounds: int = 8, levels: int = 4) -> DataFrame:
+def louvain(edges: DataFrame) -> DataFrame:
     """(repo, path, comm) of every linked file of a co-change graph (repo, a, b, weight), comm being a name in it.
 
-    Levels of moves and contraction follow Blondel et al. 2008. A level that joins nothing ends.
+    Levels of moves and contraction follow Blondel et al. 2008, until a level gains nothing.
     """
     now = cut(edges.select("repo", "a", "b", F.col("weight").cast("double")).unionByName(edges.select("repo", F.col("b").alias("a"), F.col("a").alias("b"), F.col("weight").cast("double"))))
     placed = None
-    for _ in range(levels):
-        moved = cut(_moves(now, rounds))
+    for _ in range(MOST_ROUNDS):
+        moved, gain = _moves(now)
+        if placed is not None and gain < LEAST_GAIN:
+            return placed
+        moved = cut(moved)
         placed = cut(moved.select("repo", F.col("node").alias("path"), "comm") if placed is None else placed.join(moved.select("repo", F.col("node").alias("comm"), F.col("comm").alias("next")), ["repo", "comm"]).select("repo", "path", F.col("next").alias("comm")))
-        n = moved.select("repo", "comm").distinct().count()
-        if n == moved.count():
-            break
+        if gain < LEAST_GAIN:
+            return placed
         a, b = (moved.withColumnsRenamed({"node": x, "comm": f"c{x}"}) for x in "ab")
         now = cut(now.join(a, ["repo", "a"]).join(b, ["repo", "b"]).groupBy("repo", F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("weight").alias("weight")))
-    return placed
+    raise RuntimeError(f"levels did not settle in {MOST_ROUNDS} rounds")
 
 
-def connected(placed: DataFrame, edges: DataFrame) -> DataFrame:
-    """Communities cut into their connected parts, each named by its smallest file."""
-    p = placed.select("repo", F.col("path").alias("a"), F.col("comm").alias("ca"))
-    q = placed.select("repo", F.col("path").alias("b"), F.col("comm").alias("cb"))
-    inside = edges.join(p, ["repo", "a"]).join(q, ["repo", "b"]).where("ca = cb").select("repo", "a", "b")
+def _parts(inside: DataFrame, paths: DataFrame) -> DataFrame:
+    """(repo, path, label): the smallest file that edges (repo, a, b) lead to from each."""
     both = cut(inside.union(inside.select("repo", "b", "a")))
-    label = cut(placed.select("repo", "path", F.col("path").alias("label")))
-    for _ in range(50):
+    label = cut(paths.select("repo", "path", F.col("path").alias("label")))
+    for _ in range(MOST_ROUNDS):
         near = both.join(label.withColumnRenamed("path", "b"), ["repo", "b"]).groupBy("repo", F.col("a").alias("path")).agg(F.min("label").alias("near"))
         step = label.join(near, ["repo", "path"], "left").select("repo", "path", F.least("label", F.coalesce("near", "label")).alias("to"), "label")
         ahead = step.select("repo", F.col("path").alias("to"), F.col("to").alias("next"))
         nxt = cut(step.join(ahead, ["repo", "to"], "left").select("repo", "path", F.coalesce("next", "to").alias("new"), "label"))
         if not nxt.where("new <> label").head(1):
-            break
+            return label
         label = nxt.select("repo", "path", F.col("new").alias("label"))
-    return label
+    raise RuntimeError(f"parts did not settle in {MOST_ROUNDS} rounds")
 
 
-def clusters(edges: DataFrame, files: DataFrame, rounds: int = 8) -> DataFrame:
+def connected(placed: DataFrame, edges: DataFrame) -> DataFrame:
+    """Communities cut into their connected parts, each named by its smallest file."""
+    p = placed.select("repo", F.col("path").alias("a"), F.col("comm").alias("ca"))
+    q = placed.select("repo", F.col("path").alias("b"), F.col("comm").alias("cb"))
+    inside = edges.join(p, ["repo", "a"]).join(q, ["repo", "b"]).where("ca = cb").select("repo", "a", "b")
+    return _parts(inside, placed)
+
+
+def clusters(edges: DataFrame, files: DataFrame) -> DataFrame:
     """(repo, path, cluster_id) of every file: ids by falling churn then smallest path from 0, files without edges -1."""
-    label = connected(louvain(edges, rounds), edges)
+    label = connected(louvain(edges), edges)
     size = files.select("repo", "path", "churn").join(label, ["repo", "path"]).groupBy("repo", "label").agg(F.sum("churn").alias("churn"), F.min("path").alias("first"))
     ids = size.withColumn("cluster_id", (F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("churn"), "first")) - 1).cast("long"))
     found = label.join(ids.select("repo", "label", "cluster_id"), ["repo", "label"]).select("repo", "path", "cluster_id")
@@ -95,3 +112,24 @@ def modularity(edges: DataFrame, placed: DataFrame, label: str = "cluster_id") -
     tot = rows.select("repo", F.explode(F.array("ca", "cb")).alias("c"), "weight").groupBy("repo", "c").agg(F.sum("weight").alias("tot"))
     square = tot.join(m, "repo").groupBy("repo").agg(F.sum((F.col("tot") / (2 * F.col("m"))) ** 2).alias("expected"))
     return m.join(square, "repo").select("repo", (F.col("inside") / F.col("m") - F.col("expected")).alias("modularity"))
+
+
+def checks(edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """A row for each repository that says whether clusters (repo, path, cluster_id) of a graph keep what they must.
+
+    linked: files with an edge; placed, loose: files with and without a cluster; misplaced:
+    files of which only one of both holds; broken: clusters that are not connected; crossing:
+    clusters in several components; as_good: whether their modularity reaches that of the
+    components.
+    """
+    ends = edges.select("repo", F.explode(F.array("a", "b")).alias("path")).distinct().withColumn("linked", F.lit(True))
+    rows = placed.join(ends, ["repo", "path"], "left").withColumn("in", F.col("cluster_id") >= 0)
+    base = rows.groupBy("repo").agg(
+        F.count_if("linked").alias("linked"), F.count_if("in").alias("placed"), F.count_if(~F.col("in")).alias("loose"), F.count_if(F.coalesce("linked", F.lit(False)) != F.col("in")).alias("misplaced")
+    )
+    own = placed.where("cluster_id >= 0")
+    whole = cut(_parts(edges.select("repo", "a", "b"), own))
+    split = connected(own.select("repo", "path", F.col("cluster_id").cast("string").alias("comm")), edges)
+    count = lambda labels, name: own.join(labels, ["repo", "path"]).select("repo", "cluster_id", "label").distinct().groupBy("repo", "cluster_id").agg(F.count("*").alias("n")).groupBy("repo").agg(F.count_if(F.col("n") > 1).alias(name))
+    better = modularity(edges, own).join(modularity(edges, whole, "label").withColumnRenamed("modularity", "whole"), "repo").select("repo", (F.col("modularity") >= F.col("whole") - 1e-9).alias("as_good"))
+    return base.join(count(split, "broken"), "repo", "left").join(count(whole, "crossing"), "repo", "left").join(better, "repo", "left").fillna(0, ["broken", "crossing"])

@@ -17,15 +17,8 @@ def mail_key(email: Column) -> Column:
     return F.regexp_replace(local, "[^a-z0-9]", "")
 
 
-def people(commits: DataFrame, scope: tuple[str, ...] = ("repo",)) -> DataFrame:
-    """(scope, author, person): identities with the same letters in their name or the same mail name are one person, transitively.
-
-    Name and mail keys are a bipartite graph; the least label spreads along it and jumps
-    ahead through the label's own label, until a round changes nothing. The displayed name is
-    spaced before not, with capitals before without, then longer, then greater.
-    """
-    pairs = commits.select(*scope, "author", "email").distinct().select(*scope, "author", name_key(F.col("author")).alias("name"), mail_key(F.col("email")).alias("mail"))
-    edges = cut(pairs.select(*scope, "name", "mail").distinct())
+def _spread(edges: DataFrame, scope: tuple[str, ...]) -> DataFrame:
+    """(scope, name, label): the least name that mails lead to from each."""
     label = edges.groupBy(*scope, "name").agg(F.min("name").alias("label"))
     before = None
     for _ in range(50):
@@ -35,10 +28,26 @@ def people(commits: DataFrame, scope: tuple[str, ...] = ("repo",)) -> DataFrame:
         label = cut(near.join(ahead, [*scope, "label"], "left").select(*scope, "name", F.coalesce("next", "label").alias("label")))
         now = label.agg(F.coalesce(F.sum(F.xxhash64(*scope, "name", "label").cast("decimal(38,0)")), F.lit(0))).first()[0]
         if now == before:
-            break
+            return label
         before = now
-    else:
-        raise RuntimeError("identities did not settle in 50 rounds")
+    raise RuntimeError("identities did not settle in 50 rounds")
+
+
+def people(commits: DataFrame, scope: tuple[str, ...] = ("repo",)) -> DataFrame:
+    """(scope, author, person): identities with the same letters in their name or the same mail name are one person, transitively.
+
+    Name and mail keys are a bipartite graph; the least label spreads along it and jumps
+    ahead through the label's own label, until a round changes nothing. The displayed name is
+    spaced before not, with capitals before without, then longer, then greater.
+    """
+    pairs = commits.select(*scope, "author", "email").distinct().select(*scope, "author", name_key(F.col("author")).alias("name"), mail_key(F.col("email")).alias("mail"))
+    edges = pairs.select(*scope, "name", "mail").distinct()
+    mails = edges.groupBy(*scope, "name").agg(F.count("*").alias("mails"))
+    names = edges.groupBy(*scope, "mail").agg(F.count("*").alias("names"))
+    edges = cut(edges.join(mails, [*scope, "name"]).join(names, [*scope, "mail"]))
+    # a name and a mail that know only each other are settled; the loop is for the others
+    alone = (F.col("mails") == 1) & (F.col("names") == 1)
+    label = edges.where(alone).select(*scope, "name", F.col("name").alias("label")).union(_spread(edges.where(~alone).select(*scope, "name", "mail"), scope))
     named = pairs.select(*scope, "author", "name").distinct().join(label, [*scope, "name"])
     rank = F.struct(F.col("author").contains(" ").alias("spaced"), (F.col("author") != F.lower("author")).alias("capital"), F.length("author").alias("n"), "author")
     best = named.groupBy(*scope, "label").agg(F.max_by("author", rank).alias("person"))

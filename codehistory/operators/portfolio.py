@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.columns import KINDS, PRODUCT
 from ..params import Params
-from . import effort
-from .facts import person_days, with_age
+from . import cochange, communities, effort
+from .clusters import cluster_table
+from .facts import file_table, person_days, with_age, with_people
+from .lineage import cut
 
 
 def summarise(files: DataFrame, clusters: DataFrame, commits: DataFrame, params: Params | None = None) -> DataFrame:
@@ -47,10 +49,19 @@ def summarise(files: DataFrame, clusters: DataFrame, commits: DataFrame, params:
     return out
 
 
+def _shares(rows: DataFrame) -> DataFrame:
+    """Summary rows with the exact shares of infrastructure and tests in their days, null without days."""
+    total = F.nullif(sum((F.col(c) for c in list(KINDS.values())[1:]), F.col("days_build")), F.lit(0.0))
+    return rows.withColumns({"infra": (F.col("days_build") + F.col("days_config")) / total, "tests": F.col("days_tests") / total})
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: C.rint(F.col(c), 3) for c in ("infra", "tests")})
+
+
 def shares(rows: DataFrame) -> DataFrame:
-    """Summary rows with the shares of infrastructure and tests in their days, null without days."""
-    total = sum((F.col(c) for c in list(KINDS.values())[1:]), F.col("days_build"))
-    return rows.withColumns({"infra": C.ratio(F.col("days_build") + F.col("days_config"), total, 3), "tests": C.ratio(F.col("days_tests"), total, 3)})
+    """Summary rows with the shares of infrastructure and tests in their days, rounded, null without days."""
+    return _rounded(_shares(rows))
 
 
 def totals(rows: DataFrame) -> DataFrame:
@@ -72,7 +83,8 @@ def effort_sinks(rows: DataFrame, n: int = 6) -> DataFrame:
 
 
 def infra_heavy(rows: DataFrame, n: int = 6, share: float = 0.25, days: int = 20) -> DataFrame:
-    return _top(shares(rows).where((F.col("infra") > share) & (F.col("dev_days") >= days)), "infra", n).select("repo", "dev_days", "infra")
+    """Repositories with more than a share of infrastructure. Shares are compared and ordered as they are, and rounded for display."""
+    return _rounded(_top(_shares(rows).where((F.col("infra") > share) & (F.col("dev_days") >= days)), "infra", n)).select("repo", "dev_days", "infra")
 
 
 def redesign_candidates(rows: DataFrame, n: int = 6) -> DataFrame:
@@ -80,7 +92,8 @@ def redesign_candidates(rows: DataFrame, n: int = 6) -> DataFrame:
 
 
 def thin_on_tests(rows: DataFrame, n: int = 6, share: float = 0.01, days: int = 50) -> DataFrame:
-    return _top(shares(rows).where((F.col("tests") < share) & (F.col("dev_days") >= days)), "dev_days", n).select("repo", "dev_days", "tests", "solo_share")
+    """Busy repositories with less than a share of tests, compared as it is and rounded for display."""
+    return _rounded(_top(_shares(rows).where((F.col("tests") < share) & (F.col("dev_days") >= days)), "dev_days", n)).select("repo", "dev_days", "tests", "solo_share")
 
 
 def new_and_rewritten(rows: DataFrame, n: int = 6) -> DataFrame:
@@ -91,3 +104,21 @@ def new_and_rewritten(rows: DataFrame, n: int = 6) -> DataFrame:
 def ranking(rows: DataFrame, by: str = "dev_days") -> DataFrame:
     """All repositories in the order of a column, those without it last."""
     return rows.orderBy(F.desc_nulls_last(by), "repo")
+
+
+def analyze(commits: DataFrame, lines: DataFrame, births: DataFrame, params: Params | None = None) -> DataFrame:
+    """The whole job: the summary row of each repository of clean commit-file facts.
+
+    Args:
+        commits: (repo, sha, date, author, email, subject, path, added, deleted, churn, day, month) without automation.
+        lines, births: (repo, path, lines) and (repo, path, born).
+
+    Identities are merged, files counted, the co-change graph is built and clustered, and
+    everything is summed up by repository. A repository without commits has no row.
+    """
+    facts = cut(with_people(commits))
+    edges = cut(cochange.edges(facts, params))
+    loose = cut(file_table(facts, lines, births))
+    placed = cut(communities.clusters(edges, loose))
+    files = cut(loose.drop("cluster_id").join(placed, ["repo", "path"]))
+    return summarise(files, cluster_table(files, facts), facts, params)

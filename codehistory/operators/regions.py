@@ -21,17 +21,16 @@ def region_stats(hunks: DataFrame, top: int = 30) -> DataFrame:
     rows = symbols(hunks)
     key = [*KEY, "symbol"]
     base = rows.groupBy(*key).agg(
-        F.sum("churn").alias("churn"), F.sum("rework").alias("rework"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.count("*").alias("edits"), F.max("date").alias("last"), F.max(F.length("region")).alias("longest")
-    )
-    sign = rows.groupBy(*key, "region").agg(F.min("date").alias("seen")).groupBy(*key).agg(F.min_by("region", F.struct((-F.length("region")).alias("n"), "region")).alias("signature"))
-    commits = rows.select(*key, "sha").distinct().groupBy(*key).agg(F.count("*").alias("commits"))
+        F.sum("churn").alias("churn"), F.sum("rework").alias("rework"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.count("*").alias("edits"), F.max("date").alias("last"),
+        F.count_distinct("sha").alias("commits"), F.min_by("region", F.struct((-F.length("region")).alias("n"), "region")).alias("signature"),
+    )
     people = rows.groupBy(*key, "person").agg(F.count("*").alias("n"))
     owner = people.groupBy(*key).agg(F.count("person").alias("authors"), F.min_by("person", F.struct((-F.col("n")).alias("n"), "person")).alias("owner"), C.ratio(F.max("n"), F.sum("n")).alias("owner_share"))
-    out = base.join(sign, key).join(commits, key).join(owner, key)
+    out = base.join(owner, key)
     file = Window.partitionBy(*KEY)
     out = out.withColumns({"share": C.ratio(F.col("churn"), F.sum("churn").over(file), 3), "growth": C.ratio(F.col("added") - F.col("removed"), F.col("churn")), "signature": F.when(F.col("signature") == "", F.col("symbol")).otherwise(F.col("signature")), "last": C.month(F.col("last"))})
     ranked = out.withColumn("rank", F.row_number().over(file.orderBy(F.desc("rework"), F.desc("churn"), "symbol"))).where(F.col("rank") <= top)
-    return ranked.drop("added", "removed", "longest").withColumnRenamed("symbol", "region")
+    return ranked.drop("added", "removed").withColumnRenamed("symbol", "region")
 
 
 def unnamed_share(hunks: DataFrame) -> DataFrame:

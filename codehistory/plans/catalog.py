@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -184,10 +184,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("s4_hunk_log", f"select repo, path, sha, date, author, hunk_no, trim(region) as region, added, removed, added + removed as churn from ({A.HUNK_SQL}) h where lower(author) not like '%bot%'")
 def _(t: Tables) -> DataFrame:
-    """Patch text to one row for each hunk."""
+    """Patch text to one row for each hunk, with deleted files and quoted paths."""
     h = A.raw_hunks(t.spark, t.dir)
     head = F.concat_ws("\t", "sha", "date", "author", "email", "subject")
-    value = F.format_string("%s\ndiff --git a/%s b/%s\n--- a/%s\n+++ b/%s\n@@ -%d,%d +%d,%d @@ %s", head, "path", "path", "path", "path", F.col("hunk_no") * 0 + 1, "removed", F.col("hunk_no") * 0 + 1, "added", "region")
+    # every third hunk is printed as one of a deleted file, every third with quoted paths
+    kind = F.pmod("hunk_no", F.lit(3))
+    side = lambda x: F.when(kind == 1, F.concat(F.lit(f'"{x}/'), F.regexp_replace("path", "e", r"\\145"), F.lit('"'))).otherwise(F.concat(F.lit(f"{x}/"), "path"))
+    value = F.format_string("%s\ndiff --git %s %s\n--- %s\n+++ %s\n@@ -%d,%d +%d,%d @@ %s", head, side("a"), side("b"), side("a"), F.when(kind == 2, "/dev/null").otherwise(side("b")), F.lit(1), "removed", F.lit(1), "added", "region")
     found = logs.parse_hunks(h.select(F.concat_ws("|", "repo", F.col("hunk_no").cast("string")).alias("repo"), value.alias("value")))
     return found.select(F.split("repo", "[|]")[0].alias("repo"), "path", "sha", "date", "author", F.split("repo", "[|]")[1].cast("long").alias("hunk_no"), "region", "added", "removed", "churn")
 
@@ -337,6 +340,12 @@ def _(t: Tables) -> DataFrame:
     return facts.history(t.commits, "org/nation_1", "mod1/docs/f1.py").drop("date")
 
 
+@query("t10_by_churn", f"{_FILES} select repo, path, churn from (select *, row_number() over (partition by repo order by churn desc, path) as r from files where lines >= 0) x where r <= 5")
+def _(t: Tables) -> DataFrame:
+    """Live files by churn."""
+    return facts.top_files(t.files, "churn", 5).select("repo", "path", "churn")
+
+
 @query("t10_most_churned_files", f"{_FILES} select repo, path, density from (select *, row_number() over (partition by repo order by density desc, path) as r from files where lines >= 100 and density is not null) x where r <= 5")
 def _(t: Tables) -> DataFrame:
     """Live files of 100 lines and more by density."""
@@ -370,6 +379,16 @@ def _(t: Tables) -> DataFrame:
     return communities.clusters(t.edges, t.files)
 
 
+@query(
+    "g3_checks",
+    f"{_RAW}, {_EDGES}, l as (select repo, count(distinct path) as n from (select repo, a as path from edges union all select repo, b from edges) e group by repo), f as (select repo, count(distinct path) as n from kept group by repo) "
+    "select f.repo, coalesce(l.n, 0) as linked, coalesce(l.n, 0) as placed, f.n - coalesce(l.n, 0) as loose, cast(0 as bigint) as misplaced, cast(0 as bigint) as broken, cast(0 as bigint) as crossing, case when l.n is not null then true end as as_good from f left join l on l.repo = f.repo",
+)
+def _(t: Tables) -> DataFrame:
+    """What clusters must keep, whatever their labels."""
+    return communities.checks(t.edges, cut(communities.clusters(t.edges, t.files)))
+
+
 @query("g4_people", f"{_RAW}, {_people('org', 'kept', ())} select distinct author, person from org_ranked")
 def _(t: Tables) -> DataFrame:
     """One name for each human, over all repositories."""
@@ -508,6 +527,18 @@ def _(t: Tables) -> DataFrame:
     return clusters.hot(t.files, "density")
 
 
+@query("w1_hot_by_rework", f"{_FILES} select f.repo, f.cluster_id, f.path, cast(f.rework as double) as value, f.rework >= q.cut - 1e-9 as hot, q.dropped from files f join (select repo, cluster_id, quantile_cont(rework, 0.9) as cut, sum(cast(rework is null as int)) as dropped from files group by repo, cluster_id) q on q.repo = f.repo and q.cluster_id = f.cluster_id where f.rework is not null")
+def _(t: Tables) -> DataFrame:
+    """Files in the top tenth of their cluster by rework."""
+    return clusters.hot(t.files, "rework")
+
+
+@query("w1_hot_by_churn", f"{_FILES} select f.repo, f.cluster_id, f.path, cast(f.churn as double) as value, f.churn >= q.cut - 1e-9 as hot, q.dropped from files f join (select repo, cluster_id, quantile_cont(churn, 0.9) as cut, sum(cast(churn is null as int)) as dropped from files group by repo, cluster_id) q on q.repo = f.repo and q.cluster_id = f.cluster_id where f.churn is not null")
+def _(t: Tables) -> DataFrame:
+    """Files in the top tenth of their cluster by churn."""
+    return clusters.hot(t.files, "churn")
+
+
 @query(
     "a24_cluster_screen",
     f"{_FILES}, {_CLUSTER}, g as (select repo, cast(sum(churn) as bigint) as churn, cast(floor(100.0 * sum(cast(cluster_id = -1 as int)) / count(*)) as bigint) as unclustered, first(path order by churn desc, path) as biggest, {_ratio('max(churn)', 'sum(churn)')} as biggest_share from files group by repo), n as (select repo, count(*) as clusters, sum(cast(num_modules > 1 as int)) as cross_module from clusters where cluster_id <> -1 group by repo), w as (select repo, count(distinct sha) as commits, count(distinct author) as authors, count(distinct (person, day)) as dev_days from c group by repo) select g.*, n.clusters, n.cross_module, w.commits, w.authors, w.dev_days from g join n on n.repo = g.repo join w on w.repo = g.repo",
@@ -625,7 +656,7 @@ so as (select repo, {_ratio('max(n)', 'sum(n)')} as solo_share from (select repo
 b as (select distinct person, day, repo, path, kind from c), ks as (select repo, {', '.join(_r(c, 1) + ' as ' + c for c in _DAYS.values())} from ({_SPLIT('repo', 'repo, person, day').replace('select repo, repo,', 'select repo,')}) s),
 summary as materialized (select g.*, n.num_clusters, n.cross_module, tm.top_module, w.total_commits, w.devs, w.dev_days, so.solo_share, {', '.join('ks.' + c for c in _DAYS.values())} from g join n on n.repo = g.repo join tm on tm.repo = g.repo join w on w.repo = g.repo join so on so.repo = g.repo join ks on ks.repo = g.repo)"""
 _TOTAL = "(days_build + days_config + days_tests + days_docs + days_product)"
-_PART = f"part as (select *, {_ratio('days_build + days_config', _TOTAL, 3)} as infra, {_ratio('days_tests', _TOTAL, 3)} as tests from summary)"
+_PART = f"part as (select *, {_ratio('days_build + days_config', _TOTAL, 3)} as infra, {_ratio('days_tests', _TOTAL, 3)} as tests, (days_build + days_config) / nullif({_TOTAL}, 0) as infra_exact, days_tests / nullif({_TOTAL}, 0) as tests_exact from summary)"
 
 
 @query("a13_repo_summary", f"{_SUMMARY} select * from summary")
@@ -634,6 +665,17 @@ def _(t: Tables) -> DataFrame:
     return t.summary
 
 
+_UNCLUSTERED = ("repo", "total_churn", "num_files", "lines_now", "density", "rework", "rework_density", "top_effort_file", "top_effort_days", "top_debt_file", "top_debt", "new_files", "new_rework", "top_new_file", "total_commits", "devs", "dev_days", "solo_share", *_DAYS.values())
+
+
+@query("job_analyze", f"{_SUMMARY} select {', '.join(_UNCLUSTERED)}, true as clustered from summary")
+def _(t: Tables) -> DataFrame:
+    """The whole job from log text to summaries, with its own clusters; what depends on their labels is only asked to be there."""
+    kept = facts.clean(logs.parse_numstat(_printed(t)).drop("churn"))
+    done = portfolio.analyze(kept, t.lines, t.births)
+    return done.select(*_UNCLUSTERED, ((F.col("num_clusters") > 0) & F.col("top_module").isNotNull()).alias("clustered"))
+
+
 @query("a22_portfolio_totals", f"{_SUMMARY} select {', '.join(_r(f'sum({c})', 1) + ' as ' + c for c in _DAYS.values())}, {_ratio('sum(days_build) + sum(days_config)', f'sum({_TOTAL})')} as infra, {_ratio('sum(days_tests)', f'sum({_TOTAL})', 3)} as tests, {_ratio('sum(rework)', 'sum(total_churn)')} as rework, cast(sum(devs) as bigint) as memberships, {_ratio('sum(new_rework)', 'greatest(1, sum(rework))')} as new_share from summary")
 def _(t: Tables) -> DataFrame:
     """All repositories in figures."""
@@ -652,7 +694,7 @@ def _(t: Tables) -> DataFrame:
     return portfolio.effort_sinks(t.summary)
 
 
-@query("t2_infra_heavy", f"{_SUMMARY}, {_PART} select repo, dev_days, infra from part where infra > 0.15 and dev_days >= 20 order by infra desc, repo limit 6")
+@query("t2_infra_heavy", f"{_SUMMARY}, {_PART} select repo, dev_days, infra from part where infra_exact > 0.15 and dev_days >= 20 order by infra_exact desc, repo limit 6")
 def _(t: Tables) -> DataFrame:
     """Repositories with much infrastructure, here over 15 percent."""
     return portfolio.infra_heavy(t.summary, share=0.15)
@@ -664,7 +706,7 @@ def _(t: Tables) -> DataFrame:
     return portfolio.redesign_candidates(t.summary)
 
 
-@query("t4_thin_on_tests", f"{_SUMMARY}, {_PART} select repo, dev_days, tests, solo_share from part where tests < 0.1 and dev_days >= 50 order by dev_days desc, repo limit 6")
+@query("t4_thin_on_tests", f"{_SUMMARY}, {_PART} select repo, dev_days, tests, solo_share from part where tests_exact < 0.1 and dev_days >= 50 order by dev_days desc, repo limit 6")
 def _(t: Tables) -> DataFrame:
     """T4: busy repositories with few tests, here under 10 percent."""
     return portfolio.thin_on_tests(t.summary, share=0.1)
@@ -682,13 +724,20 @@ def _(t: Tables) -> DataFrame:
     return portfolio.ranking(t.summary).select("repo", "dev_days", "total_churn", "density", "rework_density")
 
 
+@query("t12_by_density", f"{_SUMMARY} select repo, density, row_number() over (order by density desc nulls last, repo) as place from summary order by density desc nulls last, repo limit 10")
+def _(t: Tables) -> DataFrame:
+    """The first ten repositories by density, with their places."""
+    first = portfolio.ranking(t.summary, "density").limit(10)
+    return first.select("repo", "density", F.row_number().over(Window.orderBy(F.desc_nulls_last("density"), "repo")).cast("long").alias("place"))
+
+
 # --- explorer --------------------------------------------------------------------------
 
 
-@query("p17_narrowed_files", f"{_FILES} select repo, path, kind, rework, lines from files where contains(lower(path), 'mod1/') and kind in ('product code', 'tests') and lines >= 30 and born is not null and rework >= 5")
+@query("p17_narrowed_files", f"{_FILES} select repo, path, kind, rework, lines from files where contains(lower(path), 'mod0/') and kind in ('product code', 'tests') and lines >= 30 and born is not null and rework >= 5")
 def _(t: Tables) -> DataFrame:
     """Files by text, kind, birth, rework and lines."""
-    return explore.narrow(t.files, "MOD1/", kinds=("product code", "tests"), live=True, born=True, min_rework=5, min_lines=30).select("repo", "path", "kind", "rework", "lines")
+    return explore.narrow(t.files, "MOD0/", kinds=("product code", "tests"), live=True, born=True, min_rework=5, min_lines=30).select("repo", "path", "kind", "rework", "lines")
 
 
 @query("t6_explorer_page", f"{_FILES} select repo, path, debt, rework from files order by debt asc nulls last, repo, path limit 40 offset 80")
@@ -697,6 +746,18 @@ def _(t: Tables) -> DataFrame:
     return explore.page(t.files, "debt", descending=False, number=2, size=40).select("repo", "path", "debt", "rework")
 
 
+@query("t6_by_rework", f"{_FILES} select repo, path, rework from files order by rework desc nulls last, repo, path limit 30 offset 30")
+def _(t: Tables) -> DataFrame:
+    """The second page by falling rework."""
+    return explore.page(t.files, "rework", number=1, size=30).select("repo", "path", "rework")
+
+
+@query("t6_by_born", f"{_FILES} select repo, path, born from files order by born desc nulls last, repo, path limit 25")
+def _(t: Tables) -> DataFrame:
+    """The youngest files first; files of unknown birth would be last."""
+    return explore.page(t.files, "born", size=25).select("repo", "path", "born")
+
+
 @query("a21_rework_summary", f"{_FILES} select count(*) as files, count(distinct repo) as repos, cast(sum(rework) as bigint) as rework, {_ratio('sum(rework)', 'sum(churn)')} as of_churn, {_ratio('sum(case when lines is not null then rework end)', 'sum(lines)')} as per_line from files")
 def _(t: Tables) -> DataFrame:
     """Rework of the organisation."""

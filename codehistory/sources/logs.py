@@ -59,14 +59,26 @@ def parse_line_counts(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").rlike(r"^[^:]*:.*:\d+$")).select("repo", part(1).alias("path"), part(2).cast("long").alias("lines"))
 
 
+# Fixed value: a hunk header of a unified diff.
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@ ?(.*)$"
 
 
+def _unquoted(path: Column) -> Column:
+    """A path of a patch without the quotes and escapes (of bytes, in octal) that stand around unusual ones."""
+    named = F.create_map(*(F.lit(x) for pair in (("\\a", "07"), ("\\b", "08"), ("\\t", "09"), ("\\n", "0A"), ("\\v", "0B"), ("\\f", "0C"), ("\\r", "0D"), ('\\"', "22"), ("\\\\", "5C")) for x in pair))
+    parts = F.regexp_extract_all(F.regexp_extract(path, r'^"(.*)"$', 1), F.lit(r"\\[0-7]{3}|\\.|[^\\]+"), F.lit(0))
+    octal = lambda x: F.lpad(F.conv(F.substring(x, 2, 3), 8, 16), 2, "0")
+    bytes_ = F.transform(parts, lambda x: F.when(x.rlike(r"^\\[0-7]{3}$"), octal(x)).when(x.startswith("\\"), F.coalesce(F.try_element_at(named, x), F.hex(F.encode(F.substring(x, 2, 9), "UTF-8")))).otherwise(F.hex(F.encode(x, "UTF-8"))))
+    return F.when(path.rlike(r'^".*"$'), F.decode(F.unhex(F.array_join(bytes_, "")), "UTF-8")).otherwise(path)
+
+
 def parse_hunks(records: DataFrame, params: Params | None = None) -> DataFrame:
-    """A row for each hunk header of (repo, value) records; a missing count is 1. The path is that of the new file."""
+    """A row for each hunk header of (repo, value) records; a missing count is 1. The path is that of the new file, of a deleted one that of the old."""
     p = params or Params()
     files = _headed(records).where(~C.is_bot(F.col("author"), p.ignore_authors)).select("repo", *HEADER, F.explode(F.split("value", "\n(?=diff --git )")).alias("part"))
-    path = F.regexp_extract("part", r"(?m)^\+\+\+ (?:b/)?(.*)$", 1)
+    side = lambda mark: _unquoted(F.regexp_extract("part", rf"(?m)^{mark} (.*?)\t?$", 1))
+    new, old = side(r"\+\+\+"), side("---")
+    path = F.when(new == "/dev/null", F.regexp_replace(old, "^a/", "")).otherwise(F.regexp_replace(new, "^b/", ""))
     lines = files.select("repo", *HEADER, path.alias("path"), F.posexplode(F.filter(F.split("part", "\n"), lambda x: x.startswith("@@ "))).alias("hunk_no", "line"))
     part = lambda i: F.regexp_extract("line", HUNK, i)
     count = lambda i: F.when(part(i) == "", 1).otherwise(part(i).try_cast("long")).cast("long")

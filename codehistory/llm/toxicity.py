@@ -223,5 +223,7 @@ def grade(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows that are not toxic, with all their columns, in one scan; null texts stay unless the thresholds alone reject them."""
-    return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(model), text_col), docs.schema)
+    """The rows that are not toxic, with all their columns, whatever their names, in one scan; null texts stay unless the thresholds alone reject them."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    kept = plain.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(model), f"c{docs.columns.index(text_col)}"), plain.schema)
+    return kept.toDF(*docs.columns)

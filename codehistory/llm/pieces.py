@@ -98,14 +98,16 @@ class Codec:
                 text = source[at : at + n]
             parts.append((text, at))
             at += n
-        end = len(source)
+        end, front = len(source), 0
         if self.rules.remove_extra_whitespaces:
+            # the blank in front stands where the text begins, after blanks that go
+            front = next((at for text, at in parts if text != b" "), 0)
             parts = [(text[i : i + 1], at) for text, at in parts for i in range(len(text))]
             while parts and parts[-1][0] == b" ":
                 end = parts.pop()[1]
             keep = [p for i, p in enumerate(parts) if p[0] != b" " or i and parts[i - 1][0] != b" "]
             parts = keep
-        out = [(space, 0)] if self.rules.add_dummy_prefix and parts else []
+        out = [(space, front)] if self.rules.add_dummy_prefix and parts else []
         out += [(text.replace(b" ", space), at) for text, at in parts]
         return b"".join(t for t, _ in out), np.append(np.repeat([a for _, a in out], [len(t) for t, _ in out]), end).astype(np.int64)
 

@@ -41,6 +41,8 @@ WINDOW = 13
 ROUNDS = 2
 #: Most names that a filter tells apart well, and most ids that are broadcast.
 TOLD_APART, BROADCAST = 1 << 24, 1 << 20
+#: Bytes of text of a step: a step holds the symbols of all levels.
+STEP_BYTES = 1 << 20
 _PART = np.uint64(0x9E3779B97F4A7C15)
 WINDOWS = "one long, two int, doc_id long, at int"
 
@@ -134,7 +136,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in W.steps(batches):
+    for batch in W.steps(batches, most=STEP_BYTES):
         w = W.of(batch.column("text"))
         digest = [hashlib.sha256(x).digest() for x in W.joined_texts(w)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(w.first)), pa.array(digest, pa.binary())], ["doc_id", "n_words", "digest"])
@@ -145,7 +147,7 @@ def _names(window: int, filters_value):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = filters_value.value
-        for batch in W.steps(batches):
+        for batch in W.steps(batches, most=STEP_BYTES):
             w = W.of(batch.column("text"))
             n = len(w.start)
             if not n:
@@ -181,7 +183,7 @@ def _stretches(window: int, filters_value):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = filters_value.value
-        for batch in W.steps(batches):
+        for batch in W.steps(batches, most=STEP_BYTES):
             w = W.of(batch.column("text"))
             alive = _alive(w, _first_levels(w, window, len(filters)), filters, window)
             doc = w.doc
@@ -231,7 +233,7 @@ def _anchored(window: int):
     """The distinct anchors of each stretch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.steps(batches):
+        for batch in W.steps(batches, most=STEP_BYTES):
             w = W.of(batch.column("text"))
             begin, key = anchors(w, window)
             row = w.doc[begin]
@@ -261,7 +263,7 @@ def _windows(window: int, filters_value, named_value=None):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = filters_value.value
-        for batch in W.steps(batches):
+        for batch in W.steps(batches, most=STEP_BYTES):
             w = W.of(batch.column("text"))
             found = _hashed(w, np.flatnonzero(_alive(w, _first_levels(w, window, len(filters)), filters, window)), window, batch)
             yield found if named_value is None else found.filter(pa.array(named_value.value(found.column("one").to_numpy().view(np.uint64))))
@@ -273,7 +275,7 @@ def _anchored_windows(window: int):
     """Windows of stretches whose anchor is shared."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.steps(batches):
+        for batch in W.steps(batches, most=STEP_BYTES):
             w = W.of(batch.column("text"))
             begin, key = anchors(w, window)
             lists = batch.column("anchors")
@@ -298,7 +300,7 @@ def _segments(window: int):
     """The words that are about to go, as stretches that one document is held to have had first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.steps(batches):
+        for batch in W.steps(batches, most=STEP_BYTES):
             w = W.of(batch.column("text"))
             sources: list[np.ndarray] = []
             texts: list[bytes] = []
@@ -318,7 +320,7 @@ def _unsaid(window: int):
     """Documents that lack a window of the words that they are held to have had first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.steps(batches):
+        for batch in W.steps(batches, most=STEP_BYTES):
             texts = W.joined_texts(W.of(batch.column("text")))
             wrong = []
             for i, text in enumerate(texts):
@@ -337,7 +339,7 @@ def _unsaid(window: int):
 
 def _cut(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.steps(batches):
+        for batch in W.steps(batches, most=STEP_BYTES):
             w = W.of(batch.column("text"))
             n, begins = np.diff(w.first), batch.column("begins")
             stay = [_left(w, i, begins[i], window) for i in range(batch.num_rows)]
@@ -352,7 +354,7 @@ def _rewritten(window: int):
     """Texts of (doc_id, text, begins) without the words that repeats cover."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.steps(batches):
+        for batch in W.steps(batches, most=STEP_BYTES):
             begins = batch.column("begins")
             w = W.of(batch.column("text"))
             texts = [W.joined(w, w.first[i] + np.flatnonzero(_left(w, i, begins[i], window))).decode() for i in range(batch.num_rows)]

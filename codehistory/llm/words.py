@@ -199,6 +199,8 @@ def steps(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = S
             b = max(a + 1, int(np.searchsorted(off, off[a] + most, side="right")) - 1)
             yield batch.slice(a, b - a)
             a = b
+        # what Arrow holds of past batches goes back, as a worker lives through many stages
+        pa.default_memory_pool().release_unused()
 
 
 def strings(w: Words, at: np.ndarray) -> list[bytes]:

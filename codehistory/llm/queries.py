@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, ngrams, pieces, quality, quotes, scoring, substrings, tokenfiles, toxicity
+from . import decontam, language, ngrams, periodic, pieces, quality, quotes, scoring, substrings, tokenfiles, toxicity
 
 WHITE = r"[^\x20\x09-\x0D]+"
 
@@ -139,6 +139,53 @@ select n.conv_id, n.turn, coalesce(b.parent, lag(n.turn) over (partition by n.co
 from n left join best b on b.conv_id = n.conv_id and b.turn = n.turn join up on up.conv_id = n.conv_id and up.turn = n.turn
 """
 
+def _repeating(docs: DataFrame) -> DataFrame:
+    """The documents (doc_id, text); one in ten, by the hash of its id, repeats a stretch of its words up to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def again(w: F.Column) -> F.Column:
+        n, g = F.size(w), F.floor(h / 10)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        word = lambda i: F.try_element_at(w, (F.when(i < a, i).otherwise(a + F.pmod(i - a, p)) + 1).cast("int"))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " ")
+
+    # the words are bound once, not cut out anew for each place
+    changed = F.transform(F.array(F.regexp_extract_all("text", F.lit(WHITE), F.lit(0))), lambda w: F.when(F.size(w) > 0, again(w)))[0]
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(_repeating(_table(spark, sf_dir, "documents")))
+    # the greatest length, then the smallest start, then the smallest period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    rows = found.select("*", best.alias("b"))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("b.start")).alias("start"), F.col("b.length").alias("length"), (-F.col("b.period")).alias("period"),
+        F.expr("(1000 * b.length) div -b.period").alias("exponent_milli"), F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), "collapsed_sha256",
+    )
+
+
+OP11_SQL = r"""
+with w0 as materialized (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w, xor(list_reduce(list_concat([cast(4294967295 as bigint)], list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) as h from documents),
+w1 as materialized (select doc_id, w, h, len(w) as n, case when h % 10 = 0 and len(w) > 0 then (h // 10) % len(w) end as a from w0),
+w2 as materialized (select doc_id, w, n, a, 1 + (n - a) // (3 + (h // 10) % 8) as p from w1),
+d as materialized (select doc_id, n, case when a is null then w else list_transform(range(0, n), lambda i: case when i < a then w[i + 1] else w[a + (i - a) % p + 1] end) end as w from w2),
+g as materialized (select doc_id, unnest(range(0, n - 5)) as i, unnest(list_transform(range(1, n - 4), lambda i: hash(w[i:i + 5]))) as h from d where n >= 12),
+often as materialized (select doc_id, h from g group by all having count(*) > 1),
+few as materialized (select g.* from g join often using (doc_id, h)),
+same as (select x.doc_id, x.i, y.i - x.i as p from few x join few y on x.doc_id = y.doc_id and x.h = y.h and x.i < y.i),
+land as (select doc_id, p, i - row_number() over (partition by doc_id, p order by i) as k, i from same),
+cand as (select doc_id, min(i) as start_, p, count(*) + 5 + p as length_ from land group by doc_id, p, k having count(*) + 5 + p >= greatest(12, 2 * p)),
+runs as materialized (select doc_id, start_, length_, min(p) as p from cand group by all),
+gone as (select distinct doc_id, unnest(range(start_ + p, start_ + length_)) as i from runs),
+left_ as (select x.doc_id, string_agg(x.word, ' ' order by x.i) as t from (select doc_id, unnest(w) as word, unnest(range(0, n)) as i from d) x anti join gone on gone.doc_id = x.doc_id and gone.i = x.i group by x.doc_id),
+best as (select doc_id, count(*) as n_runs, string_agg(start_ || ',' || length_ || ',' || p || chr(10), '' order by start_, p) as said, first(struct_pack(s := start_, l := length_, p := p) order by length_ desc, start_, p) as b from runs group by doc_id)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, b.s as start, b.l as length, b.p as period, 1000 * b.l // b.p as exponent_milli, sha256(coalesce(said, '')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
+from d left join best on best.doc_id = d.doc_id left join left_ on left_.doc_id = d.doc_id
+"""
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
@@ -152,6 +199,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_quotation_links": op10_quotation_links,
     "quotations_found_again": quotations_found_again,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
-SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_ngram_join": OP8_SQL, "quotations_found_again": QUOTES_SQL}
+SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_ngram_join": OP8_SQL, "quotations_found_again": QUOTES_SQL, "op11_periodic_runs": OP11_SQL}

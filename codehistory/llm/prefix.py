@@ -53,9 +53,12 @@ class _Sums:
         self.up, self.prime, n = _UP[which], p, len(values)
         self.part = np.zeros(n + 1, np.uint64)
         totals = np.zeros(n // _BLOCK + 1, np.uint64)
+        # terms of small numbers can be summed over a block before they are reduced
+        small = n > 0 and int(values.max()) < _BLOCK
         for k in range(0, n, _BLOCK):
-            v = values[k : k + _BLOCK].astype(np.uint64) % p
-            np.cumsum(v * self.up.low[: len(v)] % p, out=self.part[k + 1 : k + 1 + len(v)])
+            v = values[k : k + _BLOCK].astype(np.uint64)
+            terms = v * self.up.low[: len(v)] if small else v % p * self.up.low[: len(v)] % p
+            np.cumsum(terms, out=self.part[k + 1 : k + 1 + len(v)])
             totals[k // _BLOCK] = self.part[k + len(v)] % p
         self.base = np.append(np.uint64(0), np.cumsum(totals * self.up.blocks(len(totals)) % p) % p)
 

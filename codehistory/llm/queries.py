@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, language, ngrams, periodic, pieces, quality, quotes, scoring, substrings, tokenfiles, toxicity
+from . import decontam, fingerprints, language, ngrams, periodic, phrases, pieces, quality, quotes, scoring, substrings, tokenfiles, toxicity
 
 WHITE = r"[^\x20\x09-\x0D]+"
 
@@ -185,6 +185,36 @@ best as (select doc_id, count(*) as n_runs, string_agg(start_ || ',' || length_
 select d.doc_id, coalesce(n_runs, 0) as n_runs, b.s as start, b.l as length, b.p as period, 1000 * b.l // b.p as exponent_milli, sha256(coalesce(said, '')) as runs_sha256, sha256(coalesce(t, '')) as collapsed_sha256
 from d left join best on best.doc_id = d.doc_id left join left_ on left_.doc_id = d.doc_id
 """
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as t from documents),
+w as materialized (select lang, regexp_extract_all(t, '[^\x20\x09]+') as w from p),
+total as (select lang, cast(sum(len(w)) as bigint) as n from w group by lang),
+g as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (values (1), (2), (3), (4)) ks(k))),
+f as materialized (select lang, k, phrase, count(*) as a from g group by all having count(*) >= 30),
+c as materialized (select lang, k, phrase, a, string_split(phrase, ' ') as w from f where k > 1),
+cut as (select c.*, j, array_to_string(c.w[1:j], ' ') as x, array_to_string(c.w[j + 1:], ' ') as y from c, (values (1), (2), (3)) js(j) where j < k),
+s as (select cut.lang, cut.phrase, cut.k, cut.a, j, x.a as l, y.a as r, cast((cast(2000000 as hugeint) * cut.a) // (x.a + y.a) as bigint) as score from cut join f x on x.lang = cut.lang and x.phrase = cut.x join f y on y.lang = cut.lang and y.phrase = cut.y),
+b as materialized (select lang, phrase, k, a, min(struct_pack(score := score, j := j, l := l, r := r)) as c from s group by all),
+longer as (select lang, array_to_string(w[1:k - 1], ' ') as phrase, a from c union all select lang, array_to_string(w[2:], ' ') as phrase, a from c),
+most as (select lang, phrase, max(a) as more from longer group by all),
+stay as (select b.* from b left join most on most.lang = b.lang and most.phrase = b.phrase where more is null or 100 * more < 80 * b.a),
+ranked as (select *, row_number() over (partition by lang order by c.score desc, a desc, phrase) as rank from stay)
+select ranked.lang, rank, phrase, a, c.l as l, c.r as r, n, c.score as score from ranked join total on total.lang = ranked.lang where rank <= 2000
+"""
+
+
+def _last_third(text: str, following: str) -> str:
+    """A text with its last third replaced by as many characters of the next one, or all of it."""
+    n = len(text) // 3
+    return text[: len(text) - n] + following[:n]
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_edited(_table(spark, sf_dir, "documents"), _last_third)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -200,6 +230,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quotation_links": op10_quotation_links,
     "quotations_found_again": quotations_found_again,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_phrase_mining": op12_phrase_mining,
+    "op13_document_fingerprints": op13_document_fingerprints,
 }
 
-SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_ngram_join": OP8_SQL, "quotations_found_again": QUOTES_SQL, "op11_periodic_runs": OP11_SQL}
+SQL: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_ngram_join": OP8_SQL, "quotations_found_again": QUOTES_SQL, "op11_periodic_runs": OP11_SQL, "op12_phrase_mining": OP12_SQL}

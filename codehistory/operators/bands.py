@@ -17,9 +17,12 @@ def grid(lines: DataFrame, bands: int = 48, span: int = 8, least: int = 2) -> Da
 
 
 def touched(bands: DataFrame, touches: DataFrame, step: int = 64) -> DataFrame:
-    """Distinct commits and the last month of each band. Bands and ranges meet in cells of `step` lines, so the join is on equal keys."""
-    cells = lambda d: d.withColumn("cell", F.explode(F.sequence(F.floor((F.col("start") - 1) / step), F.floor((F.col("end") - 1) / step))))
-    t = cells(touches.where("end >= start").select(*KEY, "start", "end", "sha", "date")).withColumnsRenamed({"start": "from", "end": "to"})
+    """Distinct commits and the last month of each band. Bands and ranges meet in cells of `step` lines, so the join is on equal keys.
+
+    A range that ends before it begins lies between those lines (all of its own are gone) and touches what holds both.
+    """
+    cells = lambda d: d.withColumn("cell", F.explode(F.sequence(F.floor((F.least("start", "end") - 1) / step), F.floor((F.col("end") - 1) / step))))
+    t = cells(touches.where("start is not null and end is not null").select(*KEY, "start", "end", "sha", "date")).withColumnsRenamed({"start": "from", "end": "to"})
     hits = cells(bands.select(*KEY, "start", "end")).join(t, [*KEY, "cell"]).where((F.col("from") <= F.col("end")) & (F.col("to") >= F.col("start"))).select(*KEY, "start", "sha", "date")
     per = hits.groupBy(*KEY, "start", "sha").agg(F.max("date").alias("date")).groupBy(*KEY, "start").agg(F.count("*").alias("commits"), F.max(F.substring("date", 1, 7)).alias("last"))
     return bands.join(per, [*KEY, "start"], "left").select(*KEY, "start", "end", F.coalesce("commits", F.lit(0)).cast("long").alias("commits"), F.coalesce("last", F.lit("")).alias("last"))

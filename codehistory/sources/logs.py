@@ -22,6 +22,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 HEADER = ("sha", "date", "author", "email", "subject")
 
 
+def _place(records: DataFrame) -> list[str]:
+    """The place of a record in its log, if it is known."""
+    return ["position"] if "position" in records.columns else []
+
+
 def _headed(records: DataFrame) -> DataFrame:
     """Records with the fields of their first line; missing ones are empty.
 
@@ -29,7 +34,7 @@ def _headed(records: DataFrame) -> DataFrame:
     """
     parts = F.split(F.substring_index("value", "\n", 1), "\t", 5)
     fields = F.struct(*(F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit("")).alias(k) for i, k in enumerate(HEADER)))
-    return records.select("repo", "value", F.inline(F.array(fields)))
+    return records.select("repo", *_place(records), "value", F.inline(F.array(fields)))
 
 
 def _lines(value: Column) -> Column:
@@ -73,17 +78,19 @@ def _unquoted(path: Column) -> Column:
 
 
 def parse_hunks(records: DataFrame, params: Params | None = None) -> DataFrame:
-    """A row for each hunk header of (repo, value) records; a missing count is 1. The path is that of the new file, of a deleted one that of the old."""
+    """A row for each hunk header of (repo, value) records, with their position if they have one; a missing count is 1. The path is that of the new file, of a deleted one that of the old."""
     p = params or Params()
-    files = _headed(records).where(~C.is_bot(F.col("author"), p.ignore_authors)).select("repo", *HEADER, F.explode(F.split("value", "\n(?=diff --git )")).alias("part"))
+    place = _place(records)
+    files = _headed(records).where(~C.is_bot(F.col("author"), p.ignore_authors)).select("repo", *place, *HEADER, F.explode(F.split("value", "\n(?=diff --git )")).alias("part"))
     side = lambda mark: _unquoted(F.regexp_extract("part", rf"(?m)^{mark} (.*?)\t?$", 1))
     new, old = side(r"\+\+\+"), side("---")
     path = F.when(new == "/dev/null", F.regexp_replace(old, "^a/", "")).otherwise(F.regexp_replace(new, "^b/", ""))
-    lines = files.select("repo", *HEADER, path.alias("path"), F.posexplode(F.filter(F.split("part", "\n"), lambda x: x.startswith("@@ "))).alias("hunk_no", "line"))
+    lines = files.select("repo", *place, *HEADER, path.alias("path"), F.posexplode(F.filter(F.split("part", "\n"), lambda x: x.startswith("@@ "))).alias("hunk_no", "line"))
     part = lambda i: F.regexp_extract("line", HUNK, i)
     count = lambda i: F.when(part(i) == "", 1).otherwise(part(i).try_cast("long")).cast("long")
     rows = lines.where(F.col("line").rlike(HUNK))
-    return rows.select("repo", "path", "sha", "date", "author", "email", "subject", F.col("hunk_no").cast("long").alias("hunk_no"), F.trim(part(5)).alias("region"), count(2).alias("removed"), count(4).alias("added")).withColumn("churn", F.col("added") + F.col("removed"))
+    starts = [part(i).try_cast("long").alias(name) for i, name in ((1, "old_start"), (3, "new_start"))]
+    return rows.select("repo", "path", "sha", "date", "author", "email", "subject", F.col("hunk_no").cast("long").alias("hunk_no"), F.trim(part(5)).alias("region"), count(2).alias("removed"), count(4).alias("added"), *starts, *place).withColumn("churn", F.col("added") + F.col("removed"))
 
 
 def parse_touches(records: DataFrame) -> DataFrame:

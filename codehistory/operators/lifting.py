@@ -15,7 +15,7 @@ blocks of commits and the touches between them; a file of any size is spread ove
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
@@ -40,15 +40,15 @@ def _ordered(hunks: DataFrame) -> DataFrame:
 
 def _functions(hunks: DataFrame) -> DataFrame:
     """Pieces (repo, path, side, block, begin, end, fixed, value) of the two functions of each commit: fixed at a line, or a shift."""
-    following = numbered(hunks, [*FILE, "at"], [F.col("old"), F.col("new")], "no")
+    # hunks of one commit to one file: no more than the file has lines
+    own = Window.partitionBy(*FILE, "at").orderBy("old", "new")
     # the shift behind a hunk holds up to the next one
-    after = following.select(*FILE, "at", (F.col("no") - 1).alias("no"), F.col("old").alias("next"))
-    rows = following.join(after, [*FILE, "at", "no"], "left")
+    rows = hunks.withColumns({"no": F.row_number().over(own), "next": F.lead("old").over(own)})
     piece = lambda begin, end, fixed, low, high: F.struct(begin.cast("long").alias("begin"), end.cast("long").alias("end"), F.lit(fixed).alias("fixed"), low.cast("long").alias("low"), high.cast("long").alias("high"))
     behind = F.col("old") + F.col("removed")
     shift = F.col("new") + F.col("added") - behind
     pieces = F.array(
-        piece(F.lit(0), F.when(F.col("no") == 0, F.col("old")).otherwise(0), False, F.lit(0), F.lit(0)),
+        piece(F.lit(0), F.when(F.col("no") == 1, F.col("old")).otherwise(0), False, F.lit(0), F.lit(0)),
         piece(F.col("old"), behind, True, F.col("new"), F.col("new") + F.col("added") - 1),
         piece(behind, F.coalesce("next", F.lit(END)), False, shift, shift),
     )
@@ -75,7 +75,7 @@ def lift(hunks: DataFrame) -> DataFrame:
     number of commits and hunks.
     """
     placed = _ordered(hunks)
-    pieces = cut(_functions(placed))
+    pieces = _functions(placed)
     touch = placed.select(*FILE, "commits", "sha", "date", F.monotonically_increasing_id().alias("id"), (F.col("at") + 1).alias("next"), "new", (F.col("new") + F.col("added") - 1).alias("last"))
     touch = cut(touch)
     points = touch.select(*FILE, "commits", "id", "next", F.explode(F.map_from_arrays(F.array(F.lit("low"), F.lit("high")), F.array("new", "last"))).alias("side", "line"))
@@ -113,9 +113,9 @@ def lift(hunks: DataFrame) -> DataFrame:
             *FILE, "side", "commits", F.col("pair").alias("block"), begin.alias("begin"), F.least(f["end"], F.col("piece.end") - f["value"]).alias("end"), F.col("piece.fixed").alias("fixed"),
             F.when(F.col("piece.fixed"), d).otherwise(f["value"] + d).alias("value"),
         )
-        points = cut(open_.where(~now).unionByName(moved))
+        points = open_.where(~now).unionByName(moved)
         # functions of more commits are only needed where a file has more
-        pieces = cut(whole.unionByName(inner).where(F.col("commits") > 2 * step))
+        pieces = whole.unionByName(inner).where(F.col("commits") > 2 * step)
         level += 1
     left = points.select("id", "side", "line")
     ends = (left if done is None else done.unionByName(left)).groupBy("id").agg(F.max(F.when(F.col("side") == "low", F.col("line"))).alias("start"), F.max(F.when(F.col("side") == "high", F.col("line"))).alias("end"))

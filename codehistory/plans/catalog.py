@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import bands, clusters, cochange, communities, effort, explore, facts, identity, portfolio, regions
+from ..operators import bands, clusters, cochange, communities, effort, explore, facts, identity, lifting, portfolio, regions
 from ..operators.lineage import cut
 from ..params import Params
 from ..sources import adapters as A
@@ -611,6 +611,40 @@ def _(t: Tables) -> DataFrame:
     return t.bands
 
 
+# one hunk of each commit to a file: taken out and put in by the tables' numbers, at a line that some file has
+_PATCH = f"select repo, path, sha, date, min(1 + hash_ % 97) as old, cast(sum(deleted) % 4 as bigint) as removed, cast(sum(added) % 7 as bigint) as added from (select *, cast(substr(sha, 2) as bigint) * 31 as hash_ from ({A.COMMIT_SQL}) h) x group by repo, path, sha, date"
+
+
+def _patches(t: Tables) -> DataFrame:
+    """A patch log of the tables: the commits of a file in the order of their dates, newest first, each with one hunk."""
+    c = t.raw.withColumn("old", 1 + (F.substring("sha", 2, 20).cast("long") * 31) % 97)
+    c = c.groupBy("repo", "path", "sha", "date").agg(F.min("old").alias("old"), (F.sum("deleted") % 4).alias("removed"), (F.sum("added") % 7).alias("added"), F.min("author").alias("author")).where("added + removed > 0")
+    line = F.format_string("@@ -%d,%d +%d,%d @@", F.col("old") - F.when(F.col("removed") == 0, 1).otherwise(0), "removed", F.col("old") - F.when(F.col("added") == 0, 1).otherwise(0), "added")
+    value = F.concat_ws("\n", F.concat_ws("\t", "sha", "date", "author", F.lit("x@y"), F.lit("s")), F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path"), F.concat(F.lit("--- a/"), "path"), F.concat(F.lit("+++ b/"), "path"), line)
+    # newest first, as a log has it: the greater the date, the smaller the position
+    return c.select("repo", F.struct(F.translate(F.concat("date", "sha"), "0123456789", "9876543210").alias("row")).alias("position"), value.alias("value"))
+
+
+_LIFTED = f"""{_BANDS.replace('with raw', 'with recursive raw')},
+pt as materialized (select *, row_number() over (partition by repo, path order by translate(date || sha, '0123456789', '9876543210') desc) as at_ from ({_PATCH}) q where added + removed > 0),
+up(repo, path, sha, date, at_, low, high) as (select repo, path, sha, date, at_, old, old + added - 1 from pt union all
+  select u.repo, u.path, u.sha, u.date, p.at_, case when u.low < p.old then u.low when u.low < p.old + p.removed then p.old else u.low + p.added - p.removed end, case when u.high < p.old then u.high when u.high < p.old + p.removed then p.old + p.added - 1 else u.high + p.added - p.removed end
+  from up u join pt p on p.repo = u.repo and p.path = u.path and p.at_ = u.at_ + 1),
+lifted as materialized (select repo, path, sha, date, arg_max(low, at_) as start_, arg_max(high, at_) as end_ from up group by all)"""
+
+
+@query("s4_lifted_hunks", f"{_LIFTED} select repo, path, sha, date, start_ as start, end_ as \"end\" from lifted")
+def _(t: Tables) -> DataFrame:
+    """Hunks of a patch log in the line numbers of today."""
+    return lifting.lift(logs.parse_hunks(_patches(t), Params(ignore_authors=()))).select("repo", "path", "sha", "date", "start", "end")
+
+
+@query("b2_from_hunks", f"{_LIFTED} {_COUNT.format(g='gr').replace('tc t', 'lifted t')}".replace("select g.repo, g.path, g.start_, g.end_,", 'select g.repo, g.path, g.start_ as start, g.end_ as "end",'))
+def _(t: Tables) -> DataFrame:
+    """B2 J8 from S4: commits that touch each band, from a patch log alone."""
+    return bands.touched(bands.grid(t.lines, least=50), lifting.lift(logs.parse_hunks(_patches(t), Params(ignore_authors=()))))
+
+
 _WIDE = f"""{_BANDS.replace('least(48, floor(lines / 8))', 'least(4, floor(lines / 8))')}, bd as materialized ({_COUNT.format(g='gr')}),
 hot as materialized (select * from (select *, max(end_ - start_ + 1) over (partition by repo, path) > 40 as wide, row_number() over (partition by repo, path order by commits desc, start_) as r from bd) x where wide and r <= 6 and commits > 0),
 fine as materialized (select repo, path, s as start_, least(s + greatest(1, cast(ceil((end_ - start_ + 1) / 16.0) as bigint)) - 1, end_) as end_ from (select *, unnest(range(start_, end_ + 1, greatest(1, cast(ceil((end_ - start_ + 1) / 16.0) as bigint)))) as s from hot) x),

@@ -28,7 +28,7 @@ from .common import count_join, membership, stored
 from .memory import gather
 
 #: Bytes of text whose windows are counted together before they go to Spark.
-STEP_BYTES = 6 << 20
+STEP_BYTES = 3 << 20
 #: Shards in which phrases of one language are ranked before they are ranked together.
 SHARDS = 64
 #: Width of the bins of worth in which thresholds are sought.

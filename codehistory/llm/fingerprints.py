@@ -36,7 +36,7 @@ _INVERSE = tuple(pow(b, -1, p) for b, p in zip(BASES, PRIMES, strict=True))
 
 @dataclass
 class Print:
-    """length in bytes; whole: hash of all; step: regular places are multiples of 2^step, with their hashes; level: zeros that a mark has at least; marks: (place, zeros, hash)."""
+    """length in bytes; whole: hash of all; step: regular places are multiples of 2^step, with half of their hashes (31 bits); level: zeros that a mark has at least; marks: (place, zeros, hash)."""
 
     length: int
     whole: int
@@ -109,7 +109,7 @@ def prints(texts: pa.Array) -> list[Print]:
     many = n >> step
     owner = np.repeat(np.arange(len(n)), many)
     place = (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + 1) << step[owner]
-    regular = hashes.span(begin[owner], begin[owner] + place)
+    regular = hashes.span(begin[owner], begin[owner] + place) >> np.uint64(31)
     first = np.append(0, np.cumsum(many))
 
     # marks: windows by doubling, and the zeros at the end of their mixed hash
@@ -233,7 +233,7 @@ def with_edited(docs: DataFrame, edit: Callable[[str, str], str]) -> DataFrame:
     keyed = _plain(docs).withColumn("h", F.xxhash64("text"))
     order = (F.desc_nulls_last("doc_id"), F.asc("h"))
     ranged = keyed.repartitionByRange(*order, F.monotonically_increasing_id()).sortWithinPartitions(*order, "text").select("doc_id", "text")
-    rows = stored(ranged.mapInArrow(_along(edit), EDITED + ", kind int, part int, text string"), "beside")
+    rows = stored(ranged.mapInArrow(_along(edit), EDITED + ", kind int, part int, text string"), "beside", "zstd")
     first, last = rows.where("kind = 1").select("part", F.col("text").alias("following")), rows.where("kind = 2").select("part", "doc_id", "text")
     # two numbers a task: no more rows than partitions
     parts = first.select("part")

@@ -23,9 +23,16 @@ def conform(rows: DataFrame) -> DataFrame:
     return rows.select(*((F.col(c).try_cast(t) if c in rows.columns else F.lit(None).cast(t)).alias(c) for c, t in COLUMNS.items()))
 
 
+def latest(rows: DataFrame) -> DataFrame:
+    """One row for each path: the one analysed last, of those the greatest by all columns. Rows without a path go."""
+    whole = F.struct(*COLUMNS)
+    picked = conform(rows).where("path is not null").groupBy(F.col("path").alias("of")).agg(F.max_by(whole, F.struct(F.coalesce("analyzed_at", F.lit("")), whole)).alias("row"))
+    return picked.select("row.*")
+
+
 def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """The stored rows with those of the same path replaced. Write the result beside the stored table, then swap."""
-    new = conform(new)
+    """The stored rows with those of the same path replaced; of several new rows of a path the latest. `store.Store.save` writes them."""
+    new = latest(new)
     return conform(stored).join(new.select("path").distinct(), "path", "left_anti").select(*COLUMNS).unionByName(new)
 
 

@@ -17,24 +17,32 @@ def mail_key(email: Column) -> Column:
     return F.regexp_replace(local, "[^a-z0-9]", "")
 
 
-def _spread(edges: DataFrame, scope: tuple[str, ...]) -> DataFrame:
-    """(scope, name, label): the least name that mails lead to from each."""
+#: Rounds after which identities are left as they are and their scope is reported.
+MOST_ROUNDS = 50
+
+
+def _spread(edges: DataFrame, scope: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(scope, name, label): the least name that mails lead to from each; and the scopes in which that had not settled when the rounds were over."""
     label = edges.groupBy(*scope, "name").agg(F.min("name").alias("label"))
     before = None
-    for _ in range(50):
+    for _ in range(MOST_ROUNDS):
+        old = label
         mails = edges.join(label, [*scope, "name"]).groupBy(*scope, "mail").agg(F.min("label").alias("label"))
         near = edges.join(mails, [*scope, "mail"]).groupBy(*scope, "name").agg(F.min("label").alias("label"))
         ahead = near.select(*scope, F.col("name").alias("label"), F.col("label").alias("next"))
         label = cut(near.join(ahead, [*scope, "label"], "left").select(*scope, "name", F.coalesce("next", "label").alias("label")))
         now = label.agg(F.coalesce(F.sum(F.xxhash64(*scope, "name", "label").cast("decimal(38,0)")), F.lit(0))).first()[0]
         if now == before:
-            return label
+            return label, label.select(*scope).limit(0)
         before = now
-    raise RuntimeError("identities did not settle in 50 rounds")
+    changed = label.join(old.withColumnRenamed("label", "old"), [*scope, "name"]).where("label <> old")
+    return label, changed.select(*scope).distinct()
 
 
-def people(commits: DataFrame, scope: tuple[str, ...] = ("repo",)) -> DataFrame:
-    """(scope, author, person): identities with the same letters in their name or the same mail name are one person, transitively.
+def people_and_loose(commits: DataFrame, scope: tuple[str, ...] = ("repo",)) -> tuple[DataFrame, DataFrame]:
+    """(scope, author, person), and the scopes that had not settled when the rounds were over.
+
+    Identities with the same letters in their name or the same mail name are one person, transitively.
 
     Name and mail keys are a bipartite graph; the least label spreads along it and jumps
     ahead through the label's own label, until a round changes nothing. The displayed name is
@@ -47,8 +55,14 @@ def people(commits: DataFrame, scope: tuple[str, ...] = ("repo",)) -> DataFrame:
     edges = cut(edges.join(mails, [*scope, "name"]).join(names, [*scope, "mail"]))
     # a name and a mail that know only each other are settled; the loop is for the others
     alone = (F.col("mails") == 1) & (F.col("names") == 1)
-    label = edges.where(alone).select(*scope, "name", F.col("name").alias("label")).union(_spread(edges.where(~alone).select(*scope, "name", "mail"), scope))
+    spread, loose = _spread(edges.where(~alone).select(*scope, "name", "mail"), scope)
+    label = edges.where(alone).select(*scope, "name", F.col("name").alias("label")).union(spread)
     named = pairs.select(*scope, "author", "name").distinct().join(label, [*scope, "name"])
     rank = F.struct(F.col("author").contains(" ").alias("spaced"), (F.col("author") != F.lower("author")).alias("capital"), F.length("author").alias("n"), "author")
     best = named.groupBy(*scope, "label").agg(F.max_by("author", rank).alias("person"))
-    return named.join(best, [*scope, "label"]).select(*scope, "author", "person")
+    return named.join(best, [*scope, "label"]).select(*scope, "author", "person"), loose
+
+
+def people(commits: DataFrame, scope: tuple[str, ...] = ("repo",)) -> DataFrame:
+    """(scope, author, person): the one name of each identity."""
+    return people_and_loose(commits, scope)[0]

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.columns import KINDS, PRODUCT
 from ..params import Params
-from . import cochange, communities, effort
+from . import cochange, communities, effort, identity
 from .clusters import cluster_table
-from .facts import file_table, person_days, with_age, with_people
+from .facts import file_table, person_days, with_age
 from .lineage import cut
 
 
@@ -116,9 +116,17 @@ def analyze(commits: DataFrame, lines: DataFrame, births: DataFrame, params: Par
     Identities are merged, files counted, the co-change graph is built and clustered, and
     everything is summed up by repository. A repository without commits has no row.
     """
-    facts = cut(with_people(commits))
+    return analyze_and_loose(commits, lines, births, params)[0]
+
+
+def analyze_and_loose(commits: DataFrame, lines: DataFrame, births: DataFrame, params: Params | None = None) -> tuple[DataFrame, DataFrame]:
+    """What `analyze` gives, and (repo, reason) of the repositories whose identities or clusters had not settled when the rounds were over."""
+    names, strangers = identity.people_and_loose(commits)
+    facts = cut(commits.join(names, ["repo", "author"], "left"))
     edges = cut(cochange.edges(facts, params))
     loose = cut(file_table(facts, lines, births))
-    placed = cut(communities.clusters(edges, loose))
+    found, open_ = communities.clusters_and_loose(edges, loose)
+    placed = cut(found)
     files = cut(loose.drop("cluster_id").join(placed, ["repo", "path"]))
-    return summarise(files, cluster_table(files, facts), facts, params)
+    why = strangers.select("repo", F.lit("identities did not settle").alias("reason")).unionByName(open_.select("repo", F.lit("clusters did not settle").alias("reason")))
+    return summarise(files, cluster_table(files, facts), facts, params), why

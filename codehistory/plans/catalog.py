@@ -7,6 +7,7 @@ row by row; the clusters themselves have their own query.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -14,11 +15,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import bands, clusters, cochange, communities, effort, explore, facts, identity, lifting, portfolio, regions
-from ..operators.lineage import cut
+from ..operators import bands, clusters, cochange, communities, effort, explore, facts, identity, job, lifting, portfolio, regions
+from ..operators.lineage import cut, folder
 from ..params import Params
 from ..sources import adapters as A
 from ..sources import logs, summaries
+from ..sources.store import Store
 
 
 class Tables:
@@ -710,6 +712,48 @@ def _(t: Tables) -> DataFrame:
     return done.select(*_UNCLUSTERED, ((F.col("num_clusters") > 0) & F.col("top_module").isNotNull()).alias("clustered"))
 
 
+_AS_OF, _MONTHS = "1998-02-01T00:00:00+00:00", 30
+_WINDOWED = _SUMMARY.replace("from raw where lower(author)", "from raw where cast(date as timestamptz) >= timestamptz '1995-08-01 00:00:00+00' and lower(author)")
+
+
+@query(
+    "job_stored",
+    f"""{_WINDOWED}, asked as (select repo as path from (select distinct repo from raw) x where repo not like '%an' union all select '/srv/git/never/seen')
+select a.path, {', '.join('s.' + c for c in _UNCLUSTERED if c != 'repo')}, cast({_MONTHS} as bigint) as since_months, cast(2 as bigint) as versions,
+  case when a.path like '%i%' and a.path like 'org%' then '1 x count is no number; 1 x not a line of counts' when s.repo is null then 'no commits in window' end as error
+from asked a left join summary s on s.repo = a.path
+union all by name select 'org/old' as path, cast(7 as bigint) as total_churn, cast(1 as bigint) as total_commits, cast(6 as bigint) as since_months, cast(2 as bigint) as versions""",
+)
+def _(t: Tables) -> DataFrame:
+    """S6 S9 P5 A13 in one call: logs with faulty lines, a window, summaries of those asked for, saved over an older version and read back."""
+    known = t.raw.select(F.col("repo").alias("path")).distinct()
+    bad = known.where("path like '%i%'").select(F.col("path").alias("repo"), F.lit("c0\t1997-01-01T00:00:00+00:00\tMina\tm@x\ts\n3\tmany\tmod1/x.py\nmod1/y.py").alias("value"))
+    asked = known.where("path not like '%an'").unionByName(known.limit(1).select(F.lit("/srv/git/never/seen").alias("path")))
+    old = known.where("path like '%a%'").select("path", F.lit(7).cast("long").alias("total_churn"), F.lit(1).cast("long").alias("total_commits"), F.lit(6).cast("long").alias("since_months"))
+    store = Store(t.spark, f"{folder(t.spark)}/store-{uuid.uuid4().hex}")
+    # an older version, with repositories that the job replaces and one that it is not asked for
+    store.save(old.unionByName(old.withColumn("path", F.lit("org/old"))))
+    job.run(_printed(t).unionByName(bad), t.lines, t.births, asked, _AS_OF, Params(months=_MONTHS), store)
+    rows = store.read().join(asked.unionByName(asked.select(F.lit("org/old").alias("path"))).distinct(), "path", "left_semi")
+    return rows.select("path", *(c for c in _UNCLUSTERED if c != "repo"), "since_months", F.lit(len(store.versions())).cast("long").alias("versions"), "error")
+
+
+@query(
+    "s9_quarantine",
+    f"""{_RAW}, r as (select distinct repo, 'c' || cast(length(repo) as varchar) as id from raw)
+select repo, id as sha, 'date is no time' as reason from r where length(repo) % 2 = 0
+union all select repo, case when reason = 'no commit id' then '' else id end as sha, reason from r, (values ('no commit id'), ('count is no number'), ('not a line of counts')) f(reason) where length(repo) % 3 = 0""",
+)
+def _(t: Tables) -> DataFrame:
+    """What cannot be read of planted faulty logs, and nothing of the sound ones."""
+    repos = t.raw.select("repo").distinct().withColumn("id", F.concat(F.lit("c"), F.length("repo").cast("string")))
+    day = F.concat("id", F.lit("\tyesterday\tMina\tm@x\ts\n1\t2\tx.py"))
+    lines = F.concat("id", F.lit("\t1997-01-01T00:00:00+00:00\tMina\tm@x\ts\n1\tx\tx.py\n-\t-\tart.png\nx.py\n"))
+    nobody = F.lit("\t1997-01-01T00:00:00+00:00\tMina\tm@x\ts\n1\t2\tx.py")
+    bad = repos.where("length(repo) % 2 = 0").select("repo", day.alias("value")).unionByName(repos.where("length(repo) % 3 = 0").select("repo", F.explode(F.array(lines, nobody)).alias("value")))
+    return logs.malformed(_printed(t).unionByName(bad)).select("repo", "sha", "reason")
+
+
 @query("a22_portfolio_totals", f"{_SUMMARY} select {', '.join(_r(f'sum({c})', 1) + ' as ' + c for c in _DAYS.values())}, {_ratio('sum(days_build) + sum(days_config)', f'sum({_TOTAL})')} as infra, {_ratio('sum(days_tests)', f'sum({_TOTAL})', 3)} as tests, {_ratio('sum(rework)', 'sum(total_churn)')} as rework, cast(sum(devs) as bigint) as memberships, {_ratio('sum(new_rework)', 'greatest(1, sum(rework))')} as new_share from summary")
 def _(t: Tables) -> DataFrame:
     """All repositories in figures."""

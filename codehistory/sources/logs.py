@@ -51,6 +51,24 @@ def parse_numstat(records: DataFrame, params: Params | None = None) -> DataFrame
     return counts.where("added is not null and deleted is not null").where(~C.excluded(F.col("path"), p.exclude)).withColumn("churn", F.col("added") + F.col("deleted"))
 
 
+def malformed(records: DataFrame) -> DataFrame:
+    """(repo, sha, reason, line): what of the (repo, value) records cannot be read as a commit with counts, one row for each fault.
+
+    reason: `no commit id`, `date is no time`, `not a line of counts`, `count is no number`. Lines
+    of binary files (`-` for both counts) are sound. Facts never hold what stands here, except
+    for lines of commits whose date is no time: windows leave those out.
+    """
+    headed = _headed(records)
+    first = F.substring_index("value", "\n", 1)
+    fault = F.when(F.trim("sha") == "", "no commit id").when(F.try_to_timestamp("date").isNull(), "date is no time")
+    heads = headed.select("repo", "sha", fault.alias("reason"), first.alias("line"))
+    parts = F.split("line", "\t", 3)
+    number = lambda i: parts[i].try_cast("long").isNotNull()
+    counts = F.when(F.size(parts) != 3, "not a line of counts").when(~((parts[0] == "-") & (parts[1] == "-")) & ~(number(0) & number(1)), "count is no number")
+    lines = headed.select("repo", "sha", F.explode(_lines(F.col("value"))).alias("line")).select("repo", "sha", counts.alias("reason"), "line")
+    return heads.unionByName(lines).where("reason is not null")
+
+
 def parse_births(records: DataFrame, params: Params | None = None) -> DataFrame:
     """(repo, path, born) of (repo, value, position) records, newest first: the last in log order wins. Bots count."""
     p = params or Params()
@@ -100,5 +118,5 @@ def parse_touches(records: DataFrame) -> DataFrame:
 
 
 def in_window(commits: DataFrame, as_of: str, months: int) -> DataFrame:
-    """Commits of the last months before a moment, by author date."""
-    return commits.where(F.to_timestamp("date") >= F.add_months(F.to_timestamp(F.lit(as_of)), -months).cast("timestamp"))
+    """Commits of the last months before a moment, by author date; those whose date is no time are left out."""
+    return commits.where(F.try_to_timestamp("date") >= F.add_months(F.to_timestamp(F.lit(as_of)), -months).cast("timestamp"))

@@ -27,22 +27,34 @@ def _across(rows: DataFrame, keys: list[str], held: list[Column]) -> DataFrame:
     return each.join(F.broadcast(wide), keys)
 
 
+def carried(dealt: DataFrame, part: str, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Rows with the last non-null value, up to and with each row, of columns along the parts of a group and the order inside a part.
+
+    Args:
+        dealt: rows of groups that are cut into parts of bounded size; the parts of a group follow each other by `part`.
+        order: columns that order the rows of a part.
+    """
+    rows = dealt.withColumns({f"_{n}": c for n, c in values.items()})
+    along = Window.partitionBy(part, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.withColumns({n: F.last(f"_{n}", ignorenulls=True).over(along) for n in values})
+    held = rows.groupBy(part, *keys).agg(*(F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.struct(*order))).alias(f"_before_{n}") for n in values))
+    # a row for each part of a group: what the parts before hold
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    border = held.select(part, *keys, *(F.last(f"_before_{n}", ignorenulls=True).over(before).alias(f"_before_{n}") for n in values))
+    met = seen.join(border.where(F.greatest(*(F.col(f"_before_{n}").isNotNull() for n in values), F.lit(False))), [part, *keys], "left")
+    return met.withColumns({n: F.coalesce(n, f"_before_{n}") for n in values}).select(*dealt.columns, *values)
+
+
 def running_last(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
     """Rows with the last non-null value, up to and with each row, of columns along an order inside a group.
 
     Args:
         order: columns that order the rows of a group; rows that are equal in all of them stay
             together, so add one that tells them apart if there may be many.
-        values: for each new column what is carried along; its type must be orderable or a struct.
+        values: for each new column what is carried along.
     """
-    dealt = _ranged(rows.withColumns({f"_{n}": c for n, c in values.items()}), keys, [F.col(c) for c in order])
-    along = Window.partitionBy(PART, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = dealt.withColumns({n: F.last(f"_{n}", ignorenulls=True).over(along) for n in values})
-    held = [F.max_by(f"_{n}", F.when(F.col(f"_{n}").isNotNull(), F.struct(*order))).alias(f"_before_{n}") for n in values]
-    before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    border = _across(dealt, keys, held).select(PART, *keys, *(F.last(f"_before_{n}", ignorenulls=True).over(before).alias(f"_before_{n}") for n in values))
-    met = seen.join(F.broadcast(border), [PART, *keys], "left")
-    return met.withColumns({n: F.coalesce(n, f"_before_{n}") for n in values}).select(*rows.columns, *values)
+    dealt = _ranged(rows, keys, [F.col(c) for c in order])
+    return carried(dealt, PART, keys, order, values).drop(PART)
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:

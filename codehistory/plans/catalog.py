@@ -197,6 +197,45 @@ def _(t: Tables) -> DataFrame:
     return found.select(F.split("repo", "[|]")[0].alias("repo"), "path", "sha", "date", "author", F.split("repo", "[|]")[1].cast("long").alias("hunk_no"), "region", "added", "removed", "churn")
 
 
+# one hunk of each commit to a file: taken out and put in by the tables' numbers, at a line that some file has
+_PATCH = f"select repo, path, sha, date, min(1 + hash_ % 97) as old, cast(sum(deleted) % 4 as bigint) as removed, cast(sum(added) % 7 as bigint) as added from (select *, cast(substr(sha, 2) as bigint) * 31 as hash_ from ({A.COMMIT_SQL}) h) x group by repo, path, sha, date"
+_PATCH_BY = _PATCH.replace("sha, date,", "sha, date, min(author) as author,", 1)
+
+
+def _patches(t: Tables) -> DataFrame:
+    """A patch log of the tables: the commits of a file in the order of their dates, newest first, each with one hunk."""
+    c = t.raw.withColumn("old", 1 + (F.substring("sha", 2, 20).cast("long") * 31) % 97)
+    c = c.groupBy("repo", "path", "sha", "date").agg(F.min("old").alias("old"), (F.sum("deleted") % 4).alias("removed"), (F.sum("added") % 7).alias("added"), F.min("author").alias("author")).where("added + removed > 0")
+    line = F.format_string("@@ -%d,%d +%d,%d @@", F.col("old") - F.when(F.col("removed") == 0, 1).otherwise(0), "removed", F.col("old") - F.when(F.col("added") == 0, 1).otherwise(0), "added")
+    value = F.concat_ws("\n", F.concat_ws("\t", "sha", "date", "author", F.lit("x@y"), F.lit("s")), F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path"), F.concat(F.lit("--- a/"), "path"), F.concat(F.lit("+++ b/"), "path"), line)
+    # newest first, as a log has it: the greater the date, the smaller the position
+    return c.select("repo", F.struct(F.translate(F.concat("date", "sha"), "0123456789", "9876543210").alias("row")).alias("position"), value.alias("value"))
+
+
+def _as_lines(t: Tables, records: DataFrame) -> DataFrame:
+    """Log records written as files, a folder for each repository, and read by lines in blocks of 64 kB, so that commits lie across blocks."""
+    path = f"{folder(t.spark)}/logs-{uuid.uuid4().hex}"
+    records.select("repo", F.concat(F.lit(logs.MARK), "value").alias("value")).repartition("repo").write.partitionBy("repo").text(path)
+    key, usual = "spark.sql.files.maxPartitionBytes", t.spark.conf.get("spark.sql.files.maxPartitionBytes")
+    t.spark.conf.set(key, "65536")
+    try:
+        return cut(logs.read_lines(t.spark, path))
+    finally:
+        t.spark.conf.set(key, usual)
+
+
+@query("s1_from_lines", f"{_RAW} select repo, sha, date, author, email, subject, path, added, deleted, churn from kept")
+def _(t: Tables) -> DataFrame:
+    """S1 by lines: commits that lie across the blocks of a file, with the same facts."""
+    return logs.numstat_of_lines(_as_lines(t, _printed(t))).select("repo", "sha", "date", "author", "email", "subject", "path", "added", "deleted", "churn")
+
+
+@query("s4_from_lines", f"select repo, path, sha, date, author, removed, added from ({_PATCH_BY}) q where added + removed > 0 and lower(author) not like '%bot%'")
+def _(t: Tables) -> DataFrame:
+    """S4 by lines: patches that lie across the blocks of a file, with the same hunks."""
+    return logs.hunks_of_lines(_as_lines(t, _patches(t))).select("repo", "path", "sha", "date", "author", "removed", "added")
+
+
 @query("s5_range_touches", f"select repo, path, start_ as start, sha, date from ({A.TOUCH_SQL}) t")
 def _(t: Tables) -> DataFrame:
     """Range log records to touches."""
@@ -613,20 +652,6 @@ def _(t: Tables) -> DataFrame:
     return t.bands
 
 
-# one hunk of each commit to a file: taken out and put in by the tables' numbers, at a line that some file has
-_PATCH = f"select repo, path, sha, date, min(1 + hash_ % 97) as old, cast(sum(deleted) % 4 as bigint) as removed, cast(sum(added) % 7 as bigint) as added from (select *, cast(substr(sha, 2) as bigint) * 31 as hash_ from ({A.COMMIT_SQL}) h) x group by repo, path, sha, date"
-
-
-def _patches(t: Tables) -> DataFrame:
-    """A patch log of the tables: the commits of a file in the order of their dates, newest first, each with one hunk."""
-    c = t.raw.withColumn("old", 1 + (F.substring("sha", 2, 20).cast("long") * 31) % 97)
-    c = c.groupBy("repo", "path", "sha", "date").agg(F.min("old").alias("old"), (F.sum("deleted") % 4).alias("removed"), (F.sum("added") % 7).alias("added"), F.min("author").alias("author")).where("added + removed > 0")
-    line = F.format_string("@@ -%d,%d +%d,%d @@", F.col("old") - F.when(F.col("removed") == 0, 1).otherwise(0), "removed", F.col("old") - F.when(F.col("added") == 0, 1).otherwise(0), "added")
-    value = F.concat_ws("\n", F.concat_ws("\t", "sha", "date", "author", F.lit("x@y"), F.lit("s")), F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path"), F.concat(F.lit("--- a/"), "path"), F.concat(F.lit("+++ b/"), "path"), line)
-    # newest first, as a log has it: the greater the date, the smaller the position
-    return c.select("repo", F.struct(F.translate(F.concat("date", "sha"), "0123456789", "9876543210").alias("row")).alias("position"), value.alias("value"))
-
-
 _LIFTED = f"""{_BANDS.replace('with raw', 'with recursive raw')},
 pt as materialized (select *, row_number() over (partition by repo, path order by translate(date || sha, '0123456789', '9876543210') desc) as at_ from ({_PATCH}) q where added + removed > 0),
 up(repo, path, sha, date, at_, low, high) as (select repo, path, sha, date, at_, old, old + added - 1 from pt union all

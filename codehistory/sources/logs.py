@@ -1,4 +1,9 @@
-"""Exported logs as facts. A record of a log starts at MARK, so one row is one commit and files stay splittable."""
+"""Exported logs as facts. A record of a log starts at MARK, so one row is one commit and files stay splittable.
+
+Where commits may be larger than a row should be (a mass commit, the patch of a merge), read
+lines instead: a record may then lie across the blocks that a file is read in, and each
+line gets the header of its commit from the lines, or blocks, before it.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +11,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators.ordered import carried, numbered
 from ..params import Params
 
 MARK = "__C__"
 
 
+def _repo(text: DataFrame) -> Column:
+    """The repository of a file: the column of the folder it lies in (repo=...), or the file name without its ending."""
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return F.col("repo").cast("string") if "repo" in text.columns else F.regexp_replace(F.url_decode(name), "~", "/")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records (repo, value, position) of the logs in a folder; the repo is the file name without its ending."""
+    """Records (repo, value, position) of the logs in a folder, a file or a folder (repo=...) for each repository."""
     text = spark.read.option("lineSep", "\n" + MARK).text(path)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1)
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return text.select(F.regexp_replace(F.url_decode(name), "~", "/").alias("repo"), F.regexp_replace("value", f"^{MARK}", "").alias("value"), place.alias("position")).where("value <> ''")
+    return text.select(_repo(text).alias("repo"), F.regexp_replace("value", f"^{MARK}", "").alias("value"), place.alias("position")).where("value <> ''")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (repo, file, block, row, value) of the logs in a folder; block and row order the lines of a file. Files are split inside of records."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    return text.select(_repo(text).alias("repo"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
 
 
 HEADER = ("sha", "date", "author", "email", "subject")
@@ -32,9 +49,7 @@ def _headed(records: DataFrame) -> DataFrame:
 
     They come from a generator, so that later filters on them stay filters on columns.
     """
-    parts = F.split(F.substring_index("value", "\n", 1), "\t", 5)
-    fields = F.struct(*(F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit("")).alias(k) for i, k in enumerate(HEADER)))
-    return records.select("repo", *_place(records), "value", F.inline(F.array(fields)))
+    return records.select("repo", *_place(records), "value", F.inline(F.array(_fields(F.substring_index("value", "\n", 1)))))
 
 
 def _lines(value: Column) -> Column:
@@ -43,8 +58,30 @@ def _lines(value: Column) -> Column:
 
 def parse_numstat(records: DataFrame, params: Params | None = None) -> DataFrame:
     """Commit-file facts of (repo, value) records: bots, generated files and binary changes left out, renames resolved."""
-    p = params or Params()
-    rows = _headed(records).select("repo", *HEADER, F.explode(_lines(F.col("value"))).alias("line")).select("repo", *HEADER, F.split("line", "\t", 3).alias("x"))
+    return _numstat(_headed(records).select("repo", *HEADER, F.explode(_lines(F.col("value"))).alias("line")), params or Params())
+
+
+def _fields(head: Column) -> Column:
+    """The fields of a commit's first line; missing ones are empty."""
+    parts = F.split(head, "\t", 5)
+    return F.struct(*(F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit("")).alias(k) for i, k in enumerate(HEADER)))
+
+
+def _carried_heads(lines: DataFrame) -> DataFrame:
+    """Lines with `head`, the (value, block, row) of the last commit header up to them; a block of a file at a time, and from the blocks before."""
+    is_head = F.col("value").startswith(MARK)
+    text = F.when(is_head, F.substring("value", len(MARK) + 1, 1 << 30))
+    return carried(lines, "block", ["file"], ["row"], {"head": F.when(is_head, F.struct(text.alias("value"), "block", "row"))}).where("head is not null")
+
+
+def numstat_of_lines(lines: DataFrame, params: Params | None = None) -> DataFrame:
+    """What `parse_numstat` gives, of lines (repo, file, block, row, value); no commit is held as a whole."""
+    body = _carried_heads(lines).where(~F.col("value").startswith(MARK) & (F.col("value") != ""))
+    return _numstat(body.select("repo", F.col("value").alias("line"), F.inline(F.array(_fields(F.col("head.value"))))), params or Params())
+
+
+def _numstat(rows: DataFrame, p: Params) -> DataFrame:
+    rows = rows.select("repo", *HEADER, F.split("line", "\t", 3).alias("x"))
     rows = rows.where(~C.is_bot(F.col("author"), p.ignore_authors) & (F.size("x") == 3)).where("x[0] <> '-' and x[1] <> '-'")
     rows = rows.withColumn("path", C.resolve_rename(F.col("x")[2]))
     counts = rows.withColumn("added", F.col("x")[0].try_cast("long")).withColumn("deleted", F.col("x")[1].try_cast("long")).drop("x")
@@ -100,10 +137,17 @@ def parse_hunks(records: DataFrame, params: Params | None = None) -> DataFrame:
     p = params or Params()
     place = _place(records)
     files = _headed(records).where(~C.is_bot(F.col("author"), p.ignore_authors)).select("repo", *place, *HEADER, F.explode(F.split("value", "\n(?=diff --git )")).alias("part"))
-    side = lambda mark: _unquoted(F.regexp_extract("part", rf"(?m)^{mark} (.*?)\t?$", 1))
-    new, old = side(r"\+\+\+"), side("---")
-    path = F.when(new == "/dev/null", F.regexp_replace(old, "^a/", "")).otherwise(F.regexp_replace(new, "^b/", ""))
-    lines = files.select("repo", *place, *HEADER, path.alias("path"), F.posexplode(F.filter(F.split("part", "\n"), lambda x: x.startswith("@@ "))).alias("hunk_no", "line"))
+    side = lambda mark: F.regexp_extract("part", rf"(?m)^{mark} (.*?)\t?$", 1)
+    lines = files.select("repo", *place, *HEADER, _path(side("---"), side(r"\+\+\+")).alias("path"), F.posexplode(F.filter(F.split("part", "\n"), lambda x: x.startswith("@@ "))).alias("hunk_no", "line"))
+    return _hunks(lines, place)
+
+
+def _path(old: Column, new: Column) -> Column:
+    """The path of a patch from what stands behind --- and +++."""
+    return F.when(_unquoted(new) == "/dev/null", F.regexp_replace(_unquoted(old), "^a/", "")).otherwise(F.regexp_replace(_unquoted(new), "^b/", ""))
+
+
+def _hunks(lines: DataFrame, place: list[str]) -> DataFrame:
     part = lambda i: F.regexp_extract("line", HUNK, i)
     count = lambda i: F.when(part(i) == "", 1).otherwise(part(i).try_cast("long")).cast("long")
     rows = lines.where(F.col("line").rlike(HUNK))
@@ -111,6 +155,24 @@ def parse_hunks(records: DataFrame, params: Params | None = None) -> DataFrame:
     return rows.select("repo", "path", "sha", "date", "author", "email", "subject", F.col("hunk_no").cast("long").alias("hunk_no"), F.trim(part(5)).alias("region"), count(2).alias("removed"), count(4).alias("added"), *starts, *place).withColumn("churn", F.col("added") + F.col("removed"))
 
 
+def hunks_of_lines(lines: DataFrame, params: Params | None = None) -> DataFrame:
+    """What `parse_hunks` gives, with positions, of lines (repo, file, block, row, value); no commit and no patch of a file is held as a whole.
+
+    Only headers, the lines that begin a file's patch and hunk headers are shuffled. Lines of a
+    hunk that look like `---` or `+++` follow a hunk header, those of a patch do not.
+    """
+    p = params or Params()
+    v = F.col("value")
+    told = lines.where(v.startswith(MARK) | v.startswith("diff --git ") | v.startswith("@@ ") | v.startswith("--- ") | v.startswith("+++ "))
+    begins = v.startswith("diff --git ")
+    seen = carried(_carried_heads(told), "block", ["file"], ["row"], {"last": F.when(begins, F.lit(0)).when(v.startswith("@@ ") | v.startswith(MARK), F.lit(1)), "section": F.when(begins, F.struct("block", "row"))})
+    named = lambda mark: F.when((F.col("last") == 0) & v.startswith(mark), F.regexp_extract("value", rf"^.{{3}} (.*?)\t?$", 1))
+    paths = carried(seen, "block", ["file"], ["row"], {"old": named("--- "), "new": named("+++ ")})
+    rows = paths.where(v.startswith("@@ ")).select("repo", F.struct("file", F.col("head.block").alias("block"), F.col("head.row").alias("row")).alias("position"), F.inline(F.array(_fields(F.col("head.value")))), "old", "new", v.alias("line"), "file", "section", "block", "row")
+    rows = rows.where(~C.is_bot(F.col("author"), p.ignore_authors)).withColumn("path", _path(F.col("old"), F.col("new")))
+    return _hunks(numbered(rows, ["file", "section"], [F.col("block"), F.col("row")], "hunk_no"), ["position"])
+
+
 def parse_touches(records: DataFrame) -> DataFrame:
     """(repo, path, start, end, sha, date) of (repo, path, start, end, value) records: which commits touched a range."""
     head = F.split(F.substring_index("value", "\n", 1), "\t")

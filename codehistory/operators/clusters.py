@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from . import cochange
 from .facts import person_days
+from .ordered import quantiles
 
 
 def cluster_table(files: DataFrame, commits: DataFrame) -> DataFrame:
@@ -60,8 +61,10 @@ def file_stats(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 def hot(files: DataFrame, metric: str, percent: float = 10.0) -> DataFrame:
     """Files with a metric, whether it is in the top percent of its cluster (by the linear quantile), and how many of the cluster have none."""
-    own = files.groupBy("repo", "cluster_id").agg(F.percentile(metric, 1 - percent / 100).alias("cut"), F.count_if(F.col(metric).isNull()).alias("dropped"))
-    rows = files.join(own, ["repo", "cluster_id"])
+    key = ["repo", "cluster_id"]
+    none = files.groupBy(*key).agg(F.count_if(F.col(metric).isNull()).alias("dropped"))
+    # files without a cluster can be most of a repository: no task takes all values of one
+    rows = files.join(quantiles(files, key, metric, {"cut": 1 - percent / 100}), key).join(none, key)
     return rows.where(F.col(metric).isNotNull()).select("repo", "cluster_id", "path", F.col(metric).cast("double").alias("value"), (F.col(metric) >= F.col("cut") - 1e-9).alias("hot"), "dropped")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.columns import KINDS
 from ..params import Params
+from .ordered import quantiles
 
 
 def touched(commits: DataFrame) -> DataFrame:
@@ -88,7 +89,12 @@ def cards(commits: DataFrame) -> DataFrame:
 
 def people_summary(effort: DataFrame) -> DataFrame:
     """Head count, total days, median and largest repositories and days."""
-    return effort.agg(F.count("*").alias("people"), F.sum("days").alias("days"), F.percentile("repos", 0.5).alias("median_repos"), F.max("repos").alias("max_repos"), F.percentile("days", 0.5).alias("median_days"), F.max("days").alias("max_days"))
+    base = effort.agg(F.count("*").alias("people"), F.sum("days").alias("days"), F.max("repos").alias("max_repos"), F.max("days").alias("max_days"))
+    one = F.lit(1).alias("all")
+    for name in ("repos", "days"):
+        middle = quantiles(effort.select(one, name), ["all"], name, {f"median_{name}": 0.5})
+        base = base.withColumn("all", F.lit(1)).join(middle, "all", "left").drop("all")
+    return base.select("people", "days", "median_repos", "max_repos", "median_days", "max_days")
 
 
 def named_like(effort: DataFrame, pattern: str) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import ordered
+
+#: Rows up to which a page is cut from the first rows of all.
+SHALLOW = 10_000
 
 
 def narrow(files: DataFrame, text: str = "", repos: tuple[str, ...] = (), kinds: tuple[str, ...] = (), live: bool = False, born: bool = False, min_rework: int = 0, min_lines: int = 0) -> DataFrame:
@@ -25,10 +29,15 @@ def narrow(files: DataFrame, text: str = "", repos: tuple[str, ...] = (), kinds:
     return files.where(F.col("lines") >= min_lines) if min_lines else files
 
 
-def page(files: DataFrame, by: str = "rework", descending: bool = True, number: int = 0, size: int = 50) -> DataFrame:
-    """A page of the files in the order of a column, rows without it last either way; equal values go by repository and path."""
-    order = F.desc_nulls_last(by) if descending else F.asc_nulls_last(by)
-    return files.orderBy(order, "repo", "path").offset(number * size).limit(size)
+def page(files: DataFrame, by: str = "rework", descending: bool = True, number: int = 0, size: int = 50, shallow: int = SHALLOW) -> DataFrame:
+    """A page of the files in the order of a column, rows without it last either way; equal values go by repository and path.
+
+    Pages that end within `shallow` rows are picked without a sort of the rest; for later ones only the ranges that hold them are sorted.
+    """
+    order = [F.desc_nulls_last(by) if descending else F.asc_nulls_last(by), F.col("repo"), F.col("path")]
+    if (number + 1) * size <= shallow:
+        return files.orderBy(*order).limit((number + 1) * size).offset(number * size)
+    return ordered.page(files, order, number * size, size)
 
 
 def summary(files: DataFrame) -> DataFrame:

@@ -855,6 +855,12 @@ def _(t: Tables) -> DataFrame:
     return explore.page(t.files, "rework", number=1, size=30).select("repo", "path", "rework")
 
 
+@query("t6_deep_page", f"{_FILES} select repo, path, rework from files order by rework desc nulls last, repo, path limit 50 offset 3000")
+def _(t: Tables) -> DataFrame:
+    """A page so deep that only the ranges that hold it are sorted."""
+    return explore.page(t.files, "rework", number=60, size=50, shallow=0).select("repo", "path", "rework")
+
+
 @query("t6_by_born", f"{_FILES} select repo, path, born from files order by born desc nulls last, repo, path limit 25")
 def _(t: Tables) -> DataFrame:
     """The youngest files first; files of unknown birth would be last."""

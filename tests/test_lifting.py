@@ -133,3 +133,27 @@ def test_running_values(spark, parts):
             last = r[3] if r[3] is not None else last
             assert got[r[2]][0] == last
         assert [got[r[2]][1] for r in sorted(own, key=lambda r: (-r[1], r[2]))] == list(range(len(own)))
+
+
+@pytest.mark.parametrize("parts", [1, 9])
+def test_pages_and_quantiles(spark, parts):
+    """Deep pages against slices, quantiles of groups of any size against numpy."""
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(rng.choice("aaaab"), i, rng.choice([None, rng.random(), 0.5])) for i in range(700)] + [("one", 700, 2.0), ("none", 701, None)]
+    df = spark.createDataFrame(rows, "k string, i long, v double")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        order = [F.desc_nulls_last("v"), F.col("i")]
+        want = sorted(rows, key=lambda r: (r[2] is None, -(r[2] or 0), r[1]))
+        for start, size in ((0, 5), (350, 40), (690, 40), (900, 5)):
+            assert [tuple(r) for r in ordered.page(df, order, start, size).collect()] == want[start : start + size]
+        got = {r.k: (r.low, r.mid, r.top) for r in ordered.quantiles(df, ["k"], "v", {"low": 0.0, "mid": 0.5, "top": 0.93}).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(got) == {"a", "b", "one"}
+    for k in got:
+        assert np.allclose(got[k], np.quantile([r[2] for r in rows if r[0] == k and r[2] is not None], [0, 0.5, 0.93]))

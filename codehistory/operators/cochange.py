@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..params import Params
+from .lineage import cut
+from .ordered import numbered
 
 
 def pairs(rows: DataFrame, keys: tuple[str, ...], unit: str, item: str, most: int) -> DataFrame:
@@ -21,9 +23,26 @@ def pairs(rows: DataFrame, keys: tuple[str, ...], unit: str, item: str, most: in
     return both.groupBy(*keys, "a", "b").agg(F.count("*").alias("weight"))
 
 
+def dictionary(commits: DataFrame) -> DataFrame:
+    """(repo, path, id) of all files: numbers without gaps in the order of repositories and paths, given along ranges."""
+    return cut(numbered(commits.select("repo", "path").distinct(), [], [F.col("repo"), F.col("path")], "id"))
+
+
+def coupled(commits: DataFrame, unit: str, most: int) -> DataFrame:
+    """(repo, a, b, weight): files a < b of one unit of a repository (a commit, a month), and in how many units; units of more than `most` files count for none.
+
+    Pairs are formed and counted as two numbers; paths come back once for each distinct pair.
+    """
+    names = dictionary(commits)
+    coded = commits.select("repo", unit, "path").join(names, ["repo", "path"]).select(F.struct("repo", unit).alias("unit"), "id")
+    found = pairs(coded, (), "unit", "id", most)
+    a, b = names.select(F.col("id").alias("a"), "repo", F.col("path").alias("first")), names.select(F.col("id").alias("b"), F.col("path").alias("second"))
+    return found.join(a, "a").join(b, "b").select("repo", F.col("first").alias("a"), F.col("second").alias("b"), "weight")
+
+
 def edges(commits: DataFrame, params: Params | None = None) -> DataFrame:
     """The co-change graph: (repo, a, b, weight) with a < b."""
-    return pairs(commits, ("repo",), "sha", "path", (params or Params()).max_files)
+    return coupled(commits, "sha", (params or Params()).max_files)
 
 
 def both_ways(edges_: DataFrame) -> DataFrame:

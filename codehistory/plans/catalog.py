@@ -408,6 +408,15 @@ def _(t: Tables) -> DataFrame:
     return cochange.edges(t.kept, Params(max_files=5))
 
 
+_MONTHLY = _EDGE.format(n="", cap=500).replace("repo, sha", "repo, month").replace("x.sha", "x.month").replace("y.sha", "y.month")
+
+
+@query("g1_monthly_cap500", f"{_RAW}, {_MONTHLY} select repo, a, b, weight from edges")
+def _(t: Tables) -> DataFrame:
+    """Pairs of files in one month, units of up to 500 files."""
+    return cochange.coupled(t.kept, "month", 500)
+
+
 @query("g2_edges_both_ways", f"{_RAW}, {_EDGES}, {_BOTH} select repo, a, b, weight from both_ways")
 def _(t: Tables) -> DataFrame:
     """Each edge from both ends."""

@@ -44,7 +44,9 @@ TOLD_APART, BROADCAST = 1 << 24, 1 << 20
 #: Bytes of text of a step: a step holds the symbols of all levels.
 STEP_BYTES = 1 << 20
 _PART = np.uint64(0x9E3779B97F4A7C15)
-WINDOWS = "one long, two int, doc_id long, at int"
+WINDOWS = "one long, two int, doc_id long, h long, at int"
+#: Bits of a window's name that count; fewer in tests, so that names collide.
+NAME_BITS = 64
 
 
 class Level:
@@ -139,7 +141,7 @@ def _contents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in W.steps(batches, most=STEP_BYTES):
         w = W.of(batch.column("text"))
         digest = [hashlib.sha256(x).digest() for x in W.joined_texts(w)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(w.first)), pa.array(digest, pa.binary())], ["doc_id", "n_words", "digest"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(np.diff(w.first)), pa.array(digest, pa.binary())], ["doc_id", "h", "n_words", "digest"])
 
 
 def _names(window: int, filters_value):
@@ -197,8 +199,8 @@ def _stretches(window: int, filters_value):
             text = w.buf[np.repeat(lo - (to - size), size) + np.arange(int(to[-1]))]
             which = doc[begin]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(which)), pa.array((begin - w.first[which]).astype(np.int32)), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(0, to)), pa.py_buffer(text)]).cast(pa.binary())],
-                ["doc_id", "at", "text"],
+                [batch.column("doc_id").take(pa.array(which)), batch.column("h").take(pa.array(which)), pa.array((begin - w.first[which]).astype(np.int32)), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(0, to)), pa.py_buffer(text)]).cast(pa.binary())],
+                ["doc_id", "h", "at", "text"],
             )
 
     return run
@@ -242,12 +244,12 @@ def _anchored(window: int):
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
             take = pa.array(row[new])
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(key[new])), batch.column("doc_id").take(take), batch.column("at").take(take)], ["anchor", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(key[new])), batch.column("doc_id").take(take), batch.column("h").take(take), batch.column("at").take(take)], ["anchor", "doc_id", "h", "at"])
 
     return run
 
 
-def _hashed(w: W.Words, begin: np.ndarray, window: int, batch: pa.RecordBatch, offset: np.ndarray | None = None) -> pa.RecordBatch:
+def _hashed(w: W.Words, begin: np.ndarray, window: int, batch: pa.RecordBatch, bits: int, offset: np.ndarray | None = None) -> pa.RecordBatch:
     """Names and places of windows."""
     row = w.doc[begin]
     at = begin - w.first[:-1][row]
@@ -255,17 +257,21 @@ def _hashed(w: W.Words, begin: np.ndarray, window: int, batch: pa.RecordBatch, o
         at = at + offset[row]
     one, two = (W.window_hash(h, window, salt)[begin] if len(begin) else np.zeros(0, np.uint64) for h, salt in ((w.hash, 2), (w.other, 3)))
     two = (two >> np.uint64(32)).astype(np.uint32).view(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(_signed(one)), pa.array(two), batch.column("doc_id").take(pa.array(row)), pa.array(at.astype(np.int32))], ["one", "two", "doc_id", "at"])
+    if bits < 64:
+        one, two = one & np.uint64((1 << 64) - (1 << (64 - bits))), two * 0
+    take = pa.array(row)
+    return pa.RecordBatch.from_arrays([pa.array(_signed(one)), pa.array(two), batch.column("doc_id").take(take), batch.column("h").take(take), pa.array(at.astype(np.int32))], ["one", "two", "doc_id", "h", "at"])
 
 
 def _windows(window: int, filters_value, named_value=None):
     """Windows of texts that hold no symbol which a filter refuses, and have a name that another filter knows."""
+    bits = NAME_BITS
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = filters_value.value
         for batch in W.steps(batches, most=STEP_BYTES):
             w = W.of(batch.column("text"))
-            found = _hashed(w, np.flatnonzero(_alive(w, _first_levels(w, window, len(filters)), filters, window)), window, batch)
+            found = _hashed(w, np.flatnonzero(_alive(w, _first_levels(w, window, len(filters)), filters, window)), window, batch, bits)
             yield found if named_value is None else found.filter(pa.array(named_value.value(found.column("one").to_numpy().view(np.uint64))))
 
     return run
@@ -273,6 +279,7 @@ def _windows(window: int, filters_value, named_value=None):
 
 def _anchored_windows(window: int):
     """Windows of stretches whose anchor is shared."""
+    bits = NAME_BITS
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.steps(batches, most=STEP_BYTES):
@@ -282,7 +289,7 @@ def _anchored_windows(window: int):
             of = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())).astype(np.uint64)
             known = lists.flatten().to_numpy().view(np.uint64)
             keep = np.isin(W.mix(key + w.doc[begin].astype(np.uint64) * _PART), W.mix(known + of * _PART))
-            yield _hashed(w, begin[keep], window, batch, batch.column("at").to_numpy())
+            yield _hashed(w, begin[keep], window, batch, bits, batch.column("at").to_numpy())
 
     return run
 
@@ -317,22 +324,50 @@ def _segments(window: int):
 
 
 def _unsaid(window: int):
-    """Documents that lack a window of the words that they are held to have had first."""
+    """Windows that documents lack of the words that they are held to have had first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.steps(batches, most=STEP_BYTES):
             texts = W.joined_texts(W.of(batch.column("text")))
-            wrong = []
+            where: list[int] = []
+            lacking: list[bytes] = []
             for i, text in enumerate(texts):
                 text = b" " + text + b" "
                 for said in batch.column("said")[i].as_py():
                     if b" " + said + b" " not in text:
                         # windows of one stretch may stand at different places of the document
                         words = said.split(b" ")
-                        if any(b" " + b" ".join(words[k : k + window]) + b" " not in text for k in range(len(words) - window + 1)):
-                            wrong.append(i)
-                            break
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(wrong, pa.int64()))], ["doc_id"])
+                        each = {b" ".join(words[k : k + window]) for k in range(len(words) - window + 1)}
+                        lost = [x for x in each if b" " + x + b" " not in text]
+                        where += [i] * len(lost)
+                        lacking += lost
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(where, pa.int64())), pa.array(lacking, pa.binary())], ["first", "said"])
+
+    return run
+
+
+def _spelled(window: int, named_value=None):
+    """Windows (doc_id, h, at, first, words, one) by their words: those that repeats name, or those of all texts with a name that a filter knows."""
+    bits = NAME_BITS
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in W.steps(batches, most=STEP_BYTES):
+            w = W.of(batch.column("text"))
+            begin = np.flatnonzero(W.whole_windows(w.first, window)) if len(w.start) else np.zeros(0, np.int64)
+            found = _hashed(w, begin, window, batch, bits)
+            first = np.full(len(begin), -1, np.int64)
+            if named_value is None:
+                place = {int(b): k for k, b in enumerate(begin)}
+                stay = np.zeros(len(begin), bool)
+                for i in range(batch.num_rows):
+                    for at, source in zip(batch.column("begins")[i].as_py(), batch.column("firsts")[i].as_py(), strict=True):
+                        k = place[int(w.first[i]) + at]
+                        stay[k], first[k] = True, source
+            else:
+                stay = named_value.value(found.column("one").to_numpy().view(np.uint64))
+            begin, first, found = begin[stay], first[stay], found.filter(pa.array(stay))
+            spelled = pa.array([W.joined(w, np.arange(b, b + window)) for b in begin.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([found.column("doc_id"), found.column("h"), found.column("at"), pa.array(first), spelled, found.column("one")], ["doc_id", "h", "at", "first", "words", "one"])
 
     return run
 
@@ -358,7 +393,7 @@ def _rewritten(window: int):
             begins = batch.column("begins")
             w = W.of(batch.column("text"))
             texts = [W.joined(w, w.first[i] + np.flatnonzero(_left(w, i, begins[i], window))).decode() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["id", "new"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(texts, pa.string())], ["id", "h", "new"])
 
     return run
 
@@ -376,29 +411,29 @@ def _some(ids_value):
 def _within(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents (doc_id, text) that a table of few ids may name: what a join would drop anyway is not shuffled."""
     tags = stored(ids.select(F.xxhash64("doc_id").alias("tag")), "tags")
-    tagged = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("tag"))
+    tagged = docs.select("doc_id", "h", "text", F.xxhash64("doc_id").alias("tag"))
     return tagged.mapInArrow(_some(docs.sparkSession.sparkContext.broadcast(membership(tags, "tag"))), tagged.schema).drop("tag")
 
 
 def _exact(docs: DataFrame, window: int, filters: list[Filter]) -> DataFrame:
     """Windows that hold a shared anchor, by a join that grows with what the filters let pass."""
-    left = stored(docs.mapInArrow(_stretches(window, docs.sparkSession.sparkContext.broadcast(filters)), "doc_id long, at int, text binary"), "stretches")
-    held = stored(left.mapInArrow(_anchored(window), "anchor long, doc_id long, at int"), "anchors")
+    left = stored(docs.mapInArrow(_stretches(window, docs.sparkSession.sparkContext.broadcast(filters)), "doc_id long, h long, at int, text binary"), "stretches")
+    held = stored(left.mapInArrow(_anchored(window), "anchor long, doc_id long, h long, at int"), "anchors")
     shared = stored(held.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "n"), "shared")
-    asking = count_join(held, shared, ["anchor"]).groupBy("doc_id", "at").agg(F.collect_set("anchor").alias("anchors"))
-    return left.join(asking, ["doc_id", "at"]).select("doc_id", "at", "text", "anchors").mapInArrow(_anchored_windows(window), WINDOWS)
+    asking = count_join(held, shared, ["anchor"]).groupBy("doc_id", "h", "at").agg(F.collect_set("anchor").alias("anchors"))
+    return left.join(asking, ["doc_id", "h", "at"]).select("doc_id", "h", "at", "text", "anchors").mapInArrow(_anchored_windows(window), WINDOWS)
 
 
 def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of documents (doc_id, text): (doc_id, n_words, digest) of all rows, whole copies of them, and the others that repeat something, with where (doc_id, text, begins)."""
+    """Of documents (doc_id, h, text), h being a hash of the text that tells rows of one id apart: (doc_id, h, n_words, digest) of all rows, whole copies of them, and the others that repeat something, with where (doc_id, h, text, begins)."""
     spark = docs.sparkSession
-    own = stored(docs.mapInArrow(_contents, "doc_id long, n_words long, digest binary"), "contents")
+    own = stored(docs.mapInArrow(_contents, "doc_id long, h long, n_words long, digest binary"), "contents")
     first = own.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = stored(count_join(own, stored(first, "equal"), ["digest"]).where("doc_id > first").select("doc_id", "n_words"), "copies")
-    ids = copies.select("doc_id").distinct()
+    copies = stored(count_join(own, stored(first, "equal"), ["digest"]).where("doc_id > first").select("doc_id", "h", "n_words"), "copies")
+    ids = copies.select("doc_id", "h").distinct()
     asked = docs.where("doc_id is not null")
     # few copies are broadcast to each scan; many are joined away once
-    asked = asked.join(F.broadcast(ids), "doc_id", "left_anti") if copies.count() <= BROADCAST else stored(asked.join(ids, "doc_id", "left_anti"), "single")
+    asked = asked.join(F.broadcast(ids), ["doc_id", "h"], "left_anti") if copies.count() <= BROADCAST else stored(asked.join(ids, ["doc_id", "h"], "left_anti"), "single")
 
     filters: list[Filter] = []
     most = 0
@@ -420,21 +455,39 @@ def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFram
     met = seen.join(F.broadcast(often.withColumnRenamed("first", "near").drop("n")), ["one", "two"], "left")
     met = met.withColumn("two", F.when(F.col("near").isNull(), F.col("two")).otherwise(F.hash("doc_id", "at"))).withColumn("one", F.when(F.col("near").isNull(), F.col("one")).otherwise(F.xxhash64("doc_id", "at")))
     again = met.join(named.join(F.broadcast(often.select("one", "two")), ["one", "two"], "left_anti").drop("n"), ["one", "two"], "left").where("doc_id > coalesce(near, first)")
-    again = again.select("doc_id", "at", F.coalesce("near", "first").alias("first"))
-    repeats = stored(again.groupBy("doc_id").agg(F.collect_list("at").alias("begins"), F.collect_list("first").alias("firsts")), "repeats")
-    repeats = stored(_within(asked, repeats).join(repeats, "doc_id").select("doc_id", "text", "begins", "firsts"), "repeats")
-    _compare(asked, repeats, window)
-    return own, copies, repeats
+    again = again.select("doc_id", "h", "at", F.coalesce("near", "first").alias("first"))
+    repeats = stored(again.groupBy("doc_id", "h").agg(F.collect_list("at").alias("begins"), F.collect_list("first").alias("firsts")), "repeats")
+    repeats = stored(_within(asked, repeats).join(repeats, ["doc_id", "h"]).select("doc_id", "h", "text", "begins", "firsts"), "repeats")
+    return own, copies, _compared(asked, repeats, window)
 
 
-def _compare(docs: DataFrame, repeats: DataFrame, window: int) -> None:
-    """Compare the words that are about to go with those of the documents that had them first; a difference is an error."""
+def _compared(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
+    """Repeats whose words the document that is held to have had them first does have, in any of its rows.
+
+    Where two windows share a name and not their words, documents are found anew by the words.
+    """
     said = repeats.mapInArrow(_segments(window), "first long, said binary").distinct()
     # the stretches of one document are dealt out, as a much copied one has many
     lists = stored(said.groupBy(F.col("first").alias("doc_id"), F.pmod(F.xxhash64("said"), F.lit(16)).alias("part")).agg(F.collect_list("said").alias("said")), "said")
     sources = _within(docs, lists.select("doc_id").distinct())
-    if lists.join(sources, "doc_id").select("doc_id", "text", "said").mapInArrow(_unsaid(window), "doc_id long").head(1):
-        raise RuntimeError("two windows share a name")
+    lost = stored(lists.join(sources, "doc_id").select("doc_id", "text", "said").mapInArrow(_unsaid(window), "first long, said binary"), "lost")
+    if not lost.head(1):
+        return repeats
+    rows = _within(docs, lost.select(F.col("first").alias("doc_id")).distinct()).groupBy(F.col("doc_id").alias("first")).agg(F.count("*").alias("rows"))
+    wrong = lost.groupBy("first", F.col("said").alias("words")).agg(F.count("*").alias("n")).join(rows, "first").where("n >= rows").select("first", "words")
+    spelled = "doc_id long, h long, at int, first long, words binary, one long"
+    doubted = stored(repeats.mapInArrow(_spelled(window), spelled).join(wrong, ["first", "words"]).drop("first"), "doubted")
+    known = docs.sparkSession.sparkContext.broadcast(membership(doubted.select("one"), "one"))
+    having = docs.mapInArrow(_spelled(window, known), spelled).join(doubted.select("words").distinct(), "words", "left_semi").groupBy("words").agg(F.min("doc_id").alias("first"))
+    off = doubted.join(having, "words").where("first >= doc_id").select("doc_id", "h", "at").distinct()
+    lists = off.groupBy("doc_id", "h").agg(F.collect_set("at").alias("off"))
+    left = F.when(F.col("off").isNull(), F.col("begins")).otherwise(F.array_except("begins", "off"))
+    return stored(repeats.join(lists, ["doc_id", "h"], "left").withColumn("begins", left).where("size(begins) > 0").select("doc_id", "h", "text", "begins"), "repeats")
+
+
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -447,16 +500,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     Returns doc_id, n_words, n_removed and kept_sha256 (of the kept words, joined by one
     blank): a row for each row. A null or empty text has no words. Documents of fewer words
     than the window lose nothing. Of equal documents the one with the smallest id stays;
-    rows that share an id do not remove each other's words, and must share their text. Rows
-    with a null id take part in nothing and keep their words. A task holds a text whole, and
+    rows that share an id, with equal texts or not, do not remove each other's words, and what
+    any of them says counts as said by that id. Rows with a null id take part in nothing and
+    keep their words. A task holds a text whole, and
     about 60 bytes for each byte of the longest one.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    own, copies, repeats = _found(docs, window)
+    own, copies, repeats = _found(_plain(docs, id_col, text_col), window)
     cut = repeats.select("doc_id", "text", "begins").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     gone = copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
-    changed = copies.select("doc_id").union(repeats.select("doc_id")).distinct()
-    whole = own.join(changed, "doc_id", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("digest")).alias("kept_sha256"))
+    changed = copies.select("doc_id", "h").union(repeats.select("doc_id", "h")).distinct()
+    whole = own.join(changed, ["doc_id", "h"], "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.lower(F.hex("digest")).alias("kept_sha256"))
     return cut.unionByName(gone).unionByName(whole)
 
 
@@ -467,9 +520,9 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     null ones too, stays as it is. Whole copies keep their row with an empty text. Columns may
     have any names.
     """
-    _, copies, repeats = _found(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), window)
-    changed = repeats.select("doc_id", "text", "begins").mapInArrow(_rewritten(window), "id long, new string").dropDuplicates(["id"])
-    changed = changed.unionByName(copies.select(F.col("doc_id").alias("id"), F.lit("").alias("new")).distinct())
-    whole = docs.select(F.col(id_col).cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    _, copies, repeats = _found(_plain(docs, id_col, text_col), window)
+    changed = repeats.select("doc_id", "h", "text", "begins").mapInArrow(_rewritten(window), "id long, h long, new string").dropDuplicates(["id", "h"])
+    changed = changed.unionByName(copies.select(F.col("doc_id").alias("id"), "h", F.lit("").alias("new")).distinct())
+    whole = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("h"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     text = F.coalesce(F.col("new").cast(docs.schema[text_col].dataType), F.col(f"row.`{text_col}`"))
-    return whole.join(changed, "id", "left").select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return whole.join(changed, ["id", "h"], "left").select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from codehistory.llm import fingerprints, periodic, phrases, queries
+from codehistory.llm import fingerprints, periodic, phrases, queries, substrings
 from codehistory.llm.prefix import Prefix
 
 DOCS = "doc_id long, text string, lang string, source string, row long, period int, h long, part int"
@@ -24,6 +24,10 @@ def split(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def prose(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
 def odd_rows():
     rng = random.Random(8)
     base = " ".join(f"w{rng.randrange(60)}" for _ in range(80))
@@ -189,11 +193,11 @@ def test_worth_is_exact(spark):
 
 def test_fingerprints(spark):
     rng = random.Random(9)
-    prose = lambda n: " ".join("".join(rng.choice("abcdefé漢") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    said = lambda n: " ".join("".join(rng.choice("abcdefé漢") for _ in range(rng.randrange(2, 9))) for _ in range(n))
     for n in (1, 3, 40, 500, 4000):
-        a, b = prose(n), prose(n)
+        a, b = said(n), said(n)
         edited = a[: len(a) - len(a) // 3] + b[: len(a) // 3]
-        x, again, y, e, moved = fingerprints.prints(pa.array([a, a, b, edited, prose(5) + " " + a]))
+        x, again, y, e, moved = fingerprints.prints(pa.array([a, a, b, edited, said(5) + " " + a]))
         assert x == again and str(x) == str(again) and fingerprints.Print.parse(str(x)) == x and str(x) != str(y)
         assert fingerprints.likeness(x, again) == 1 and fingerprints.likeness(x, y) < 0.4 and fingerprints.likeness(x, e) == fingerprints.likeness(e, x) >= 0.55
         if n >= 40:
@@ -231,3 +235,33 @@ def test_fingerprints_beside_the_next(spark):
     assert two == {6: hashlib.sha256(b"abcduv").hexdigest(), 9: hashlib.sha256(b"uvwxyzabc").hexdigest()}
     assert fingerprints.with_edited(table(spark, []).limit(0), queries._last_third).count() == 0
     assert {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(table(spark, [(5, "one text here", "en")])).collect()} == {5: alone[0].fingerprint}
+
+
+def removed_by_words(rows, window=13):
+    """(id, kept text) of each row, with what an id says in any of its rows counted as said by it."""
+    first = {}
+    for i, t in rows:
+        w = split(t)
+        for k in range(len(w) - window + 1):
+            key = tuple(w[k : k + window])
+            first[key] = min(first.get(key, i), i) if i is not None else first.get(key, 10**9)
+    out = []
+    for i, t in rows:
+        w = split(t)
+        gone = {k + j for k in range(len(w) - window + 1) for j in range(window) if i is not None and first[tuple(w[k : k + window])] < i}
+        out.append((i, hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("bits", [64, 5])
+def test_repeats_of_rows_that_share_an_id(spark, monkeypatch, bits):
+    """Different texts under one id, repeats between them and by others; with names of few bits, which collide, too."""
+    monkeypatch.setattr(substrings, "NAME_BITS", bits)
+    rng = random.Random(12)
+    a, b, c = prose(rng, 40), prose(rng, 40), prose(rng, 60)
+    rows = [(1, a), (1, b), (1, a), (2, prose(rng, 5) + " " + a), (2, b[10:] + " " + c), (3, c), (3, a + " " + b), (4, b), (4, prose(rng, 30)), (5, prose(rng, 30) + " " + c + " " + a), (None, a), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = sorted(((r.doc_id, r.kept_sha256) for r in substrings.remove_repeats(docs).collect()), key=str)
+    assert got == removed_by_words(rows)
+    texts = sorted(((r.doc_id, hashlib.sha256(" ".join(split(r.text)).encode()).hexdigest()) for r in substrings.cut_repeats(docs).collect()), key=str)
+    assert texts == got

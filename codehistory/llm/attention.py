@@ -213,7 +213,11 @@ class Model:
         de = dk @ p["K"].T + du @ p["V"].T
         de[:, OVERLAP:] += dh + dq @ p["Q"].T
         g["E"] = np.zeros_like(p["E"])
-        np.add.at(g["E"], x.ravel(), flat(de))
+        at = x.ravel() % len(p["E"])
+        turn = np.argsort(at, kind="stable")
+        at = at[turn]
+        edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        g["E"][at[edge]] = np.add.reduceat(flat(de)[turn], edge)
         return -float(logp.mean()) if len(logp) else 0.0, {k: v / n for k, v in g.items()}
 
 

@@ -6,8 +6,9 @@
    distinct word of a block is cut into subwords once.
 2. Spark sums the counts of each word and each pair over all blocks. The sums over pairs give
    the attention model its vocabulary, classes and biases; a bounded sample begins its weights.
-3. Each partition of the blocks trains the weights further on one of EVERY spans of its
-   training texts, so what they learn from grows with the corpus; Spark averages the changes.
+3. Each partition of the blocks trains the weights further, in EVERY rounds on one of EVERY
+   spans of its training texts each, so all spans train; Spark averages the changes of a round.
+   Texts of one id in RESTING train no weights: they fit the share of the mixture.
 4. The counts are joined back to the words and pairs of the blocks, and each block gets its
    own. So the shuffle carries distinct words and pairs of blocks, not tokens, and none
    gathers more rows than there are blocks.
@@ -17,6 +18,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from itertools import chain
@@ -39,10 +41,14 @@ STEP_BYTES, BLOCK_WORDS = 4 << 20, 2_000_000
 MOST_WORDS = 100_000
 #: Bytes of training text that the weights begin with, and characters of the pieces that longer texts are cut into for it.
 SAMPLE_BYTES, SAMPLE_TEXT = 5_000_000, 20_000
-#: Of so many spans of words of all training texts one trains the weights, at this rate.
-EVERY, SPAN, RATE = 96, 48, 0.001
-#: Subwords of the sample that the shares of the mixture are fitted on.
+#: Rounds of averaged training, each on one of as many spans of words of all training texts; windows of a step, and the rate of the first round.
+EVERY, SPAN, STEP, RATE = 4, 48, 128, 0.002
+#: Of so many ids one rests while weights are trained.
+RESTING = 64
+#: Subwords of the sample that the share of the mixture is fitted on.
 MIXED = 100_000
+#: First sums that the changes of a place are dealt to, before those are added.
+FAN = 256
 #: Groups of preceding subwords, by hash, that the classes of subwords are told apart by.
 BEFORE = 64
 #: Weights in a row of the table that averages them.
@@ -319,19 +325,24 @@ def _scored(total: int, distinct: int, ends: int, learned_value):
     return run
 
 
-def _spans(texts: Texts, train: np.ndarray, every: int) -> tuple[Texts, np.ndarray, np.ndarray]:
-    """One of `every` spans of SPAN words of the training texts, counted through all of them: as texts, and whether each begins and ends its own."""
+def _resting(ids: list) -> np.ndarray:
+    """Which ids rest while weights are trained."""
+    return np.array([x is not None and zlib.crc32(str(x).encode()) % RESTING == RESTING - 1 for x in ids], bool)
+
+
+def _spans(texts: Texts, train: np.ndarray, every: int, turn: int = 0) -> tuple[Texts, np.ndarray, np.ndarray]:
+    """One of `every` spans of SPAN words of the training texts, counted through all of them from `turn` on: as texts, and whether each begins and ends its own."""
     many = np.where(train, np.maximum(1, -(-texts.n // SPAN)), 0)
     doc = np.repeat(np.arange(len(many)), many)
     nr = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-    doc, nr = doc[::every], nr[::every]
+    doc, nr = doc[turn::every], nr[turn::every]
     n = np.minimum(SPAN, texts.n[doc] - nr * SPAN)
     first = (np.cumsum(texts.n) - texts.n)[doc] + nr * SPAN
     return replace(texts, n=n, tokens=texts.tokens[_spread(first, n)]), nr == 0, nr == many[doc] - 1
 
 
-def _updates(learned_value, every: int, rate: float):
-    """How the training texts of a partition change the weights, times the windows that they gave."""
+def _updates(learned_value, every: int, turn: int, rate: float):
+    """How one of `every` spans of the training texts of a partition change the weights, times the windows that they gave."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned: Learned = learned_value.value
@@ -342,17 +353,22 @@ def _updates(learned_value, every: int, rate: float):
         number = np.append(v.number, v.end)
         for one, texts in _rows(batches, len(learned.own) - 1):
             train = ~one.column("held_out").flatten().to_numpy(zero_copy_only=False).astype(bool)
-            some, opens, closes = _spans(texts, train, every)
-            flat, many, _ = some.flat()
-            edge = np.append(0, np.cumsum(many))
-            mine = [number[flat[edge[i] : edge[i + 1] - 1]] for i in range(len(many))]
-            for x, y, on, _ in A.windows(mine, v, opens, closes, batch=A.LEARNED):
-                adam.step(x, y, on, rate * min(1.0, adam.i / 20))
-                n += len(x)
+            some, opens, closes = _spans(texts, train & ~_resting(one.column("doc_ids").flatten().to_pylist()), every, turn)
+            a = 0
+            for part in some.parts(MOST_WORDS):
+                b = a + len(part.n)
+                flat, many, _ = part.flat()
+                edge = np.append(0, np.cumsum(many))
+                mine = [number[flat[edge[i] : edge[i + 1] - 1]] for i in range(len(many))]
+                for x, y, on, _ in A.windows(mine, v, opens[a:b], closes[a:b], batch=STEP):
+                    adam.step(x, y, on, rate * min(1.0, (adam.i + 1) / 20))
+                    n += len(x)
+                a = b
         change = np.concatenate([((model.p[k] - start.p[k]) * n).ravel() for k in sorted(start.p)]).astype("<f4")
         if n:
+            fan = TaskContext.get().partitionId() % FAN
             for i in range(0, len(change), CHUNK):
-                yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK], pa.int32()), pa.array([n], pa.int64()), pa.array([change[i : i + CHUNK].tobytes()], pa.binary())], ["chunk", "n", "change"])
+                yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK], pa.int32()), pa.array([n], pa.int64()), pa.array([change[i : i + CHUNK].tobytes()], pa.binary()), pa.array([fan], pa.int32())], ["chunk", "n", "change", "fan"])
 
     return run
 
@@ -368,13 +384,18 @@ def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def refine(blocks: DataFrame, learned: Learned, every: int = EVERY, rate: float = RATE) -> Learned:
-    """The model after every partition of the blocks has trained it on its windows: the mean of their weights, by windows.
+    """The model after every partition of the blocks has trained it on all its spans: in `every` rounds, each on the mean of the weights of the round before, by windows."""
+    for turn in range(every):
+        learned = _round(blocks, learned, every, turn, rate * (1 - turn / every))
+    return learned
 
-    A task sends its weights once, in rows that are added up by place; the driver receives the sum.
-    """
+
+def _round(blocks: DataFrame, learned: Learned, every: int, turn: int, rate: float) -> Learned:
+    """A task sends its weights once, in rows that are added up by place, FAN sums of a place first; the driver receives one sum."""
     kind = "chunk int, n long, change binary"
-    sent = blocks.select("held_out", "n_tokens", "tokens", "sizes", "subwords").mapInArrow(_updates(blocks.sparkSession.sparkContext.broadcast(learned), every, rate), kind)
-    got = sent.repartition("chunk").mapInArrow(_added, kind).orderBy("chunk").collect()
+    sent = blocks.select("doc_ids", "held_out", "n_tokens", "tokens", "sizes", "subwords").mapInArrow(_updates(blocks.sparkSession.sparkContext.broadcast(learned), every, turn, rate), f"{kind}, fan int")
+    first = sent.repartition("chunk", "fan").drop("fan").mapInArrow(_added, kind)
+    got = first.repartition("chunk").mapInArrow(_added, kind).orderBy("chunk").collect()
     if not got:
         return learned
     change, p = np.concatenate([np.frombuffer(r["change"], "<f4") / r["n"] for r in got]), {}
@@ -429,13 +450,16 @@ def learn(training: DataFrame, pairs: DataFrame, path: str, blocks: DataFrame |
     texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) and texts.num_chunks else texts
     ids = subwords(path, texts)
     opens, closes = (got.column(x).to_numpy().astype(bool) for x in ("opens", "closes"))
-    model = A.train([v.number[x] for x in ids], v, counts, A.groups(before, counts), opens, closes)
+    rest = _resting(got.column("doc_id").to_pylist())
+    model = A.train([v.number[ids[i]] for i in np.flatnonzero(~rest)], v, counts, A.groups(before, counts), opens[~rest], closes[~rest])
     learned = Learned(model, v, 0.5, own, seen, kinds)
     if blocks is not None:
         learned = refine(blocks, learned)
-    few = int(np.searchsorted(np.cumsum([len(x) + 1 for x in ids]), MIXED)) + 1 if ids else 0
-    if few:
-        first = _distinct(W.of(texts.slice(0, few), lower=True), path)[0]
+    # a sample in which no text rests fits the share on all of it
+    at = np.flatnonzero(rest) if rest.any() else np.arange(len(rest))
+    at = at[: int(np.searchsorted(np.cumsum([len(ids[i]) + 1 for i in at]), MIXED)) + 1]
+    if len(at):
+        first = _distinct(W.of(texts.take(pa.array(at)), lower=True), path)[0]
         flat, many, place = first.flat()
         at, joints = first.joints(flat, many, place)
         every = first.inner()[0][np.maximum(place, 0)] if len(first.ids) else np.zeros(len(flat), np.int64)
@@ -469,7 +493,7 @@ def score(docs: DataFrame, path: str, held_col: str = "held_out", id_col: str =
     Returns doc_id, held_out, n_tokens, n_known (tokens with a training count), train_tokens,
     base_score and score (log10): a row for each row. A null or empty text is its end alone.
     A null mark counts as not held out, a null id is left out of the sample that weights begin
-    with. Equal texts get equal scores. A block holds a text whole, so a task needs about 60
+    with. Texts of one training id in RESTING train no weights but count everywhere else. Equal texts get equal scores. A block holds a text whole, so a task needs about 60
     bytes for each byte of the longest one.
     """
     spark = docs.sparkSession

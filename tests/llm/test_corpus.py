@@ -817,6 +817,38 @@ def test_weights_learn_from_every_partition(spark):
     fit = [attention.score_each(x.model, x.vocabulary, held).mean() for x in (first, more)]
     assert fit[1] > fit[0]
     assert scoring.refine(blocks.where("block < 0"), first) is first
+    # the rounds together take every span once, whatever their number
+    def spans(every):
+        out = []
+        for turn in range(every):
+            some, opens, closes = scoring._spans(one, np.array([True, True, False, True]), every, turn)
+            tokens = np.split(some.tokens, np.cumsum(some.n)[:-1])
+            out += [(tuple(t.tolist()), bool(o), bool(c)) for t, o, c in zip(tokens, opens, closes, strict=True)]
+        return sorted(out)
+
+    assert spans(1) == spans(3) == spans(7)
+    rest = scoring._resting([None, *range(6400)])
+    assert not rest[0] and 50 < rest.sum() < 150
+
+
+def test_gradients(spark):
+    """The gradient of embeddings, where one subword stands in many places and before a text, against differences."""
+    rng = np.random.default_rng(5)
+    v, counts = attention.vocabulary(np.array([9, 5, 3, 2, 1]))
+    counts[v.end] = 4
+    model = attention.Model(counts.astype(float), np.arange(len(counts)) % 3)
+    model.p = {k: w.astype(float) for k, w in model.p.items()}
+    x, y, on, _ = next(attention.windows([rng.integers(0, 5, n) for n in (3, 70, 0)], v))
+    grads = model.gradients(x, y, on)[1]
+    for row in (0, 3, v.begin):
+        w = model.p["E"]
+        old = w[row, 2]
+        w[row, 2] = old + 1e-3
+        more = model.gradients(x, y, on)[0]
+        w[row, 2] = old - 1e-3
+        less = model.gradients(x, y, on)[0]
+        w[row, 2] = old
+        assert grads["E"][row, 2] == pytest.approx((more - less) / 2e-3, rel=0.02, abs=1e-4)
 
 
 def test_scores(spark, odd, none):

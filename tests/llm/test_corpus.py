@@ -822,7 +822,7 @@ def test_weights_learn_from_every_partition(spark):
         out = []
         for turn in range(every):
             some, opens, closes = scoring._spans(one, np.array([True, True, False, True]), every, turn)
-            tokens = np.split(some.tokens, np.cumsum(some.n)[:-1])
+            tokens = np.split(some.tokens, np.cumsum(some.n)[:-1]) if len(some.n) else []
             out += [(tuple(t.tolist()), bool(o), bool(c)) for t, o, c in zip(tokens, opens, closes, strict=True)]
         return sorted(out)
 

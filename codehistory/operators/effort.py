@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.columns import KINDS
 from ..params import Params
+from .lineage import cut
 from .ordered import quantiles
 
 
@@ -60,17 +61,49 @@ def ownership(base: DataFrame, params: Params | None = None) -> DataFrame:
     return out.where((F.col("share") >= p.ownership_floor) & (F.col("days") >= p.ownership_days)).withColumnRenamed("who", "person")
 
 
-def peers(base: DataFrame, top: int = 12, most: int | None = None) -> DataFrame:
-    """For each person those who touch the same files: shared files and repositories, the top ones. Files of more than `most` people may be left out."""
+#: People beyond whom a file is not expanded into pairs of them.
+HEAVY = 500
+
+
+def peers(base: DataFrame, top: int = 12, most: int | None = None, heavy: int = HEAVY) -> DataFrame:
+    """For each person those who touch the same files: shared files and repositories, the top ones. Files of more than `most` people may be left out.
+
+    Files of at most `heavy` people give pairs of people. For the others, people with the same
+    heavy files are one class, and classes are paired: of whoever shares no light file with a
+    person only the `top` of most shared heavy files, then least name, can be among its top.
+    """
     who = base.select("repo", "path", "who").distinct()
+    size = who.groupBy("repo", "path").agg(F.count("*").alias("n"))
     if most is not None:
-        who = who.join(who.groupBy("repo", "path").agg(F.count("*").alias("n")).where(F.col("n") <= most).drop("n"), ["repo", "path"])
-    pairs = who.join(who.withColumnRenamed("who", "peer"), ["repo", "path"]).where("who <> peer").groupBy("who", "peer", "repo").agg(F.count("*").alias("files"))
+        size = size.where(F.col("n") <= most)
+    sized = cut(who.join(size, ["repo", "path"]))
+    light, busy = sized.where(F.col("n") <= heavy).drop("n"), sized.where(F.col("n") > heavy).drop("n")
+    pairs = light.join(light.withColumnRenamed("who", "peer"), ["repo", "path"]).where("who <> peer").groupBy("who", "peer", "repo").agg(F.count("*").alias("files"))
+    if not busy.isEmpty():
+        pairs = _with_heavy(cut(pairs), busy, top)
     out = pairs.groupBy("who", "peer").agg(F.sum("files").alias("files"), F.count("*").alias("repos"))
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("who").orderBy(F.desc("files"), "peer")))
     return ranked.where(F.col("rank") <= top).withColumnRenamed("who", "person")
 
 
+def _with_heavy(pairs: DataFrame, busy: DataFrame, top: int) -> DataFrame:
+    """Pairs (who, peer, repo, files) with heavy files counted in, and those that only heavy files link, as far as they can be among the top."""
+    sets = busy.groupBy("who").agg(F.sort_array(F.collect_set(F.struct("repo", "path"))).alias("held"))
+    # a class is named by its least member, so different sets never share a name
+    name = sets.groupBy("held").agg(F.min("who").alias("class"))
+    member = cut(sets.join(name, "held").select("who", "class"))
+    files = name.select("class", F.explode("held").alias("f")).select("class", "f.*")
+    shared = cut(files.join(files.withColumnRenamed("class", "other"), ["repo", "path"]).groupBy("class", "other", "repo").agg(F.count("*").alias("files")))
+    # one more than the top of each class, as a person is no peer of their own
+    first = member.withColumn("nr", F.row_number().over(Window.partitionBy("class").orderBy("who"))).where(F.col("nr") <= top + 1).select(F.col("class").alias("other"), F.col("who").alias("peer"))
+    total = shared.groupBy("class", "other").agg(F.sum("files").alias("files")).join(first, "other")
+    best = total.withColumn("nr", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("files"), "peer"))).where(F.col("nr") <= top + 1).select("class", "other", "peer")
+    linked = pairs.select("who", "peer").distinct().join(member, "who").join(member.select(F.col("who").alias("peer"), F.col("class").alias("other")), "peer")
+    asked = linked.select("who", "peer", "class", "other").union(member.join(best, "class").where("who <> peer").select("who", "peer", "class", "other")).distinct()
+    both = pairs.unionByName(asked.join(shared, ["class", "other"]).select("who", "peer", "repo", "files"))
+    return both.groupBy("who", "peer", "repo").agg(F.sum("files").alias("files"))
+
+
 def active_days(commits: DataFrame) -> DataFrame:
     """By person and month: distinct days, and distinct commit times."""
     rows = commits.select("person", "month", "day", "date").distinct()

@@ -65,7 +65,7 @@ def _moves(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         scores = cut(now.withColumn("done", F.coalesce(F.col("value") - F.col("before") < LEAST_GAIN, F.lit(False))))
         ended, open_ = scores.where("done"), scores.where("not done")
         some = {r["done"] for r in scores.select("done").distinct().collect()}
-        if True in some:
+        if True in some or not some:
             placed.append(after.join(ended.select("repo"), "repo").select("repo", "node", "comm"))
             gains.append(ended.select("repo", (F.col("value") - F.col("start")).alias("gain"), F.lit(True).alias("settled")))
         if False not in some:

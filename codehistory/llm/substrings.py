@@ -11,16 +11,16 @@ repeat every symbol whose reach lies in the repeat is the same at both places.
 2. ROUNDS rounds name runs and pairs over all texts. A window of `window` words that holds a
    symbol which only one document has repeats nothing; a round looks only at symbols that
    some window still needs.
-3. The windows that are left are named by 96 bits, from two independent hashes of words, and
+3. What is left of a text becomes stretches. There rounds go on until no new symbol fits a
+   window, each window is anchored by its highest symbol, and Spark joins the anchors that
+   several documents share: only their windows go on.
+4. Windows of shared anchors are named by 96 bits, from two independent hashes of words, and
    Spark finds the first document of each.
-4. Words covered by a window that begins in a document with a smaller id are removed. Before,
+5. Words covered by a window that begins in a document with a smaller id are removed. Before,
    they are compared, word for word, with the words of that document.
 
-What a round has counted goes to the tasks as a filter of fixed size. When more names are
-shared than it can tell apart, step 3 has a round more: what is left of a text becomes
-stretches, levels go on until no new symbol fits a window, each window is anchored by its
-highest symbol, and an exact join finds the anchors that several documents share. The result
-is the same; only the work differs.
+What a round of step 2 has counted goes to the tasks as a filter of fixed size; where it is
+too full to tell names apart, more is left for the joins of step 3, which grow with the data.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ from .common import Filter, count_join, hot_keys, membership, stored
 WINDOW = 13
 #: Rounds whose names filter texts. A symbol of level r spans up to 2^r words or runs of a word.
 ROUNDS = 2
-#: Most names that a filter tells apart well, and most ids that are broadcast.
-TOLD_APART, BROADCAST = 1 << 24, 1 << 20
+#: Most ids that are broadcast.
+BROADCAST = 1 << 20
 #: Bytes of text of a step: a step holds the symbols of all levels.
 STEP_BYTES = 1 << 20
 _PART = np.uint64(0x9E3779B97F4A7C15)
@@ -173,11 +173,11 @@ def _names(window: int, filters_value):
     return run
 
 
-def _shared(docs: DataFrame, window: int, filters: list[Filter]) -> tuple[Filter, int]:
-    """The names of a round that several documents share, as a filter, and how many there are."""
+def _shared(docs: DataFrame, window: int, filters: list[Filter]) -> Filter:
+    """The names of a round that several documents share, as a filter."""
     found = docs.mapInArrow(_names(window, docs.sparkSession.sparkContext.broadcast(filters)), "name long, n long")
     names = stored(found.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name"), "names")
-    return membership(names, "name"), names.count()
+    return membership(names, "name")
 
 
 def _stretches(window: int, filters_value):
@@ -263,20 +263,6 @@ def _hashed(w: W.Words, begin: np.ndarray, window: int, batch: pa.RecordBatch, b
     return pa.RecordBatch.from_arrays([pa.array(_signed(one)), pa.array(two), batch.column("doc_id").take(take), batch.column("h").take(take), pa.array(at.astype(np.int32))], ["one", "two", "doc_id", "h", "at"])
 
 
-def _windows(window: int, filters_value, named_value=None):
-    """Windows of texts that hold no symbol which a filter refuses, and have a name that another filter knows."""
-    bits = NAME_BITS
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = filters_value.value
-        for batch in W.steps(batches, most=STEP_BYTES):
-            w = W.of(batch.column("text"))
-            found = _hashed(w, np.flatnonzero(_alive(w, _first_levels(w, window, len(filters)), filters, window)), window, batch, bits)
-            yield found if named_value is None else found.filter(pa.array(named_value.value(found.column("one").to_numpy().view(np.uint64))))
-
-    return run
-
-
 def _anchored_windows(window: int):
     """Windows of stretches whose anchor is shared."""
     bits = NAME_BITS
@@ -415,7 +401,7 @@ def _within(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return tagged.mapInArrow(_some(docs.sparkSession.sparkContext.broadcast(membership(tags, "tag"))), tagged.schema).drop("tag")
 
 
-def _exact(docs: DataFrame, window: int, filters: list[Filter]) -> DataFrame:
+def _anchor_join(docs: DataFrame, window: int, filters: list[Filter]) -> DataFrame:
     """Windows that hold a shared anchor, by a join that grows with what the filters let pass."""
     left = stored(docs.mapInArrow(_stretches(window, docs.sparkSession.sparkContext.broadcast(filters)), "doc_id long, h long, at int, text binary"), "stretches")
     held = stored(left.mapInArrow(_anchored(window), "anchor long, doc_id long, h long, at int"), "anchors")
@@ -426,7 +412,6 @@ def _exact(docs: DataFrame, window: int, filters: list[Filter]) -> DataFrame:
 
 def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of documents (doc_id, h, text), h being a hash of the text that tells rows of one id apart: (doc_id, h, n_words, digest) of all rows, whole copies of them, and the others that repeat something, with where (doc_id, h, text, begins)."""
-    spark = docs.sparkSession
     own = stored(docs.mapInArrow(_contents, "doc_id long, h long, n_words long, digest binary"), "contents")
     first = own.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = stored(count_join(own, stored(first, "equal"), ["digest"]).where("doc_id > first").select("doc_id", "h", "n_words"), "copies")
@@ -436,20 +421,11 @@ def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFram
     asked = asked.join(F.broadcast(ids), ["doc_id", "h"], "left_anti") if copies.count() <= BROADCAST else stored(asked.join(ids, ["doc_id", "h"], "left_anti"), "single")
 
     filters: list[Filter] = []
-    most = 0
     for _ in range(ROUNDS):
-        member, n = _shared(asked, window, filters)
-        filters.append(member)
-        most = max(most, n)
-    if most > TOLD_APART:
-        seen = stored(_exact(asked, window, filters), "windows")
-    else:
-        seen = asked.mapInArrow(_windows(window, spark.sparkContext.broadcast(filters)), WINDOWS)
+        filters.append(_shared(asked, window, filters))
+    seen = stored(_anchor_join(asked, window, filters), "windows")
     named = seen.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
     named = stored(named, "first")
-    if most <= TOLD_APART:
-        known = spark.sparkContext.broadcast(membership(named.select("one"), "one"))
-        seen = asked.mapInArrow(_windows(window, spark.sparkContext.broadcast(filters), known), WINDOWS)
     # names that hold much of all windows are broadcast; their windows go on under keys that meet nothing, so no key gathers them
     often = hot_keys(named)
     met = seen.join(F.broadcast(often.withColumnRenamed("first", "near").drop("n")), ["one", "two"], "left")

@@ -412,8 +412,7 @@ def test_substrings_without_filters(spark, monkeypatch):
         monkeypatch.setattr(substrings, "membership", lambda df, column, bits=bits: common.membership(df, column, bits) if bits > 12 else common.Filter(np.full(64, 2**64 - 1, np.uint64), 52))
         got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(table(spark, texts)).collect()}
         assert got == want
-    # more shared names than filters tell apart, more copies than are broadcast
-    monkeypatch.setattr(substrings, "TOLD_APART", 0)
+    # more copies than are broadcast
     monkeypatch.setattr(substrings, "BROADCAST", 0)
     for bits in (27, 12):
         monkeypatch.setattr(substrings, "membership", lambda df, column, bits=bits: common.membership(df, column, bits) if bits > 12 else common.Filter(np.full(64, 2**64 - 1, np.uint64), 52))

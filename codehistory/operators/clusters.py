@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from . import cochange
-from .facts import person_days
+from .facts import people_days
 from .ordered import quantiles
 
 
@@ -37,10 +37,9 @@ def cluster_stats(files: DataFrame, edges: DataFrame, commits: DataFrame) -> Dat
     lead = ranked.groupBy(*key).agg(F.sort_array(F.collect_list(F.when(F.col("r") <= 3, F.struct("r", "module")))).alias("m"), F.count("*").alias("n"))
     names = F.concat(F.array_join(F.transform("m", lambda x: x["module"]), ", "), F.when(F.col("n") > 3, F.format_string(" +%d", F.col("n") - 3)).otherwise(""))
     placed = commits.join(files.select("repo", "path", "cluster_id"), ["repo", "path"])
-    days = person_days(placed, ("repo", "cluster_id"))
-    devs = placed.where("person is not null").select(*key, "person").distinct().groupBy(*key).agg(F.count("*").alias("devs"))
+    days = people_days(placed, ("repo", "cluster_id")).withColumn("devs", F.nullif("devs", F.lit(0))).drop("most_days")
     total = placed.select(*key, "sha").distinct().groupBy(*key).agg(F.count("*").alias("commits"))
-    out = base.join(lead.select(*key, names.alias("modules")), key).join(cochange.cohesion(edges, files), key, "left").join(days, key, "left").join(devs, key, "left").join(total, key, "left")
+    out = base.join(lead.select(*key, names.alias("modules")), key).join(cochange.cohesion(edges, files), key, "left").join(days, key, "left").join(total, key, "left")
     repo = Window.partitionBy("repo")
     return out.select(
         *key, "modules", "files", "churn", C.ratio(F.col("churn"), F.sum("churn").over(repo), 3).alias("share"), "churn_per_line", "rework_per_line", C.ratio(F.col("top"), F.col("churn")).alias("in_hotspot"), "hotspot",

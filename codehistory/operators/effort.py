@@ -13,19 +13,27 @@ from .ordered import quantiles
 
 
 def touched(commits: DataFrame) -> DataFrame:
-    """Distinct (who, day, repo, path) with the kind of each path: the base of every table here. Cache it to make several."""
-    rows = commits.select(F.coalesce("person", F.lit("")).alias("who"), "day", "repo", "path").distinct()
+    """Distinct (who, day, repo, path) with the kind of each path, and whether `who` is a known person: the base of every table here. Cache it to make several."""
+    rows = commits.groupBy(F.coalesce("person", F.lit("")).alias("who"), "day", "repo", "path").agg(F.max(F.col("person").isNotNull()).alias("known"))
     return rows.withColumn("kind", C.work_kind(F.col("path")))
 
 
-def split(base: DataFrame, keys: tuple[str, ...], within: tuple[str, ...] | None = None) -> DataFrame:
-    """Days of each key by kind: a person's day is shared over kinds by the files touched that day (in `within`)."""
+def shared_days(base: DataFrame, keys: tuple[str, ...], within: tuple[str, ...] | None = None) -> DataFrame:
+    """Days of each key by kind, not rounded: a person's day is shared over kinds by the files touched that day (in `within`).
+
+    With `days`, the person-days that the key has a part in, and `known`, whether a known person is among them.
+    """
     unit = tuple(dict.fromkeys((*(within if within is not None else keys), "who", "day")))
-    per = base.groupBy(*dict.fromkeys((*keys, *unit)), "kind").agg(F.count("*").alias("n"))
-    shares = per.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*unit)))
-    # nine digits, so that the order of a float sum does not decide a rounding later
-    sums = [C.rint(F.sum(F.when(F.col("kind") == k, F.col("share")).otherwise(0.0)), 9).alias(c) for k, c in KINDS.items()]
-    return shares.groupBy(*keys).agg(*sums)
+    per = base.groupBy(*dict.fromkeys((*keys, *unit))).agg(*(F.count_if(F.col("kind") == k).alias(c) for k, c in KINDS.items()), F.count("*").alias("n"), F.max("known").alias("known"))
+    # a row is a whole unit already, unless a key divides units
+    whole = F.col("n") if set(keys) <= set(unit) else F.sum("n").over(Window.partitionBy(*unit))
+    sums = [F.sum(F.col(c) / F.col("whole")).alias(c) for c in KINDS.values()]
+    return per.withColumn("whole", whole).groupBy(*keys).agg(F.count("*").alias("days"), F.max("known").alias("known"), *sums)
+
+
+def split(base: DataFrame, keys: tuple[str, ...], within: tuple[str, ...] | None = None) -> DataFrame:
+    """Days of each key as shared_days has them, with nine digits, so that the order of a float sum does not decide a rounding later."""
+    return shared_days(base, keys, within).withColumns({c: C.rint(F.col(c), 9) for c in KINDS.values()})
 
 
 def repo_effort(base: DataFrame, digits: int = 1) -> DataFrame:
@@ -37,18 +45,16 @@ def repo_effort(base: DataFrame, digits: int = 1) -> DataFrame:
 def people_effort(base: DataFrame) -> DataFrame:
     """A row for each person over all repositories: days, repos, the repository most worked in, and the kinds' shares of the days."""
     kinds = split(base, ("who",), ())
-    days = base.select("who", "day").distinct().groupBy("who").agg(F.count("*").alias("days"))
     repos = base.groupBy("who", "repo").agg(F.count("*").alias("n")).groupBy("who").agg(F.count("*").alias("repos"), F.min_by("repo", F.struct((-F.col("n")).alias("n"), "repo")).alias("top_repo"))
-    out = days.join(repos, "who").join(kinds, "who")
+    out = kinds.join(repos, "who")
     return out.select(F.col("who").alias("person"), "days", "repos", "top_repo", *(C.ratio(F.col(c), F.col("days"), 3).alias(c) for c in KINDS.values()))
 
 
 def person_repos(base: DataFrame, commits: DataFrame) -> DataFrame:
     """A row for each person and repository: days, commits, churn, shares of kinds."""
     key = ["who", "repo"]
-    days = base.select(*key, "day").distinct().groupBy(*key).agg(F.count("*").alias("days"))
     work = commits.groupBy(F.coalesce("person", F.lit("")).alias("who"), "repo", "sha").agg(F.sum("churn").alias("churn")).groupBy(*key).agg(F.count("*").alias("commits"), F.sum("churn").alias("churn"))
-    out = days.join(work, key).join(split(base, ("who", "repo")), key)
+    out = split(base, ("who", "repo")).join(work, key)
     return out.select(F.col("who").alias("person"), "repo", "days", "commits", "churn", *(C.ratio(F.col(c), F.col("days"), 3).alias(c) for c in KINDS.values()))
 
 
@@ -113,11 +119,12 @@ def active_days(commits: DataFrame) -> DataFrame:
 
 def cards(commits: DataFrame) -> DataFrame:
     """A row for each person: active days, repositories, commits, churn, files, first and last month, and the names committed under."""
-    count = lambda *cols: commits.select("person", *cols).distinct().groupBy("person").agg(F.count("*").alias("n"))
-    out = commits.groupBy("person").agg(F.sum("churn").alias("churn"), F.min("month").alias("first_month"), F.max("month").alias("last_month"), F.sort_array(F.collect_set("author")).alias("names"))
-    for name, cols in (("days", ("day",)), ("repos", ("repo",)), ("commits", ("repo", "sha")), ("files", ("repo", "path"))):
-        out = out.join(count(*cols).withColumnRenamed("n", name), "person")
-    return out.withColumn("aliases", F.array_join("names", ", ")).drop("names")
+    # days, commits and files are three groupings; the other figures go along with one of them
+    days = commits.groupBy("person", "day").agg(F.min("month").alias("low"), F.max("month").alias("high"), F.collect_set("author").alias("names"))
+    days = days.groupBy("person").agg(F.count("*").alias("days"), F.min("low").alias("first_month"), F.max("high").alias("last_month"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))), ", ").alias("aliases"))
+    work = commits.groupBy("person", "repo", "sha").agg(F.sum("churn").alias("churn")).groupBy("person").agg(F.sum("churn").alias("churn"), F.count("*").alias("commits"))
+    held = commits.select("person", "repo", "path").distinct().groupBy("person").agg(F.count("*").alias("files"), F.size(F.collect_set("repo")).cast("long").alias("repos"))
+    return days.join(work, "person").join(held, "person")
 
 
 def people_summary(effort: DataFrame) -> DataFrame:

@@ -30,6 +30,13 @@ def person_days(commits: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("dev_days"))
 
 
+def people_days(commits: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Of each key `dev_days`, as person_days has them, `devs`, the people without the null one, and `most_days`, the most of one person: all from one grouping of days."""
+    days = commits.groupBy(*keys, F.coalesce("person", F.lit("")).alias("who"), "day").agg(F.max(F.col("person").isNotNull()).alias("known"))
+    each = days.groupBy(*keys, "who").agg(F.count("*").alias("n"), F.max("known").alias("known"))
+    return each.groupBy(*keys).agg(F.sum("n").alias("dev_days"), F.count_if("known").alias("devs"), F.max("n").alias("most_days"))
+
+
 def file_table(commits: DataFrame, lines: DataFrame | None = None, births: DataFrame | None = None, membership: DataFrame | None = None) -> DataFrame:
     """A row for each (repo, path): sums, distinct commits and person-days, size and birth, rework, debt, cluster and kind.
 
@@ -43,8 +50,7 @@ def file_table(commits: DataFrame, lines: DataFrame | None = None, births: DataF
     )
     key = ["repo", "path"]
     if "person" in commits.columns:
-        who = commits.select(*key, "person").where("person is not null").distinct().groupBy(*key).agg(F.count("*").alias("devs"))
-        files = files.join(person_days(commits, ("repo", "path")), key, "left").join(who, key, "left").fillna(0, ["devs"])
+        files = files.join(people_days(commits, ("repo", "path")).drop("most_days"), key, "left")
     files = files.join(lines, key, "left") if lines is not None else files.withColumn("lines", F.lit(None).cast("long"))
     files = files.join(births, key, "left") if births is not None else files.withColumn("born", F.lit(None).cast("string"))
     files = files.join(membership, key, "left") if membership is not None else files.withColumn("cluster_id", F.lit(None).cast("long"))

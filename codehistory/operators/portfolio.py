@@ -10,7 +10,7 @@ from ..functions.columns import KINDS, PRODUCT
 from ..params import Params
 from . import cochange, communities, effort, identity
 from .clusters import cluster_table
-from .facts import file_table, person_days, with_age
+from .facts import file_table, with_age
 from .lineage import cut
 
 
@@ -39,12 +39,13 @@ def summarise(files: DataFrame, clusters: DataFrame, commits: DataFrame, params:
     found = real.groupBy("repo").agg(F.count("*").alias("num_clusters"), F.count_if(c("num_modules") > 1).alias("cross_module"))
     modules = real.groupBy("repo", "dominant_module").agg(F.sum("total_churn").alias("t")).groupBy("repo").agg(F.min_by("dominant_module", F.struct((-c("t")).alias("t"), "dominant_module")).alias("top_module"))
     total = commits.select("repo", "sha").distinct().groupBy("repo").agg(F.count("*").alias("total_commits"))
-    devs = commits.where("person is not null").select("repo", "person").distinct().groupBy("repo").agg(F.count("*").alias("devs"))
-    days = commits.select("repo", F.coalesce("person", F.lit("")).alias("who"), "day").distinct().groupBy("repo", "who").agg(F.count("*").alias("n"))
-    solo = days.groupBy("repo").agg(C.ratio(F.max("n"), F.sum("n")).alias("solo_share"))
-    kinds = effort.repo_effort(effort.touched(commits))
+    # people, their days, the days of the busiest and the kinds of work come from the same rows by person and day
+    each = effort.shared_days(effort.touched(commits), ("repo", "who"))
+    kinds = each.groupBy("repo").agg(
+        F.nullif(F.count_if("known"), F.lit(0)).alias("devs"), F.sum("days").alias("dev_days"), C.ratio(F.max("days"), F.sum("days")).alias("solo_share"), *(C.rint(C.rint(F.sum(k), 9), 1).alias(k) for k in KINDS.values())
+    )
     out = base.join(found, "repo", "left").fillna(0, ["num_clusters", "cross_module"])
-    for part in (modules, total, devs, person_days(commits, ("repo",)), solo, kinds):
+    for part in (modules, total, kinds):
         out = out.join(part, "repo", "left")
     return out
 

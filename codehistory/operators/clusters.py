@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from . import cochange
-from .facts import people_days
+from .facts import people_days, person_days
 from .ordered import quantiles
 
 

@@ -122,6 +122,11 @@ def test_clusters(files, commits):
     assert (one.rework_per_line, one.share, one.growth, one.outside, one.partner) == (0.15, 0.667, 0.4, 0.0, "core/lexer.rs  x2")
 
 
+def test_screen_card(files, commits):
+    card = clusters.screen_card(files, commits).first()
+    assert (card.repo, card.churn, card.unclustered, card.biggest, card.clusters, card.commits, card.dev_days) == ("lab/tool", 50, 33, "core/parser.rs", 1, 3, 3)
+
+
 def test_summary(files, commits):
     row = portfolio.summarise(files, clusters.cluster_table(files, commits), commits).first()
     assert (row.total_commits, row.total_churn, row.lines_now, row.density, row.rework, row.rework_density, row.dev_days, row.devs) == (3, 50, 140, 0.21, 14, 0.1, 3, 2)

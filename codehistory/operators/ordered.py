@@ -74,6 +74,20 @@ def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str) -
     return met.select(*rows.columns, (F.col(name) + F.coalesce("_before", F.lit(0))).alias(name))
 
 
+def numbered_in(dealt: DataFrame, part: str, first: Column, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Rows with their place in their group, from 0, where rows lie in parts already and a row tells in which part its group begins.
+
+    Groups that go on in a later part are at most one for each part that another follows, so what parts hold of them is broadcast.
+    """
+    own = (F.row_number().over(Window.partitionBy(part, *keys).orderBy(*order)) - 1).cast("long")
+    late = dealt.where(first != F.col(part)).select(*keys).distinct()
+    held = dealt.join(F.broadcast(late), keys, "left_semi").groupBy(part, *keys).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    border = held.select(part, *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    met = dealt.withColumn(name, own).join(F.broadcast(border), [part, *keys], "left")
+    return met.select(*dealt.columns, (F.col(name) + F.coalesce("_before", F.lit(0))).alias(name))
+
+
 def page(rows: DataFrame, order: list[Column], start: int, size: int) -> DataFrame:
     """The rows at places start to start + size - 1 of an order that tells all rows apart, sorted.
 

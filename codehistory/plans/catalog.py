@@ -212,12 +212,24 @@ def _patches(t: Tables) -> DataFrame:
     return c.select("repo", F.struct(F.translate(F.concat("date", "sha"), "0123456789", "9876543210").alias("row")).alias("position"), value.alias("value"))
 
 
+#: Blocks in which written logs are read: small ones, so that commits lie across them, and no more of them than MOST_BLOCKS.
+LEAST_BLOCK, MOST_BLOCKS = 1 << 16, 512
+
+
+def _block_size(records: DataFrame, path: str) -> int:
+    """Bytes of a block of the logs in a folder, by what its files hold in all."""
+    folder_ = records.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    size = folder_.getFileSystem(records.sparkSession._jsc.hadoopConfiguration()).getContentSummary(folder_).getLength()
+    return max(LEAST_BLOCK, -(-size // MOST_BLOCKS))
+
+
 def _as_lines(t: Tables, records: DataFrame) -> DataFrame:
-    """Log records written as files, a folder for each repository, and read by lines in blocks of 64 kB, so that commits lie across blocks."""
+    """Log records written as files, a folder for each repository, and read by lines in blocks of at least 64 kB, so that commits lie across blocks."""
     path = f"{folder(t.spark)}/logs-{uuid.uuid4().hex}"
-    records.select("repo", F.concat(F.lit(logs.MARK), "value").alias("value")).repartition("repo").write.partitionBy("repo").text(path)
+    # a large repository is written by several tasks
+    records.select("repo", F.concat(F.lit(logs.MARK), "value").alias("value")).hint("rebalance", "repo").write.partitionBy("repo").text(path)
     key, usual = "spark.sql.files.maxPartitionBytes", t.spark.conf.get("spark.sql.files.maxPartitionBytes")
-    t.spark.conf.set(key, "65536")
+    t.spark.conf.set(key, str(_block_size(records, path)))
     try:
         return cut(logs.read_lines(t.spark, path))
     finally:

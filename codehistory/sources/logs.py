@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators.ordered import carried, numbered
+from ..operators.lineage import cut
+from ..operators.ordered import carried, numbered_in
 from ..params import Params
 
 MARK = "__C__"
@@ -67,11 +68,11 @@ def _fields(head: Column) -> Column:
     return F.struct(*(F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit("")).alias(k) for i, k in enumerate(HEADER)))
 
 
-def _carried_heads(lines: DataFrame) -> DataFrame:
-    """Lines with `head`, the (value, block, row) of the last commit header up to them; a block of a file at a time, and from the blocks before."""
+def _carried_heads(lines: DataFrame, **more: Column) -> DataFrame:
+    """Lines with `head`, the (value, block, row) of the last commit header up to them, and with more that is carried likewise; a block of a file at a time, and from the blocks before."""
     is_head = F.col("value").startswith(MARK)
     text = F.when(is_head, F.substring("value", len(MARK) + 1, 1 << 30))
-    return carried(lines, "block", ["file"], ["row"], {"head": F.when(is_head, F.struct(text.alias("value"), "block", "row"))}).where("head is not null")
+    return carried(lines, "block", ["file"], ["row"], {"head": F.when(is_head, F.struct(text.alias("value"), "block", "row")), **more}).where("head is not null")
 
 
 def numstat_of_lines(lines: DataFrame, params: Params | None = None) -> DataFrame:
@@ -165,12 +166,13 @@ def hunks_of_lines(lines: DataFrame, params: Params | None = None) -> DataFrame:
     v = F.col("value")
     told = lines.where(v.startswith(MARK) | v.startswith("diff --git ") | v.startswith("@@ ") | v.startswith("--- ") | v.startswith("+++ "))
     begins = v.startswith("diff --git ")
-    seen = carried(_carried_heads(told), "block", ["file"], ["row"], {"last": F.when(begins, F.lit(0)).when(v.startswith("@@ ") | v.startswith(MARK), F.lit(1)), "section": F.when(begins, F.struct("block", "row"))})
+    seen = _carried_heads(told, last=F.when(begins, F.lit(0)).when(v.startswith("@@ ") | v.startswith(MARK), F.lit(1)), section=F.when(begins, F.struct("block", "row")))
     named = lambda mark: F.when((F.col("last") == 0) & v.startswith(mark), F.regexp_extract("value", rf"^.{{3}} (.*?)\t?$", 1))
-    paths = carried(seen, "block", ["file"], ["row"], {"old": named("--- "), "new": named("+++ ")})
+    # only some of these lines go on, but all say what stands before those that do
+    paths = carried(cut(seen), "block", ["file"], ["row"], {"old": named("--- "), "new": named("+++ ")})
     rows = paths.where(v.startswith("@@ ")).select("repo", F.struct("file", F.col("head.block").alias("block"), F.col("head.row").alias("row")).alias("position"), F.inline(F.array(_fields(F.col("head.value")))), "old", "new", v.alias("line"), "file", "section", "block", "row")
     rows = rows.where(~C.is_bot(F.col("author"), p.ignore_authors)).withColumn("path", _path(F.col("old"), F.col("new")))
-    return _hunks(numbered(rows, ["file", "section"], [F.col("block"), F.col("row")], "hunk_no"), ["position"])
+    return _hunks(numbered_in(rows, "block", F.col("section.block"), ["file", "section"], [F.col("row")], "hunk_no"), ["position"])
 
 
 def parse_touches(records: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 """Logs read by lines, in blocks that are smaller than their commits."""
 
 import random
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from codehistory import Params
-from codehistory.operators import lifting
+from codehistory.operators import lifting, ordered
+from codehistory.plans import catalog
 from codehistory.sources import logs
 
 
@@ -57,3 +60,20 @@ def test_hunks_of_lines(spark, tmp_path, small_blocks):
     order = [r.sha for r in got.select("sha", "position").distinct().orderBy("position").collect()]
     assert order == sorted(order, key=lambda s: int(s[1:])), "positions are in the order of the log"
     assert lifting.lift(got).count() > 0
+
+
+def test_blocks_of_written_logs_do_not_grow_with_them(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "LEAST_BLOCK", 1000, raising=False)
+    monkeypatch.setattr(catalog, "MOST_BLOCKS", 8, raising=False)
+    records = spark.range(3000).select(F.lit("lab").alias("repo"), F.format_string("c%d\tday\tname\tmail\tsubject\n1\t2\tfile%d.py", "id", "id").alias("value"))
+    lines = catalog._as_lines(SimpleNamespace(spark=spark), records)
+    assert lines.count() == 6000 and 4 <= lines.select("file", "block").distinct().count() <= 8 + lines.select("file").distinct().count()
+    facts = logs.numstat_of_lines(lines)
+    assert facts.count() == 3000 and facts.where("path <> concat('file', substr(sha, 2), '.py')").count() == 0
+
+
+def test_numbers_over_parts(spark):
+    """Groups within a part, over two and over three parts."""
+    rows = [(part, part * 10 + i, key, begin) for key, begin, sizes in (("a", 0, {0: 3}), ("b", 0, {0: 2, 1: 3, 3: 1}), ("c", 3, {3: 4})) for part, n in sizes.items() for i in range(n)]
+    found = ordered.numbered_in(spark.createDataFrame(rows, "block long, row long, key string, first long"), "block", F.col("first"), ["key"], [F.col("row")], "no")
+    assert {k: [r.no for r in sorted(found.where(F.col("key") == k).collect())] for k in "abc"} == {"a": [0, 1, 2], "b": [0, 1, 2, 3, 4, 5], "c": [0, 1, 2, 3]}

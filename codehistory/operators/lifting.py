@@ -7,16 +7,23 @@ first line goes to the first new line and the last to the last one. Where nothin
 the range turns round (it ends before it begins): it lies between two lines, and a band is
 touched if it holds both.
 
-Functions of commits that follow each other are composed pairwise, two commits, then four,
-then eight, so a touch goes through all later commits of its file in as many steps as their
-number has binary digits. A step is one ordered pass over the pieces of two neighbouring
+Commits are taken in blocks of 256 of a file first: a task goes through the rows of a block
+from the newest commit to the oldest and composes their functions in lists. Functions of blocks
+that follow each other are composed pairwise, two blocks, then four, then eight, so a touch
+goes through all later blocks of its file in as many steps as their number has binary digits. A step is one ordered pass over the pieces of two neighbouring
 blocks of commits and the touches between them; a file of any size is spread over ranges.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .lineage import cut
 from .ordered import numbered, running_last
@@ -35,25 +42,97 @@ def _ordered(hunks: DataFrame) -> DataFrame:
     total = placed.groupBy(*FILE).agg(F.count("*").alias("commits"))
     start = lambda line, n: F.col(line) + F.when(F.col(n) == 0, 1).otherwise(0)  # noqa: E731  without lines the header names the line before
     rows = hunks.join(placed, [*FILE, "sha"]).join(total, FILE)
-    return cut(rows.select(*FILE, "sha", "date", "at", "commits", start("old_start", "removed").alias("old"), "removed", start("new_start", "added").alias("new"), "added"))
-
-
-def _functions(hunks: DataFrame) -> DataFrame:
-    """Pieces (repo, path, side, block, begin, end, fixed, value) of the two functions of each commit: fixed at a line, or a shift."""
-    # hunks of one commit to one file: no more than the file has lines
-    own = Window.partitionBy(*FILE, "at").orderBy("old", "new")
-    # the shift behind a hunk holds up to the next one
-    rows = hunks.withColumns({"no": F.row_number().over(own), "next": F.lead("old").over(own)})
-    piece = lambda begin, end, fixed, low, high: F.struct(begin.cast("long").alias("begin"), end.cast("long").alias("end"), F.lit(fixed).alias("fixed"), low.cast("long").alias("low"), high.cast("long").alias("high"))
-    behind = F.col("old") + F.col("removed")
-    shift = F.col("new") + F.col("added") - behind
-    pieces = F.array(
-        piece(F.lit(0), F.when(F.col("no") == 1, F.col("old")).otherwise(0), False, F.lit(0), F.lit(0)),
-        piece(F.col("old"), behind, True, F.col("new"), F.col("new") + F.col("added") - 1),
-        piece(behind, F.coalesce("next", F.lit(END)), False, shift, shift),
-    )
-    each = rows.select(*FILE, "commits", F.col("at").alias("block"), F.inline(pieces)).where("begin < end")
-    return each.select(*FILE, "commits", "block", "begin", "end", "fixed", F.explode(F.map_from_arrays(F.array(F.lit("low"), F.lit("high")), F.array("low", "high"))).alias("side", "value"))
+    return rows.select(*FILE, "sha", "date", "at", "commits", start("old_start", "removed").alias("old"), "removed", start("new_start", "added").alias("new"), "added")
+
+
+#: Commits of a block, as a power of two.
+BLOCK = 8
+
+
+def _blocks(hunks: DataFrame) -> DataFrame:
+    """(repo, path, commits, block, id, begin, end, fixed, low, high): each touch, by its id, in the lines after its block, and without one the pieces of the functions of each block; commits and blocks both count blocks. Pieces are fixed at a line, or a shift."""
+    rows = hunks.select(*FILE, (F.shiftright(F.col("commits") - 1, BLOCK) + 1).alias("commits"), F.shiftright("at", BLOCK).alias("block"), "at", "id", "old", "removed", "new", "added")
+    dealt = rows.repartition(*FILE, "block").sortWithinPartitions(*FILE, "block", F.desc("at"), "old", "new")
+    schema = StructType(rows.schema.fields[:4]).add("id", "long").add("begin", "long").add("end", "long").add("fixed", "boolean").add("low", "long").add("high", "long")
+    arrow = to_arrow_schema(schema)
+
+    # inside of this function, so that it travels with it and workers need no package
+    class Behind:
+        """Both functions of the commits of a block behind some commit: pieces by their first line, fixed or not, and where that line's two ends go."""
+
+        def __init__(self) -> None:
+            self.begin, self.fixed, self.low, self.high = [0], [False], [0], [0]
+
+        def through(self, ends: list[int], line: int) -> int:
+            i = bisect_right(self.begin, line) - 1
+            return line if i < 0 else ends[i] if self.fixed[i] else ends[i] + line - self.begin[i]
+
+        def before(self, hunks: list[tuple]) -> None:
+            """Put one commit, its hunks (old, removed, new, added) in order, in front."""
+            begin, fixed, low, high = [], [], [], []
+
+            def shifted(first: int, end: int, shift: int) -> None:
+                if first < end:
+                    i, j = bisect_right(self.begin, first) - 1, bisect_left(self.begin, end)
+                    into = 0 if self.fixed[i] else first - self.begin[i]
+                    begin.append(first - shift)
+                    begin.extend([x - shift for x in self.begin[i + 1 : j]])
+                    fixed.extend(self.fixed[i:j])
+                    for ends, own in ((low, self.low), (high, self.high)):
+                        ends.append(own[i] + into)
+                        ends.extend(own[i + 1 : j])
+
+            behind, shift = 0, 0
+            for old, removed, new, added in hunks:
+                shifted(behind + shift, old + shift, shift)
+                if removed:
+                    begin.append(old)
+                    fixed.append(True)
+                    low.append(self.through(self.low, new))
+                    high.append(self.through(self.high, new + added - 1))
+                behind = old + removed
+                shift = new + added - behind
+            shifted(behind + shift, END, shift)
+            self.begin, self.fixed, self.low, self.high = begin, fixed, low, high
+
+    def lifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, at, mine, later, out = None, None, [], Behind(), []
+
+        def commit() -> None:
+            for number, _, _, new, added in mine:
+                out.append((*key, number, None, None, None, later.through(later.low, new), later.through(later.high, new + added - 1)))
+            later.before([m[1:] for m in mine])
+            mine.clear()
+
+        def block() -> None:
+            if key[2] > 1:
+                for begin, end, fixed, low, high in zip(later.begin, [*later.begin[1:], END], later.fixed, later.low, later.high, strict=True):
+                    less = 0 if fixed else begin
+                    out.append((*key, None, begin, end, fixed, low - less, high - less))
+
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for *place, now, number, old, removed, new, added in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if mine and (place != key or now != at):
+                    commit()
+                if place != key:
+                    if key:
+                        block()
+                    key, later = place, Behind()
+                at = now
+                mine.append((number, old, removed, new, added))
+            if out:
+                yield made()
+        if mine:
+            commit()
+            block()
+            yield made()
+
+    return dealt.mapInArrow(lifted, schema)
 
 
 def _through(piece: str, line: Column) -> Column:
@@ -74,17 +153,17 @@ def lift(hunks: DataFrame) -> DataFrame:
     rename begins a new file. Each (commit, hunk) has one row, also if it is given twice; a file's history may have any
     number of commits and hunks.
     """
-    placed = _ordered(hunks)
-    pieces = _functions(placed)
-    touch = placed.select(*FILE, "commits", "sha", "date", F.monotonically_increasing_id().alias("id"), (F.col("at") + 1).alias("next"), "new", (F.col("new") + F.col("added") - 1).alias("last"))
-    touch = cut(touch)
-    points = touch.select(*FILE, "commits", "id", "next", F.explode(F.map_from_arrays(F.array(F.lit("low"), F.lit("high")), F.array("new", "last"))).alias("side", "line"))
-    most = touch.agg(F.max("commits")).first()[0] or 0
+    touch = cut(_ordered(hunks).withColumn("id", F.monotonically_increasing_id()))
+    blocks = cut(_blocks(touch))
+    sides = lambda low, high, name: F.explode(F.map_from_arrays(F.array(F.lit("low"), F.lit("high")), F.array(low, high))).alias("side", name)
+    pieces = blocks.where("id is null").select(*FILE, "commits", "block", "begin", "end", "fixed", sides("low", "high", "value"))
+    points = blocks.where("id is not null").select(*FILE, "commits", "id", (F.col("block") + 1).alias("next"), sides("low", "high", "line"))
+    most = blocks.agg(F.max("commits")).first()[0] or 0
     done, level = None, 0
     key = [*FILE, "side", "pair"]
     while (1 << level) < most:
         step = 1 << level
-        # a touch whose next commit begins an odd block goes through that block now
+        # a touch whose next block begins an odd group goes through that group now
         now = F.shiftright("next", level).bitwiseAND(1) == 1
         ready = points.where("next >= commits").select("id", "side", "line")
         done = ready if done is None else done.unionByName(ready)
@@ -114,7 +193,7 @@ def lift(hunks: DataFrame) -> DataFrame:
             F.when(F.col("piece.fixed"), d).otherwise(f["value"] + d).alias("value"),
         )
         points = open_.where(~now).unionByName(moved)
-        # functions of more commits are only needed where a file has more
+        # functions of more blocks are only needed where a file has more
         pieces = whole.unionByName(inner).where(F.col("commits") > 2 * step)
         level += 1
     left = points.select("id", "side", "line")

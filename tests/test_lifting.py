@@ -95,6 +95,19 @@ def test_lift(spark, parts):
     assert sorted((r.path, r.sha, r.start, r.end) for r in got) == expected(made)
 
 
+@pytest.mark.parametrize("block", [0, 2, 8])
+def test_lift_by_blocks(spark, monkeypatch, block):
+    """Blocks of one, four and 256 commits give the same; a file of no more commits than a block takes no ordered pass."""
+    passes = []
+    monkeypatch.setattr(lifting, "BLOCK", block, raising=False)
+    monkeypatch.setattr(lifting, "running_last", lambda *a: passes.append(1) or ordered.running_last(*a))
+    made = histories(random.Random(block), 4, 14)
+    most = max(len(commits) for commits, _ in made.values())
+    got = lifting.lift(spark.createDataFrame(as_rows(made), ROWS)).collect()
+    assert sorted((r.path, r.sha, r.start, r.end) for r in got) == expected(made)
+    assert len(passes) == ((most - 1) >> block).bit_length()
+
+
 def test_lift_without_hunks(spark):
     assert lifting.lift(spark.createDataFrame([], ROWS)).count() == 0
 

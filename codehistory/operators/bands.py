@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 KEY = ["repo", "path"]
 
 
@@ -22,10 +24,14 @@ def touched(bands: DataFrame, touches: DataFrame, step: int = 64) -> DataFrame:
     A range that ends before it begins lies between those lines (all of its own are gone) and touches what holds both.
     """
     cells = lambda d: d.withColumn("cell", F.explode(F.sequence(F.floor((F.least("start", "end") - 1) / step), F.floor((F.col("end") - 1) / step))))
-    t = cells(touches.where("start is not null and end is not null").select(*KEY, "start", "end", "sha", "date")).withColumnsRenamed({"start": "from", "end": "to"})
-    hits = cells(bands.select(*KEY, "start", "end")).join(t, [*KEY, "cell"]).where((F.col("from") <= F.col("end")) & (F.col("to") >= F.col("start"))).select(*KEY, "start", "sha", "date")
-    per = hits.groupBy(*KEY, "start", "sha").agg(F.max("date").alias("date")).groupBy(*KEY, "start").agg(F.count("*").alias("commits"), F.max(F.substring("date", 1, 7)).alias("last"))
-    return bands.join(per, [*KEY, "start"], "left").select(*KEY, "start", "end", F.coalesce("commits", F.lit(0)).cast("long").alias("commits"), F.coalesce("last", F.lit("")).alias("last"))
+    # a band stands for its file and lines by a number; written, bands have a size by which Spark can send them to the touches, which then are not shuffled
+    known = cut(bands.select(*KEY, "start", "end").distinct().withColumn("band", F.monotonically_increasing_id()))
+    t = cells(touches.where("start is not null and end is not null").select(*KEY, "start", "end", "sha", F.substring("date", 1, 7).alias("month"))).withColumnsRenamed({"start": "from", "end": "to"})
+    hits = t.join(cells(known), [*KEY, "cell"]).where((F.col("from") <= F.col("end")) & (F.col("to") >= F.col("start"))).select("sha", "band", "month")
+    # a maximum of texts sorts its rows: commits come first in the keys, as they differ in their first letters
+    per = hits.groupBy("sha", "band").agg(F.max("month").alias("month")).groupBy("band").agg(F.count("*").alias("commits"), F.max("month").alias("last"))
+    counted = known.join(per, "band").drop("band")
+    return bands.join(counted, [*KEY, "start", "end"], "left").select(*KEY, "start", "end", F.coalesce("commits", F.lit(0)).cast("long").alias("commits"), F.coalesce("last", F.lit("")).alias("last"))
 
 
 def refine(found: DataFrame, touches: DataFrame, top: int = 6, into: int = 16, widest: int = 40) -> DataFrame:

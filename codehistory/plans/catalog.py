@@ -84,14 +84,19 @@ class Tables:
         h = h.where(~C.is_bot(F.col("author"), Params().ignore_authors)).withColumn("churn", F.col("added") + F.col("removed"))
         return cut(facts.with_people(h, ("repo", "path")))
 
+    @cached_property
+    def sizes(self) -> DataFrame:
+        """The same as lines, for queries that need no facts of commits."""
+        return cut(A.line_counts(cut(A.seen_paths(self.spark, self.dir))))
+
     @cached_property
     def touches(self) -> DataFrame:
-        t = A.raw_touches(self.spark, self.dir).join(self.lines, ["repo", "path"])
+        t = A.raw_touches(self.spark, self.dir).join(self.sizes, ["repo", "path"])
         return t.select("repo", "path", "start", F.least("end", "lines").alias("end"), "sha", "date").where("start <= end")
 
     @cached_property
     def bands(self) -> DataFrame:
-        return bands.touched(bands.grid(self.lines, least=50), self.touches)
+        return bands.touched(bands.grid(self.sizes, least=50), self.touches)
 
     @cached_property
     def base(self) -> DataFrame:
@@ -664,7 +669,7 @@ _BAND = f"{_BANDS}, bd as materialized ({_COUNT.format(g='gr')})"
 @query("b1_band_grid", f"{_BANDS} select repo, path, start_ as start, end_ as \"end\" from gr")
 def _(t: Tables) -> DataFrame:
     """B1: bands of each file."""
-    return bands.grid(t.lines, least=50)
+    return bands.grid(t.sizes, least=50)
 
 
 @query("b2_band_commits", f"{_BAND} select repo, path, start_ as start, end_ as \"end\", commits, last from bd")
@@ -690,7 +695,7 @@ def _(t: Tables) -> DataFrame:
 @query("b2_from_hunks", f"{_LIFTED} {_COUNT.format(g='gr').replace('tc t', 'lifted t')}".replace("select g.repo, g.path, g.start_, g.end_,", 'select g.repo, g.path, g.start_ as start, g.end_ as "end",'))
 def _(t: Tables) -> DataFrame:
     """B2 J8 from S4: commits that touch each band, from a patch log alone."""
-    return bands.touched(bands.grid(t.lines, least=50), lifting.lift(logs.parse_hunks(_patches(t), Params(ignore_authors=()))))
+    return bands.touched(bands.grid(t.sizes, least=50), lifting.lift(logs.parse_hunks(_patches(t), Params(ignore_authors=()))))
 
 
 _WIDE = f"""{_BANDS.replace('least(48, floor(lines / 8))', 'least(4, floor(lines / 8))')}, bd as materialized ({_COUNT.format(g='gr')}),
@@ -702,7 +707,8 @@ allb as (select repo, path, start_, end_, commits, last from bd where not exists
 @query("b3_refined_bands", f"{_WIDE} select repo, path, start_ as start, end_ as \"end\", commits, last from allb")
 def _(t: Tables) -> DataFrame:
     """The hottest bands cut finer."""
-    return bands.refine(bands.touched(bands.grid(t.lines, bands=4, least=50), t.touches), t.touches)
+    touches = cut(t.touches)
+    return bands.refine(cut(bands.touched(bands.grid(t.sizes, bands=4, least=50), touches)), touches)
 
 
 @query("b4_merged_bands", f"{_BAND} select repo, path, band, min(start_) as start, max(end_) as \"end\", cast(sum(commits) as bigint) as commits, max(last) as last from (select *, cast(case when n <= 20 then i else floor(i / ceil(n / 20.0)) end as bigint) as band from (select *, count(*) over (partition by repo, path) as n, row_number() over (partition by repo, path order by start_) - 1 as i from bd) x) y group by repo, path, band")
@@ -714,7 +720,7 @@ def _(t: Tables) -> DataFrame:
 @query("b5_line_heat", f"{_BAND} select repo, path, unnest(range(start_, end_ + 1)) as line, commits as heat from bd")
 def _(t: Tables) -> DataFrame:
     """Heat of each line."""
-    return bands.heat(t.bands, t.lines)
+    return bands.heat(t.bands, t.sizes)
 
 
 @query("b6_quiet_bands", f"{_BAND} select repo, path, sum(cast(commits = 0 as int)) as bands, cast(sum(case when commits = 0 then end_ - start_ + 1 else 0 end) as bigint) as lines from bd group by repo, path")

@@ -59,6 +59,15 @@ def raw_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, f"select {facts}, cast(a as bigint) as added, cast(d as bigint) as deleted from (select {_ORDER}, lock, f, sum(a) as a, sum(d) as d from ({items}) x group by {_ORDER}, lock, f) y")
 
 
+def seen_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, path) of COMMIT_SQL, each once, without its other columns. Files are told apart by numbers, before they become text.
+
+    Write it before anything is made distinct again: Spark leaves out a distinct below another one, and all items would become text.
+    """
+    files = f"select distinct n_name, coalesce({_LOCK}, false) as lock, case when {_LOCK} then null else f end as f from ({_ITEMS}) items"
+    return _view(spark, sf_dir, f"select {FACTS['repo']} as repo, {FACTS['path'].replace(_LOCK, 'lock')} as path from ({files}) x")
+
+
 def raw_hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, HUNK_SQL.replace(ITEMS, _ITEMS))
 

@@ -28,13 +28,17 @@ def dictionary(commits: DataFrame) -> DataFrame:
     return cut(numbered(commits.select("repo", "path").distinct(), [], [F.col("repo"), F.col("path")], "id"))
 
 
-def coupled(commits: DataFrame, unit: str, most: int) -> DataFrame:
+def coupled(commits: DataFrame, unit: str, most: int, gathered: bool = False) -> DataFrame:
     """(repo, a, b, weight): files a < b of one unit of a repository (a commit, a month), and in how many units; units of more than `most` files count for none.
 
     Pairs are formed and counted as two numbers; paths come back once for each distinct pair.
+    Where units are many and each is small, as commits are, rows can be gathered by unit at once:
+    one shuffle then serves their distinct files, their sizes and their groups.
     """
     names = dictionary(commits)
     coded = commits.select("repo", unit, "path").join(names, ["repo", "path"]).select(F.struct("repo", unit).alias("unit"), "id")
+    if gathered:
+        coded = coded.repartition("unit")
     found = pairs(coded, (), "unit", "id", most)
     a, b = names.select(F.col("id").alias("a"), "repo", F.col("path").alias("first")), names.select(F.col("id").alias("b"), F.col("path").alias("second"))
     return found.join(a, "a").join(b, "b").select("repo", F.col("first").alias("a"), F.col("second").alias("b"), "weight")
@@ -42,7 +46,7 @@ def coupled(commits: DataFrame, unit: str, most: int) -> DataFrame:
 
 def edges(commits: DataFrame, params: Params | None = None) -> DataFrame:
     """The co-change graph: (repo, a, b, weight) with a < b."""
-    return coupled(commits, "sha", (params or Params()).max_files)
+    return coupled(commits, "sha", (params or Params()).max_files, gathered=True)
 
 
 def both_ways(edges_: DataFrame) -> DataFrame:

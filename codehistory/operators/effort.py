@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.columns import KINDS
+from ..functions.columns import KINDS, PRODUCT
 from ..params import Params
 from .lineage import cut
 from .ordered import quantiles
@@ -15,7 +15,9 @@ from .ordered import quantiles
 def touched(commits: DataFrame) -> DataFrame:
     """Distinct (who, day, repo, path) with the kind of each path, and whether `who` is a known person: the base of every table here. Cache it to make several."""
     rows = commits.groupBy(F.coalesce("person", F.lit("")).alias("who"), "day", "repo", "path").agg(F.max(F.col("person").isNotNull()).alias("known"))
-    return rows.withColumn("kind", C.work_kind(F.col("path")))
+    # a path meets the patterns of kinds once, not on each day
+    kinds = cut(commits.select("path").distinct().withColumn("kind", C.work_kind(F.col("path"))))
+    return rows.join(kinds, "path", "left").withColumn("kind", F.coalesce("kind", F.lit(PRODUCT))).select("who", "day", "repo", "path", "known", "kind")
 
 
 def shared_days(base: DataFrame, keys: tuple[str, ...], within: tuple[str, ...] | None = None) -> DataFrame:

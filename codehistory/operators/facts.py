@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..params import Params
 from .identity import people
+from .lineage import cut
 
 
 def clean(commits: DataFrame, params: Params | None = None) -> DataFrame:
@@ -19,8 +20,8 @@ def clean(commits: DataFrame, params: Params | None = None) -> DataFrame:
 
 def with_people(commits: DataFrame, scope: tuple[str, ...] = ("repo",)) -> DataFrame:
     """Rows with `person`, the one name of an author inside a scope (the repository, or () for all)."""
-    names = people(commits, scope)
-    # a row for each author name: far fewer than commits; AQE broadcasts it if it is small
+    # a row for each author name: far fewer than commits; written, it has a size by which Spark can send it to them
+    names = cut(people(commits, scope))
     return commits.join(names, [*scope, "author"], "left")
 
 
@@ -42,7 +43,8 @@ def file_table(commits: DataFrame, lines: DataFrame | None = None, births: DataF
 
     Distinct counts go through one row per file and commit first, so no row is multiplied.
     """
-    per_commit = commits.groupBy("repo", "path", "sha").agg(
+    # maxima of texts sort their rows: commits come first in the keys, as they differ in their first letters
+    per_commit = commits.groupBy("sha", "path", "repo").agg(
         F.sum("churn").alias("churn"), F.sum("added").alias("added"), F.sum("deleted").alias("deleted"), F.sum(C.rework(F.col("added"), F.col("deleted"))).alias("rework"), F.max("month").alias("month"), F.max("date").alias("date")
     )
     files = per_commit.groupBy("repo", "path").agg(

@@ -64,7 +64,7 @@ def run(records: DataFrame, lines: DataFrame, births: DataFrame, requested: Data
     wanted = requested.select("path").where("path is not null").distinct()
     own = records.join(wanted.withColumnRenamed("path", "repo"), "repo", "left_semi")
     faults = cut(logs.malformed(own))
-    facts = cut(logs.in_window(clean(logs.parse_numstat(own, p).drop("churn"), p), as_of, p.months))
+    facts = logs.in_window(clean(logs.parse_numstat(own, p).drop("churn"), p), as_of, p.months)
     summary, loose = portfolio.analyze_and_loose(facts, lines, births, p)
     named = summary.withColumnRenamed("repo", "path").withColumns({"max_files": F.lit(p.max_files).cast("long")})
     rows = summaries.with_errors(wanted, failures(status, faults, loose), named)

@@ -122,8 +122,9 @@ def analyze(commits: DataFrame, lines: DataFrame, births: DataFrame, params: Par
 
 def analyze_and_loose(commits: DataFrame, lines: DataFrame, births: DataFrame, params: Params | None = None) -> tuple[DataFrame, DataFrame]:
     """What `analyze` gives, and (repo, reason) of the repositories whose identities or clusters had not settled when the rounds were over."""
+    commits = cut(commits)
     names, strangers = identity.people_and_loose(commits)
-    facts = cut(commits.join(names, ["repo", "author"], "left"))
+    facts = commits.join(cut(names), ["repo", "author"], "left")
     edges = cut(cochange.edges(facts, params))
     loose = cut(file_table(facts, lines, births))
     found, open_ = communities.clusters_and_loose(edges, loose)

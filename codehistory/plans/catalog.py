@@ -39,28 +39,34 @@ class Tables:
 
     @cached_property
     def kept(self) -> DataFrame:
-        return facts.clean(self.raw)
+        # written, so that names and paths meet their patterns once
+        return cut(facts.clean(self.raw))
 
     @cached_property
     def commits(self) -> DataFrame:
-        return cut(facts.with_people(self.kept))
+        return facts.with_people(self.kept)
 
     @cached_property
     def org(self) -> DataFrame:
         """Commits with identities merged over all repositories."""
-        return cut(facts.with_people(self.kept, ()))
+        return facts.with_people(self.kept, ())
+
+    @cached_property
+    def seen(self) -> DataFrame:
+        """(repo, path, date): every file of raw with its first date, all that sizes, births and membership ask of raw."""
+        return cut(self.raw.groupBy("repo", "path").agg(F.min("date").alias("date")))
 
     @cached_property
     def lines(self) -> DataFrame:
-        return A.line_counts(self.raw)
+        return A.line_counts(self.seen)
 
     @cached_property
     def births(self) -> DataFrame:
-        return A.births(self.raw)
+        return A.births(self.seen)
 
     @cached_property
     def members(self) -> DataFrame:
-        return A.membership(self.raw)
+        return A.membership(self.seen)
 
     @cached_property
     def files(self) -> DataFrame:
@@ -759,7 +765,7 @@ _UNCLUSTERED = ("repo", "total_churn", "num_files", "lines_now", "density", "rew
 @query("job_analyze", f"{_SUMMARY} select {', '.join(_UNCLUSTERED)}, true as clustered from summary")
 def _(t: Tables) -> DataFrame:
     """The whole job from log text to summaries, with its own clusters; what depends on their labels is only asked to be there."""
-    kept = facts.clean(logs.parse_numstat(_printed(t)).drop("churn"))
+    kept = facts.clean(logs.parse_numstat(_printed(t)).drop("churn"))  # analyze writes them
     done = portfolio.analyze(kept, t.lines, t.births)
     return done.select(*_UNCLUSTERED, ((F.col("num_clusters") > 0) & F.col("top_module").isNotNull()).alias("clustered"))
 
@@ -785,7 +791,8 @@ def _(t: Tables) -> DataFrame:
     store = Store(t.spark, f"{folder(t.spark)}/store-{uuid.uuid4().hex}")
     # an older version, with repositories that the job replaces and one that it is not asked for
     store.save(old.unionByName(old.withColumn("path", F.lit("org/old"))))
-    job.run(_printed(t).unionByName(bad), t.lines, t.births, asked, _AS_OF, Params(months=_MONTHS), store)
+    # records are read for faults and for facts; these are made of tables, so they are written first
+    job.run(cut(_printed(t).unionByName(bad)), t.lines, t.births, asked, _AS_OF, Params(months=_MONTHS), store)
     rows = store.read().join(asked.unionByName(asked.select(F.lit("org/old").alias("path"))).distinct(), "path", "left_semi")
     return rows.select("path", *(c for c in _UNCLUSTERED if c != "repo"), "since_months", F.lit(len(store.versions())).cast("long").alias("versions"), "error")
 

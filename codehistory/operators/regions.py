@@ -8,27 +8,33 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..params import Params
 from . import cochange
+from .lineage import cut
 
 KEY = ("repo", "path")
 
 
 def symbols(hunks: DataFrame) -> DataFrame:
-    return hunks.withColumn("symbol", C.region_symbol(F.col("region"))).withColumn("rework", C.rework(F.col("added"), F.col("removed")))
+    """Hunks with the symbol of their region and their rework. A heading meets the patterns of symbols once, not with each hunk."""
+    named = cut(hunks.select("region").distinct().withColumn("symbol", C.region_symbol(F.col("region"))))
+    # a hunk without a heading meets none, and is unnamed
+    return hunks.join(named, "region", "left").withColumn("symbol", F.coalesce("symbol", F.lit(C.UNNAMED))).withColumn("rework", C.rework(F.col("added"), F.col("removed")))
 
 
 def region_stats(hunks: DataFrame, top: int = 30) -> DataFrame:
     """The regions of each file with most rework, then churn: edits, commits, authors, owner and share, growth, longest signature."""
     rows = symbols(hunks)
     key = [*KEY, "symbol"]
-    base = rows.groupBy(*key).agg(
-        F.sum("churn").alias("churn"), F.sum("rework").alias("rework"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.count("*").alias("edits"), F.max("date").alias("last"),
-        F.count_distinct("sha").alias("commits"), F.min_by("region", F.struct((-F.length("region")).alias("n"), "region")).alias("signature"),
-    )
+    # sums by commit are numbers, and of texts a region has few headings and months: neither sorts hunks for a maximum of texts
+    sums = rows.groupBy("sha", *key).agg(F.sum("churn").alias("churn"), F.sum("rework").alias("rework"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.count("*").alias("edits"))
+    sums = sums.groupBy(*key).agg(*(F.sum(c).alias(c) for c in ("churn", "rework", "added", "removed", "edits")), F.count("sha").alias("commits"))
+    said = rows.select(*key, "region", C.month(F.col("date")).alias("month")).distinct()
+    said = said.groupBy(*key).agg(F.max("month").alias("last"), F.min_by("region", F.struct((-F.length("region")).alias("n"), "region")).alias("signature"))
+    base = sums.join(said, key).select(*key, "churn", "rework", "added", "removed", "edits", "last", "commits", "signature")
     people = rows.groupBy(*key, "person").agg(F.count("*").alias("n"))
     owner = people.groupBy(*key).agg(F.count("person").alias("authors"), F.min_by("person", F.struct((-F.col("n")).alias("n"), "person")).alias("owner"), C.ratio(F.max("n"), F.sum("n")).alias("owner_share"))
     out = base.join(owner, key)
     file = Window.partitionBy(*KEY)
-    out = out.withColumns({"share": C.ratio(F.col("churn"), F.sum("churn").over(file), 3), "growth": C.ratio(F.col("added") - F.col("removed"), F.col("churn")), "signature": F.when(F.col("signature") == "", F.col("symbol")).otherwise(F.col("signature")), "last": C.month(F.col("last"))})
+    out = out.withColumns({"share": C.ratio(F.col("churn"), F.sum("churn").over(file), 3), "growth": C.ratio(F.col("added") - F.col("removed"), F.col("churn")), "signature": F.when(F.col("signature") == "", F.col("symbol")).otherwise(F.col("signature"))})
     ranked = out.withColumn("rank", F.row_number().over(file.orderBy(F.desc("rework"), F.desc("churn"), "symbol"))).where(F.col("rank") <= top)
     return ranked.drop("added", "removed").withColumnRenamed("symbol", "region")
 

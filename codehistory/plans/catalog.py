@@ -88,7 +88,7 @@ class Tables:
     def hunks(self) -> DataFrame:
         h = A.raw_hunks(self.spark, self.dir)
         h = h.where(~C.is_bot(F.col("author"), Params().ignore_authors)).withColumn("churn", F.col("added") + F.col("removed"))
-        return cut(facts.with_people(h, ("repo", "path")))
+        return facts.with_people(cut(h), ("repo", "path"))
 
     @cached_property
     def sizes(self) -> DataFrame:

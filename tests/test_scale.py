@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from codehistory.functions import columns as C
-from codehistory.operators import bands, cochange, effort, facts
+from codehistory.operators import bands, cochange, effort, facts, regions
 from codehistory.params import Params
 from codehistory.plans import catalog
 from codehistory.sources import adapters
@@ -72,3 +72,12 @@ def test_kinds_of_paths(spark):
     base = effort.touched(rows)
     assert sorted((r.who, r.day, r.kind, r.known) for r in base.collect()) == [("", "2025-01-01", "product code", False), ("Mina", "2025-01-01", "tests", True), ("Mina", "2025-01-02", "tests", True)]
     assert "RLIKE" not in base._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
+def test_regions_meet_patterns_once(spark):
+    """Symbols come from headings, each once; hunks without one are unnamed. Commits, months and headings of a region are counted for themselves."""
+    rows = [("r", "f", "a", "2025-01-05", "Mina", "def save(self)", 3, 1), ("r", "f", "a", "2025-01-05", "Mina", "def save(self, x)", 1, 1), ("r", "f", "b", "2025-03-01", "Tor", "def save(self)", 0, 2), ("r", "f", "b", None, "Tor", None, 1, 0), ("r", "f", None, "2025-02-01", None, "", 1, 0)]
+    hunks = spark.createDataFrame(rows, "repo string, path string, sha string, date string, person string, region string, added long, removed long").withColumn("churn", F.col("added") + F.col("removed"))
+    assert "REGEXP" not in regions.symbols(hunks)._jdf.queryExecution().optimizedPlan().toString().upper()
+    got = {r.region: (r.churn, r.rework, r.edits, r.commits, r["last"]) for r in regions.region_stats(hunks).collect()}
+    assert got == {"save": (8, 4, 3, 2, "2025-03"), C.UNNAMED: (2, 0, 2, 1, "2025-02")}

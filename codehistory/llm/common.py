@@ -33,23 +33,37 @@ BATCH_ROWS = 1000
 
 
 @contextmanager
-def _small_batches(spark: SparkSession) -> Iterator[None]:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = spark.conf.get(key)
-    spark.conf.set(key, str(BATCH_ROWS))
+def _writing(spark: SparkSession) -> Iterator[None]:
+    """Small batches, and shuffle files that go when what they were for is written, not when the driver happens to collect its garbage."""
+    ours = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    usual = {key: spark.conf.get(key) for key in ours}
     try:
+        for key, value in ours.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, usual)
+        for key, value in usual.items():
+            spark.conf.set(key, value)
 
 
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows written to the shared folder and read back: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with _small_batches(spark):
+    with _writing(spark):
         df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what `stored` has written of tables that nothing reads any more; other tables are left alone."""
+    for table in tables:
+        path = table.__dict__.pop("stored_at", None)
+        if path:
+            place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:

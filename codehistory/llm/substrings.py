@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import Filter, count_join, hot_keys, membership, stored
+from .common import Filter, count_join, discard, hot_keys, membership, stored
 
 WINDOW = 13
 #: Rounds whose names filter texts. A symbol of level r spans up to 2^r words or runs of a word.
@@ -177,7 +177,9 @@ def _shared(docs: DataFrame, window: int, filters: list[Filter]) -> Filter:
     """The names of a round that several documents share, as a filter."""
     found = docs.mapInArrow(_names(window, docs.sparkSession.sparkContext.broadcast(filters)), "name long, n long")
     names = stored(found.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name"), "names")
-    return membership(names, "name")
+    found = membership(names, "name")
+    discard(names)
+    return found
 
 
 def _stretches(window: int, filters_value):
@@ -398,7 +400,9 @@ def _within(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents (doc_id, text) that a table of few ids may name: what a join would drop anyway is not shuffled."""
     tags = stored(ids.select(F.xxhash64("doc_id").alias("tag")), "tags")
     tagged = docs.select("doc_id", "h", "text", F.xxhash64("doc_id").alias("tag"))
-    return tagged.mapInArrow(_some(docs.sparkSession.sparkContext.broadcast(membership(tags, "tag"))), tagged.schema).drop("tag")
+    known = docs.sparkSession.sparkContext.broadcast(membership(tags, "tag"))
+    discard(tags)
+    return tagged.mapInArrow(_some(known), tagged.schema).drop("tag")
 
 
 def _anchor_join(docs: DataFrame, window: int, filters: list[Filter]) -> DataFrame:
@@ -407,14 +411,18 @@ def _anchor_join(docs: DataFrame, window: int, filters: list[Filter]) -> DataFra
     held = stored(left.mapInArrow(_anchored(window), "anchor long, doc_id long, h long, at int"), "anchors")
     shared = stored(held.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor", "n"), "shared")
     asking = count_join(held, shared, ["anchor"]).groupBy("doc_id", "h", "at").agg(F.collect_set("anchor").alias("anchors"))
-    return left.join(asking, ["doc_id", "h", "at"]).select("doc_id", "h", "at", "text", "anchors").mapInArrow(_anchored_windows(window), WINDOWS)
+    windows = stored(left.join(asking, ["doc_id", "h", "at"]).select("doc_id", "h", "at", "text", "anchors").mapInArrow(_anchored_windows(window), WINDOWS), "windows")
+    discard(left, held, shared)
+    return windows
 
 
 def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of documents (doc_id, h, text), h being a hash of the text that tells rows of one id apart: (doc_id, h, n_words, digest) of all rows, whole copies of them, and the others that repeat something, with where (doc_id, h, text, begins)."""
     own = stored(docs.mapInArrow(_contents, "doc_id long, h long, n_words long, digest binary"), "contents")
     first = own.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = stored(count_join(own, stored(first, "equal"), ["digest"]).where("doc_id > first").select("doc_id", "h", "n_words"), "copies")
+    equal = stored(first, "equal")
+    copies = stored(count_join(own, equal, ["digest"]).where("doc_id > first").select("doc_id", "h", "n_words"), "copies")
+    discard(equal)
     ids = copies.select("doc_id", "h").distinct()
     asked = docs.where("doc_id is not null")
     # few copies are broadcast to each scan; many are joined away once
@@ -423,7 +431,7 @@ def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFram
     filters: list[Filter] = []
     for _ in range(ROUNDS):
         filters.append(_shared(asked, window, filters))
-    seen = stored(_anchor_join(asked, window, filters), "windows")
+    seen = _anchor_join(asked, window, filters)
     named = seen.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
     named = stored(named, "first")
     # names that hold much of all windows are broadcast; their windows go on under keys that meet nothing, so no key gathers them
@@ -432,9 +440,13 @@ def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFram
     met = met.withColumn("two", F.when(F.col("near").isNull(), F.col("two")).otherwise(F.hash("doc_id", "at"))).withColumn("one", F.when(F.col("near").isNull(), F.col("one")).otherwise(F.xxhash64("doc_id", "at")))
     again = met.join(named.join(F.broadcast(often.select("one", "two")), ["one", "two"], "left_anti").drop("n"), ["one", "two"], "left").where("doc_id > coalesce(near, first)")
     again = again.select("doc_id", "h", "at", F.coalesce("near", "first").alias("first"))
-    repeats = stored(again.groupBy("doc_id", "h").agg(F.collect_list("at").alias("begins"), F.collect_list("first").alias("firsts")), "repeats")
-    repeats = stored(_within(asked, repeats).join(repeats, ["doc_id", "h"]).select("doc_id", "h", "text", "begins", "firsts"), "repeats")
-    return own, copies, _compared(asked, repeats, window)
+    places = stored(again.groupBy("doc_id", "h").agg(F.collect_list("at").alias("begins"), F.collect_list("first").alias("firsts")), "places")
+    discard(seen, named)
+    repeats = stored(_within(asked, places).join(places, ["doc_id", "h"]).select("doc_id", "h", "text", "begins", "firsts"), "repeats")
+    discard(places)
+    compared = _compared(asked, repeats, window)
+    discard(asked)
+    return own, copies, compared
 
 
 def _compared(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
@@ -447,7 +459,9 @@ def _compared(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
     lists = stored(said.groupBy(F.col("first").alias("doc_id"), F.pmod(F.xxhash64("said"), F.lit(16)).alias("part")).agg(F.collect_list("said").alias("said")), "said")
     sources = _within(docs, lists.select("doc_id").distinct())
     lost = stored(lists.join(sources, "doc_id").select("doc_id", "text", "said").mapInArrow(_unsaid(window), "first long, said binary"), "lost")
+    discard(lists)
     if not lost.head(1):
+        discard(lost)
         return repeats
     rows = _within(docs, lost.select(F.col("first").alias("doc_id")).distinct()).groupBy(F.col("doc_id").alias("first")).agg(F.count("*").alias("rows"))
     wrong = lost.groupBy("first", F.col("said").alias("words")).agg(F.count("*").alias("n")).join(rows, "first").where("n >= rows").select("first", "words")
@@ -458,7 +472,9 @@ def _compared(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
     off = doubted.join(having, "words").where("first >= doc_id").select("doc_id", "h", "at").distinct()
     lists = off.groupBy("doc_id", "h").agg(F.collect_set("at").alias("off"))
     left = F.when(F.col("off").isNull(), F.col("begins")).otherwise(F.array_except("begins", "off"))
-    return stored(repeats.join(lists, ["doc_id", "h"], "left").withColumn("begins", left).where("size(begins) > 0").select("doc_id", "h", "text", "begins"), "repeats")
+    out = stored(repeats.join(lists, ["doc_id", "h"], "left").withColumn("begins", left).where("size(begins) > 0").select("doc_id", "h", "text", "begins"), "repeats")
+    discard(repeats, doubted, lost)
+    return out
 
 
 def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

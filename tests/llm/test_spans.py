@@ -4,12 +4,13 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from codehistory.llm import fingerprints, periodic, phrases, queries, substrings
+from codehistory.llm import common, fingerprints, periodic, phrases, queries, substrings
 from codehistory.llm.prefix import Prefix
 
 DOCS = "doc_id long, text string, lang string, source string, row long, period int, h long, part int"
@@ -265,3 +266,13 @@ def test_repeats_of_rows_that_share_an_id(spark, monkeypatch, bits):
     assert got == removed_by_words(rows)
     texts = sorted(((r.doc_id, hashlib.sha256(" ".join(split(r.text)).encode()).hexdigest()) for r in substrings.cut_repeats(docs).collect()), key=str)
     assert texts == got
+
+
+def test_what_repeats_no_longer_need_goes(spark):
+    folder = Path(common.shared_dir(spark))
+    before = set(folder.iterdir())
+    rows = odd_rows()
+    found = substrings.remove_repeats(table(spark, rows))
+    left = {p.name.split("-")[0] for p in set(folder.iterdir()) - before if not p.name.startswith(".")}
+    assert left == {"contents", "copies", "repeats"}
+    assert found.count() == len(rows)

@@ -52,11 +52,27 @@ _ORDER = "o_orderkey, o_orderdate, c_custkey, c_mktsegment, n_name"
 _LOCK = "l_partkey % 40 = 0"
 
 
+_SUMMED = f"""select {_ORDER}, lock, f, cast(sum(a) as bigint) as added, cast(sum(d) as bigint) as deleted
+  from (select {_ORDER}, coalesce({_LOCK}, false) as lock, case when {_LOCK} then null else f end as f, {ADDED} as a, {DELETED} as d from ({_ITEMS}) items) x group by {_ORDER}, lock, f"""
+
+
 def raw_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of COMMIT_SQL. Items are summed up by what names their commit and file, before that becomes text, and in the tasks in which they met their order."""
-    items = f"select {_ORDER}, coalesce({_LOCK}, false) as lock, case when {_LOCK} then null else f end as f, {ADDED} as a, {DELETED} as d from ({_ITEMS}) items"
     facts = ", ".join(f"{v.replace(_LOCK, 'lock')} as {k}" for k, v in FACTS.items())
-    return _view(spark, sf_dir, f"select {facts}, cast(a as bigint) as added, cast(d as bigint) as deleted from (select {_ORDER}, lock, f, sum(a) as a, sum(d) as d from ({items}) x group by {_ORDER}, lock, f) y")
+    return _view(spark, sf_dir, f"select {facts}, added, deleted from ({_SUMMED}) y")
+
+
+def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, value): the commits of COMMIT_SQL as log records, one for each order. They are gathered where items met their order, so no text is shuffled."""
+    line = f"concat_ws('\t', cast(added as string), cast(deleted as string), {FACTS['path'].replace(_LOCK, 'lock')})"
+    head = f"concat_ws('\t', {', '.join(FACTS[k] for k in ('sha', 'date', 'author', 'email', 'subject'))})"
+    orders = f"select {_ORDER}, collect_list({line}) as body from ({_SUMMED}) y group by {_ORDER}"
+    return _view(spark, sf_dir, f"select {FACTS['repo']} as repo, concat({head}, '\n', concat_ws('\n', body), '\n-\t-\tart/logo.png') as value from ({orders}) z")
+
+
+def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo): the repositories of COMMIT_SQL, each once, without its other columns."""
+    return _view(spark, sf_dir, f"select distinct {FACTS['repo']} as repo from ({_ORDERS}) o join (select distinct l_orderkey from lineitem ) i on l_orderkey = o_orderkey")
 
 
 def seen_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

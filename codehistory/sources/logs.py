@@ -96,15 +96,14 @@ def malformed(records: DataFrame) -> DataFrame:
     of binary files (`-` for both counts) are sound. Facts never hold what stands here, except
     for lines of commits whose date is no time: windows leave those out.
     """
-    headed = _headed(records)
-    first = F.substring_index("value", "\n", 1)
+    # one pass: the records may cost much, and are not read once for headers and again for counts
+    lines = _headed(records).select("repo", "sha", "date", F.posexplode_outer(F.split("value", "\n")).alias("nr", "line"))
+    is_head = F.coalesce("nr", F.lit(0)) == 0
     fault = F.when(F.trim("sha") == "", "no commit id").when(F.try_to_timestamp("date").isNull(), "date is no time")
-    heads = headed.select("repo", "sha", fault.alias("reason"), first.alias("line"))
     parts = F.split("line", "\t", 3)
     number = lambda i: parts[i].try_cast("long").isNotNull()
     counts = F.when(F.size(parts) != 3, "not a line of counts").when(~((parts[0] == "-") & (parts[1] == "-")) & ~(number(0) & number(1)), "count is no number")
-    lines = headed.select("repo", "sha", F.explode(_lines(F.col("value"))).alias("line")).select("repo", "sha", counts.alias("reason"), "line")
-    return heads.unionByName(lines).where("reason is not null")
+    return lines.select("repo", "sha", F.when(is_head, fault).when(F.col("line") != "", counts).alias("reason"), "line").where("reason is not null")
 
 
 def parse_births(records: DataFrame, params: Params | None = None) -> DataFrame:

@@ -5,7 +5,10 @@ import io
 from collections import Counter
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from codehistory.sources import adapters as A
+from codehistory.sources import logs
 
 
 def tables(spark, folder):
@@ -39,3 +42,30 @@ def test_items_are_summed_up_where_they_met_their_order(spark, tmp_path):
         spark.conf.unset(key)
     shuffles = [line for line in plan.getvalue().splitlines() if "Exchange hashpartitioning" in line]
     assert len(shuffles) == 6 and not any("path" in line or "subject" in line for line in shuffles)
+
+
+def test_records_are_gathered_where_items_met_their_order(spark, tmp_path):
+    """Records say what the rows of the SQL say, and hold no shuffle beyond those of the rows."""
+    d, key = tables(spark, tmp_path), "spark.sql.autoBroadcastJoinThreshold"
+    raw = A.raw_commits(spark, d)
+    head, line = F.concat_ws("\t", "sha", "date", "author", "email", "subject"), F.concat_ws("\t", F.col("added").cast("string"), F.col("deleted").cast("string"), "path")
+    said = Counter(tuple(r) for r in raw.select("repo", head, line).collect())
+    found = A.raw_records(spark, d).select("repo", F.substring_index("value", "\n", 1), F.explode(logs._lines(F.col("value"))))
+    assert Counter(r for r in map(tuple, found.collect()) if r[2] != "-\t-\tart/logo.png") == said
+    assert {r.repo for r in A.repos(spark, d).collect()} == {r.repo for r in raw.collect()}
+    spark.conf.set(key, "-1")
+    try:
+        with contextlib.redirect_stdout(io.StringIO()) as plan:
+            A.raw_records(spark, d).explain()
+        with contextlib.redirect_stdout(io.StringIO()) as once:
+            logs.malformed(A.raw_records(spark, d)).explain()
+    finally:
+        spark.conf.unset(key)
+    assert plan.getvalue().count("Exchange hashpartitioning") == once.getvalue().count("Exchange hashpartitioning") == 6
+    assert "Union" not in once.getvalue()
+
+
+def test_faults_of_records_without_text(spark):
+    rows = [("r", None), ("r", ""), ("r", "a\t2025-01-01T00:00:00+00:00"), ("r", "b\tnever\n\n1\t2\tx\n\nx\n")]
+    found = logs.malformed(spark.createDataFrame(rows, "repo string, value string")).collect()
+    assert sorted(((r.sha, r.reason, r.line) for r in found), key=str) == sorted([("", "no commit id", None), ("", "no commit id", ""), ("b", "date is no time", "b\tnever"), ("b", "not a line of counts", "x")], key=str)

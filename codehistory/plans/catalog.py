@@ -232,23 +232,28 @@ def _block_size(records: DataFrame, path: str) -> int:
     return max(LEAST_BLOCK, -(-size // MOST_BLOCKS))
 
 
-def _as_lines(t: Tables, records: DataFrame) -> DataFrame:
-    """Log records written as files, a folder for each repository, and read by lines in blocks of at least 64 kB, so that commits lie across blocks."""
+def _by_blocks(t: Tables, records: DataFrame, read: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """What is read of log records, once they are written as files, a folder for each repository, in blocks of at least 64 kB, so that commits lie across blocks."""
     path = f"{folder(t.spark)}/logs-{uuid.uuid4().hex}"
     # a large repository is written by several tasks
     records.select("repo", F.concat(F.lit(logs.MARK), "value").alias("value")).hint("rebalance", "repo").write.partitionBy("repo").text(path)
     key, usual = "spark.sql.files.maxPartitionBytes", t.spark.conf.get("spark.sql.files.maxPartitionBytes")
     t.spark.conf.set(key, str(_block_size(records, path)))
     try:
-        return cut(logs.read_lines(t.spark, path))
+        return cut(read(t.spark, path))
     finally:
         t.spark.conf.set(key, usual)
 
 
+def _as_lines(t: Tables, records: DataFrame) -> DataFrame:
+    """The lines of log records that are written and read in blocks."""
+    return _by_blocks(t, records, logs.read_lines)
+
+
 @query("s1_from_lines", f"{_RAW} select repo, sha, date, author, email, subject, path, added, deleted, churn from kept")
 def _(t: Tables) -> DataFrame:
     """S1 by lines: commits that lie across the blocks of a file, with the same facts."""
-    return logs.numstat_of_lines(_as_lines(t, _printed(t))).select("repo", "sha", "date", "author", "email", "subject", "path", "added", "deleted", "churn")
+    return _by_blocks(t, _printed(t), logs.numstat_of_files).select("repo", "sha", "date", "author", "email", "subject", "path", "added", "deleted", "churn")
 
 
 @query("s4_from_lines", f"select repo, path, sha, date, author, removed, added from ({_PATCH_BY}) q where added + removed > 0 and lower(author) not like '%bot%'")

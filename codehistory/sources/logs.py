@@ -7,7 +7,12 @@ line gets the header of its commit from the lines, or blocks, before it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -81,11 +86,77 @@ def numstat_of_lines(lines: DataFrame, params: Params | None = None) -> DataFram
     return _numstat(body.select("repo", F.col("value").alias("line"), F.inline(F.array(_fields(F.col("head.value"))))), params or Params())
 
 
+def _place_of(batch: pa.RecordBatch, row: int) -> tuple[str, int]:
+    return batch.column("file")[row].as_py(), batch.column("block")[row].as_py()
+
+
+def _new_block(batch: pa.RecordBatch) -> np.ndarray:
+    """Which rows after the first lie in another block than the row before."""
+    other = (pc.not_equal(x[1:], x[:-1]) for x in (batch.column("file"), batch.column("block")))
+    return pc.or_(*other).to_numpy(zero_copy_only=False)
+
+
+def _heads_in_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of counts (repo, file, block, value) with the last header before them in their block; rows come in the order of the blocks, as they are read."""
+    last, place = None, None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        value = batch.column("value")
+        is_head = pc.starts_with(value, MARK).to_numpy(zero_copy_only=False)
+        row = np.arange(n)
+        new = np.append(_place_of(batch, 0) != place, _new_block(batch))
+        at, begin = np.maximum.accumulate(np.where(is_head, row, -1)), np.maximum.accumulate(np.where(new, row, -1))
+        # a block goes on from the batch before: its header stands behind the rows
+        from_before = (at < 0) & (begin < 0)
+        place = _place_of(batch, n - 1)
+        text = pa.concat_arrays([value, pa.array([last], value.type)])
+        at = pa.array(np.where(from_before, n, at), mask=(at < begin) & ~from_before)
+        last = text[at[-1].as_py()].as_py() if at[-1].is_valid else None
+        keep = np.flatnonzero(~is_head & pc.greater(pc.binary_length(value), 0).to_numpy(zero_copy_only=False))
+        rows = batch.take(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([*rows.columns, text.take(at.take(pa.array(keep)))], ["repo", "file", "block", "line", "head"])
+
+
+def _last_heads(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last of the headers (file, block, value) of each block; rows come in the order of the blocks."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None and _place_of(held, 0) != _place_of(batch, 0):
+            yield held
+        ends = np.flatnonzero(_new_block(batch))
+        if len(ends):
+            yield batch.take(pa.array(ends))
+        held = batch.slice(batch.num_rows - 1, 1)
+    if held is not None:
+        yield held
+
+
+def numstat_of_files(spark: SparkSession, path: str, params: Params | None = None) -> DataFrame:
+    """What `numstat_of_lines` gives of the lines that `read_lines` reads, and without shuffling them.
+
+    A block is read by one task, in order, so headers are carried along its lines where they are
+    read. The last header of each block, a row for many thousand lines, goes to the blocks after it.
+    """
+    read = read_lines(spark, path).select("repo", "file", "block", "value")
+    lines = read.mapInArrow(_heads_in_blocks, "repo string, file string, block long, line string, head string")
+    heads = read.where(F.col("value").startswith(MARK)).select("file", "block", "value").mapInArrow(_last_heads, "file string, block long, value string")
+    # all blocks that lines lie in, so that those without a header have one before
+    blocks = read.select("file", "block").distinct().join(heads, ["file", "block"], "left")
+    before = F.last("value", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    met = lines.join(F.broadcast(blocks.select("file", "block", before.alias("before"))), ["file", "block"], "left").withColumn("head", F.coalesce("head", "before")).where("head is not null")
+    return _numstat(met.select("repo", "line", F.inline(F.array(_fields(F.substring("head", len(MARK) + 1, 1 << 30))))), params or Params())
+
+
 def _numstat(rows: DataFrame, p: Params) -> DataFrame:
-    rows = rows.select("repo", *HEADER, F.split("line", "\t", 3).alias("x"))
-    rows = rows.where(~C.is_bot(F.col("author"), p.ignore_authors) & (F.size("x") == 3)).where("x[0] <> '-' and x[1] <> '-'")
-    rows = rows.withColumn("path", C.resolve_rename(F.col("x")[2]))
-    counts = rows.withColumn("added", F.col("x")[0].try_cast("long")).withColumn("deleted", F.col("x")[1].try_cast("long")).drop("x")
+    # parts and paths come from generators: a filter would work them out again for each pattern that it asks
+    rows = rows.where(~C.is_bot(F.col("author"), p.ignore_authors)).select("repo", *HEADER, F.inline(F.array(F.struct(F.split("line", "\t", 3).alias("x")))))
+    rows = rows.where(F.size("x") == 3).where("x[0] <> '-' and x[1] <> '-'")
+    read = F.struct(C.resolve_rename(F.col("x")[2]).alias("path"), F.col("x")[0].try_cast("long").alias("added"), F.col("x")[1].try_cast("long").alias("deleted"))
+    counts = rows.select("repo", *HEADER, F.inline(F.array(read)))
     return counts.where("added is not null and deleted is not null").where(~C.excluded(F.col("path"), p.exclude)).withColumn("churn", F.col("added") + F.col("deleted"))
 
 

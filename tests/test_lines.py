@@ -77,3 +77,22 @@ def test_numbers_over_parts(spark):
     rows = [(part, part * 10 + i, key, begin) for key, begin, sizes in (("a", 0, {0: 3}), ("b", 0, {0: 2, 1: 3, 3: 1}), ("c", 3, {3: 4})) for part, n in sizes.items() for i in range(n)]
     found = ordered.numbered_in(spark.createDataFrame(rows, "block long, row long, key string, first long"), "block", F.col("first"), ["key"], [F.col("row")], "no")
     assert {k: [r.no for r in sorted(found.where(F.col("key") == k).collect())] for k in "abc"} == {"a": [0, 1, 2], "b": [0, 1, 2, 3, 4, 5], "c": [0, 1, 2, 3]}
+
+
+def test_counts_where_lines_are_read(spark, tmp_path, small_blocks):
+    """Headers reach the lines of their commit in later blocks and batches, and no line is shuffled."""
+    mass = "\n".join(f"{i}\t{i % 7}\tsrc/{{a => b}}/f{i}.py" for i in range(300))
+    small = "\n".join(f"__C__s{k}\t2025-01-02T00:00:00+00:00\tMina\tm@x\ts\n{k}\t1\tf{k}.py\n" for k in range(40))
+    for name, text in (("lab%2Ftool", f"__C__a\t2025-01-02T00:00:00+00:00\tMina\tm@x\tmass\tchange\n{mass}\n-\t-\tx.png\n\n__C__c\n{small}"), ("other", f"1\t1\tof no commit\n{small}__C__q\t2025-01-01T00:00:00+00:00\tAna\ta@x\ts\n9\t9\tq.py\n"), ("none", "\n1\t2\tx.py\n")):
+        (tmp_path / "logs" / f"repo={name}").mkdir(parents=True)
+        (tmp_path / "logs" / f"repo={name}" / "a.log").write_text(text)
+    path = str(tmp_path / "logs")
+    want = facts(logs.numstat_of_lines(logs.read_lines(spark, path)))
+    assert len(want) == 381
+    for rows in ("10000", "3", "1"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        got = logs.numstat_of_files(spark, path)
+        assert facts(got) == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and plan.index("MapInArrow _heads_in_blocks") < plan.index("Window"), "only headers of blocks are put in order"

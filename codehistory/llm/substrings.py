@@ -37,8 +37,9 @@ from . import words as W
 from .common import Filter, count_join, discard, hot_keys, membership, stored
 
 WINDOW = 13
-#: Rounds whose names filter texts. A symbol of level r spans up to 2^r words or runs of a word.
-ROUNDS = 2
+#: Rounds whose names filter texts. A symbol of level r spans up to 2^r words or runs of a word. The more documents, the more of them share short
+#: symbols by chance: after two rounds what went to the joins grew faster than the texts.
+ROUNDS = 3
 #: Most ids that are broadcast.
 BROADCAST = 1 << 20
 #: Bytes of text of a step: a step holds the symbols of all levels.
@@ -182,6 +183,14 @@ def _shared(docs: DataFrame, window: int, filters: list[Filter]) -> Filter:
     return found
 
 
+def _filters(docs: DataFrame, window: int) -> list[Filter]:
+    """The names of each round that several documents share."""
+    filters: list[Filter] = []
+    for _ in range(ROUNDS):
+        filters.append(_shared(docs, window, filters))
+    return filters
+
+
 def _stretches(window: int, filters_value):
     """What is left of each text: stretches of windows, with their bytes."""
 
@@ -417,7 +426,7 @@ def _anchor_join(docs: DataFrame, window: int, filters: list[Filter]) -> DataFra
 
 
 def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of documents (doc_id, h, text), h being a hash of the text that tells rows of one id apart: (doc_id, h, n_words, digest) of all rows, whole copies of them, and the others that repeat something, with where (doc_id, h, text, begins)."""
+    """Of documents (doc_id, h, text), h telling rows of one id apart: (doc_id, h, n_words, digest) of all rows, whole copies of them, and the others that repeat something, with where (doc_id, h, text, begins)."""
     own = stored(docs.mapInArrow(_contents, "doc_id long, h long, n_words long, digest binary"), "contents")
     first = own.where((F.col("n_words") >= window) & F.col("doc_id").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     equal = stored(first, "equal")
@@ -428,10 +437,7 @@ def _found(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFram
     # few copies are broadcast to each scan; many are joined away once
     asked = asked.join(F.broadcast(ids), ["doc_id", "h"], "left_anti") if copies.count() <= BROADCAST else stored(asked.join(ids, ["doc_id", "h"], "left_anti"), "single")
 
-    filters: list[Filter] = []
-    for _ in range(ROUNDS):
-        filters.append(_shared(asked, window, filters))
-    seen = _anchor_join(asked, window, filters)
+    seen = _anchor_join(asked, window, _filters(asked, window))
     named = seen.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
     named = stored(named, "first")
     # names that hold much of all windows are broadcast; their windows go on under keys that meet nothing, so no key gathers them
@@ -477,9 +483,29 @@ def _compared(docs: DataFrame, repeats: DataFrame, window: int) -> DataFrame:
     return out
 
 
-def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(f"`{text_col}`").cast("string")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+def _again(docs: DataFrame, id_col: str) -> tuple[int, DataFrame]:
+    """How many ids several rows have, and those ids if they are few enough to be broadcast."""
+    ids = stored(docs.groupBy(F.col(f"`{id_col}`").cast("long").alias("doc_id")).count().where("count > 1 and doc_id is not null").select("doc_id"), "again")
+    n = ids.count()
+    if not 0 < n <= BROADCAST:
+        discard(ids)
+    return n, ids
+
+
+def _told(rows: DataFrame, again: tuple[int, DataFrame] | None) -> DataFrame:
+    """Rows (doc_id, text and others) with h, which tells rows of one id apart: a hash of the text, or 0 where no other row has the id, as a hash in each row of every shuffle does not pack."""
+    n, ids = again or (BROADCAST + 1, None)
+    if n > BROADCAST:
+        return rows.withColumn("h", F.xxhash64("text"))
+    if not n:
+        return rows.withColumn("h", F.lit(0).cast("long"))
+    marked = rows.join(F.broadcast(ids.withColumn("several", F.lit(True))), "doc_id", "left")
+    return marked.withColumn("h", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("several")
+
+
+def _plain(docs: DataFrame, id_col: str, text_col: str, again: tuple[int, DataFrame] | None = None) -> DataFrame:
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return _told(rows, again).select("doc_id", "h", "text")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -497,7 +523,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     keep their words. A task holds a text whole, and
     about 60 bytes for each byte of the longest one.
     """
-    own, copies, repeats = _found(_plain(docs, id_col, text_col), window)
+    again = _again(docs, id_col)
+    own, copies, repeats = _found(_plain(docs, id_col, text_col, again), window)
+    discard(again[1])
     cut = repeats.select("doc_id", "text", "begins").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
     gone = copies.select("doc_id", "n_words", F.col("n_words").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
     changed = copies.select("doc_id", "h").union(repeats.select("doc_id", "h")).distinct()
@@ -512,9 +540,11 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
     null ones too, stays as it is. Whole copies keep their row with an empty text. Columns may
     have any names.
     """
-    _, copies, repeats = _found(_plain(docs, id_col, text_col), window)
+    again = _again(docs, id_col)
+    _, copies, repeats = _found(_plain(docs, id_col, text_col, again), window)
     changed = repeats.select("doc_id", "h", "text", "begins").mapInArrow(_rewritten(window), "id long, h long, new string").dropDuplicates(["id", "h"])
     changed = changed.unionByName(copies.select(F.col("doc_id").alias("id"), "h", F.lit("").alias("new")).distinct())
-    whole = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("h"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    whole = _told(rows, again).select(F.col("doc_id").alias("id"), "h", "row")
     text = F.coalesce(F.col("new").cast(docs.schema[text_col].dataType), F.col(f"row.`{text_col}`"))
     return whole.join(changed, ["id", "h"], "left").select(*(text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

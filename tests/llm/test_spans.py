@@ -276,3 +276,26 @@ def test_what_repeats_no_longer_need_goes(spark):
     left = {p.name.split("-")[0] for p in set(folder.iterdir()) - before if not p.name.startswith(".")}
     assert left == {"contents", "copies", "repeats"}
     assert found.count() == len(rows)
+
+
+def test_what_chance_shares_is_not_joined(spark):
+    """Short sequences that many texts share by chance, and no repeat: less than 60 percent of the windows are left for the joins (two rounds leave 77)."""
+    rng = random.Random(4)
+    docs = substrings._plain(table(spark, [(i, prose(rng, 100, 20), "en") for i in range(400)]), "doc_id", "text")
+    filters = spark.sparkContext.broadcast(substrings._filters(docs, 13))
+    left = docs.mapInArrow(substrings._stretches(13, filters), "doc_id long, h long, at int, text binary")
+    assert sum(len(r.text.split()) - 12 for r in left.collect()) < 0.6 * 400 * 88
+
+
+@pytest.mark.parametrize("most", [1 << 20, 1])
+def test_only_rows_that_share_an_id_need_a_hash(spark, monkeypatch, most):
+    monkeypatch.setattr(substrings, "BROADCAST", most)
+    rows = [(1, "a"), (1, "b"), (2, "a"), (3, "c"), (3, "c"), (None, "d"), (None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {}
+    for r in substrings._plain(docs, "doc_id", "text", substrings._again(docs, "doc_id")).collect():
+        found.setdefault(r.doc_id, []).append(r.h)
+    # a table of more such ids than are broadcast has a hash in every row
+    assert len(set(found[1])) == 2 and len(set(found[3])) == 1 and (found[2] == [0]) == (most > 1) and len(found[None]) == 2
+    alone = docs.where("doc_id = 2")
+    assert [r.h for r in substrings._plain(alone, "doc_id", "text", substrings._again(alone, "doc_id")).collect()] == [0]

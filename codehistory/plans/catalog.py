@@ -213,9 +213,9 @@ _PATCH_BY = _PATCH.replace("sha, date,", "sha, date, min(author) as author,", 1)
 
 def _patches(t: Tables) -> DataFrame:
     """A patch log of the tables: the commits of a file in the order of their dates, newest first, each with one hunk."""
-    c = t.raw.withColumn("old", 1 + (F.substring("sha", 2, 20).cast("long") * 31) % 97)
-    c = c.groupBy("repo", "path", "sha", "date").agg(F.min("old").alias("old"), (F.sum("deleted") % 4).alias("removed"), (F.sum("added") % 7).alias("added"), F.min("author").alias("author")).where("added + removed > 0")
-    line = F.format_string("@@ -%d,%d +%d,%d @@", F.col("old") - F.when(F.col("removed") == 0, 1).otherwise(0), "removed", F.col("old") - F.when(F.col("added") == 0, 1).otherwise(0), "added")
+    c = A.raw_patches(t.spark, t.dir).select("repo", "path", "sha", "date", "author", (1 + (F.substring("sha", 2, 20).cast("long") * 31) % 97).alias("old"), (F.col("deleted") % 4).alias("removed"), (F.col("added") % 7).alias("added")).where("added + removed > 0")
+    side = lambda n: F.concat((F.col("old") - F.when(F.col(n) == 0, 1).otherwise(0)).cast("string"), F.lit(","), F.col(n).cast("string"))
+    line = F.concat(F.lit("@@ -"), side("removed"), F.lit(" +"), side("added"), F.lit(" @@"))
     value = F.concat_ws("\n", F.concat_ws("\t", "sha", "date", "author", F.lit("x@y"), F.lit("s")), F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path"), F.concat(F.lit("--- a/"), "path"), F.concat(F.lit("+++ b/"), "path"), line)
     # newest first, as a log has it: the greater the date, the smaller the position
     return c.select("repo", F.struct(F.translate(F.concat("date", "sha"), "0123456789", "9876543210").alias("row")).alias("position"), value.alias("value"))

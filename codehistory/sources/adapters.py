@@ -70,6 +70,14 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, f"select {FACTS['repo']} as repo, concat({head}, '\n', concat_ws('\n', body), '\n-\t-\tart/logo.png') as value from ({orders}) z")
 
 
+def raw_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, path, sha, date, author, added, deleted): what each commit of COMMIT_SQL did to a file, once, with the least of its authors. Numbers tell them apart, where items met their order."""
+    one = "o_orderkey, o_orderdate, n_name, lock, f"
+    patches = f"select {one}, min({FACTS['author']}) as author, cast(sum(added) as bigint) as added, cast(sum(deleted) as bigint) as deleted from ({_SUMMED}) y group by {one}"
+    facts = ", ".join(f"{FACTS[k].replace(_LOCK, 'lock')} as {k}" for k in ("repo", "path", "sha", "date"))
+    return _view(spark, sf_dir, f"select {facts}, author, added, deleted from ({patches}) z")
+
+
 def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo): the repositories of COMMIT_SQL, each once, without its other columns."""
     return _view(spark, sf_dir, f"select distinct {FACTS['repo']} as repo from ({_ORDERS}) o join (select distinct l_orderkey from lineitem ) i on l_orderkey = o_orderkey")

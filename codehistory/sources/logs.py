@@ -200,7 +200,11 @@ def _unquoted(path: Column) -> Column:
     parts = F.regexp_extract_all(F.regexp_extract(path, r'^"(.*)"$', 1), F.lit(r"\\[0-7]{3}|\\.|[^\\]+"), F.lit(0))
     octal = lambda x: F.lpad(F.conv(F.substring(x, 2, 3), 8, 16), 2, "0")
     bytes_ = F.transform(parts, lambda x: F.when(x.rlike(r"^\\[0-7]{3}$"), octal(x)).when(x.startswith("\\"), F.coalesce(F.try_element_at(named, x), F.hex(F.encode(F.substring(x, 2, 9), "UTF-8")))).otherwise(F.hex(F.encode(x, "UTF-8"))))
-    return F.when(path.rlike(r'^".*"$'), F.decode(F.unhex(F.array_join(bytes_, "")), "UTF-8")).otherwise(path)
+    return F.when(_quoted(path), F.decode(F.unhex(F.array_join(bytes_, "")), "UTF-8")).otherwise(path)
+
+
+def _quoted(path: Column) -> Column:
+    return path.startswith('"') & path.endswith('"') & (F.length(path) > 1)
 
 
 def parse_hunks(records: DataFrame, params: Params | None = None) -> DataFrame:
@@ -208,22 +212,31 @@ def parse_hunks(records: DataFrame, params: Params | None = None) -> DataFrame:
     p = params or Params()
     place = _place(records)
     files = _headed(records).where(~C.is_bot(F.col("author"), p.ignore_authors)).select("repo", *place, *HEADER, F.explode(F.split("value", "\n(?=diff --git )")).alias("part"))
+    # no pattern meets the first line of a commit, and parts without hunks
+    files = files.where(F.col("part").contains("\n@@ ") | F.col("part").startswith("@@ "))
+    # names and paths come from generators: they are asked for many times and found once
     side = lambda mark: F.regexp_extract("part", rf"(?m)^{mark} (.*?)\t?$", 1)
-    lines = files.select("repo", *place, *HEADER, _path(side("---"), side(r"\+\+\+")).alias("path"), F.posexplode(F.filter(F.split("part", "\n"), lambda x: x.startswith("@@ "))).alias("hunk_no", "line"))
+    named = files.select("repo", *place, *HEADER, "part", F.inline(F.array(F.struct(side("---").alias("old"), side(r"\+\+\+").alias("new")))))
+    paths = named.select("repo", *place, *HEADER, "part", F.inline(F.array(F.struct(_path(F.col("old"), F.col("new")).alias("path")))))
+    lines = paths.select("repo", *place, *HEADER, "path", F.posexplode(F.filter(F.split("part", "\n"), lambda x: x.startswith("@@ "))).alias("hunk_no", "line"))
     return _hunks(lines, place)
 
 
 def _path(old: Column, new: Column) -> Column:
     """The path of a patch from what stands behind --- and +++."""
-    return F.when(_unquoted(new) == "/dev/null", F.regexp_replace(_unquoted(old), "^a/", "")).otherwise(F.regexp_replace(_unquoted(new), "^b/", ""))
+    bare = lambda side, name: F.when(name.startswith(side), F.substring(name, 3, 1 << 30)).otherwise(name)
+    of = lambda name: F.when(name == "/dev/null", bare("a/", _unquoted(old))).otherwise(bare("b/", name))
+    return F.when(_quoted(new), of(_unquoted(new))).otherwise(of(new))
 
 
 def _hunks(lines: DataFrame, place: list[str]) -> DataFrame:
-    part = lambda i: F.regexp_extract("line", HUNK, i)
-    count = lambda i: F.when(part(i) == "", 1).otherwise(part(i).try_cast("long")).cast("long")
-    rows = lines.where(F.col("line").rlike(HUNK))
-    starts = [part(i).try_cast("long").alias(name) for i, name in ((1, "old_start"), (3, "new_start"))]
-    return rows.select("repo", "path", "sha", "date", "author", "email", "subject", F.col("hunk_no").cast("long").alias("hunk_no"), F.trim(part(5)).alias("region"), count(2).alias("removed"), count(4).alias("added"), *starts, *place).withColumn("churn", F.col("added") + F.col("removed"))
+    # one match for all of its parts; a line that is no header of a hunk stays as it is
+    parts = F.split(F.regexp_replace("line", f"{HUNK[:-1]}(?s:.*)$", "$1\t$2\t$3\t$4\t$5"), "\t", 5)
+    x = F.col("x")
+    rows = lines.select(*(c for c in lines.columns if c != "line"), F.inline(F.array(F.struct(parts.alias("x")))))
+    rows = rows.where(~x[0].startswith("@"))
+    count = lambda i: F.when(x[i] == "", 1).otherwise(x[i].try_cast("long")).cast("long")
+    return rows.select("repo", "path", "sha", "date", "author", "email", "subject", F.col("hunk_no").cast("long").alias("hunk_no"), F.trim(x[4]).alias("region"), count(1).alias("removed"), count(3).alias("added"), x[0].try_cast("long").alias("old_start"), x[2].try_cast("long").alias("new_start"), *place).withColumn("churn", F.col("added") + F.col("removed"))
 
 
 def hunks_of_lines(lines: DataFrame, params: Params | None = None) -> DataFrame:

@@ -170,3 +170,50 @@ def test_pages_and_quantiles(spark, parts):
     assert set(got) == {"a", "b", "one"}
     for k in got:
         assert np.allclose(got[k], np.quantile([r[2] for r in rows if r[0] == k and r[2] is not None], [0, 0.5, 0.93]))
+
+
+@pytest.mark.parametrize("rows", ["1", "3", "100"])
+def test_lift_in_batches_and_ranges(spark, monkeypatch, rows):
+    """Commits, blocks and files that lie over batches of a task, and files over ranges."""
+    monkeypatch.setattr(lifting, "BLOCK", 3)
+    monkeypatch.setattr(lifting, "RANGE", 60, raising=False)
+    made = histories(random.Random(int(rows)), 9, 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        got = lifting.lift(spark.createDataFrame(as_rows(made), ROWS)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.path, r.sha, r.start, r.end) for r in got) == expected(made)
+
+
+def test_lift_reads_its_hunks_once(spark, monkeypatch):
+    """What hunks come from may be a log to be parsed; and a file in one range takes no ordered pass."""
+    passes, read = [], spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(lifting, "running_last", lambda *a: passes.append(1) or ordered.running_last(*a))
+    made = histories(random.Random(4), 1, 2)
+    commits, n = made["src/f0.py"]
+    for _ in range(600):
+        hunks, n = edited(random.Random(len(commits)), n)
+        commits.append(hunks or [(1, 0, 1, 1)])
+        n += not hunks
+    rows = as_rows(made)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    got = lifting.lift(spark.createDataFrame(rows, ROWS).mapInArrow(counted, ROWS)).collect()
+    assert sorted((r.path, r.sha, r.start, r.end) for r in got) == expected(made)
+    assert read.value == len(rows) and not passes
+
+
+def test_lift_of_a_commit_at_two_places(spark):
+    """A commit that two logs give stands where the newer one has it, with each hunk once; numbers of lines may be of any size."""
+    far = 1 << 58
+    rows = [
+        ("r", "x", "a", "2025-01-01", 9, 0, 0, 1, 5), ("r", "x", "b", "2025-01-02", 5, 2, 1, 2, 3), ("r", "x", "b", "2025-01-02", 7, 2, 1, 2, 3), ("r", "x", "b", "2025-01-02", 7, far, 0, far + 3, 2),
+        ("r", "x", "c", "2025-01-03", 6, 1, 1, 1, 1), ("r", "x", "d", "2025-01-04", 1, 0, 0, 1, 4),
+    ]
+    got = {(r.sha, r.start, r.end) for r in lifting.lift(spark.createDataFrame(rows, ROWS)).collect()}
+    assert got == {("a", 5, 11), ("c", 5, 5), ("b", 6, 8), ("b", far + 7, far + 8), ("d", 1, 4)}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +21,24 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when what they were for is written, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    usual = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if usual is None else spark.conf.set(key, usual)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder that was written here and that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder in spark.checkpoint.dir and read back.
 
@@ -27,5 +47,6 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/history-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with writing(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import bands, clusters, cochange, communities, effort, explore, facts, identity, job, lifting, portfolio, regions
-from ..operators.lineage import cut, folder
+from ..operators.lineage import cut, drop, folder, writing
 from ..params import Params
 from ..sources import adapters as A
 from ..sources import logs, summaries
@@ -211,9 +211,9 @@ _PATCH = f"select repo, path, sha, date, min(1 + hash_ % 97) as old, cast(sum(de
 _PATCH_BY = _PATCH.replace("sha, date,", "sha, date, min(author) as author,", 1)
 
 
-def _patches(t: Tables) -> DataFrame:
-    """A patch log of the tables: the commits of a file in the order of their dates, newest first, each with one hunk."""
-    c = A.raw_patches(t.spark, t.dir).select("repo", "path", "sha", "date", "author", (1 + (F.substring("sha", 2, 20).cast("long") * 31) % 97).alias("old"), (F.col("deleted") % 4).alias("removed"), (F.col("added") % 7).alias("added")).where("added + removed > 0")
+def _patches(t: Tables, numbers: DataFrame | None = None) -> DataFrame:
+    """A patch log of the tables, or of some of their patches: the commits of a file in the order of their dates, newest first, each with one hunk."""
+    c = A.printed(A.patch_numbers(t.spark, t.dir) if numbers is None else numbers).select("repo", "path", "sha", "date", "author", (1 + (F.substring("sha", 2, 20).cast("long") * 31) % 97).alias("old"), (F.col("deleted") % 4).alias("removed"), (F.col("added") % 7).alias("added")).where("added + removed > 0")
     side = lambda n: F.concat((F.col("old") - F.when(F.col(n) == 0, 1).otherwise(0)).cast("string"), F.lit(","), F.col(n).cast("string"))
     line = F.concat(F.lit("@@ -"), side("removed"), F.lit(" +"), side("added"), F.lit(" @@"))
     value = F.concat_ws("\n", F.concat_ws("\t", "sha", "date", "author", F.lit("x@y"), F.lit("s")), F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path"), F.concat(F.lit("--- a/"), "path"), F.concat(F.lit("+++ b/"), "path"), line)
@@ -245,6 +245,34 @@ def _by_blocks(t: Tables, records: DataFrame, read: Callable[[SparkSession, str]
         t.spark.conf.set(key, usual)
 
 
+#: Patches that are written as logs at once.
+ROUND = 20_000_000
+
+
+def _hunks_in_rounds(t: Tables) -> DataFrame:
+    """Hunks of the patches of the tables, once they are written as logs, a folder for each repository, and read by blocks.
+
+    Of large tables some logs at a time are written and read, as the text of all of them would take many times the place of the
+    tables. Rounds are of whole orders. Logs are dealt out to tasks as numbers, before they are text, so that a large repository
+    is written by several.
+    """
+    numbers = cut(A.patch_numbers(t.spark, t.dir))
+    rounds, done = max(1, -(-numbers.count() // ROUND)), []
+    key, usual = "spark.sql.files.maxPartitionBytes", t.spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for i in range(rounds):
+        path = f"{folder(t.spark)}/logs-{uuid.uuid4().hex}"
+        own = numbers.where(F.pmod(F.xxhash64("o_orderkey"), F.lit(rounds)) == i).hint("rebalance", "n_name")
+        with writing(t.spark):
+            _patches(t, own).select("repo", F.concat(F.lit(logs.MARK), "value").alias("value")).write.partitionBy("repo").text(path)
+        t.spark.conf.set(key, str(_block_size(numbers, path)))
+        try:
+            done.append(logs.hunks_of_files(t.spark, path))
+        finally:
+            t.spark.conf.set(key, usual)
+        drop(t.spark, path)
+    return reduce(DataFrame.unionByName, done)
+
+
 def _as_lines(t: Tables, records: DataFrame) -> DataFrame:
     """The lines of log records that are written and read in blocks."""
     return _by_blocks(t, records, logs.read_lines)
@@ -259,7 +287,7 @@ def _(t: Tables) -> DataFrame:
 @query("s4_from_lines", f"select repo, path, sha, date, author, removed, added from ({_PATCH_BY}) q where added + removed > 0 and lower(author) not like '%bot%'")
 def _(t: Tables) -> DataFrame:
     """S4 by lines: patches that lie across the blocks of a file, with the same hunks."""
-    return logs.hunks_of_lines(_as_lines(t, _patches(t))).select("repo", "path", "sha", "date", "author", "removed", "added")
+    return _hunks_in_rounds(t).select("repo", "path", "sha", "date", "author", "removed", "added")
 
 
 @query("s5_range_touches", f"select repo, path, start_ as start, sha, date from ({A.TOUCH_SQL}) t")

@@ -72,10 +72,18 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, path, sha, date, author, added, deleted): what each commit of COMMIT_SQL did to a file, once, with the least of its authors. Numbers tell them apart, where items met their order."""
+    return printed(patch_numbers(spark, sf_dir))
+
+
+def patch_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of raw_patches before they are text; `printed` makes them that."""
     one = "o_orderkey, o_orderdate, n_name, lock, f"
     patches = f"select {one}, min({FACTS['author']}) as author, cast(sum(added) as bigint) as added, cast(sum(deleted) as bigint) as deleted from ({_SUMMED}) y group by {one}"
-    facts = ", ".join(f"{FACTS[k].replace(_LOCK, 'lock')} as {k}" for k in ("repo", "path", "sha", "date"))
-    return _view(spark, sf_dir, f"select {facts}, author, added, deleted from ({patches}) z")
+    return _view(spark, sf_dir, patches)
+
+
+def printed(numbers: DataFrame) -> DataFrame:
+    return numbers.selectExpr(*(f"{FACTS[k].replace(_LOCK, 'lock')} as {k}" for k in ("repo", "path", "sha", "date")), "author", "added", "deleted")
 
 
 def repos(spark: SparkSession, sf_dir: str) -> DataFrame:

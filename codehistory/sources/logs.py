@@ -7,6 +7,7 @@ line gets the header of its commit from the lines, or blocks, before it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -258,6 +259,116 @@ def hunks_of_lines(lines: DataFrame, params: Params | None = None) -> DataFrame:
     return _hunks(numbered_in(rows, "block", F.col("section.block"), ["file", "section"], [F.col("row")], "hunk_no"), ["position"])
 
 
+def _hunks_in_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hunk headers of lines (repo, file, block, row, value), with what their block says of their commit and patch, and a row without a line that says what each block ends with; rows come in the order of the blocks, as they are read.
+
+    A section begins with a commit or with the patch of a file: its names stand before its first hunk, its hunks are counted from 0.
+    """
+    # of the block that goes on from the batch before: its last header, whether a section has begun, and of the last section its names and hunks
+    place, said = None, None
+
+    def ended() -> pa.RecordBatch:
+        repo, file, block, *_ = place
+        head, at, begun, old, new, n = said
+        of = ([repo], [file], [block], [None], [None], [head], [block if at is not None else None], [at], [begun], [old], [new], [n])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(of, _IN_BLOCKS.types, strict=True)], schema=_IN_BLOCKS)
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        repo, file, block, row, value = (batch.column(c) for c in ("repo", "file", "block", "row", "value"))
+        at = np.arange(n)
+        goes_on = place is not None and place[1:] == _place_of(batch, 0)
+        if place is not None and not goes_on:
+            yield ended()
+        if not goes_on:
+            said = (None, None, False, None, None, 0)
+        edges = np.flatnonzero(_new_block(batch)) + 1
+        begin = np.zeros(n, np.int64)
+        begin[edges] = edges
+        begin = np.maximum.accumulate(begin)
+        is_ = lambda mark, value=value: pc.starts_with(value, mark).to_numpy(zero_copy_only=False)
+        head, hunk = is_(MARK), is_("@@ ")
+        section = head | is_("diff --git ")
+        # n: from the rows before this batch, n + 1: not in this block
+        none = np.where(begin == 0, n, n + 1)
+
+        def last(which: np.ndarray, at: np.ndarray = at, begin: np.ndarray = begin, none: np.ndarray = none) -> np.ndarray:
+            found = np.maximum.accumulate(np.where(which, at, -1))
+            return np.where(found >= begin, found, none)
+
+        heads, sections = last(head), last(section)
+        hunks = np.cumsum(hunk)
+        # hunks up to each row since the section, or the block, began
+        before = np.append(np.where(section | (at == begin), hunks - hunk, 0), 0)
+        since = hunks - np.where(sections < n, before[np.minimum(sections, n)], before[begin]) + np.where(sections == n, said[5], 0)
+        begun = np.where(sections == n, said[2], sections < n)
+        names = []
+        for mark, held in (("--- ", said[3]), ("+++ ", said[4])):
+            found = last(is_(mark) & (since == 0))
+            # those of an earlier section are none
+            of = np.where((found < n) & (sections < n) & (found < sections), n + 1, np.where((found == n) & (sections < n), n + 1, found))
+            told = np.flatnonzero(np.bincount(of, minlength=n + 2)[:n])
+            # only lines that are asked for meet the pattern
+            text = [_NAME.match(x).group(1) for x in value.take(pa.array(told)).to_pylist()]
+            texts = pa.array([*text, held, None], value.type)
+            names.append(texts.take(pa.array(np.searchsorted(np.append(told, [n, n + 1]), of))))
+        texts = pa.concat_arrays([pc.utf8_slice_codeunits(value, len(MARK)), pa.array([said[0], None], value.type)])
+        rows_ = np.append(row.to_numpy(zero_copy_only=False), [0 if said[1] is None else said[1], 0])
+        no_head = (heads == n + 1) | ((heads == n) & (said[0] is None))
+        ends = np.append(edges, n) - 1
+
+        def made(of: np.ndarray, line: pa.Array, no: np.ndarray, cols: tuple = (repo, file, block, row), heads: np.ndarray = heads, texts: pa.Array = texts, rows_: np.ndarray = rows_, no_head: np.ndarray = no_head, begun: np.ndarray = begun, names: list = names) -> pa.RecordBatch:
+            pick = pa.array(of)
+            r, f, b, w = (c.take(pick) for c in cols)
+            arrays = [r, f, b, w, line, texts.take(pa.array(heads[of])), pa.array(b.to_numpy(), mask=no_head[of]), pa.array(rows_[heads[of]], mask=no_head[of]), pa.array(begun[of]), *(x.take(pick) for x in names), pa.array(no)]
+            return pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(arrays, _IN_BLOCKS.types, strict=True)], schema=_IN_BLOCKS)
+
+        found = np.flatnonzero(hunk)
+        yield made(found, value.take(pa.array(found)), since[found] - 1)
+        if len(ends) > 1:
+            yield made(ends[:-1], pa.nulls(len(ends) - 1, value.type), since[ends[:-1]])
+        place = (repo[n - 1].as_py(), *_place_of(batch, n - 1))
+        said = (None if no_head[-1] else texts[int(heads[-1])].as_py(), None if no_head[-1] else int(rows_[heads[-1]]), bool(begun[-1]), *(x[n - 1].as_py() for x in names), int(since[-1]))
+    if place is not None:
+        yield ended()
+
+
+#: The name behind --- or +++, without what ends a line.
+_NAME = re.compile("^.{4}([^\n\r\u0085\u2028\u2029]*?)\t?(?:$|[\n\r\u0085\u2028\u2029])", re.DOTALL)
+_IN_BLOCKS = pa.schema([*((c, pa.string()) for c in ("repo", "file")), ("block", pa.int64()), ("row", pa.int64()), ("line", pa.string()), ("head", pa.string()), ("head_block", pa.int64()), ("head_row", pa.int64()), ("begun", pa.bool_()), ("old", pa.string()), ("new", pa.string()), ("no", pa.int64())])
+
+
+def hunks_of_files(spark: SparkSession, path: str, params: Params | None = None) -> DataFrame:
+    """What `parse_hunks` gives, with positions, of the logs in a folder. Lines are not shuffled, and written are hunks alone.
+
+    A block is read by one task, in order, so headers and names are carried along its lines where they are read. What each
+    block ends with, a row for many thousand lines, goes to the blocks after it.
+    """
+    p = params or Params()
+    kinds = "repo string, file string, block long, row long, line string, head string, head_block long, head_row long, begun boolean, old string, new string, no long"
+    found = cut(read_lines(spark, path).select("repo", "file", "block", "row", "value").mapInArrow(_hunks_in_blocks, kinds))
+    along = Window.partitionBy("file").orderBy("block")
+    # blocks in which no section begins belong to the last one that has begun
+    ends = found.where("line is null").withColumn("section", F.sum(F.col("begun").cast("long")).over(along))
+    inside = Window.partitionBy("file", "section").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.sum("no").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.withColumns({"was": F.coalesce(before, F.lit(0)), "n": F.sum("no").over(inside)})
+    # names stand before the first hunk
+    name = lambda c: F.last(F.when(F.col("was") == 0, F.col(c)), ignorenulls=True).over(inside)
+    ends = ends.withColumns({"old_": name("old"), "new_": name("new"), "head_": F.last(F.when(F.col("head").isNotNull(), F.struct("head", "head_block", "head_row")), ignorenulls=True).over(along)})
+    held = ends.select("file", "block", *(F.lag(c).over(along).alias(f"_{c}") for c in ("head_", "old_", "new_", "n")))
+    met = found.where("line is not null").join(F.broadcast(held), ["file", "block"], "left")
+    early = ~F.col("begun")
+    named = lambda c: F.when(~early, F.col(c)).otherwise(F.coalesce(F.when(F.coalesce("_n", F.lit(0)) == 0, F.col(c)), f"_{c}_"))
+    head = F.when(F.col("head").isNotNull(), F.struct("head", "head_block", "head_row")).otherwise(F.col("_head_"))
+    told = met.select("repo", "file", "line", head.alias("head"), F.coalesce(named("old"), F.lit("")).alias("old"), F.coalesce(named("new"), F.lit("")).alias("new"), (F.col("no") + F.when(early, F.coalesce("_n", F.lit(0))).otherwise(0)).alias("hunk_no")).where("head is not null")
+    rows = told.select("repo", F.struct("file", F.col("head.head_block").alias("block"), F.col("head.head_row").alias("row")).alias("position"), F.inline(F.array(_fields(F.col("head.head")))), "old", "new", "line", "hunk_no")
+    rows = rows.where(~C.is_bot(F.col("author"), p.ignore_authors)).select("repo", "position", *HEADER, "line", "hunk_no", F.inline(F.array(F.struct(_path(F.col("old"), F.col("new")).alias("path")))))
+    return _hunks(rows, ["position"])
+
+
 def parse_touches(records: DataFrame) -> DataFrame:
     """(repo, path, start, end, sha, date) of (repo, path, start, end, value) records: which commits touched a range."""
     head = F.split(F.substring_index("value", "\n", 1), "\t")

@@ -1,5 +1,6 @@
 """Logs read by lines, in blocks that are smaller than their commits."""
 
+import os
 import random
 from types import SimpleNamespace
 
@@ -96,3 +97,45 @@ def test_counts_where_lines_are_read(spark, tmp_path, small_blocks):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and plan.index("MapInArrow _heads_in_blocks") < plan.index("Window"), "only headers of blocks are put in order"
+
+
+@pytest.mark.parametrize("batch", ["3", "10000"])
+def test_hunks_where_lines_are_read(spark, tmp_path, small_blocks, batch):
+    """Commits, sections and names that lie over blocks and batches, two logs, commits without a patch, paths with tabs, and automation; no line is shuffled."""
+    rng = random.Random(11)
+    for name, n in (("lab~tool", 9), ("other", 4)):
+        out = []
+        for k in range(n):
+            out.append(f"__C__{name}{k}\t2025-01-{28 - k % 28:02d}T00:00:00+00:00\t{'mergebot' if k % 6 == 5 else 'Mina'}\tm@x\tsubject {k}")
+            for f in range(rng.randrange(0, 4)):
+                path = rng.choice([f"src/f{f}.py", f"src/ü{f}.py", f"a b{f}.py\t"])
+                side = (lambda x, path=path: f'"{x}/' + path.replace("ü", r"\303\274") + '"') if "ü" in path else (lambda x, path=path: f"{x}/{path}")
+                gone = rng.random() < 0.2
+                out += [f"diff --git {side('a')} {side('b')}", *(["index 1..2 100644"] * rng.randrange(20)), f"--- {side('a')}", "+++ /dev/null" if gone else f"+++ {side('b')}"]
+                for _ in range(rng.randrange(1, 7)):
+                    out += [rng.choice([f"@@ -{rng.randrange(90)},{rng.randrange(3)} +{rng.randrange(90)} @@ def f{k}():", "@@ no header", "@@ -1 +2 @@"]), "--- a/not/a/file", "+++ b/not/a/file", "-words", *(["+words"] * rng.randrange(9))]
+        (tmp_path / f"{name}.log").write_text("\n".join(out) + "\n")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for p in (None, Params(ignore_authors=())):
+            got = logs.hunks_of_files(spark, str(tmp_path), p).cache()
+            want = logs.parse_hunks(logs.read_records(spark, str(tmp_path)), p)
+            columns = [c for c in got.columns if c != "position"]
+            assert facts(got.select(columns)) == facts(want.select(columns)) and got.count() > 30
+        order = [r.sha for r in got.where("repo = 'other'").select("sha", "position").distinct().orderBy("position").collect()]
+        assert order == sorted(order, key=lambda s: int(s[5:])), "positions are in the order of the log"
+        assert got.select("repo").distinct().count() == 2
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_logs_are_written_in_rounds_and_go(spark, monkeypatch):
+    """The text of all logs is never there at once, and none of it is left; hunks are the same."""
+    monkeypatch.setattr(catalog, "ROUND", 2000, raising=False)
+    written, block = [], catalog._block_size
+    monkeypatch.setattr(catalog, "_block_size", lambda records, path: written.append(path.removeprefix("file:")) or block(records, path))
+    t = catalog.Tables(spark, "/root/testdata/sf0.001")
+    got = catalog.QUERIES["s4_from_lines"](spark, t.dir)
+    want = logs.parse_hunks(catalog._patches(t)).select(*got.columns)
+    assert facts(got) == facts(want) and len(written) == 3
+    assert not any(os.path.exists(path) for path in written)
